@@ -1,0 +1,234 @@
+"""Queries over column profiles and key ranges."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sourceworks.functions.values import table_as_text
+from sourceworks.operators import profile as P
+from sourceworks.sources.database import typed_as_source
+from verification.inputs import derived, given, with_tables
+from verification.registry import query
+
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+def _profile_sql(table: str, columns: list[str], types: dict[str, str] | None = None) -> str:
+    parts = [
+        f"""select '{table}' as table_name, {i} as column_index, '{c}' as name, '{(types or {}).get(c, "VARCHAR")}' as type,
+            cast(min(length(coalesce(cast({c} as varchar), ''))) as int) as min_length,
+            cast(max(length(coalesce(cast({c} as varchar), ''))) as int) as max_length,
+            count(*) as record_count from {table}"""
+        for i, c in enumerate(columns)
+    ]
+    return " union all ".join(parts)
+
+
+@query("profile_orders", _profile_sql("orders", _ORDER_COLUMNS))
+def profile_orders(spark, sf):
+    return P.profile(given(spark, sf, "orders").select(*_ORDER_COLUMNS), "orders")
+
+
+@query("profile_events", _profile_sql("events", ["event_id", "user_id", "event_type", "props"]))
+def profile_events(spark, sf):
+    return P.profile(given(spark, sf, "events").select("event_id", "user_id", "event_type", "props"), "events")
+
+
+@query("profile_documents", _profile_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"]))
+def profile_documents(spark, sf):
+    return P.profile(given(spark, sf, "documents"), "documents")
+
+
+@query(
+    "profile_typed",
+    _profile_sql(
+        "customer",
+        ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+        {"c_custkey": "BIGINT", "c_nationkey": "INTEGER"},
+    ).replace(" as name", " as lower_name").replace("select 'customer'", "select upper(lower_name) as name, * exclude (lower_name) from (select 'customer'").replace("from customer", "from customer)"),
+)
+def profile_typed(spark, sf):
+    table = given(spark, sf, "customer").drop("c_acctbal")
+    return P.profile(typed_as_source(table), "customer", typed=True)
+
+
+@query("profile_merge", _profile_sql("orders", _ORDER_COLUMNS[:3]))
+def profile_merge(spark, sf):
+    orders = given(spark, sf, "orders").select(*_ORDER_COLUMNS)
+    return P.merge_profiles(P.profile(orders, "orders", by=["o_orderpriority"]))
+
+
+def _flag_profile(flag: str) -> str:
+    return f"""select name, index, min(len) as min_length, max(len) as max_length from (
+        select 'l_orderkey' as name, 0 as index, length(cast(l_orderkey as varchar)) as len from lineitem where l_returnflag = '{flag}'
+        union all select 'l_partkey', 1, length(cast(l_partkey as varchar)) from lineitem where l_returnflag = '{flag}'
+        union all select 'l_linestatus', 2, length(l_linestatus) from lineitem where l_returnflag = '{flag}') group by name, index"""
+
+
+def _lineitem_profile(spark, sf, flag, columns):
+    rows = given(spark, sf, "lineitem").where(F.col("l_returnflag") == flag).select(*columns)
+    return P.profile(rows, "lineitem")
+
+
+@query(
+    "profile_upsert",
+    f"""with old as ({_flag_profile("A")}), new as ({_flag_profile("R")})
+        select cast(7 as bigint) as st_oid, coalesce(n.name, o.name) as name,
+               'VARCHAR' as type,
+               cast(case when n.name is not null then n.max_length else o.max_length end as int) as max_length,
+               cast(case when n.name is not null then n.min_length else o.min_length end as int) as min_length,
+               if(o.name is null, null, 'kept') as label,
+               cast(case when n.name is not null then n.index else o.index end as int) as column_index
+        from (select * from old where name <> 'l_partkey') o full join (select * from new where name <> 'l_linestatus') n
+        on o.name = n.name""",
+)
+def profile_upsert(spark, sf):
+    def stored(flag, columns, indexes):
+        index = F.create_map(*[F.lit(x) for pair in indexes.items() for x in pair])
+        return _lineitem_profile(spark, sf, flag, columns).select(
+            F.lit(7).cast("bigint").alias("st_oid"),
+            "name",
+            "type",
+            "max_length",
+            "min_length",
+            index[F.col("name")].alias("column_index"),
+        )
+
+    places = {"l_orderkey": 0, "l_partkey": 1, "l_linestatus": 2}
+    old = stored("A", ["l_orderkey", "l_linestatus"], places).select(
+        "st_oid", "name", "type", "max_length", "min_length", F.lit("kept").alias("label"), "column_index"
+    )
+    return P.upsert_profile(old, stored("R", ["l_orderkey", "l_partkey"], places))
+
+
+@query(
+    "profile_drift",
+    """with a as (select length(cast(o_orderkey as varchar)) as k, length(o_orderpriority) as p, length(cast(o_custkey as varchar)) as c,
+                         o_orderstatus as s from orders),
+       old as (select 'o_orderkey' as name, min(k) as lo, max(k) as hi from a where s = 'F'
+               union all select 'o_orderpriority', min(p), max(p) from a where s = 'F' and p < 8),
+       new as (select 'o_orderpriority' as name, min(p) as lo, max(p) as hi from a where s = 'O'
+               union all select 'o_custkey', min(c), max(c) from a where s = 'O')
+       select 'orders' as table_name, coalesce(old.name, new.name) as name,
+              case when old.name is null then 'added' when new.name is null then 'removed' else 'length' end as drift,
+              cast(old.lo as int) as old_min_length, cast(old.hi as int) as old_max_length,
+              cast(new.lo as int) as new_min_length, cast(new.hi as int) as new_max_length
+       from old full join new on old.name = new.name
+       where old.name is null or new.name is null or old.lo <> new.lo or old.hi <> new.hi""",
+)
+def profile_drift(spark, sf):
+    orders = given(spark, sf, "orders")
+    done = orders.where("o_orderstatus = 'F'")
+    before = P.profile(done.select("o_orderkey"), "orders").unionByName(
+        P.profile(done.where("length(o_orderpriority) < 8").select("o_orderpriority"), "orders")
+    )
+    after = P.profile(orders.where("o_orderstatus = 'O'").select("o_orderpriority", "o_custkey"), "orders")
+    return P.profile_drift(before, after)
+
+
+@query(
+    "profile_finish",
+    with_tables(
+        "manifest",
+        """counts as (select l_orderkey + 1 as st_oid, count(*) as n from lineitem group by all)
+           select m.st_oid, if(c.n is null, m.analyze_table, false) as analyze_table,
+                  cast(coalesce(c.n, m.record_count) as int) as record_count
+           from manifest m left join counts c on m.st_oid = c.st_oid""",
+    ),
+)
+def profile_finish(spark, sf):
+    counts = given(spark, sf, "lineitem").groupBy((F.col("l_orderkey") + 1).alias("st_oid")).agg(
+        F.count(F.lit(1)).alias("record_count")
+    )
+    return P.finish_profile(derived(spark, sf, "manifest"), counts).select("st_oid", "analyze_table", "record_count")
+
+
+@query(
+    "profile_ids",
+    with_tables(
+        "manifest columns",
+        """select m.file_name, m.table_name, m.st_oid, c.name, c.max_length
+           from manifest m join columns c on m.st_oid = c.st_oid""",
+    ),
+)
+def profile_ids(spark, sf):
+    columns = derived(spark, sf, "columns")
+    manifest = derived(spark, sf, "manifest")
+    found = columns.join(manifest.select("st_oid", "file_name", "table_name"), "st_oid").drop("st_oid")
+    return P.attach_table_ids(found, manifest).select("file_name", "table_name", "st_oid", "name", "max_length")
+
+
+@query(
+    "repeated_names",
+    """select p_brand as table_name, p_name as name, count(*) as frequency from part group by all having count(*) > 1""",
+)
+def repeated_names(spark, sf):
+    columns = given(spark, sf, "part").select(F.col("p_brand").alias("table_name"), F.col("p_name").alias("name"))
+    return P.repeated_names(columns)
+
+
+@query(
+    "suffix_repeats",
+    """select p_partkey as column_index, p_brand as table_name,
+              case when count(*) over (partition by p_brand, p_name) > 1
+                   then p_name || '_' || row_number() over (partition by p_brand, p_name order by p_partkey desc)
+                   else p_name end as name
+       from part""",
+)
+def suffix_repeats(spark, sf):
+    columns = given(spark, sf, "part").select(
+        F.col("p_brand").alias("table_name"), F.col("p_name").alias("name"), F.col("p_partkey").alias("column_index")
+    )
+    return P.suffix_repeats(columns, "column_index")
+
+
+@query(
+    "key_density",
+    " union all ".join(
+        f"""select '{t}' as table_name, cast(coalesce(max({k}), -1) as bigint) as max_key,
+            cast(coalesce(min({k}), -1) as bigint) as min_key, count(*) as source_count,
+            coalesce(max({k}), -1) <> -1 and coalesce(max({k}), -1) - coalesce(min({k}), -1) + 1 = count(*) as dense
+            from {t}"""
+        for t, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("labels", "doc_id"), ("events", "event_id"))
+    ),
+)
+def key_density(spark, sf):
+    keys = {"orders": "o_orderkey", "lineitem": "l_orderkey", "labels": "doc_id", "events": "event_id"}
+    return P.union_profiles(
+        [P.key_range(given(spark, sf, t), k).withColumn("table_name", F.lit(t)) for t, k in keys.items()]
+    )
+
+
+@query(
+    "typed_rows",
+    """select cast(o_orderkey as varchar) as O_ORDERKEY, cast(o_custkey as varchar) as O_CUSTKEY,
+              o_orderstatus as O_ORDERSTATUS, cast(cast(o_totalprice as decimal(18,2)) as varchar) as O_TOTALPRICE,
+              strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as O_ORDERDATE, o_orderpriority as O_ORDERPRIORITY
+       from orders""",
+)
+def typed_rows(spark, sf):
+    orders = given(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
+    return typed_as_source(orders)
+
+
+@query(
+    "format_values",
+    """select cast(event_id as varchar) as event_id,
+              regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') as ts,
+              if(user_id % 3 = 0, '', if(user_id % 2 = 0, 'TRUE', 'FALSE')) as flag,
+              coalesce(cast(if(user_id % 5 = 0, null, cast(value as decimal(12,2))) as varchar), '') as amount,
+              strftime(ts, '%Y-%m-%d') as day, props as payload,
+              regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') || 'Z' as instant
+       from events""",
+)
+def format_values(spark, sf):
+    typed = given(spark, sf, "events").select(
+        "event_id",
+        "ts",
+        F.expr("if(user_id % 3 = 0, null, user_id % 2 = 0)").alias("flag"),
+        F.expr("if(user_id % 5 = 0, null, cast(value as decimal(12,2)))").alias("amount"),
+        F.to_date("ts").alias("day"),
+        F.encode("props", "UTF-8").alias("payload"),
+        F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp").alias("instant"),
+    )
+    return table_as_text(typed)

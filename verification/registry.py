@@ -1,0 +1,26 @@
+"""Registry of verification queries and their reference SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, with SQL that gives the same rows when SQL can express it."""
+
+    def register(function: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        QUERIES[name] = function
+        if oracle:
+            ORACLES[name] = oracle
+        return function
+
+    return register
