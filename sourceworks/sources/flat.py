@@ -89,12 +89,16 @@ def read_flat(
     if not keep_unreadable:
         return reader.schema(T.StructType(fields)).csv(path)
     fields.append(T.StructField(UNREADABLE, T.StringType()))
-    return (
+    checked = (
         reader.schema(T.StructType(fields))
         .option("columnNameOfCorruptRecord", UNREADABLE)
         .option("columnPruning", False)
         .csv(path)
     )
+    # Spark refuses to read the record text alone, so it is tied to a column of the file.
+    tied = F.when(F.col(f"`{names[0]}`") == _NO_NULL_MARKER, "")
+    text = F.when(F.col(UNREADABLE).isNotNull(), F.concat_ws("", UNREADABLE, tied))
+    return checked.withColumn(UNREADABLE, text)
 
 
 def split_unreadable(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

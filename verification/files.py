@@ -1,0 +1,138 @@
+"""Files in foreign formats, written by Spark from the given tables for the readers to read.
+
+A file holds a range of key values, so its size has a bound whatever the data.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sourceworks.session import ship_package
+from sourceworks.sources.files import write_file
+
+_RESULT = "path string, rows long"
+WORKBOOK_ROWS = 5_000
+
+
+def _per_range(df: DataFrame, key: str, span: int, build, name: str, folder: str) -> list[str]:
+    """Write one file per key range with ``build(rows, number) -> bytes``; returns the folder."""
+    ship_package(df.sparkSession)
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        number = int(rows["_file"].iloc[0])
+        ordered = rows.sort_values(key).drop(columns="_file")
+        path = f"{folder}/{name.format(number)}"
+        write_file(path, [build(ordered, number)])
+        return pd.DataFrame({"path": [path], "rows": [len(ordered)]})
+
+    ranged = df.withColumn("_file", F.expr(f"`{key}` div {span}"))
+    written = ranged.groupBy("_file").applyInPandas(write, _RESULT)
+    written.write.mode("overwrite").parquet(f"{folder}_written")
+    return folder
+
+
+def write_workbooks(orders: DataFrame, folder: str) -> str:
+    """Workbooks with the sheets ``Orders`` (all cell kinds) and ``Keys``."""
+
+    def build(rows: pd.DataFrame, number: int) -> bytes:
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        strings: dict[str, int] = {}
+
+        def shared(text):
+            return f'<c t="s"><v>{strings.setdefault(text, len(strings))}</v></c>'
+
+        def inline(text):
+            return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+
+        lines = ["<row>" + "".join(map(shared, ["Order #", "Status", "Price", "Order  Date", "Urgent", "Note"])) + "</row>"]
+        keys = ["<row>" + inline("key") + "</row>"]
+        for r in rows.itertuples(index=False):
+            note = "" if r.note is None else f'<c r="F{len(lines) + 1}" t="str"><v>{escape(r.note)}</v></c>'
+            lines.append(
+                f"<row><c><v>{r.o_orderkey}</v></c>{shared(r.o_orderstatus)}<c><v>{r.price}</v></c>"
+                f'<c s="1"><v>{r.serial}</v></c><c t="b"><v>{int(r.urgent)}</v></c>{note}</row>'
+            )
+            keys.append(f"<row><c><v>{r.o_orderkey}.0</v></c></row>")
+        main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        package = "http://schemas.openxmlformats.org/package/2006/relationships"
+        parts = {
+            "xl/workbook.xml": f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="Orders" sheetId="1" r:id="rId1"/>'
+            f'<sheet name="Keys" sheetId="2" r:id="rId2"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}"><Relationship Id="rId1" '
+            f'Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
+            "xl/styles.xml": f'<styleSheet {main}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+            "xl/worksheets/sheet1.xml": f"<worksheet {main}><sheetData>{''.join(lines)}</sheetData></worksheet>",
+            "xl/worksheets/sheet2.xml": f"<worksheet {main}><sheetData>{''.join(keys)}</sheetData></worksheet>",
+            "xl/sharedStrings.xml": f"<sst {main}>" + "".join(f"<si><t>{escape(s)}</t></si>" for s in strings) + "</sst>",
+        }
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+            for name, text in parts.items():
+                book.writestr(name, text)
+        return out.getvalue()
+
+    rows = orders.select(
+        "o_orderkey",
+        "o_orderstatus",
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"),
+        F.datediff(F.to_date("o_orderdate"), F.lit("1899-12-30").cast("date")).alias("serial"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("  "), "o_orderpriority", F.lit(" & more "))).alias("note"),
+    )
+    return _per_range(rows, "o_orderkey", WORKBOOK_ROWS, build, "book{}.xlsx", folder)
+
+
+def write_dbf_files(orders: DataFrame, folder: str, span: int = 1_000_000) -> str:
+    """DBF files with the four common field types; every tenth record is marked as deleted."""
+
+    def build(rows: pd.DataFrame, number: int) -> bytes:
+        import struct
+
+        fields = [("ORDER KEY", "N", 12), ("STATUS", "C", 4), ("PRICE", "N", 12), ("PLACED", "D", 8), ("URGENT", "L", 1)]
+        width = 1 + sum(size for *_, size in fields)
+        head = struct.pack("<B3BIHH20x", 3, 24, 1, 1, len(rows), 33 + 32 * len(fields), width)
+        for name, letter, size in fields:
+            head += struct.pack("<11sc4xBB14x", name.encode(), letter.encode(), size, 2 if name == "PRICE" else 0)
+        body = [
+            f"{'*' if r.deleted else ' '}{r.o_orderkey:>12}{r.o_orderstatus:<4}{r.price:>12}{r.day:8}{'T' if r.urgent else '?'}"
+            for r in rows.itertuples(index=False)
+        ]
+        return head + b"\r" + "".join(body).encode("latin-1") + b"\x1a"
+
+    rows = orders.select(
+        "o_orderkey",
+        "o_orderstatus",
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"),
+        F.when(F.col("o_orderstatus") == "P", F.lit(" " * 8)).otherwise(F.date_format("o_orderdate", "yyyyMMdd")).alias("day"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
+        (F.col("o_orderkey") % 10 == 3).alias("deleted"),
+    )
+    return _per_range(rows, "o_orderkey", span, build, "orders{}.dbf", folder)
+
+
+def write_archives(customers: DataFrame, folder: str) -> str:
+    """Zip archives with two CSV entries for every 200 customers."""
+
+    def build(rows: pd.DataFrame, number: int) -> bytes:
+        import io
+        import zipfile
+
+        names = "c_custkey,c_name\n" + "".join(f"{r.c_custkey},{r.c_name}\n" for r in rows.itertuples(index=False))
+        segments = "c_custkey,c_mktsegment\n" + "".join(
+            f"{r.c_custkey},{r.c_mktsegment}\n" for r in rows.itertuples(index=False)
+        )
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr(f"names_{number}.csv", names)
+            archive.writestr(f"sub/segments_{number}.csv", segments)
+        return out.getvalue()
+
+    return _per_range(
+        customers.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", 200, build, "bundle{}.zip", folder
+    )

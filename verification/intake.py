@@ -1 +1,200 @@
-"""Queries."""
+"""Queries that write files from the given tables and read them back with the readers."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sourceworks.session import scratch_path
+from sourceworks.sources.archives import archive_entries, expand_archives
+from sourceworks.sources.dbf import read_dbf
+from sourceworks.sources.files import backup_files, backup_manifest, list_files
+from sourceworks.sources.flat import read_flat, split_unreadable, write_flat
+from sourceworks.sources.sheets import read_sheet, sheet_rows
+from sourceworks.sources.tables import write_text_table
+from verification.files import write_archives, write_dbf_files, write_workbooks
+from verification.inputs import given
+from verification.registry import query
+
+_TEXT_ORDERS = """select cast(o_orderkey as varchar) as ORDER_KEY_NUM, o_orderstatus as STATUS,
+    cast(cast(o_totalprice as decimal(18,2)) as varchar) as PRICE, strftime(o_orderdate, '%Y-%m-%d') as _1ST_DATE,
+    {note} as NOTE from orders"""
+
+
+def _order_file(spark, sf):
+    """Orders as a CSV file with headers that need repair."""
+    rows = given(spark, sf, "orders").select(
+        F.col("o_orderkey").alias(" Order  Key #"),
+        F.col("o_orderstatus").alias("Status."),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("1st date"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('5" pipe, '), "o_orderpriority")).alias("note"),
+    )
+    path = scratch_path(spark, "flat")
+    write_flat(rows, path)
+    return path
+
+
+@query(
+    "flat_rows",
+    _TEXT_ORDERS.format(note="""if(o_orderkey % 2 = 0, '5" pipe, ' || o_orderpriority, '')"""),
+)
+def flat_rows(spark, sf):
+    return read_flat(spark, _order_file(spark, sf))
+
+
+@query(
+    "flat_load",
+    _TEXT_ORDERS.format(note="""if(o_orderkey % 2 = 0, '5" pipe, ' || o_orderpriority, '')"""),
+)
+def flat_load(spark, sf):
+    """The CSV file loaded as a text table."""
+    target = scratch_path(spark, "table")
+    write_text_table(read_flat(spark, _order_file(spark, sf)), "sourceworks_flat_load", target)
+    return spark.table("sourceworks_flat_load")
+
+
+@query(
+    "flat_documents",
+    """select cast(doc_id as varchar) as DOC_ID, lang as LANG, length(text) as chars, md5(text) as digest from documents""",
+)
+def flat_documents(spark, sf):
+    """Whole documents, line ends and quotes included, through a qualified file."""
+    path = scratch_path(spark, "documents")
+    write_flat(given(spark, sf, "documents").select("doc_id", "lang", "text"), path)
+    loaded = read_flat(spark, path)
+    return loaded.select("DOC_ID", "LANG", F.length("TEXT").cast("bigint").alias("chars"), F.md5("TEXT").alias("digest"))
+
+
+@query(
+    "flat_unqualified",
+    """select cast(p_partkey as varchar) as P_PARTKEY, if(p_size % 2 = 0, p_size || '" ' || p_name, null) as NAME,
+              '"' || p_brand as BRAND from part""",
+)
+def flat_unqualified(spark, sf):
+    """A file in which quotes are ordinary characters; a bare empty field is null."""
+    name = F.when(F.col("p_size") % 2 == 0, F.concat("p_size", F.lit('" '), "p_name")).otherwise("")
+    line = F.concat_ws("|", "p_partkey", name, F.concat(F.lit('"'), "p_brand"))
+    path = scratch_path(spark, "unqualified")
+    given(spark, sf, "part").select(line.alias("p_partkey|name|brand")).write.csv(
+        path, header=True, sep="\u0001", quote="", escape=""
+    )
+    return read_flat(spark, path, delimiter="|", qualified=False)
+
+
+_WIDTHS = """case when o_orderkey % 10 = 0 then o_orderkey || ',' || o_orderstatus
+                  when o_orderkey % 10 = 1 then o_orderkey || ',' || o_orderstatus || ',' || o_orderpriority || ',more'
+                  else o_orderkey || ',' || o_orderstatus || ',' || o_orderpriority end"""
+
+
+@query(
+    "record_width",
+    f"""select if(o_orderkey % 10 > 1, cast(o_orderkey as varchar), null) as K, if(o_orderkey % 10 > 1, o_orderstatus, null) as S,
+               if(o_orderkey % 10 > 1, o_orderpriority, null) as P, if(o_orderkey % 10 > 1, null, {_WIDTHS}) as record
+        from orders""",
+)
+def record_width(spark, sf):
+    """Good records, and the text of records that are too short or too long."""
+    path = scratch_path(spark, "ragged")
+    lines = given(spark, sf, "orders").select(F.expr(_WIDTHS).alias("k,s,p"))
+    lines.write.csv(path, header=True, sep="\u0001", quote="", escape="")
+    good, bad = split_unreadable(read_flat(spark, path, keep_unreadable=True))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
+_SHEET = """select cast(o_orderkey as varchar) as ORDER_NUM, o_orderstatus as STATUS,
+    cast(if(o_totalprice = floor(o_totalprice), cast(cast(o_totalprice as bigint) as varchar),
+            rtrim(cast(cast(o_totalprice as decimal(18,2)) as varchar), '0')) as varchar) as PRICE,
+    strftime(o_orderdate, '%Y-%m-%d') as ORDER_DATE, if(o_orderpriority = '1-URGENT', 'TRUE', 'FALSE') as URGENT,
+    if(o_orderkey % 3 > 0, o_orderpriority || ' & more', '') as NOTE from orders"""
+
+
+@query("sheet_rows", f"select cells from (select [ORDER_NUM, STATUS, PRICE, ORDER_DATE, URGENT, NOTE] as c, array_to_string(c, '|') as cells from ({_SHEET}))")
+def sheet_rows_query(spark, sf):
+    """All workbooks at once: one task per sheet."""
+    folder = write_workbooks(given(spark, sf, "orders"), scratch_path(spark, "books"))
+    books = list_files(spark, folder, "*.xlsx").select("path", F.lit("Orders").alias("sheet"))
+    rows = sheet_rows(books).where("row_no > 1")
+    return rows.select(F.array_join("cells", "|").alias("cells"))
+
+
+@query("sheet_tables", "select cast(o_orderkey as varchar) as KEY, cast(o_orderkey // 5000 as bigint) as book from orders")
+def sheet_tables(spark, sf):
+    """Each workbook read as a table of its own; the table has one entry per file."""
+    folder = write_workbooks(given(spark, sf, "orders"), scratch_path(spark, "books"))
+    paths = list_files(spark, folder, "*.xlsx").select("path").toLocalIterator()
+    tables = [
+        read_sheet(spark, row.path, "Keys").withColumn("book", F.regexp_extract(F.lit(row.path), r"book(\d+)\.", 1).cast("bigint"))
+        for row in paths
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
+@query(
+    "dbf_rows",
+    """select cast(o_orderkey as varchar) as ORDER_KEY, o_orderstatus as STATUS, cast(cast(o_totalprice as decimal(18,2)) as varchar) as PRICE,
+              if(o_orderstatus = 'P', '', strftime(o_orderdate, '%Y-%m-%dT00:00:00Z')) as PLACED,
+              if(o_orderpriority = '1-URGENT', 'TRUE', '') as URGENT
+       from orders where o_orderkey % 10 <> 3""",
+)
+def dbf_rows(spark, sf):
+    """DBF files read in byte ranges; deleted records are left out."""
+    folder = write_dbf_files(given(spark, sf, "orders"), scratch_path(spark, "dbf"))
+    paths = list_files(spark, folder, "*.dbf").select("path").toLocalIterator()
+    return reduce(DataFrame.unionByName, [read_dbf(spark, row.path, range_bytes=64 * 1024) for row in paths])
+
+
+_ENTRIES = """select * from (
+    select c_custkey // 200 as n, 'names_' || n || '.csv' as entry,
+           'c_custkey,c_name' || chr(10) || string_agg(c_custkey || ',' || c_name || chr(10), '' order by c_custkey) as content
+    from customer group by n
+    union all select c_custkey // 200 as n, 'sub/segments_' || n || '.csv',
+           'c_custkey,c_mktsegment' || chr(10) || string_agg(c_custkey || ',' || c_mktsegment || chr(10), '' order by c_custkey)
+    from customer group by n)"""
+
+
+def _archives(spark, sf):
+    folder = write_archives(given(spark, sf, "customer"), scratch_path(spark, "zip"))
+    return list_files(spark, folder, "*.zip")
+
+
+def _expanded(spark, sf):
+    target = scratch_path(spark, "expanded")
+    written = expand_archives(_archives(spark, sf), target)
+    written.write.parquet(f"{target}_written")
+    return target
+
+
+@query("archive_entries", f"select 'bundle' || n || '.zip' as archive, entry, length(content) as length from ({_ENTRIES})")
+def archive_entries_query(spark, sf):
+    listed = archive_entries(_archives(spark, sf))
+    return listed.select(F.substring_index("path", "/", -1).alias("archive"), "entry", "length")
+
+
+@query("archive_rows", "select cast(c_custkey as varchar) as C_CUSTKEY, c_name as C_NAME from customer")
+def archive_rows(spark, sf):
+    """Entries expanded to files, then read as flat files."""
+    return read_flat(spark, f"{_expanded(spark, sf)}/names_*.csv")
+
+
+@query("folder_listing", f"select string_split(entry, '/')[-1] as file_name, 'Flat' as loader_type, length(content) as length from ({_ENTRIES})")
+def folder_listing(spark, sf):
+    return list_files(spark, _expanded(spark, sf)).select("file_name", "loader_type", "length")
+
+
+@query(
+    "backup_manifest",
+    f"select string_split(entry, '/')[-1] as file_name, length(content) as length, sha256(content) as checksum from ({_ENTRIES})",
+)
+def backup_manifest_query(spark, sf):
+    return backup_manifest(spark, _expanded(spark, sf))
+
+
+@query(
+    "backup_files",
+    f"select string_split(entry, '/')[-1] as file_name, length(content) as length, sha256(content) as checksum from ({_ENTRIES})",
+)
+def backup_files_query(spark, sf):
+    return backup_files(spark, _expanded(spark, sf), scratch_path(spark, "backup"))

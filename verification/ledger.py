@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from sourceworks.operators import changes as C
 from sourceworks.operators import merge as G
 from sourceworks.operators import runs as R
-from sourceworks.schemas import catalog_schema, task_definitions, workflow_operations
+from sourceworks.schemas import catalog_schema, task_definitions
 from sourceworks.sources.tables import append_seed, run_query
 from verification.inputs import derived, given, sql, with_tables
 from verification.registry import query
@@ -63,18 +63,17 @@ def role_filter(spark, sf):
     return some.unionByName(everything).unionByName(nobody)
 
 
+_OPERATIONS = """select concat('Operation ', c_custkey) as name, concat('/status/', c_custkey) as href,
+        lower(c_mktsegment) as role, c_custkey as workflow_order from {customer}"""
+
+
 @query(
     "user_operations",
-    """with seg as (select distinct c_mktsegment, c_custkey % 5 as k from customer)
-       select n, name, href from (select count(*) as n from seg where k = 0) x, (values
-       ('Data Loading', '/pipeline-status/load', 2), ('Load QA', '/pipeline-status?/qa', 4)) w(name, href, o)""",
+    f"""with w as ({_OPERATIONS.format(customer="customer")})
+        select name, href from w where role in ('building', 'household') order by workflow_order""",
 )
 def user_operations(spark, sf):
-    """Operations open to two roles, next to the number of market segments that ask for them."""
-    asked = sql(spark, sf, "select distinct c_mktsegment from {customer} where c_custkey % 5 = 0").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return R.user_operations(workflow_operations(spark), ["load", "qa"]).join(asked, F.lit(True))
+    return R.user_operations(sql(spark, sf, _OPERATIONS), ["building", "household"])
 
 
 @query(
@@ -346,7 +345,7 @@ def status_update(spark, sf):
 
 @query(
     "role_difference",
-    with_tables("users", "select user_oid, array_to_string(list_filter(roles, r -> r <> 'admin'), ',') as roles from users"),
+    with_tables("users", "select user_oid, array_to_string(list_filter(roles, lambda r: r <> 'admin'), ',') as roles from users"),
 )
 def role_difference(spark, sf):
     return derived(spark, sf, "users").select("user_oid", F.array_join(C.without_item(F.col("roles"), "admin"), ",").alias("roles"))
@@ -375,11 +374,11 @@ def parameter_query(spark, sf):
 
 @query(
     "seed_load",
-    """select o_orderkey as action_id, o_orderstatus as role, o_orderpriority as name from orders where o_orderkey < 1000
-       union all select 999 + row_number() over (order by c_name), c_mktsegment, c_name from customer""",
+    """select o_orderkey as action_id, o_orderstatus as role, o_orderpriority as name from orders
+       union all select (select max(o_orderkey) from orders) + row_number() over (order by c_name), c_mktsegment, c_name from customer""",
 )
 def seed_load(spark, sf):
-    target = given(spark, sf, "orders").where("o_orderkey < 1000").selectExpr(
+    target = given(spark, sf, "orders").selectExpr(
         "o_orderkey as action_id", "'x' as state", "o_orderstatus as role", "o_orderpriority as name",
         "'d' as description", "'h' as href",
     )
@@ -388,9 +387,6 @@ def seed_load(spark, sf):
     return append_seed(target, seed, "action_id", ["name"]).select("action_id", "role", "name")
 
 
-_YEAR = "extract(year from o_orderdate)"
-
-
 @query(
     "exclusive_merge",
     "select o_orderkey, o_custkey from orders where year(o_orderdate) in (1995, 1996)",
@@ -414,12 +410,12 @@ def intersect_merge(spark, sf):
 
 @query(
     "match_counts",
-    """with p as (select o_custkey as k from orders where o_orderstatus = 'F' and o_custkey % 3 <> 0),
+    """with p as (select o_custkey as k from orders where o_orderstatus = 'F' and o_totalprice > 400000),
             s as (select user_id as k from events)
        select (select count(*) from p) as production_count, (select count(*) from s) as staging_count,
               (select count(*) from s where k in (select k from p)) as match_count,
               (select count(*) from s where k not in (select k from p)) as new_count""",
 )
 def match_counts(spark, sf):
-    production = given(spark, sf, "orders").where("o_orderstatus = 'F' and o_custkey % 3 <> 0").select(F.col("o_custkey").alias("k"))
+    production = given(spark, sf, "orders").where("o_orderstatus = 'F' and o_totalprice > 400000").select(F.col("o_custkey").alias("k"))
     return G.match_counts(production, given(spark, sf, "events").select(F.col("user_id").alias("k")), ["k"])

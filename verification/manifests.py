@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sourceworks.functions.names import url_file_name
 from sourceworks.operators import manifest as M
 from sourceworks.operators.profile import repeated_names
-from sourceworks.operators.runs import user_has_run
+from sourceworks.operators.runs import previous_runs, user_has_run
 from sourceworks.schemas import file_types
 from verification.inputs import derived, given, sql, with_tables
 from verification.registry import query
@@ -152,7 +153,7 @@ def file_diff(spark, sf):
         f"""{_COMPARED}, per_run as (
                 select run_id, count(*) filter (where collect_type in ('Download', 'REST')) as d,
                        count(*) filter (where collect_type not in ('Download', 'REST')) as c,
-                       run_id in (select run_id from found where run_id % 2 = 0) as again
+                       run_id in (select run_id from found where file_name like '%.mdb') as again
                 from compared where status = 'missing' group by run_id),
             steps as (
                 select run_id, 1 as k, cast(null as bigint) as task_id, 'rescan_failed' as outcome, d + c as files from per_run where again
@@ -164,7 +165,7 @@ def file_diff(spark, sf):
     ),
 )
 def file_followups(spark, sf):
-    scanned = sql(spark, sf, _FOUND).select("run_id").where("run_id % 2 = 0")
+    scanned = sql(spark, sf, _FOUND).where("file_name like '%.mdb'").select("run_id")
     return M.follow_up_tasks(_compared(spark, sf), scanned)
 
 
@@ -202,10 +203,7 @@ def fetch_list(spark, sf):
     f"select page_id, url, {_ROUTE} as route, string_split(url, '/')[-1] as target from pages",
 )
 def fetch_routes(spark, sf):
-    pages = given(spark, sf, "pages")
-    from sourceworks.functions.names import url_file_name
-
-    return pages.select(
+    return given(spark, sf, "pages").select(
         "page_id", "url", M.fetch_route(F.col("url")).alias("route"), url_file_name(F.col("url")).alias("target")
     )
 
@@ -262,7 +260,7 @@ _CARRIED = ", ".join(M.CARRIED)
     with_tables(
         "manifest",
         f"""prev as (select run_id, lag(run_id) over (partition by run_id % 25 order by run_id) as previous_run_id
-                     from (select distinct run_id from manifest) where run_id % 2 = 0 or run_id % 5 = 0)
+                     from (select distinct run_id from manifest))
             select st_oid, run_id, analyze_table, load, record_count, {_CARRIED} from manifest
             where run_id not in (select run_id from prev where previous_run_id is not null)
             union all
@@ -271,15 +269,8 @@ _CARRIED = ", ".join(M.CARRIED)
     ),
 )
 def carry_forward(spark, sf):
-    from sourceworks.operators.runs import previous_runs
-
     manifest = derived(spark, sf, "manifest")
-    runs = (
-        manifest.select("run_id")
-        .distinct()
-        .where("run_id % 2 = 0 or run_id % 5 = 0")
-        .withColumn("ds_id", F.col("run_id") % 25)
-    )
+    runs = manifest.select("run_id").distinct().withColumn("ds_id", F.col("run_id") % 25)
     carried = M.carry_forward(manifest, previous_runs(runs).select("run_id", "previous_run_id"))
     return carried.select("st_oid", "run_id", "analyze_table", "load", "record_count", *M.CARRIED)
 

@@ -1 +1,130 @@
-"""Queries."""
+"""Queries over feature pages, service descriptions and fetch plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sourceworks.plans import fetch
+from sourceworks.sources import features as S
+from verification.inputs import given, sql
+from verification.registry import query
+
+# Pages of up to 500 features; x is a whole number so that its text is the same everywhere.
+_PAGES = """select concat('page', event_id div 500) as path, to_json(named_struct('features', collect_list(named_struct(
+        'attributes', named_struct('OID', event_id, 'KIND', event_type, 'PROPS', props, 'NONE', cast(null as string), 'X', 'attribute'),
+        'geometry', {geometry})))) as body
+    from {events} group by event_id div 500"""
+
+
+def _pages(spark, sf, geometry):
+    return sql(spark, sf, _PAGES.replace("{geometry}", geometry))
+
+
+@query(
+    "feature_points",
+    """select cast(event_id as varchar) as OID, event_type as KIND, props as PROPS, cast(null as varchar) as NONE,
+              if(event_id % 4 = 0, 'attribute', cast(user_id as varchar)) as X,
+              if(event_id % 4 = 0, null, cast(user_id * 2 as varchar)) as Y from events""",
+)
+def feature_points(spark, sf):
+    pages = _pages(spark, sf, "if(event_id % 4 = 0, null, named_struct('x', user_id, 'y', user_id * 2))")
+    return S.feature_rows(pages, ["OID", "KIND", "PROPS", "NONE", "X", "Y"], S.POINT)
+
+
+@query(
+    "feature_multipoints",
+    """select cast(event_id as varchar) as OID, if(event_id % 4 = 0, null, '[[' || user_id || ',1],[2,' || event_id || ']]') as POINTS from events""",
+)
+def feature_multipoints(spark, sf):
+    pages = _pages(spark, sf, "if(event_id % 4 = 0, null, named_struct('points', array(array(user_id, 1), array(2, event_id))))")
+    return S.feature_rows(pages, ["OID", "POINTS"], S.MULTIPOINT)
+
+
+@query(
+    "feature_polygons",
+    """select cast(event_id as varchar) as OID, '[[[' || user_id || ',1],[2,' || event_id || ']]]' as RINGS, event_type as KIND from events""",
+)
+def feature_polygons(spark, sf):
+    pages = _pages(spark, sf, "named_struct('rings', array(array(array(user_id, 1), array(2, event_id))))")
+    return S.feature_rows(pages, ["OID", "KIND", "RINGS"], S.POLYGON)
+
+
+@query(
+    "page_outcomes",
+    """select event_id, case event_type when 'error' then 'retry' when 'view' then 'fatal' else 'ok' end as outcome from events""",
+)
+def page_outcomes(spark, sf):
+    pages = given(spark, sf, "events").select(
+        "event_id",
+        F.when(F.col("event_type") == "error", F.concat(F.lit('{"error":{"code":'), "event_id", F.lit("}}")))
+        .when(F.col("event_type") == "view", F.lit('{"count":3}'))
+        .otherwise(F.lit('{"features":[]}'))
+        .alias("body"),
+    )
+    return S.checked_pages(pages).select("event_id", "outcome")
+
+
+# Services: every customer, with all combinations of flags and geometry types.
+_DESCRIPTIONS = """select concat('https://host/s/', c_custkey) as url, if(c_custkey % 9 = 0, null, c_custkey * 3) as count,
+    to_json(named_struct('type', if(c_custkey % 2 = 0, 'TABLE', 'Feature Layer'), 'name', c_name,
+        'maxRecordCount', if(c_custkey % 7 = 0, null, c_custkey % 2000 + 1),
+        'supportsPagination', c_custkey % 3 = 0, 'supportsStatistics', true,
+        'advancedQueryCapabilities', if(c_custkey % 2 = 0, named_struct('supportsPagination', c_custkey % 4 = 0), null),
+        'geometryType', element_at(array('esriGeometryPoint', 'esriGeometryMultipoint', 'esriGeometryPolygon', 'esriGeometryPolyline'), cast(c_custkey % 4 + 1 as int)),
+        'fields', array(named_struct('name', concat('ID', c_nationkey), 'type', if(c_custkey % 5 = 0, 'esriFieldTypeInteger', 'esriFieldTypeOID')),
+            named_struct('name', 'Shape', 'type', 'x'), named_struct('name', 'G', 'type', 'esriFieldTypeGeometry'),
+            named_struct('name', c_mktsegment, 'type', 'esriFieldTypeString')))) as body from {customer}"""
+
+
+@query(
+    "service_metadata",
+    """select 'https://host/s/' || c_custkey as url, c_name as name, if(c_custkey % 9 = 0, -1, c_custkey * 3) as source_count,
+              if(c_custkey % 2 = 0, 'TABLE', 'Feature Layer') as server_type,
+              cast(if(c_custkey % 7 = 0, -1, c_custkey % 2000 + 1) as int) as max_record_count,
+              if(c_custkey % 2 = 0, c_custkey % 4 = 0, c_custkey % 3 = 0) as pagination, c_custkey % 2 <> 0 as stats,
+              ['esriGeometryPoint', 'esriGeometryMultipoint', 'esriGeometryPolygon', 'esriGeometryPolyline'][c_custkey % 4 + 1] as geometry_type,
+              'ID' || c_nationkey || ',' || c_mktsegment || [',X,Y', ',POINTS', ',RINGS', ''][c_custkey % 4 + 1] as fields,
+              if(c_custkey % 5 = 0, '', 'ID' || c_nationkey) as oid_field from customer""",
+)
+def service_metadata(spark, sf):
+    described = S.service_metadata(sql(spark, sf, _DESCRIPTIONS))
+    return described.withColumn("fields", F.array_join("fields", ","))
+
+
+_SERVICES = """select concat('https://host/s/', c_custkey) as url, c_custkey % 97 as source_count,
+    cast(case c_custkey % 5 when 0 then -1 when 1 then 20000 else c_custkey % 13 + 1 end as int) as max_record_count,
+    c_custkey % 2 = 0 as pagination, if(c_custkey % 3 = 0, '', 'OID') as oid_field,
+    if(c_custkey % 11 = 0, -1, c_custkey) as min_key, if(c_custkey % 11 = 0, -1, c_custkey + c_custkey % 50) as max_key,
+    if(c_custkey % 4 = 0, 'TABLE', 'Layer') as server_type, 'esriGeometryPoint' as geometry_type from {customer}"""
+_SIZED = f"""s as (select *, least(max_record_count, 10000) as page from ({_SERVICES.format(customer="customer")}) where max_record_count > 0)"""
+_PAGED = "select s.*, r.i * page as start from s, range(0, 100) r(i) where pagination and r.i * page < source_count"
+_RANGED = """select s.*, min_key + r.i * page as start from s, range(0, 100) r(i)
+             where not pagination and oid_field <> '' and max_key <> -1 and min_key + r.i * page <= max_key"""
+
+
+@query(
+    "page_plan",
+    f'with {_SIZED} select url, start as "offset", cast(page as bigint) as page_rows from ({_PAGED})',
+)
+def page_plan(spark, sf):
+    return fetch.page_plan(sql(spark, sf, _SERVICES))
+
+
+@query(
+    "range_plan",
+    f"with {_SIZED} select url, oid_field, start as low, start + page - 1 as high from ({_RANGED})",
+)
+def range_plan(spark, sf):
+    return fetch.range_plan(sql(spark, sf, _SERVICES))
+
+
+@query(
+    "fetch_queries",
+    f"""with {_SIZED}, geo as (select *, if(server_type = 'TABLE', '', '&geometryType=esriGeometryPoint&outSR=4269') || '&outFields=*&f=json' as tail from s)
+        select p.url, p.start, p.url || '/query?where=1+%3D+1&resultOffset=' || p.start || '&resultRecordCount=' || p.page || tail as query
+        from ({_PAGED}) p join geo on geo.url = p.url
+        union all select p.url, p.start, p.url || '/query?where=OID+>%3D+' || p.start || '+and+OID+<%3D+' || (p.start + p.page - 1) || tail
+        from ({_RANGED}) p join geo on geo.url = p.url""",
+)
+def fetch_queries(spark, sf):
+    return fetch.fetch_queries(sql(spark, sf, _SERVICES))
