@@ -36,8 +36,8 @@ def type_label(data_type: T.DataType) -> str:
 
 
 def _iso_local(stamp: Column) -> Column:
-    full = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.regexp_replace(full, r"\.?0+$", "")
+    # The cast already writes ISO fields without trailing zeros; only the separator differs.
+    return F.translate(stamp.cast("string"), " ", "T")
 
 
 def utc_wall_clock(stamp: Column) -> Column:
@@ -58,8 +58,6 @@ def as_text(value: Column, data_type: T.DataType) -> Column:
         text = F.concat(_iso_local(utc_wall_clock(value)), F.lit("Z"))
     elif isinstance(data_type, T.TimestampNTZType):
         text = _iso_local(value)
-    elif isinstance(data_type, T.DateType):
-        text = F.date_format(value, "yyyy-MM-dd")
     elif isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
         text = F.to_json(value)
     else:

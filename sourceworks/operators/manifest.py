@@ -70,10 +70,9 @@ def table_definitions(
     further parts, which concatenate to the definition.
     """
     key = ["st_oid", "table_name"]
-    profiled = columns.select("st_oid", "name", "column_index").join(
-        manifest.select("st_oid", "table_name"), "st_oid"
-    )
-    numbered = number_in_groups(profiled, key, "column_index", "_position", total="_columns")
+    numbered = number_in_groups(
+        columns.select("st_oid", "name", "column_index"), ["st_oid"], "column_index", "_position", total="_columns"
+    ).join(manifest.select(*key), "st_oid")
     item = F.struct("name", "_columns")
     lists = ordered_parts(numbered, key, "_position", item, "_items", part_size)
     last = (F.col("part") + 1) * part_size >= F.col("_items")[0]["_columns"]

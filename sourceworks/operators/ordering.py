@@ -18,24 +18,22 @@ SLICE_SPAN = 1_000_000
 PART_SIZE = 10_000
 
 
-def _join_on_group(left: DataFrame, right: DataFrame, group: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join where the group columns may be null and exist on both sides once."""
-    renamed = right
-    condition = None
-    for name in group:
-        renamed = renamed.withColumnRenamed(name, f"_r_{name}")
-        match = F.col(name).eqNullSafe(F.col(f"_r_{name}"))
-        condition = match if condition is None else condition & match
-    return left.join(renamed, condition, how).drop(*[f"_r_{name}" for name in group])
-
-
-def _slice_offsets(sizes: DataFrame, group: Sequence[str], total: str | None) -> DataFrame:
+def _keyed(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The group columns as one struct: it is never null itself, and null members are equal.
+
+    Window and join can thus use the same plain key, so the numbered rows are
+    shuffled once.
+    """
+    return df.withColumn("_group", F.struct(*group) if group else F.struct(F.lit(0).alias("all")))
+
+
+def _offsets(sizes: DataFrame, total: str | None) -> list[Column]:
     """Rows before each slice of a group, and rows of the group, from slice sizes."""
-    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    columns = [*group, "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")]
+    earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    columns = [F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")]
     if total:
-        columns.append(F.sum("_size").over(Window.partitionBy(*group)).alias(total))
-    return sizes.select(*columns)
+        columns.append(F.sum("_size").over(Window.partitionBy("_group")).alias(total))
+    return columns
 
 
 def number_in_groups(
@@ -49,14 +47,17 @@ def number_in_groups(
     """Row number per group in order of ``key``, an integer that is unique in its group.
 
     A slice covers ``span`` key values, so it never has more than ``span`` rows.
-    ``total`` names an optional column with the size of the group.
+    ``total`` names an optional column with the size of the group. ``df`` is read
+    twice, the second time only its group and key columns.
     """
-    sliced = df.withColumn("_slice", F.expr(f"`{key}` div {span}"))
-    within = Window.partitionBy(*group, "_slice").orderBy(key)
+    sliced = _keyed(df, group).withColumn("_slice", F.expr(f"`{key}` div {span}"))
+    within = Window.partitionBy("_group", "_slice").orderBy(key)
     numbered = sliced.withColumn("_n", F.row_number().over(within).cast("bigint"))
-    sizes = sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_size"))
-    joined = _join_on_group(numbered, _slice_offsets(sizes, group, total), [*group, "_slice"])
-    return joined.withColumn(out, F.col("_n") + F.col("_before")).drop("_n", "_before", "_slice")
+    sizes = sliced.groupBy("_group", "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select("_group", "_slice", *_offsets(sizes, total))
+    joined = numbered.join(offsets, ["_group", "_slice"])
+    extra = [total] if total else []
+    return joined.select(*df.columns, *extra, (F.col("_n") + F.col("_before")).alias(out))
 
 
 def number_by_sort(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
@@ -71,34 +72,27 @@ def number_by_sort(df: DataFrame, group: Sequence[str], order: Sequence[str], ou
         .sortWithinPartitions(*group, *order)
         .withColumn("_seq", F.monotonically_increasing_id())
     )
-    placed = cut_lineage(ranged).withColumn("_slice", F.shiftright("_seq", 33))
-    sizes = placed.groupBy(*group, "_slice").agg(
+    placed = _keyed(cut_lineage(ranged), group).withColumn("_slice", F.shiftright("_seq", 33))
+    sizes = placed.groupBy("_group", "_slice").agg(
         F.count(F.lit(1)).alias("_size"), F.min("_seq").alias("_first")
     )
-    offsets = _join_on_group(
-        _slice_offsets(sizes, group, None), sizes.drop("_size"), [*group, "_slice"]
-    )
-    joined = _join_on_group(placed, offsets, [*group, "_slice"])
-    return joined.withColumn(out, F.col("_seq") - F.col("_first") + F.col("_before") + 1).drop(
-        "_seq", "_first", "_before", "_slice"
-    )
+    offsets = sizes.select("_group", "_slice", "_first", *_offsets(sizes, None))
+    number = F.col("_seq") - F.col("_first") + F.col("_before") + 1
+    return placed.join(offsets, ["_group", "_slice"]).select(*df.columns, number.alias(out))
 
 
 def previous_in_groups(
     df: DataFrame, group: Sequence[str], key: str, out: str, span: int = SLICE_SPAN
 ) -> DataFrame:
     """The preceding ``key`` (a unique integer) of the same group, null for the first."""
-    sliced = df.withColumn("_slice", F.expr(f"`{key}` div {span}"))
-    within = Window.partitionBy(*group, "_slice").orderBy(key)
+    sliced = _keyed(df, group).withColumn("_slice", F.expr(f"`{key}` div {span}"))
+    within = Window.partitionBy("_group", "_slice").orderBy(key)
     lagged = sliced.withColumn("_lag", F.lag(key).over(within))
-    ends = sliced.groupBy(*group, "_slice").agg(F.max(key).alias("_end"))
-    carried = ends.select(
-        *group,
-        "_slice",
-        F.lag("_end").over(Window.partitionBy(*group).orderBy("_slice")).alias("_carried"),
-    )
-    joined = _join_on_group(lagged, carried, [*group, "_slice"])
-    return joined.withColumn(out, F.coalesce("_lag", "_carried")).drop("_lag", "_carried", "_slice")
+    ends = sliced.groupBy("_group", "_slice").agg(F.max(key).alias("_end"))
+    across = Window.partitionBy("_group").orderBy("_slice")
+    carried = ends.select("_group", "_slice", F.lag("_end").over(across).alias("_carried"))
+    joined = lagged.join(carried, ["_group", "_slice"])
+    return joined.select(*df.columns, F.coalesce("_lag", "_carried").alias(out))
 
 
 def ordered_parts(

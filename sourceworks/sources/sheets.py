@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +18,6 @@ from sourceworks.functions.values import SOURCE_TYPE, UNTYPED
 from sourceworks.session import ship_package
 from sourceworks.sources.files import open_file
 
-CELL = "struct<kind: string, raw: string, is_date: boolean, epoch_1904: boolean>"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _BATCH = 2_000
@@ -75,8 +74,12 @@ class Workbook:
         ids = [int(x.get("numFmtId", 0)) for x in formats] if formats is not None else []
         return [_is_date_code(codes[i]) if i in codes else i in _DATE_FORMATS for i in ids]
 
-    def rows(self, sheet: str) -> Iterator[tuple[int, dict[int, dict]]]:
-        """(row number, column index -> cell) of the rows a sheet holds."""
+    def rows(self, sheet: str) -> Iterator[tuple[int, dict[int, tuple[str, str | None]]]]:
+        """(row number, column index -> (kind, raw text)) of the rows a sheet holds.
+
+        Kinds are those of the format (n, b, e, str), ``date`` and ``date1904``
+        for numbers shown as dates, and ``blank``.
+        """
         import xml.etree.ElementTree as ET
 
         if sheet not in self.sheets:
@@ -88,25 +91,26 @@ class Workbook:
                 if node.tag != f"{_MAIN}row":
                     continue
                 number = int(node.get("r", number + 1))
-                cells: dict[int, dict] = {}
+                cells: dict[int, tuple[str, str | None]] = {}
                 for cell in node.findall(f"{_MAIN}c"):
                     at = _column_index(cell.get("r")) if cell.get("r") else len(cells)
                     cells[at] = self._cell(cell, strings, dates)
                 yield number, cells
                 node.clear()
 
-    def _cell(self, cell, strings: list[str], dates: list[bool]) -> dict:
+    def _cell(self, cell, strings: list[str], dates: list[bool]) -> tuple[str, str | None]:
         kind, style = cell.get("t", "n"), int(cell.get("s", 0))
-        value = cell.find(f"{_MAIN}v")
-        raw = value.text if value is not None else None
-        if kind == "s" and raw is not None:
-            raw, kind = strings[int(raw)], "str"
-        elif kind == "inlineStr":
+        if kind == "inlineStr":
             inline = cell.find(f"{_MAIN}is")
-            raw, kind = (_text_of(inline) if inline is not None else ""), "str"
-        is_date = kind == "n" and style < len(dates) and dates[style]
-        return {"kind": kind if raw is not None else "blank", "raw": raw, "is_date": is_date,
-                "epoch_1904": self.epoch_1904}
+            return "str", _text_of(inline) if inline is not None else ""
+        value = cell.find(f"{_MAIN}v")
+        if value is None or value.text is None:
+            return "blank", None
+        if kind == "s":
+            return "str", strings[int(value.text)]
+        if kind == "n" and style < len(dates) and dates[style]:
+            return ("date1904" if self.epoch_1904 else "date"), value.text
+        return kind, value.text
 
 
 def _column_index(reference: str) -> int:
@@ -118,25 +122,27 @@ def _column_index(reference: str) -> int:
     return index - 1
 
 
-def cell_text(cell: Column) -> Column:
+def cell_text(kind: Column, raw: Column) -> Column:
     """Text of a cell: ISO date, whole number without fraction, TRUE/FALSE, trimmed."""
-    number = cell["raw"].try_cast("double")
+    number = raw.try_cast("double")
     days = F.floor(number).cast("int")
-    day_one = F.when(cell["epoch_1904"], F.lit("1904-01-01")).otherwise(
-        F.when(days < 61, F.lit("1899-12-31")).otherwise(F.lit("1899-12-30"))
+    day_one = (
+        F.when(kind == "date1904", F.lit("1904-01-01"))
+        .when(days < 61, F.lit("1899-12-31"))
+        .otherwise(F.lit("1899-12-30"))
     )
-    date = F.date_format(F.date_add(day_one.cast("date"), days), "yyyy-MM-dd")
-    whole = (F.floor(number) == number) & (F.abs(number) < 9.0e18)
+    plain = F.when(
+        (F.floor(number) == number) & (F.abs(number) < 9.0e18), number.try_cast("bigint").cast("string")
+    ).otherwise(number.cast("string"))
     text = (
-        F.when(cell["kind"] == "blank", "")
-        .when(cell["kind"] == "b", F.when(cell["raw"].isin("1", "true"), "TRUE").otherwise("FALSE"))
+        F.when(kind == "str", raw)
+        .when(kind == "n", plain)
         .when(
-            cell["kind"] == "n",
-            F.when(cell["is_date"] & (number >= 0), date)
-            .when(whole, number.try_cast("bigint").cast("string"))
-            .otherwise(number.cast("string")),
+            kind.startswith("date"),
+            F.when(number >= 0, F.date_add(day_one.cast("date"), days).cast("string")).otherwise(plain),
         )
-        .otherwise(cell["raw"])
+        .when(kind == "b", F.when(raw.isin("1", "true"), "TRUE").otherwise("FALSE"))
+        .when(kind != "blank", raw)
     )
     return F.coalesce(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(""))
 
@@ -148,36 +154,44 @@ def sheet_rows(sheets: DataFrame) -> DataFrame:
     sheet; missing cells are blank. The header is the row with the least number.
     """
     ship_package(sheets.sparkSession)
+    texts = pa.list_(pa.string())
+    shape = pa.schema(
+        [("path", pa.string()), ("sheet", pa.string()), ("row_no", pa.int32()), ("kinds", texts), ("raws", texts)]
+    )
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, sheet in zip(batch["path"], batch["sheet"], strict=True):
+            for path, sheet in zip(batch["path"].to_pylist(), batch["sheet"].to_pylist(), strict=True):
                 with open_file(path) as stream:
-                    out, width = [], None
+                    numbers, kinds, raws, width = [], [], [], None
                     for number, cells in Workbook(stream).rows(sheet):
                         width = len(cells) if width is None else width
-                        out.append((path, sheet, number, [cells.get(i) for i in range(width)]))
-                        if len(out) == _BATCH:
-                            yield pd.DataFrame(out, columns=["path", "sheet", "row_no", "cells"])
-                            out = []
-                    yield pd.DataFrame(out, columns=["path", "sheet", "row_no", "cells"])
+                        row = [cells.get(i, ("blank", None)) for i in range(width)]
+                        numbers.append(number)
+                        kinds.append([kind for kind, _ in row])
+                        raws.append([raw for _, raw in row])
+                        if len(numbers) == _BATCH:
+                            yield block(path, sheet, numbers, kinds, raws)
+                            numbers, kinds, raws = [], [], []
+                    yield block(path, sheet, numbers, kinds, raws)
+
+    def block(path, sheet, numbers, kinds, raws) -> pa.RecordBatch:
+        columns = [[path] * len(numbers), [sheet] * len(numbers), numbers, kinds, raws]
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
 
     spread = sheets.select("path", "sheet").repartition("path", "sheet")
-    decoded = spread.mapInPandas(decode, f"path string, sheet string, row_no int, cells array<{CELL}>")
-    blank = F.struct(
-        F.lit("blank").alias("kind"),
-        F.lit(None).cast("string").alias("raw"),
-        F.lit(False).alias("is_date"),
-        F.lit(False).alias("epoch_1904"),
+    decoded = spread.mapInArrow(
+        decode, "path string, sheet string, row_no int, kinds array<string>, raws array<string>"
     )
-    return decoded.withColumn("cells", F.transform("cells", lambda c: cell_text(F.coalesce(c, blank))))
+    texts = F.zip_with("kinds", "raws", cell_text)
+    return decoded.select("path", "sheet", "row_no", texts.alias("cells"))
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     """S3: one sheet as text columns named by its first row."""
     with open_file(path) as stream:
         number, cells = next(Workbook(stream).rows(sheet), (0, {}))
-    names = table_header([cells[i]["raw"] if i in cells else None for i in range(len(cells))])
+    names = table_header([cells.get(i, ("blank", None))[1] for i in range(len(cells))])
     rows = sheet_rows(spark.createDataFrame([(path, sheet)], "path string, sheet string"))
     return rows.where(F.col("row_no") > number).select(
         *[F.col("cells")[i].alias(name, metadata={SOURCE_TYPE: UNTYPED}) for i, name in enumerate(names)]
