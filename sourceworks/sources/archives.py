@@ -23,7 +23,8 @@ def archive_entries(archives: DataFrame) -> DataFrame:
             for path in batch["path"]:
                 with open_file(path) as stream, zipfile.ZipFile(stream) as archive:
                     rows = [(path, e.filename, e.file_size) for e in archive.infolist() if not e.is_dir()]
-                yield pd.DataFrame(rows, columns=["path", "entry", "length"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=["path", "entry", "length"])
 
     spread = archives.select("path").repartition("path")
     return spread.mapInPandas(listing, "path string, entry string, length long")
@@ -47,7 +48,8 @@ def expand_archives(archives: DataFrame, target: str) -> DataFrame:
                 with open_file(path) as stream, zipfile.ZipFile(stream) as archive, archive.open(entry) as source:
                     length = write_file(f"{target}/{entry}", iter(lambda s=source: s.read(_CHUNK), b""))
                 rows.append((path, entry, f"{target}/{entry}", length))
-            yield pd.DataFrame(rows, columns=["path", "entry", "file", "length"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "entry", "file", "length"])
 
     entries = archive_entries(archives).select("path", "entry").repartition("path", "entry")
     return entries.mapInPandas(expand, "path string, entry string, file string, length long")

@@ -6,7 +6,8 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def field_text(letter: str, raw: Column) -> Column:
     elif letter in "NF":
         plain = F.regexp_replace(trimmed, r"^\+", "")
         plain = F.regexp_replace(plain, r"^(-?)0+(?=\d)", "$1")
-        plain = F.regexp_replace(plain, r"^(-?)\.", "${1}0.")
+        plain = F.regexp_replace(plain, r"(?<!\d)(?=\.)", "0")
         text = F.when(trimmed.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain)
     elif letter == "D":
         day = F.try_to_date(trimmed, "yyyyMMdd")
@@ -79,28 +80,30 @@ def read_dbf(spark: SparkSession, path: str, encoding: str = "latin-1", range_by
     width, start, total = layout.record_bytes, layout.start, layout.records
     per_range = max(1, range_bytes // max(1, width))
     slices = [(offset, size) for _, _, offset, size in layout.fields]
+    shape = pa.schema([(f"_f{i}", pa.string()) for i in range(len(slices))])
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with open_file(path) as stream:
             for batch in batches:
-                for first in batch["id"]:
-                    count = min(per_range, total - first)
+                for first in batch["id"].to_pylist():
                     stream.seek(start + first * width)
-                    block = stream.read(count * width)
-                    rows = []
-                    for at in range(0, len(block) - width + 1, width):
-                        record = block[at : at + width]
-                        if record[:1] != b"*":
-                            rows.append([record[o : o + n].decode(encoding) for o, n in slices])
-                    yield pd.DataFrame({"raw": rows})
+                    block = stream.read(min(per_range, total - first) * width)
+                    whole = len(block) // width
+                    records = np.frombuffer(block, np.uint8, whole * width).reshape(whole, width)
+                    kept = records[records[:, 0] != ord("*")]
+                    columns = [
+                        np.char.decode(np.ascontiguousarray(kept[:, o : o + n]).view(f"S{n}").ravel(), encoding)
+                        for o, n in slices
+                    ]
+                    yield pa.record_batch([pa.array(c, pa.string()) for c in columns], schema=shape)
 
     ranges = -(-total // per_range)
     plan = spark.range(0, total, per_range, numPartitions=max(1, min(ranges, 10_000)))
-    raw = plan.mapInPandas(decode, "raw array<string>")
+    raw = plan.mapInArrow(decode, ", ".join(f"_f{i} string" for i in range(len(slices))))
     names = table_header([name for name, *_ in layout.fields])
     return raw.select(
         *[
-            field_text(letter, F.col("raw")[i]).alias(name, metadata={SOURCE_TYPE: FIELD_TYPES[letter]})
+            field_text(letter, F.col(f"_f{i}")).alias(name, metadata={SOURCE_TYPE: FIELD_TYPES[letter]})
             for i, (name, (_, letter, _, _)) in enumerate(zip(names, layout.fields, strict=True))
         ]
     )
