@@ -127,7 +127,8 @@ def dbf_bytes(fields, records):
 def test_dbf(spark, tmp_path):
     path = tmp_path / "points.dbf"
     fields = [("site name", "C", 5), ("AMOUNT", "N", 6), ("DAY", "D", 8), ("OK", "L", 1)]
-    path.write_bytes(dbf_bytes(fields, [" café   1.5020210304T", "*gone      0        F", "       -.5         ?", " x    00070        f"]))
+    records = [(" ", "café", "1.50", "20210304", "T"), ("*", "gone", "0", "", "F"), (" ", "", "-.5", "", "?"), (" ", "x", "00070", "", "f")]
+    path.write_bytes(dbf_bytes(fields, [f"{mark}{c:<5}{n:>6}{d:<8}{ok}" for mark, c, n, d, ok in records]))
     df = dbf.read_dbf(spark, str(path), range_bytes=30)
     assert df.columns == ["SITE_NAME", "AMOUNT", "DAY", "OK"]
     assert [f.metadata[SOURCE_TYPE] for f in df.schema] == ["CHARACTER", "NUMERIC", "DATE", "LOGICAL"]
