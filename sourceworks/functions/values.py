@@ -65,6 +65,25 @@ def as_text(value: Column, data_type: T.DataType) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def text_length(value: Column, data_type: T.DataType) -> Column:
+    """Length of ``as_text``, without rendering values whose text has a known shape."""
+    rendered = F.length(as_text(value, data_type))
+    if isinstance(data_type, T.BooleanType):
+        return F.when(value, 4).when(~value, 5).otherwise(0)
+    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
+        # Seconds end at 19 characters; each digit of the fraction before its trailing zeros adds one.
+        fraction = F.unix_micros(value.cast("timestamp")) % 1_000_000
+        length = F.when(fraction == 0, 19)
+        for digits in range(1, 6):
+            length = length.when(fraction % 10 ** (6 - digits) == 0, 20 + digits)
+        length = length.otherwise(26)
+        if isinstance(data_type, T.TimestampType):
+            length = length + 1
+        four_digit_year = (value >= F.lit("0001-01-02").cast(data_type)) & (value < F.lit("9999-12-31").cast(data_type))
+        return F.when(value.isNull(), 0).when(four_digit_year, length).otherwise(rendered)
+    return rendered
+
+
 def table_as_text(df: DataFrame) -> DataFrame:
     """All columns as text (F2); the declared type stays as field metadata."""
     return df.select(

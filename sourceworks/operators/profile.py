@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceworks.functions.values import SOURCE_TYPE, UNTYPED, as_text
+from sourceworks.functions.values import SOURCE_TYPE, UNTYPED, text_length
 from sourceworks.operators.ordering import number_in_groups
 
 PROFILE_COLUMNS = ["table_name", "column_index", "name", "type", "min_length", "max_length", "record_count"]
@@ -24,11 +24,14 @@ def profile(
     ``typed`` keeps the declared source types, else every type is VARCHAR.
     """
     fields = [f for f in df.schema.fields if f.name not in by]
+    # Lengths are columns of their own, so that each value is rendered once for both measures.
+    lengths = df.select(
+        *by, *[text_length(F.col(f"`{f.name}`"), f.dataType).alias(f"_len{i}") for i, f in enumerate(fields)]
+    )
     measures = [F.count(F.lit(1)).alias("_rows")]
-    for i, field in enumerate(fields):
-        length = F.length(as_text(F.col(f"`{field.name}`"), field.dataType))
-        measures += [F.min(length).alias(f"_min{i}"), F.max(length).alias(f"_max{i}")]
-    measured = df.groupBy(*by).agg(*measures) if by else df.agg(*measures)
+    for i in range(len(fields)):
+        measures += [F.min(f"_len{i}").alias(f"_min{i}"), F.max(f"_len{i}").alias(f"_max{i}")]
+    measured = lengths.groupBy(*by).agg(*measures) if by else lengths.agg(*measures)
     entries = [
         F.struct(
             F.lit(i).alias("column_index"),

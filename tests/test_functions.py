@@ -114,6 +114,16 @@ def test_as_text(spark, value, kind, expected):
     assert text(spark, value, kind) == expected
 
 
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_text_length_is_the_length_of_the_text(spark, kind):
+    stamps = ["2021-03-04 05:06:07", "1950-01-01 00:00:00.1", "2021-03-04 05:06:07.12", "2021-03-04 05:06:07.000001",
+              "0001-01-01 00:00:00", "0950-06-07 01:02:03.123", "2021-03-04 05:06:07.12345", "9999-12-31 23:59:59.9999", None]
+    df = spark.createDataFrame([(s,) for s in stamps], "s string").select(F.col("s").cast(kind).alias("v"))
+    kind_type = df.schema[0].dataType
+    got = df.select(V.text_length(F.col("v"), kind_type), F.length(V.as_text(F.col("v"), kind_type))).collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
+
+
 def test_zoned_timestamp_is_shown_in_utc(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
