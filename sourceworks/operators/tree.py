@@ -83,7 +83,11 @@ def tasks_ordered(
 
 
 def descendants(tasks: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root_id, pr_task_id) for all tasks below each of the given tasks."""
+    """(root_id, pr_task_id) for all tasks below each of the given tasks.
+
+    The result has one row per pair; use ``subtree_members`` where the root does
+    not matter.
+    """
     edges = tasks.select("pr_task_id", "parent_task_id")
     start = roots.select(F.col("pr_task_id").alias("root_id"), "pr_task_id")
 
@@ -94,10 +98,28 @@ def descendants(tasks: DataFrame, roots: DataFrame) -> DataFrame:
     return _levels(below(start), below)
 
 
+def subtree_members(tasks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(pr_task_id) of all tasks below any of the given tasks, each once.
+
+    A given task that lies below another one is a member but is not followed a
+    second time, so the work does not grow with the nesting of the given tasks.
+    """
+    given = roots.select("pr_task_id").distinct()
+    edges = tasks.select("pr_task_id", "parent_task_id").join(
+        given.withColumn("_given", F.lit(True)), "pr_task_id", "left"
+    )
+
+    def below(level: DataFrame) -> DataFrame:
+        parents = level.where("_given is null").select(F.col("pr_task_id").alias("parent_task_id"))
+        return edges.join(parents, "parent_task_id").select("pr_task_id", "_given")
+
+    start = given.select("pr_task_id", F.lit(None).cast("boolean").alias("_given"))
+    return _levels(below(start), below).select("pr_task_id")
+
+
 def delete_subtrees(tasks: DataFrame, roots: DataFrame) -> DataFrame:
-    """R2 (J9): tasks without anything below the given tasks, which stay."""
-    doomed = descendants(tasks, roots).select("pr_task_id").distinct()
-    return tasks.join(doomed, "pr_task_id", "left_anti").select(*tasks.columns)
+    """R2 (J9): tasks without anything below the given tasks, which stay unless they lie below another one."""
+    return tasks.join(subtree_members(tasks, roots), "pr_task_id", "left_anti").select(*tasks.columns)
 
 
 def with_children_flag(tasks: DataFrame) -> DataFrame:
@@ -128,15 +150,14 @@ def add_child_tasks(tasks: DataFrame, requests: DataFrame) -> DataFrame:
         next_child_order(tasks, requests.select("pr_task_id").distinct()), "pr_task_id"
     )
     placed = number_in_groups(asked, ["pr_task_id"], "request_id", "_nth")
-    numbered = number_in_groups(placed.withColumn("_all", F.lit(0)), ["_all"], "request_id", "_id")
-    top = tasks.agg(F.max("pr_task_id").alias("_top")).withColumn("_all", F.lit(0))
+    numbered = number_in_groups(placed, [], "request_id", "_id")
     values = {
         "parent_task_id": F.col("pr_task_id"),
         "parent_task_order": (F.col("next_order") + F.col("_nth") - 1).cast("int"),
         "task_status": F.lit("Waiting"),
-        "pr_task_id": F.col("_top") + F.col("_id"),
+        "pr_task_id": tasks.agg(F.max("pr_task_id")).scalar() + F.col("_id"),
     }
-    created = numbered.join(top, "_all").select(
+    created = numbered.select(
         *[
             values[f.name].alias(f.name)
             if f.name in values

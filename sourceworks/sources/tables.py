@@ -39,9 +39,9 @@ def append_seed(
     target: DataFrame, seed: DataFrame, identity: str, order: Iterable[str]
 ) -> DataFrame:
     """Seed rows under the target's schema, with ids that go on from the greatest one."""
-    numbered = number_by_sort(seed.withColumn("_all", F.lit(0)), ["_all"], list(order), "_nth")
-    top = target.agg(F.coalesce(F.max(identity), F.lit(0)).alias("_top")).withColumn("_all", F.lit(0))
-    given = numbered.join(top, "_all").withColumn(identity, F.col("_top") + F.col("_nth"))
+    numbered = number_by_sort(seed, [], list(order), "_nth")
+    top = target.agg(F.coalesce(F.max(identity), F.lit(0))).scalar()
+    given = numbered.withColumn(identity, top + F.col("_nth"))
     columns = [
         F.col(f.name).cast(f.dataType).alias(f.name) if f.name in given.columns else F.lit(None).cast(f.dataType).alias(f.name)
         for f in target.schema.fields

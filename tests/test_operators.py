@@ -187,6 +187,12 @@ def test_delete_children(spark, rows):
     assert rows(T.delete_subtrees(tasks(spark, GOLDEN), roots), "pr_task_id") == [(A,), (B,), (C_,)]
 
 
+def test_nested_roots_are_followed_once(spark, rows):
+    chain = tasks(spark, [(i, i - 1, 1) for i in range(1, 9)])
+    members = T.subtree_members(chain, chain.where("pr_task_id in (2, 3, 5)").select("pr_task_id"))
+    assert rows(members) == [(i,) for i in range(3, 9)]
+
+
 def test_next_child(spark, rows):
     parents = spark.createDataFrame([(B,), (FF,)], "pr_task_id bigint")
     assert rows(T.next_child_order(tasks(spark, GOLDEN), parents)) == [(B, 3), (FF, 1)]

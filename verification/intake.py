@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sourceworks.operators.ordering import number_by_sort
+from sourceworks.plans.intake import profile_run
 from sourceworks.session import scratch_path
 from sourceworks.sources.archives import archive_entries, expand_archives
 from sourceworks.sources.dbf import read_dbf
@@ -146,6 +148,53 @@ def dbf_rows(spark, sf):
     return reduce(DataFrame.unionByName, [read_dbf(spark, row.path, range_bytes=64 * 1024) for row in paths])
 
 
+def _lengths(table: str, name: str, kind: str, index: int, expression: str, source: str) -> str:
+    return f"""select {table} as table_name, {index} as column_index, '{name}' as name, '{kind}' as type,
+        cast(min(length({expression})) as int) as min_length, cast(max(length({expression})) as int) as max_length,
+        count(*) as record_count from {source} group by 1"""
+
+
+@query(
+    "run_profile",
+    " union all ".join(
+        _lengths(*column)
+        for column in [
+            ("'T_PART'", "P_PARTKEY", "VARCHAR", 0, "cast(p_partkey as varchar)", "part"),
+            ("'T_PART'", "P_NAME", "VARCHAR", 1, "p_name", "part"),
+            ("'T_BOOK' || (o_orderkey // 5000)", "KEY", "VARCHAR", 0, "cast(o_orderkey as varchar)", "orders"),
+            ("'T_ORDERS' || (o_orderkey // 1000000)", "ORDER_KEY", "NUMERIC", 0, "cast(o_orderkey as varchar)", "live"),
+            ("'T_ORDERS' || (o_orderkey // 1000000)", "STATUS", "CHARACTER", 1, "o_orderstatus", "live"),
+            ("'T_ORDERS' || (o_orderkey // 1000000)", "PRICE", "NUMERIC", 2, "cast(cast(o_totalprice as decimal(18,2)) as varchar)", "live"),
+            ("'T_ORDERS' || (o_orderkey // 1000000)", "PLACED", "DATE", 3, "if(o_orderstatus = 'P', '', repeat('x', 20))", "live"),
+            ("'T_ORDERS' || (o_orderkey // 1000000)", "URGENT", "LOGICAL", 4, "if(o_orderpriority = '1-URGENT', 'TRUE', '')", "live"),
+        ]
+    ).replace("from live", "from (select * from orders where o_orderkey % 10 <> 3)"),
+)
+def run_profile(spark, sf):
+    """A run with a flat file, DBF files and workbooks: the manifest comes from the folder, readers from the manifest."""
+    folder = scratch_path(spark, "run")
+    orders = given(spark, sf, "orders")
+    write_flat(given(spark, sf, "part").select("p_partkey", "p_name"), f"{folder}/part.csv")
+    write_dbf_files(orders, folder)
+    write_workbooks(orders, folder)
+    name = F.substring_index("file_name", ".", 1)
+    found = list_files(spark, folder).where("file_name rlike 'xlsx|dbf'").select("file_name", "loader_type")
+    flat = spark.createDataFrame([("part.csv", "Flat")], "file_name string, loader_type string")
+    named = number_by_sort(found.unionByName(flat), [], ["file_name"], "st_oid").select(
+        "st_oid",
+        F.lit(1).cast("bigint").alias("run_id"),
+        F.upper(F.concat(F.lit("t_"), name)).alias("table_name"),
+        "file_name",
+        F.lit(True).alias("analyze_table"),
+        F.lit(True).alias("qualified"),
+        F.lit("utf8").alias("encoding"),
+        F.when(F.col("loader_type") == "Excel", "Keys").alias("sub_table"),
+        F.lit(None).cast("string").alias("delimiter"),
+    )
+    profiles = reduce(DataFrame.unionByName, profile_run(spark, named, 1, folder))
+    return profiles.select("table_name", "column_index", "name", "type", "min_length", "max_length", "record_count")
+
+
 _ENTRIES = """select * from (
     select c_custkey // 200 as n, 'names_' || n || '.csv' as entry,
            'c_custkey,c_name' || chr(10) || string_agg(c_custkey || ',' || c_name || chr(10), '' order by c_custkey) as content

@@ -161,8 +161,8 @@ def natural_sort(spark, sf):
     from sourceworks.operators.ordering import number_by_sort
 
     ordered = R.natural_sort(given(spark, sf, "supplier").select("s_name"), "s_name", ascending=False)
-    placed = ordered.withColumns({"_all": F.lit(0), "_key": -id_sort_key(F.col("s_name"))})
-    return number_by_sort(placed, ["_all"], ["_key", "s_name"], "place").select("s_name", "place")
+    keyed = ordered.withColumn("_key", -id_sort_key(F.col("s_name")))
+    return number_by_sort(keyed, [], ["_key", "s_name"], "place").select("s_name", "place")
 
 
 @query(
