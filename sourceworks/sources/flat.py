@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sourceworks.functions.names import table_header
 from sourceworks.functions.values import SOURCE_TYPE, UNTYPED
+from sourceworks.sources.spanning import opens_field, spanning_records
 
 UNREADABLE = "_unreadable"
 # With a marker that no file contains, "" stays the empty text and a bare empty field is null.
 _NO_NULL_MARKER = "\u0002"
 # Names of encodings that Spark knows under another name.
 ENCODINGS = {"utf8": "UTF-8", "latin1": "ISO-8859-1", "ascii": "US-ASCII", "utf16": "UTF-16"}
+_LINE_ENCODINGS = ("UTF-8", "US-ASCII")
 
 
 def _options(delimiter: str, qualified: bool, encoding: str) -> dict:
@@ -33,17 +33,12 @@ def _options(delimiter: str, qualified: bool, encoding: str) -> dict:
 
 
 def has_line_breaks(spark: SparkSession, path: str, delimiter: str = ",") -> bool:
-    """Whether some quoted field goes on over a line end.
+    """Whether some quoted field goes on over a line end; stops at the first one.
 
-    Every line is looked at by itself: complete quoted fields are taken out, and
-    a quote that still opens a field is one that the line does not close. If no
-    line has one, each line is a whole record and the file may be split.
+    If no line opens a field that it does not close, each line is a whole record.
     """
-    sep = re.escape(delimiter)
-    complete = rf'(^|{sep})"[^"]*+(?:""[^"]*+)*+"(?={sep}|$)'
-    lines = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("value"))
-    rest = F.regexp_replace("value", complete, "$1")
-    return not lines.where(F.col("value").contains('"') & rest.rlike(rf'(^|{sep})"')).isEmpty()
+    line = F.regexp_replace("value", r"\r$", "")
+    return not spark.read.text(path).where(opens_field(line, delimiter)).isEmpty()
 
 
 def flat_header(
@@ -72,33 +67,45 @@ def read_flat(
 ) -> DataFrame:
     """A flat file as text columns; the first record of each file is its header.
 
-    Files split into many tasks unless a quoted field holds a line end, which
-    ``multi_line=None`` finds out with one scan of a qualified file (Spark streams
-    such a file in one task). ``keep_unreadable`` adds a column with the source
-    text of records that are too short or too long.
+    Files split into many tasks. With ``multi_line=None`` one scan of a qualified
+    file finds out whether quoted fields hold line ends; if so, records are put
+    together by ``spanning_records``. ``True`` takes Spark's multi-line reader (one
+    task per file), which is also used for encodings other than UTF-8; ``False``
+    promises that there are no such fields. ``keep_unreadable`` adds a column with
+    the source text of records that are too short or too long.
     """
     names = flat_header(spark, path, delimiter, qualified, encoding)
+    options = _options(delimiter, qualified, encoding)
+    spans = False
     if multi_line is None:
-        multi_line = qualified and has_line_breaks(spark, path, delimiter)
+        multi_line = False
+        if qualified:
+            splittable = options["encoding"] in _LINE_ENCODINGS
+            spans = has_line_breaks(spark, path, delimiter) if splittable else False
+            multi_line = not splittable
+    if keep_unreadable:
+        options["columnNameOfCorruptRecord"] = UNREADABLE
     fields = [T.StructField(n, T.StringType(), True, {SOURCE_TYPE: UNTYPED}) for n in names]
-    reader = (
-        spark.read.options(**_options(delimiter, qualified, encoding))
+    read = fields + ([T.StructField(UNREADABLE, T.StringType())] if keep_unreadable else [])
+    if spans:
+        columns = ", ".join(f"`{f.name}` string" for f in read)
+        body = spanning_records(spark, path, delimiter).where("not header")
+        parsed = body.select(F.from_csv("record", columns, options).alias("_r"))
+        return parsed.select(*[F.col(f"_r.`{f.name}`").alias(f.name, metadata=f.metadata) for f in read])
+    table = (
+        spark.read.options(**options)
         .option("header", True)
         .option("multiLine", multi_line)
-    )
-    if not keep_unreadable:
-        return reader.schema(T.StructType(fields)).csv(path)
-    fields.append(T.StructField(UNREADABLE, T.StringType()))
-    checked = (
-        reader.schema(T.StructType(fields))
-        .option("columnNameOfCorruptRecord", UNREADABLE)
-        .option("columnPruning", False)
+        .option("columnPruning", not keep_unreadable)
+        .schema(T.StructType(read))
         .csv(path)
     )
+    if not keep_unreadable:
+        return table
     # Spark refuses to read the record text alone, so it is tied to a column of the file.
     tied = F.when(F.col(f"`{names[0]}`") == _NO_NULL_MARKER, "")
     text = F.when(F.col(UNREADABLE).isNotNull(), F.concat_ws("", UNREADABLE, tied))
-    return checked.withColumn(UNREADABLE, text)
+    return table.withColumn(UNREADABLE, text)
 
 
 def split_unreadable(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

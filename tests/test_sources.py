@@ -1,4 +1,5 @@
 import io
+import random
 import struct
 import zipfile
 from types import SimpleNamespace
@@ -28,7 +29,7 @@ def test_flat_header_quotes_nulls_and_line_ends(spark, tmp_path):
     path = write(tmp_path / "plain.csv", 'Id #,My  Name,1st,My  Name\n1,"say ""hi""",,"two\nlines"\n2,"",b,c\n')
     df = flat.read_flat(spark, path)
     assert df.columns == ["ID_NUM", "MY_NAME_2", "_1ST", "MY_NAME_1"]
-    assert values(df) == [("1", 'say "hi"', None, "two\nlines"), ("2", "", "b", "c")]
+    assert sorted(values(df)) == [("1", 'say "hi"', None, "two\nlines"), ("2", "", "b", "c")]
 
 
 @pytest.mark.parametrize(
@@ -83,6 +84,44 @@ def test_written_records_come_back(spark, tmp_path_factory, data):
     assert sorted(values(flat.read_flat(spark, path))) == sorted(data)
 
 
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("split", [7, 40, 1_000_000])
+def test_spanning_records_equal_the_multi_line_reader(spark, tmp_path, seed, split):
+    """Whatever the splits, records are those of Spark's reader, which takes a file as a whole."""
+    pick = random.Random(seed)
+    parts = ["a", 'b""c', "\n", ",", "\n\n", '""', "é", " ", "\n,"]
+
+    def field():
+        if pick.random() < 0.5:
+            return '"' + "".join(pick.choices(parts, k=pick.randint(0, 5))) + '"'
+        return pick.choice(["", "x", "5 y", 'in"ch', "zz"])
+
+    for name in ("one.csv", "two.csv"):
+        lines = ['"h\n1",h2,h3'] + [",".join(field() for _ in range(3)) for _ in range(pick.randint(5, 40))]
+        write(tmp_path / name, "\n\n" + "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        folder = str(tmp_path)
+        got = flat.read_flat(spark, folder)
+        assert got.columns == ["H_1", "H2", "H3"]
+        assert sorted(values(got), key=repr) == sorted(values(flat.read_flat(spark, folder, multi_line=True)), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_field_that_never_closes_is_refused(spark, tmp_path):
+    path = write(tmp_path / "open.csv", 'a,b\n1,"x\n2,y\n')
+    with pytest.raises(Exception, match="never closed"):
+        flat.read_flat(spark, path).collect()
+
+
+def test_unreadable_records_among_spanning_ones(spark, tmp_path):
+    path = write(tmp_path / "r.csv", 'a,b\n1,"x\ny"\n2\n3,"p\nq",more\n')
+    good, bad = flat.split_unreadable(flat.read_flat(spark, path, keep_unreadable=True))
+    assert values(good) == [("1", "x\ny")]
+    assert sorted(values(bad)) == [("2",), ('3,"p\nq",more',)]
+
+
 def test_workbook_cells(spark, tmp_path):
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
