@@ -11,6 +11,8 @@ from sourceworks.functions.values import SOURCE_TYPE, UNTYPED
 from sourceworks.sources.spanning import opens_field, spanning_records
 
 UNREADABLE = "_unreadable"
+# Up to this size one task reads a file with line ends inside fields faster than many tasks could.
+SPLIT_ABOVE = 512 * 1024 * 1024
 # With a marker that no file contains, "" stays the empty text and a bare empty field is null.
 _NO_NULL_MARKER = "\u0002"
 # Names of encodings that Spark knows under another name.
@@ -41,6 +43,12 @@ def has_line_breaks(spark: SparkSession, path: str, delimiter: str = ",") -> boo
     return not spark.read.text(path).where(opens_field(line, delimiter)).isEmpty()
 
 
+def _largest_file(spark: SparkSession, path: str) -> int:
+    """Length of the largest file; only the listing is read."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
+
+
 def flat_header(
     spark: SparkSession,
     path: str,
@@ -64,15 +72,18 @@ def read_flat(
     encoding: str = "UTF-8",
     multi_line: bool | None = None,
     keep_unreadable: bool = False,
+    split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
     """A flat file as text columns; the first record of each file is its header.
 
     Files split into many tasks. With ``multi_line=None`` one scan of a qualified
-    file finds out whether quoted fields hold line ends; if so, records are put
-    together by ``spanning_records``. ``True`` takes Spark's multi-line reader (one
-    task per file), which is also used for encodings other than UTF-8; ``False``
-    promises that there are no such fields. ``keep_unreadable`` adds a column with
-    the source text of records that are too short or too long.
+    file finds out whether quoted fields hold line ends. If so, Spark's multi-line
+    reader takes each file in one task as long as none is larger than
+    ``split_above`` bytes; beyond that ``spanning_records`` puts records together
+    over many tasks. ``True`` always takes the multi-line reader (also used for
+    encodings other than UTF-8), ``False`` promises that there are no such fields.
+    ``keep_unreadable`` adds a column with the source text of records that are too
+    short or too long.
     """
     names = flat_header(spark, path, delimiter, qualified, encoding)
     options = _options(delimiter, qualified, encoding)
@@ -80,9 +91,9 @@ def read_flat(
     if multi_line is None:
         multi_line = False
         if qualified:
-            splittable = options["encoding"] in _LINE_ENCODINGS
-            spans = has_line_breaks(spark, path, delimiter) if splittable else False
-            multi_line = not splittable
+            by_line = options["encoding"] in _LINE_ENCODINGS
+            multi_line = not by_line or has_line_breaks(spark, path, delimiter)
+            spans = by_line and multi_line and _largest_file(spark, path) > split_above
     if keep_unreadable:
         options["columnNameOfCorruptRecord"] = UNREADABLE
     fields = [T.StructField(n, T.StringType(), True, {SOURCE_TYPE: UNTYPED}) for n in names]

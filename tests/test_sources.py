@@ -102,7 +102,7 @@ def test_spanning_records_equal_the_multi_line_reader(spark, tmp_path, seed, spl
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     try:
         folder = str(tmp_path)
-        got = flat.read_flat(spark, folder)
+        got = flat.read_flat(spark, folder, split_above=0)
         assert got.columns == ["H_1", "H2", "H3"]
         assert sorted(values(got), key=repr) == sorted(values(flat.read_flat(spark, folder, multi_line=True)), key=repr)
     finally:
@@ -112,12 +112,13 @@ def test_spanning_records_equal_the_multi_line_reader(spark, tmp_path, seed, spl
 def test_field_that_never_closes_is_refused(spark, tmp_path):
     path = write(tmp_path / "open.csv", 'a,b\n1,"x\n2,y\n')
     with pytest.raises(Exception, match="never closed"):
-        flat.read_flat(spark, path).collect()
+        flat.read_flat(spark, path, split_above=0).collect()
 
 
-def test_unreadable_records_among_spanning_ones(spark, tmp_path):
+@pytest.mark.parametrize("split_above", [0, 1_000_000])
+def test_unreadable_records_among_spanning_ones(spark, tmp_path, split_above):
     path = write(tmp_path / "r.csv", 'a,b\n1,"x\ny"\n2\n3,"p\nq",more\n')
-    good, bad = flat.split_unreadable(flat.read_flat(spark, path, keep_unreadable=True))
+    good, bad = flat.split_unreadable(flat.read_flat(spark, path, keep_unreadable=True, split_above=split_above))
     assert values(good) == [("1", "x\ny")]
     assert sorted(values(bad)) == [("2",), ('3,"p\nq",more',)]
 

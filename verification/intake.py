@@ -70,6 +70,18 @@ def flat_documents(spark, sf):
     return loaded.select("DOC_ID", "LANG", F.length("TEXT").cast("bigint").alias("chars"), F.md5("TEXT").alias("digest"))
 
 
+@query(
+    "flat_documents_split",
+    """select cast(doc_id as varchar) as DOC_ID, lang as LANG, length(text) as chars, md5(text) as digest from documents""",
+)
+def flat_documents_split(spark, sf):
+    """The same through the reader for large files, which splits them."""
+    path = scratch_path(spark, "documents")
+    write_flat(given(spark, sf, "documents").select("doc_id", "lang", "text"), path)
+    loaded = read_flat(spark, path, split_above=0)
+    return loaded.select("DOC_ID", "LANG", F.length("TEXT").cast("bigint").alias("chars"), F.md5("TEXT").alias("digest"))
+
+
 @query(
     "flat_unqualified",
     """select cast(p_partkey as varchar) as P_PARTKEY, if(p_size % 2 = 0, p_size || '" ' || p_name, null) as NAME,
