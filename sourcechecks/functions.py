@@ -8,8 +8,8 @@ from sourceworks.functions import names as N
 from sourceworks.functions import sqlfuncs
 from sourceworks.functions import values as V
 from sourceworks.operators.changes import merged_map
-from verification.inputs import derived, given, sql, with_tables
-from verification.registry import query
+from sourcechecks.inputs import derived, given, sql, with_tables
+from sourcechecks.registry import query
 
 
 def _name_sql(text: str) -> str:

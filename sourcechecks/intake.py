@@ -16,9 +16,9 @@ from sourceworks.sources.files import backup_files, backup_manifest, list_files
 from sourceworks.sources.flat import read_flat, split_unreadable, write_flat
 from sourceworks.sources.sheets import read_sheet, sheet_rows
 from sourceworks.sources.tables import write_text_table
-from verification.files import write_archives, write_dbf_files, write_workbooks
-from verification.inputs import given
-from verification.registry import query
+from sourcechecks.files import write_archives, write_dbf_files, write_workbooks
+from sourcechecks.inputs import given
+from sourcechecks.registry import query
 
 _TEXT_ORDERS = """select cast(o_orderkey as varchar) as ORDER_KEY_NUM, o_orderstatus as STATUS,
     cast(cast(o_totalprice as decimal(18,2)) as varchar) as PRICE, strftime(o_orderdate, '%Y-%m-%d') as _1ST_DATE,

@@ -10,9 +10,9 @@ from sourceworks.operators import merge as G
 from sourceworks.operators import runs as R
 from sourceworks.schemas import catalog_schema, task_definitions
 from sourceworks.sources.tables import append_seed, run_query
-from verification.inputs import derived, given, sql, with_tables
-from verification.registry import query
-from verification.trees import _DEFINITIONS
+from sourcechecks.inputs import derived, given, sql, with_tables
+from sourcechecks.registry import query
+from sourcechecks.trees import _DEFINITIONS
 
 
 @query(

@@ -9,8 +9,8 @@ from sourceworks.operators import manifest as M
 from sourceworks.operators.profile import repeated_names
 from sourceworks.operators.runs import previous_runs, user_has_run
 from sourceworks.schemas import file_types
-from verification.inputs import derived, given, sql, with_tables
-from verification.registry import query
+from sourcechecks.inputs import derived, given, sql, with_tables
+from sourcechecks.registry import query
 
 _LIST_ITEM = """st_oid || ':' || table_name || ':' || coalesce(sub_table, '-') || ':' || coalesce(left(delimiter, 1), ',')
                 || ':' || qualified"""

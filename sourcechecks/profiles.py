@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from sourceworks.functions.values import table_as_text
 from sourceworks.operators import profile as P
 from sourceworks.sources.database import typed_as_source
-from verification.inputs import derived, given, with_tables
-from verification.registry import query
+from sourcechecks.inputs import derived, given, with_tables
+from sourcechecks.registry import query
 
 _ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sourceworks.operators import checks as Q
-from verification.inputs import derived, given, sql, with_tables
-from verification.registry import query
+from sourcechecks.inputs import derived, given, sql, with_tables
+from sourcechecks.registry import query
 
 
 def _violations(table: str, rules: dict[str, tuple[str, str]], key: str, source: str) -> str:

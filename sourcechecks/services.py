@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from sourceworks.plans import fetch
 from sourceworks.sources import features as S
-from verification.inputs import given, sql
-from verification.registry import query
+from sourcechecks.inputs import given, sql
+from sourcechecks.registry import query
 
 # Pages of up to 500 features; x is a whole number so that its text is the same everywhere.
 _PAGES = """select concat('page', event_id div 500) as path, to_json(named_struct('features', collect_list(named_struct(

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from sourceworks.schemas import task_definitions
 from sourceworks.session import scratch_path
 from sourceworks.streaming import feed
-from verification.inputs import derived, given, with_tables
-from verification.registry import query
-from verification.trees import _walk
+from sourcechecks.inputs import derived, given, with_tables
+from sourcechecks.registry import query
+from sourcechecks.trees import _walk
 
 
 def _event_stream(spark, sf):

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from sourceworks.operators import tree as T
 from sourceworks.operators.runs import user_has_run
 from sourceworks.schemas import TASK_DEFINITIONS, task_definitions
-from verification.inputs import derived, given, with_tables
-from verification.registry import query
+from sourcechecks.inputs import derived, given, with_tables
+from sourcechecks.registry import query
 
 _DEFINITIONS = "defs as (select * from (values " + ", ".join(
     f"({i}, '{name}', '{kind}')" for i, (name, _, kind) in enumerate(TASK_DEFINITIONS, 1)

@@ -3,7 +3,8 @@
 Trees are adjacency lists; parent 0 marks a root. Levels are followed with one
 join per level over all trees at once, and each level is written to the
 checkpoint folder, so that neither the plan nor the loss of an executor makes an
-earlier level run again.
+earlier level run again. The written levels have a known size: small ones are
+broadcast, so the task table is shuffled only for the few levels that hold most rows.
 """
 
 from __future__ import annotations

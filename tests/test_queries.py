@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from verification.compare import connect, differences
+from sourcechecks.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no given tables")
