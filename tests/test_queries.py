@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from sourcechecks import registry
 from sourcechecks.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,13 +18,14 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
+    assert set(registry.QUERIES) <= set(entry.queries())
 
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query_matches_sql(spark, duck, name):
     assert differences(entry.queries()[name](spark, FOLDER), duck, entry.oracle_sql()[name]) == []
