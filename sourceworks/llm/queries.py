@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceworks.llm import hosts, mixing, rules, shards, sketches
+import public_tokenizers
+
+from sourceworks.llm import bpe, hosts, mixing, rules, shards, sketches, token_files, transducer
 from sourceworks.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
+from sourceworks.session import scratch_path
+
+
+@query("op1_token_files")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_files.write_token_files(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.token_checksums(token_files.read_tokens(spark, path))
 
 
 @query("op2_interleaved_shards")
@@ -17,6 +27,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_transducer_counts")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return transducer.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+
+
 @query("op5_host_reputation")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     judged = hosts.filter_urls(table(spark, folder, "pages"), table(spark, folder, "labels"))
@@ -43,3 +58,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.systematic_mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_byte_bpe")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.token_digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
