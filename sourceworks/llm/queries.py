@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from sourceworks.llm import bpe, hosts, mixing, rules, shards, sketches, token_files, transducer
+from sourceworks.llm import bpe, hosts, mixing, near, rules, shards, sketches, token_files, transducer
 from sourceworks.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from sourceworks.session import scratch_path
 
@@ -27,6 +27,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op3_similarity_sketches")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_copies(table(spark, folder, "documents"), width=4, percent=80)
+
+
 @query("op4_transducer_counts")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return transducer.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
