@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from sourceworks.llm import bpe, hosts, mixing, near, rules, shards, sketches, token_files, transducer
+from sourceworks.llm import bpe, hosts, mixing, near, repeats, rules, shards, sketches, token_files, transducer
 from sourceworks.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from sourceworks.session import scratch_path
 
@@ -51,6 +51,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_previous_factors")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeat_digests(table(spark, folder, "documents"))
+
+
 @query("op8_line_frequency")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     judged = rules.quality_rules(table(spark, folder, "documents"), carry=["doc_id"])

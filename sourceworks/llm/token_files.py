@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -37,25 +38,49 @@ class ChunkEncoder:
 
     Chunks are what stands between spaces, tabs and line ends. The tokenizer's
     splitting never crosses white space, so the library gives a chunk the same ids
-    alone as inside its text. Chunks not seen before go to the library together.
+    alone as inside its text. Chunks not seen before go to the library together,
+    with a mark between them that has one id of its own. Letters of plain ASCII
+    texts are lower-cased first, as the tokenizer does itself.
     """
 
-    def __init__(self, vocabulary: bytes, limit: int = 500_000):
+    MARK, TOGETHER = "\x01", 100
+
+    def __init__(self, vocabulary: bytes, limit: int = 900_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel units
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(vocabulary.decode("utf-8"))
         self._known: dict[str, bytes] = {"": b""}
         self._limit = limit
+        self._mark = self._library(f" {self.MARK} ")
+        self._lower = np.array_equal(self._library("ABC Z"), self._library("abc z"))
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn(self, chunks: list[str]) -> None:
+        plain = [c for c in chunks if self.MARK not in c and "<|" not in c] if len(self._mark) == 1 else []
+        for start in range(0, len(plain), self.TOGETHER):
+            some = plain[start : start + self.TOGETHER]
+            ids = self._library("".join(f"{c} {self.MARK} " for c in some))
+            raw, at = ids.tobytes(), 0
+            for chunk, end in zip(some, np.flatnonzero(ids == self._mark[0]).tolist(), strict=True):
+                self._known[chunk] = raw[at : 4 * end]
+                at = 4 * end + 4
+        for chunk in chunks if not plain else [c for c in chunks if self.MARK in c or "<|" in c]:
+            self._known[chunk] = self._library(chunk).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, four little-endian bytes each."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self._known)) if split else []
-        if len(self._known) + len(new) > self._limit:
-            self._known = {"": b""}
-            new = list(set().union(*split).difference(self._known))
-        for chunk, found in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._known[chunk] = np.array(found.ids, dtype="<u4").tobytes()
+        cased = [t.lower() if self._lower and t.isascii() and "<|" not in t else t for t in texts]
+        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in cased]
+        known = self._known
+        new: set[str] = set()
+        for chunks in split:
+            new.update(set(chunks).difference(known))
+        if len(known) + len(new) > self._limit:  # what these texts hold is kept, and so most of what is frequent
+            self._known = {c: known[c] for chunks in split for c in chunks if c in known} | {"": b""}
+        self._learn(list(new))
         of = self._known.__getitem__
         return [b"".join(map(of, chunks)) for chunks in split]
 
