@@ -11,6 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sourceworks.llm.memo import Memo, broadcast_bytes, small_batches
 from sourceworks.llm.text import whole
@@ -131,8 +132,8 @@ def _texts(ranks, pattern: str):
     return run
 
 
-def _schema(df: DataFrame, column: str) -> str:
-    return f"_given {df.schema['_given'].dataType.simpleString()}, {column}"
+def _schema(df: DataFrame, column: str) -> StructType:
+    return StructType([df.schema["_given"], *StructType.fromDDL(column)])
 
 
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, out: str = "ids") -> DataFrame:

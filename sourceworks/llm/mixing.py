@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceworks.llm.ranking import ranked
@@ -14,6 +14,11 @@ from sourceworks.session import cut_lineage
 WEIGHTS = (5, 2, 1)
 
 
+def size_in_words() -> Column:
+    """Words of the text; none in a null one."""
+    return F.regexp_count(whole("text"), F.lit(WORD)).cast("bigint")
+
+
 def source_targets(sources: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """Targets of sources: ``share`` of all sizes by weight, none above ``most`` times its source's size.
 
@@ -70,7 +75,7 @@ def systematic_mix(
         docs.select(
             "doc_id",
             "source",
-            F.regexp_count(whole("text"), F.lit(WORD)).cast("bigint").alias("size"),
+            size_in_words().alias("size"),
             seeded(seed, F.col("doc_id")).alias("_order"),
         )
     )

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sourceworks.llm.slices import id_marks, slice_of
 from sourceworks.llm.text import whole
@@ -174,6 +175,7 @@ def _unpacked(blob: bytes, count: int) -> np.ndarray:
 
 QUESTION = "range int, slice int, n bigint, keys binary"
 ANSWER = "slice int, range int, n bigint, flags binary"
+RESULT = "n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary"
 
 
 def _asked(slice_: int, keys: np.ndarray, bits: int, ranges: int) -> pa.Table:
@@ -258,7 +260,7 @@ def _ask_suffixes(ranges: int):
     return run
 
 
-def _cut(left: pa.Table, right: pa.Table, given: pa.DataType) -> pa.Table:
+def _cut(left, right):
     stems, earlier = (right.filter(pc.equal(right.column("question"), q)) for q in (0, 1))
     docs, suffixes = _loaded(left)
     places, prints = suffixes.candidates(_flags(stems, len(suffixes.stems()[0])))
@@ -274,7 +276,7 @@ def _cut(left: pa.Table, right: pa.Table, given: pa.DataType) -> pa.Table:
         kept.append((raw[~here] if sizes[-1] else raw).tobytes())
     return pa.table(
         {
-            "_given": docs.column("_given").combine_chunks().cast(given),
+            "_given": docs.column("_given"),
             "n_bytes": pa.array(suffixes.ends - suffixes.starts, pa.int64()),
             "n_removed": pa.array(sizes, pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
@@ -320,12 +322,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     again = by_slice.cogroup(stems.groupBy("slice")).applyInArrow(_ask_suffixes(slices), QUESTION)
     earlier = again.groupBy("range").applyInArrow(_answered(True), ANSWER)
     answers = stems.withColumn("question", F.lit(0)).unionByName(earlier.withColumn("question", F.lit(1)))
-    given = placed.schema["_given"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow = to_arrow_type(given)
-    out = f"_given {given.simpleString()}, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary"
-    return by_slice.cogroup(answers.groupBy("slice")).applyInArrow(lambda left, right: _cut(left, right, arrow), out)
+    out = StructType([placed.schema["_given"], *StructType.fromDDL(RESULT)])
+    return by_slice.cogroup(answers.groupBy("slice")).applyInArrow(_cut, out)
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
