@@ -143,9 +143,10 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     2. Every class is compared with the pivot of its best bucket, then with the
        pivots of its other buckets; a pivot is the class with the least share of shingles
        of its own. What is linked becomes a component.
-    3. Pairs of a bucket that are still in different components, and whose counts allow
-       a link, are compared in rounds that take more of each class's pairs every time
-       and leave out what was joined meanwhile. After these, no pair of a bucket is unknown.
+    3. Classes of buckets that still hold different components meet by their rarest
+       shingles, which two sets alike enough can't both be without; these pairs are
+       compared in rounds that take more of each class's pairs every time and
+       leave out what was joined meanwhile. After these, no pair of a bucket is unknown.
 
     Columns: doc_id, n_shingles, component_id (the smallest doc_id that links
     lead to, itself included) and kept (it is that document). Texts that are null,
@@ -230,7 +231,7 @@ def _bucket_links(texts: DataFrame, classes: DataFrame, width: int, percent: int
     rest = _apart(stars.select("a", "b"), named).join(done, ["a", "b"], "left_anti")
     links = cut_lineage(links.unionByName(_verified(rest, sets, percent)))
     named = components(links)
-    return _remaining(members, pivots.select("key"), sets, links, named, percent)
+    return _remaining(members, sets, links, named, percent)
 
 
 def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
@@ -241,13 +242,36 @@ def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select(*pairs.columns)
 
 
-def _remaining(members, keys, sets, links, named, percent) -> DataFrame:
-    """All links needed, after comparing what is left between components inside buckets."""
-    placed = members.join(keys, "key").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _remaining(members, sets, links, named, percent) -> DataFrame:
+    """All links needed, after comparing what is left between components of a bucket.
+
+    Two sets that are alike enough share one of the rarest shingles of both: of n
+    shingles in a fixed order, one among the first n - ceil(n * percent / 100) + 1.
+    Sets meet where these agree and their places in both orders leave room for
+    enough common shingles. Within a shingle, sets of its main component
+    meet only the others, so a shingle of a large component costs as much as it has others.
+    """
+    placed = members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high")
-    placed = cut_lineage(placed.join(mixed.select("key"), "key"))
-    side = lambda s: placed.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "most", "component")])
-    allowed = side("a").join(side("b"), "key").where("a_component < b_component").where(_may_link(percent))
+    open_sets = placed.join(mixed.select("key"), "key").select("node", "n", "most", "component").distinct()
+    items = cut_lineage(sets.join(open_sets, "node").select("node", "n", "most", "component", F.explode("items").alias("item")))
+    held = items.groupBy("item").agg(F.count(F.lit(1)).alias("_held"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("_held", "item")) - 1
+    rare = cut_lineage(
+        items.join(held, "item").withColumn("place", rank).where(f"place <= n - ({percent} * n + 99) div 100").drop("_held")
+    )
+    shares = rare.groupBy("item", "component").agg(F.count(F.lit(1)).alias("_sets"))
+    mains = shares.groupBy("item").agg(F.max_by("component", F.struct("_sets", "component")).alias("_main"), F.count(F.lit(1)).alias("_kinds"))
+    met = rare.join(mains.where("_kinds > 1"), "item")
+    side = lambda df, s: df.select("item", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "most", "component", "place")])
+    room = f"(100 + {percent}) * least(a_n - a_place, b_n - b_place) >= {percent} * (a_n + b_n)"
+    allowed = (
+        side(met.where("component <> _main"), "a")
+        .join(side(met, "b"), "item")
+        .where("a_component <> b_component")
+        .where(_may_link(percent))
+        .where(room)
+    )
     pairs = cut_lineage(
         allowed.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
     )
