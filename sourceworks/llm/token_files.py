@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -36,53 +38,87 @@ FILE_SCHEMA = "doc_id bigint, part int, before bigint, n_tokens bigint, ids arra
 class ChunkEncoder:
     """Ids of texts, put together from the ids of their chunks.
 
-    Chunks are what stands between spaces, tabs and line ends. The tokenizer's
-    splitting never crosses white space, so the library gives a chunk the same ids
-    alone as inside its text. Chunks not seen before go to the library together,
-    with a mark between them that has one id of its own. Letters of plain ASCII
-    texts are lower-cased first, as the tokenizer does itself.
+    Chunks are what stands between spaces, tabs and line ends, without a comma or
+    full stop at their end. The tokenizer's splitting never crosses white space,
+    and parts a mark from the letter or digit before it, so the library gives a
+    chunk the same ids alone as inside its text. (In a text where a mark follows another one, chunks
+    keep their marks.) Chunks not seen before go to the library together, with a
+    sign between them that has one id of its own; words of small ASCII letters
+    skip its normalization and splitting, which leave them as they are.
     """
 
-    MARK, TOGETHER = "\x01", 100
+    SIGN, TOGETHER = "\x01", 100
 
     def __init__(self, vocabulary: bytes, limit: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel units
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_str(vocabulary.decode("utf-8"))
-        self._known: dict[str, bytes] = {"": b""}
+        text = vocabulary.decode("utf-8")
+        self._tokenizer = Tokenizer.from_str(text)
         self._limit = limit
-        self._mark = self._library(f" {self.MARK} ")
-        self._lower = np.array_equal(self._library("ABC Z"), self._library("abc z"))
-
-    def _library(self, text: str) -> np.ndarray:
-        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if self.MARK not in c and "<|" not in c] if len(self._mark) == 1 else []
-        for start in range(0, len(plain), self.TOGETHER):
-            some = plain[start : start + self.TOGETHER]
-            ids = self._library("".join(f"{c} {self.MARK} " for c in some))
+        self._known: dict[str, bytes] = {"": b""}
+        self._marked = re.compile(r"(?:[^\w\s]|_)[.,] ").search
+        sign = self._ids(self._tokenizer, f" {self.SIGN} ")
+        self._sign = sign[0] if len(sign) == 1 else None
+        big, small, parts, joint = (self._ids(self._tokenizer, t).tolist() for t in ("Abc 1", "abc 1", "abc , 1 .", "abc, 1."))
+        self._lower, self._part = big == small, parts == joint
+        self._words = None
+        if self._sign is not None:
+            plain = json.loads(text) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
+            self._words = Tokenizer.from_str(json.dumps(plain))
+            suffix = plain["model"].get("end_of_word_suffix") or ""
+            self._word_sign = self._tokenizer.id_to_token(int(self._sign)).removesuffix(suffix)
+
+    @staticmethod
+    def _ids(tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn_together(self, tokenizer, sign: str, chunks: list[str]) -> None:
+        for start in range(0, len(chunks), self.TOGETHER):
+            some = chunks[start : start + self.TOGETHER]
+            between = f" {sign} "
+            ids = self._ids(tokenizer, between.join(some) + between)
             raw, at = ids.tobytes(), 0
-            for chunk, end in zip(some, np.flatnonzero(ids == self._mark[0]).tolist(), strict=True):
+            for chunk, end in zip(some, np.flatnonzero(ids == self._sign).tolist(), strict=True):
                 self._known[chunk] = raw[at : 4 * end]
                 at = 4 * end + 4
-        for chunk in chunks if not plain else [c for c in chunks if self.MARK in c or "<|" in c]:
-            self._known[chunk] = self._library(chunk).tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        words, others = [], []
+        for chunk in chunks:
+            (words if chunk.isascii() and chunk.isalpha() and chunk.islower() else others).append(chunk)
+        if self._words is None:
+            words, others = [], words + others
+        alone = [c for c in others if self._sign is None or self.SIGN in c or "<|" in c]
+        self._learn_together(self._words, self._word_sign, words) if words else None
+        self._learn_together(self._tokenizer, self.SIGN, list(set(others).difference(alone)))
+        for chunk in alone:
+            self._known[chunk] = self._ids(self._tokenizer, chunk).tobytes()
+
+    def _chunks(self, text: str) -> list[str]:
+        if "<|" not in text:
+            if self._lower and text.isascii():
+                text = text.lower()
+            text = text.replace("\n", " ").replace("\t", " ")
+            if self._part and not self._marked(text):
+                text = text.replace(", ", " , ").replace(". ", " . ")
+        else:
+            text = text.replace("\n", " ").replace("\t", " ")
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, four little-endian bytes each."""
-        cased = [t.lower() if self._lower and t.isascii() and "<|" not in t else t for t in texts]
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in cased]
-        known = self._known
-        new: set[str] = set()
-        for chunks in split:
-            new.update(set(chunks).difference(known))
-        if len(known) + len(new) > self._limit:  # what these texts hold is kept, and so most of what is frequent
-            self._known = {c: known[c] for chunks in split for c in chunks if c in known} | {"": b""}
-        self._learn(list(new))
-        of = self._known.__getitem__
-        return [b"".join(map(of, chunks)) for chunks in split]
+        if len(self._known) > self._limit:
+            self._known = {"": b""}
+        of = self._known.get
+        split = [self._chunks(t) for t in texts]
+        found = [list(map(of, chunks)) for chunks in split]
+        gaps = [[i for i, ids in enumerate(row) if ids is None] if None in row else () for row in found]
+        self._learn({chunks[i] for chunks, places in zip(split, gaps, strict=True) for i in places})
+        for chunks, row, places in zip(split, found, gaps, strict=True):
+            for i in places:
+                row[i] = of(chunks[i])
+        return [b"".join(row) for row in found]
 
 
 _encoders = Memo(lambda content: ChunkEncoder(content), 4)
