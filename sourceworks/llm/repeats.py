@@ -19,6 +19,7 @@ LENGTH = 50
 SEED = 16  # bytes of a landmark
 HALF = (LENGTH - SEED) // 2
 BLOCK = 1 << 20  # suffixes worked on at a time
+SLICE_BYTES, RANGE_BYTES = 8 << 20, 24 << 20
 _POSITION = np.uint64((1 << 21) - 1)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 FILTER_BITS = 40
@@ -74,7 +75,7 @@ class Suffixes:
         )
 
     def _block(self, start: int, stop: int) -> np.ndarray:
-        span = stop - start + LENGTH + 8
+        span = stop - start + LENGTH + SEED  # a stem may start at the last byte but SEED of a suffix's reach
         return _words(np.ascontiguousarray(self.raw[start : start + span + 16]), span)
 
     def _runs(self, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,8 +120,8 @@ class Suffixes:
         np.maximum.at(high, place, ranks)
         return keys, low < high, place
 
-    def candidates(self, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes whose stem another document has, and their fingerprints."""
+    def candidates(self, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes whose stem another document has, their fingerprints, and whether a document elsewhere has the stem."""
         _, here, place = self.stems()
         chosen = np.flatnonzero((here | elsewhere)[place])
         first, count = self.first[chosen], self.count[chosen]
@@ -133,22 +134,21 @@ class Suffixes:
             if a < b:
                 words = self._block(start, min(start + BLOCK, self.size))
                 prints[a:b] = _prints(words, places[a:b] - start, LENGTH, 3)
-        return places, prints
+        return places, prints, np.repeat(elsewhere[place[chosen]], count)
 
 
-def suffix_order(suffixes: Suffixes, places: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes in an order where equal ones stand together, earlier documents first.
+def later_suffixes(suffixes: Suffixes, places: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Whether the longest previous factor of a suffix among the slice's documents has ``LENGTH`` bytes.
 
-    Returns the distinct fingerprints in order, each suffix's block of equal ones, and whether its longest
-    previous factor here has ``LENGTH`` bytes: whether the nearest suffix before or after it in
-    the order that belongs to a smaller document is in its block. As documents
-    ascend in a block, that is so unless it belongs to the block's first document.
+    In an order of suffixes where equal ones stand together, documents ascending,
+    the nearest suffix before or after it that belongs to a smaller document is
+    in its block of equal ones, unless it belongs to the block's first document.
     """
     keys, block = np.unique(prints, return_inverse=True)
     ranks = suffixes.rank_at(places)
     first = np.full(len(keys), np.iinfo(np.int64).max)
     np.minimum.at(first, block, ranks)
-    return keys, block, ranks > first[block]
+    return ranks > first[block]
 
 
 def removed_bytes(suffixes: Suffixes, places: np.ndarray) -> np.ndarray:
@@ -254,8 +254,8 @@ def _ask_suffixes(ranges: int):
         if not docs.num_rows:
             return _asked(key[0].as_py(), np.empty(0, np.uint64), 64, ranges)
         _, suffixes = _loaded(docs)
-        places, prints = suffixes.candidates(_flags(stems, len(suffixes.stems()[0])))
-        return _asked(key[0].as_py(), suffix_order(suffixes, places, prints)[0], 64, ranges)
+        _, prints, outside = suffixes.candidates(_flags(stems, len(suffixes.stems()[0])))
+        return _asked(key[0].as_py(), np.unique(prints[outside]), 64, ranges)
 
     return run
 
@@ -263,9 +263,11 @@ def _ask_suffixes(ranges: int):
 def _cut(left, right):
     stems, earlier = (right.filter(pc.equal(right.column("question"), q)) for q in (0, 1))
     docs, suffixes = _loaded(left)
-    places, prints = suffixes.candidates(_flags(stems, len(suffixes.stems()[0])))
-    keys, block, later = suffix_order(suffixes, places, prints)
-    gone = removed_bytes(suffixes, places[later | _flags(earlier, len(keys))[block]])
+    places, prints, outside = suffixes.candidates(_flags(stems, len(suffixes.stems()[0])))
+    later = later_suffixes(suffixes, places, prints)
+    keys, place = np.unique(prints[outside], return_inverse=True)
+    later[outside] |= _flags(earlier, len(keys))[place]
+    gone = removed_bytes(suffixes, places[later])
     sizes, spans, kept = [], [], []
     for start, end in zip(suffixes.starts.tolist(), suffixes.ends.tolist(), strict=True):
         here = gone[start:end]
@@ -285,7 +287,7 @@ def _cut(left, right):
     )
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, slice_bytes: int = SLICE_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Remove every byte of a string of ``LENGTH`` bytes that also starts in a document with a smaller id.
 
     Texts are taken as UTF-8 bytes; strings are judged on the input. Documents
@@ -298,8 +300,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Keys go out packed, once per slice however often they occur in it, so a
     passage that a third of all documents share is one key of each slice. Texts
-    are shuffled once, to their slices; a slice is a quantile of the documents, two
-    for each shuffle partition. Suffixes are told apart by 64-bit fingerprints.
+    are shuffled once, to their slices, which are quantiles of the documents of
+    about ``slice_bytes``; keys are compared in ranges of what ``range_bytes`` of text hold, so
+    the size of a task doesn't depend on that of the table. Suffixes are told
+    apart by 64-bit fingerprints.
 
     Columns: the columns of ``docs`` in the struct ``_given``, n_bytes, n_removed,
     spans (removed [start, end) byte ranges) and kept (remaining bytes). Null texts
@@ -309,26 +313,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     ship_package(spark)
-    slices = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = id_marks(docs, "doc_id", slices)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = size // range_bytes + 1
+    marks = id_marks(docs, "doc_id", size // slice_bytes + 1)
     placed = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         whole("text").alias("text"),
         F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c != "text"]).alias("_given"),
     ).withColumn("slice", slice_of("doc_id", marks, len(marks)))
     by_slice = placed.groupBy("slice")
-    asked = by_slice.applyInArrow(_ask_stems(slices), QUESTION)
+    asked = by_slice.applyInArrow(_ask_stems(ranges), QUESTION)
     stems = asked.groupBy("range").applyInArrow(_answered(False), ANSWER)
-    again = by_slice.cogroup(stems.groupBy("slice")).applyInArrow(_ask_suffixes(slices), QUESTION)
+    again = by_slice.cogroup(stems.groupBy("slice")).applyInArrow(_ask_suffixes(ranges), QUESTION)
     earlier = again.groupBy("range").applyInArrow(_answered(True), ANSWER)
     answers = stems.withColumn("question", F.lit(0)).unionByName(earlier.withColumn("question", F.lit(1)))
     out = StructType([placed.schema["_given"], *StructType.fromDDL(RESULT)])
     return by_slice.cogroup(answers.groupBy("slice")).applyInArrow(_cut, out)
 
 
-def repeat_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the sha256 of the remaining bytes."""
-    found = remove_repeats(docs.select("doc_id", "text"))
+def repeat_digests(docs: DataFrame, **sizes: int) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the sha256 of the remaining bytes; ``sizes`` as above."""
+    found = remove_repeats(docs.select("doc_id", "text"), **sizes)
     return found.select(
         F.col("_given.doc_id").alias("doc_id"),
         "n_bytes",

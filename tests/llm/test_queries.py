@@ -13,6 +13,7 @@ import tiktoken
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
+from sourceworks.llm import repeats
 from sourceworks.llm.queries import QUERIES
 
 from .conftest import by_id
@@ -140,6 +141,12 @@ def test_previous_factors(spark, folder, texts):
         assert (row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_sha256"]) == (len(data), sum(covered), spans, sha(kept))
 
 
+def test_previous_factors_over_many_slices(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    whole = by_id(repeats.repeat_digests(docs))
+    assert by_id(repeats.repeat_digests(docs, slice_bytes=40_000, range_bytes=90_000)) == whole
+
+
 def test_quality_rules(spark, folder, texts):
     found = by_id(named("op8_")(spark, folder))
     for doc_id, text in texts:
