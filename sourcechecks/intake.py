@@ -237,7 +237,7 @@ def archive_entries_query(spark, sf):
 @query("archive_rows", "select cast(c_custkey as varchar) as C_CUSTKEY, c_name as C_NAME from customer")
 def archive_rows(spark, sf):
     """Entries expanded to files, then read as flat files."""
-    return read_flat(spark, f"{_expanded(spark, sf)}/names_*.csv")
+    return read_flat(spark, f"{_expanded(spark, sf)}/*/names_*.csv")
 
 
 @query("folder_listing", f"select string_split(entry, '/')[-1] as file_name, 'Flat' as loader_type, length(content) as length from ({_ENTRIES})")
@@ -247,7 +247,7 @@ def folder_listing(spark, sf):
 
 @query(
     "backup_manifest",
-    f"select string_split(entry, '/')[-1] as file_name, length(content) as length, sha256(content) as checksum from ({_ENTRIES})",
+    f"select 'bundle' || n || '.zip/' || entry as file_name, length(content) as length, sha256(content) as checksum from ({_ENTRIES})",
 )
 def backup_manifest_query(spark, sf):
     return backup_manifest(spark, _expanded(spark, sf))
@@ -255,7 +255,7 @@ def backup_manifest_query(spark, sf):
 
 @query(
     "backup_files",
-    f"select string_split(entry, '/')[-1] as file_name, length(content) as length, sha256(content) as checksum from ({_ENTRIES})",
+    f"select 'bundle' || n || '.zip/' || entry as file_name, length(content) as length, sha256(content) as checksum from ({_ENTRIES})",
 )
 def backup_files_query(spark, sf):
     return backup_files(spark, _expanded(spark, sf), scratch_path(spark, "backup"))

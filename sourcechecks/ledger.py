@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,6 +10,7 @@ from sourceworks.operators import changes as C
 from sourceworks.operators import merge as G
 from sourceworks.operators import runs as R
 from sourceworks.schemas import catalog_schema, task_definitions
+from sourceworks.session import cut_lineage
 from sourceworks.sources.tables import append_seed, run_query
 from sourcechecks.inputs import derived, given, sql, with_tables
 from sourcechecks.registry import query
@@ -156,13 +158,14 @@ def text_search(spark, sf):
        from supplier""",
 )
 def natural_sort(spark, sf):
-    """Suppliers with their place, read off the sorted order."""
-    from sourceworks.functions.names import id_sort_key
-    from sourceworks.operators.ordering import number_by_sort
-
+    """Suppliers with their place: rows that the operator's own order leaves in earlier partitions, and before them in theirs."""
     ordered = R.natural_sort(given(spark, sf, "supplier").select("s_name"), "s_name", ascending=False)
-    keyed = ordered.withColumn("_key", -id_sort_key(F.col("s_name")))
-    return number_by_sort(keyed, [], ["_key", "s_name"], "place").select("s_name", "place")
+    placed = cut_lineage(ordered.withColumn("_seq", F.monotonically_increasing_id()))
+    part = F.shiftright("_seq", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    place = F.col("_before") + F.col("_seq").bitwiseAND((1 << 33) - 1) + 1
+    return placed.withColumn("_part", part).join(before, "_part").select("s_name", place.alias("place"))
 
 
 @query(
@@ -205,16 +208,18 @@ def last_run(spark, sf):
     return R.last_run(derived(spark, sf, "runs"), 42)
 
 
-_CLAIMS = "select event_id as run_id, min(user_id) as user_oid from {events} group by event_id"
+# Claims: about three for each run that is claimed at all.
+_CLAIMS = "select event_id as claim_id, cast(floor(event_id / 3) as bigint) as run_id, user_id as user_oid from {events}"
+_FIRST = "first as (select run_id, min(claim_id) as claim_id, min_by(user_oid, claim_id) as user_oid from claims group by run_id)"
 
 
 @query(
     "claimed_runs",
     with_tables(
         "runs",
-        f"""claims as ({_CLAIMS.format(events="events")}),
-            j as (select r.*, c.user_oid as u, c.user_oid is not null and r.operation_state = 'Ready' as taken
-                  from runs r left join claims c on c.run_id = r.run_id)
+        f"""claims as ({_CLAIMS.format(events="events")}), {_FIRST},
+            j as (select r.*, c.user_oid as u, c.claim_id is not null and r.operation_state = 'Ready' as taken
+                  from runs r left join first c on c.run_id = r.run_id)
             select run_id, workflow_operation, if(taken, 'Active', operation_state) as operation_state,
                    if(taken and workflow_operation = 'collection', u, collection_user_oid) as collection_user_oid,
                    if(taken and workflow_operation = 'load', u, load_user_oid) as load_user_oid,
@@ -231,12 +236,13 @@ def claimed_runs(spark, sf):
     "rejected_claims",
     with_tables(
         "runs",
-        f"""claims as ({_CLAIMS.format(events="events")})
-            select run_id, user_oid from claims where run_id not in (select run_id from runs where operation_state = 'Ready')""",
+        f"""claims as ({_CLAIMS.format(events="events")}), {_FIRST}
+            select claim_id, run_id, user_oid from claims
+            where claim_id not in (select claim_id from first where run_id in (select run_id from runs where operation_state = 'Ready'))""",
     ),
 )
 def rejected_claims(spark, sf):
-    return R.claim_runs(derived(spark, sf, "runs"), sql(spark, sf, _CLAIMS))[1].select("run_id", "user_oid")
+    return R.claim_runs(derived(spark, sf, "runs"), sql(spark, sf, _CLAIMS))[1].select("claim_id", "run_id", "user_oid")
 
 
 # Templates: four per nation, with one to five steps.
@@ -265,9 +271,9 @@ _STEPS_SQL = _TEMPLATE_TASKS.format(nation="nation", g="range(0, 4) a(g)", s="ra
     "new_run_tasks",
     with_tables(
         "runs sources",
-        f"""claims as ({_CLAIMS.format(events="events")}), steps as ({_STEPS_SQL})
+        f"""claims as ({_CLAIMS.format(events="events")}), {_FIRST}, steps as ({_STEPS_SQL})
             select r.run_id, t.task_id, 'Waiting' as task_status, t.parent_task as parent_task_id, t.parent_task_order, r.workflow_operation
-            from runs r join claims c on c.run_id = r.run_id join sources s on r.ds_id = s.ds_id
+            from runs r join first c on c.run_id = r.run_id join sources s on r.ds_id = s.ds_id
             join steps t on t.pipeline_id = {_CHOSEN} where r.operation_state = 'Ready'""",
     ),
 )
@@ -294,13 +300,23 @@ def template_steps(spark, sf):
     return R.template_steps(templates, task_definitions(spark), names)
 
 
+@query("label_rows", "select user_id, event_type, cast(count(*) as int) as label_rows from events group by all")
+def label_rows(spark, sf):
+    return R.label_counts(given(spark, sf, "events"), "user_id", "event_type")
+
+
+_LABELS = ("click", "error", "purchase", "signup", "view")
+
+
 @query(
     "label_stats",
-    """select user_id, '{' || string_agg('"' || event_type || '":' || n, ',' order by event_type) || '}' as plotting_stats_json
+    f"""select user_id, coalesce('{{' || string_agg('"' || event_type || '":' || n, ',' order by event_type) filter (where event_type in {_LABELS})
+               || '}}', '{{}}') as plotting_stats_json
        from (select user_id, event_type, count(*) as n from events group by all) group by user_id""",
 )
 def label_stats(spark, sf):
-    return R.label_counts(given(spark, sf, "events"), "user_id", "event_type").select("user_id", "plotting_stats_json")
+    counts = R.label_counts(given(spark, sf, "events"), "user_id", "event_type")
+    return R.label_maps(counts, "user_id", "event_type", _LABELS).select("user_id", "plotting_stats_json")
 
 
 _SPARSE = """select event_id, user_id + 1 as pr_task_id, case event_id % 4
@@ -334,12 +350,12 @@ def sparse_update(spark, sf):
     "status_update",
     with_tables(
         "tasks",
-        """select t.pr_task_id, coalesce(upper(e.event_type), t.task_status) as task_status from tasks t
-           left join events e on e.event_id = t.pr_task_id""",
+        """last as (select user_id + 1 as id, max_by(upper(event_type), event_id) as status from events group by all)
+           select t.pr_task_id, coalesce(l.status, t.task_status) as task_status from tasks t left join last l on l.id = t.pr_task_id""",
     ),
 )
 def status_update(spark, sf):
-    new = sql(spark, sf, "select event_id as pr_task_id, upper(event_type) as task_status from {events}")
+    new = sql(spark, sf, "select user_id + 1 as pr_task_id, event_id as sequence, upper(event_type) as task_status from {events}")
     return C.set_status(derived(spark, sf, "tasks"), new, "pr_task_id").select("pr_task_id", "task_status")
 
 
@@ -367,7 +383,7 @@ def parameter_query(spark, sf):
     return run_query(
         spark,
         """select o_orderkey, o_orderstatus from sourceworks_orders
-           where array_contains(:priorities, o_orderpriority) and o_custkey < :top""",
+           where o_orderpriority in (:priorities) and o_custkey < :top""",
         {"priorities": ["1-URGENT", "5-LOW"], "top": 500},
     )
 
@@ -387,13 +403,11 @@ def seed_load(spark, sf):
     return append_seed(target, seed, "action_id", ["name"]).select("action_id", "role", "name")
 
 
-@query(
-    "exclusive_merge",
-    "select o_orderkey, o_custkey from orders where year(o_orderdate) in (1995, 1996)",
-)
+@query("exclusive_merge", "select o_orderkey, o_custkey from orders")
 def exclusive_merge(spark, sf):
-    orders = given(spark, sf, "orders").withColumn("year", F.year("o_orderdate")).select("o_orderkey", "o_custkey", "year")
-    return G.merge_exclusive(orders.where("year = 1995"), orders.where("year = 1996"), ["o_orderkey"]).drop("year")
+    """Orders of odd years and of even ones, which have no key in common."""
+    orders = given(spark, sf, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
+    return G.merge_exclusive(orders.where("year % 2 = 1"), orders.where("year % 2 = 0"), ["o_orderkey"]).drop("year")
 
 
 @query(
@@ -410,12 +424,12 @@ def intersect_merge(spark, sf):
 
 @query(
     "match_counts",
-    """with p as (select o_custkey as k from orders where o_orderstatus = 'F' and o_totalprice > 400000),
+    """with p as (select o_custkey * 2 as k from orders),
             s as (select user_id as k from events)
        select (select count(*) from p) as production_count, (select count(*) from s) as staging_count,
               (select count(*) from s where k in (select k from p)) as match_count,
               (select count(*) from s where k not in (select k from p)) as new_count""",
 )
 def match_counts(spark, sf):
-    production = given(spark, sf, "orders").where("o_orderstatus = 'F' and o_totalprice > 400000").select(F.col("o_custkey").alias("k"))
+    production = given(spark, sf, "orders").select((F.col("o_custkey") * 2).alias("k"))
     return G.match_counts(production, given(spark, sf, "events").select(F.col("user_id").alias("k")), ["k"])

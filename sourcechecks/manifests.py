@@ -12,23 +12,8 @@ from sourceworks.schemas import file_types
 from sourcechecks.inputs import derived, given, sql, with_tables
 from sourcechecks.registry import query
 
-_LIST_ITEM = """st_oid || ':' || table_name || ':' || coalesce(sub_table, '-') || ':' || coalesce(left(delimiter, 1), ',')
-                || ':' || qualified"""
-
-
-def _rendered(lists):
-    item = F.transform(
-        "tables",
-        lambda t: F.concat_ws(
-            ":",
-            t["st_oid"].cast("string"),
-            t["table_name"],
-            F.coalesce(t["sub_table"], F.lit("-")),
-            t["delimiter"],
-            t["qualified"].cast("string"),
-        ),
-    )
-    return lists.select("run_id", "file_name", "part", F.array_join(item, ";").alias("tables"))
+_OPTIONS = "st_oid, table_name, sub_table, coalesce(left(delimiter, 1), ',') as delimiter, qualified"
+_PLACE = "row_number() over (partition by run_id, file_name order by st_oid) as position"
 
 
 @query(
@@ -41,75 +26,60 @@ def run_manifest(spark, sf):
 
 @query(
     "manifest_by_file",
-    with_tables(
-        "manifest",
-        f"""select run_id, file_name, cast(0 as bigint) as part,
-                   string_agg({_LIST_ITEM}, ';' order by st_oid) as tables
-            from manifest where analyze_table group by run_id, file_name""",
-    ),
+    with_tables("manifest", f"select run_id, file_name, {_PLACE}, {_OPTIONS} from manifest where analyze_table"),
 )
 def manifest_by_file(spark, sf):
-    return _rendered(M.files_with_tables(derived(spark, sf, "manifest"), "analyze_table"))
+    return M.files_with_tables(derived(spark, sf, "manifest"), "analyze_table")
 
 
 @query(
     "manifest_by_file_parts",
-    with_tables(
-        "manifest",
-        f"""placed as (select *, (row_number() over (partition by run_id, file_name order by st_oid) - 1) // 3 as part
-                       from manifest)
-            select run_id, file_name, cast(part as bigint) as part,
-                   string_agg({_LIST_ITEM}, ';' order by st_oid) as tables
-            from placed group by run_id, file_name, part""",
-    ),
+    """with m as (select o_orderkey as st_oid, o_custkey % 3 as run_id, 'one.mdb' as file_name, o_orderpriority as table_name from orders)
+       select run_id, file_name, row_number() over (partition by run_id order by st_oid) as position, st_oid, table_name from m""",
 )
 def manifest_by_file_parts(spark, sf):
-    return _rendered(M.files_with_tables(derived(spark, sf, "manifest"), part_size=3))
+    """Three files that hold all tables, however many there are."""
+    rows = given(spark, sf, "orders").selectExpr(
+        "o_orderkey as st_oid", "o_custkey % 3 as run_id", "'one.mdb' as file_name", "o_orderpriority as table_name",
+        "cast(null as string) as sub_table", "cast(null as string) as delimiter", "true as qualified",
+    )
+    return M.files_with_tables(rows).select("run_id", "file_name", "position", "st_oid", "table_name")
 
 
-@query(
-    "ddl_text",
-    with_tables(
-        "manifest columns",
-        """select m.st_oid, m.table_name, cast(0 as bigint) as part,
-                  'CREATE table ' || m.table_name || ' (' || string_agg(c.name, ' text,' order by c.column_index)
-                  || ' text)' as definition
-           from manifest m join columns c on m.st_oid = c.st_oid group by m.st_oid, m.table_name""",
-    ),
-)
+_DDL = """select m.st_oid, m.table_name,
+                 'CREATE table ' || m.table_name || ' (' || string_agg(c.name, ' text,' order by c.column_index)
+                 || ' text)' as definition
+          from manifest m join {columns} c on m.st_oid = c.st_oid group by m.st_oid, m.table_name"""
+
+
+@query("ddl_text", with_tables("manifest columns", _DDL.format(columns="columns")))
 def ddl_text(spark, sf):
     return M.table_definitions(derived(spark, sf, "manifest"), derived(spark, sf, "columns"))
 
 
 @query(
     "ddl_text_parts",
-    with_tables(
-        "manifest columns",
-        """select m.st_oid, m.table_name,
-                  'CREATE table ' || m.table_name || ' (' || string_agg(c.name, ' text,' order by c.column_index)
-                  || ' text)' as definition
-           from manifest m join columns c on m.st_oid = c.st_oid group by m.st_oid, m.table_name""",
-    ),
+    with_tables("manifest columns", _DDL.format(
+        columns="(select st_oid, name || '_' || k as name, column_index * 3 + k as column_index from columns, range(0, 3) r(k))")),
 )
 def ddl_text_parts(spark, sf):
-    parts = M.table_definitions(derived(spark, sf, "manifest"), derived(spark, sf, "columns"), part_size=2)
-    pieces = F.array_sort(F.collect_list(F.struct("part", "definition")))
-    whole = parts.groupBy("st_oid", "table_name").agg(pieces.alias("p"))
-    return whole.select(
-        "st_oid", "table_name", F.array_join(F.transform("p", lambda x: x["definition"]), "").alias("definition")
+    """Definitions of tables three times as wide."""
+    columns = derived(spark, sf, "columns").withColumn("_k", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    wide = columns.withColumns(
+        {"name": F.concat_ws("_", "name", F.col("_k").cast("string")), "column_index": F.col("column_index") * 3 + F.col("_k")}
     )
+    return M.table_definitions(derived(spark, sf, "manifest"), wide.drop("_k"))
 
 
 @query(
     "files_to_load",
     with_tables(
         "manifest columns",
-        f"""select run_id, file_name, cast(0 as bigint) as part, string_agg({_LIST_ITEM}, ';' order by st_oid) as tables
-            from manifest where load and st_oid in (select st_oid from columns) group by run_id, file_name""",
+        f"select run_id, file_name, {_PLACE}, {_OPTIONS} from manifest where load and st_oid in (select st_oid from columns)",
     ),
 )
 def files_to_load(spark, sf):
-    return _rendered(M.files_to_load(derived(spark, sf, "manifest"), derived(spark, sf, "columns")))
+    return M.files_to_load(derived(spark, sf, "manifest"), derived(spark, sf, "columns"))
 
 
 @query(
@@ -127,7 +97,7 @@ def manifest_counts(spark, sf):
 
 _FOUND = """select l_suppkey * 15 + l_linenumber as run_id, concat('f', l_partkey % 3, '.', case l_orderkey % 4
                 when 0 then 'csv' when 1 then 'XLSX' when 2 then 'mdb' else 'dbf' end) as file_name
-            from {lineitem} where l_shipdate < '1998-01-01' and l_returnflag <> 'N'"""
+            from {lineitem}"""
 _COMPARED = f"""found as ({_FOUND.format(lineitem="lineitem")}),
     e as (select run_id, file_name, max_by(collect_type, st_oid) as collect_type, count(*) as n from manifest group by all),
     f as (select run_id, file_name, count(*) as n from found group by all),
@@ -173,9 +143,9 @@ def file_followups(spark, sf):
     "extra_files",
     with_tables(
         "manifest",
-        f"""{_COMPARED} select run_id, cast(0 as bigint) as part,
-               'Found extra files that could be added to source tables. ' || string_agg(file_name, ', ' order by file_name) as message
-            from compared where status = 'extra' group by run_id""",
+        f"""{_COMPARED} select run_id, row_number() over (partition by run_id order by file_name) as position, file_name,
+               file_name || ' arrived but no source table asks for it' as message
+            from compared where status = 'extra'""",
     ),
 )
 def extra_files(spark, sf):
@@ -288,9 +258,9 @@ def flag_update(spark, sf):
     return M.set_flags(derived(spark, sf, "manifest"), keys, "st_oid", {"load": False}).select("st_oid", "load")
 
 
-# Changes: every event changes the order with its number, asked for by its user.
+# Changes: up to four events change one manifest row, each asked for by its user.
 _CHANGES = """select event_id as change_id, case when event_id % 5 = 0 then 'insert' when event_id % 3 = 0 then 'delete' else 'update' end as op,
-        user_id as user_oid, if(event_id % 5 = 0, null, event_id * 2) as st_oid, event_id % 1500 as run_id,
+        user_id as user_oid, if(event_id % 5 = 0, null, (event_id - event_id % 4) * 2) as st_oid, event_id % 1500 as run_id,
         concat('NEW_', event_id) as table_name, concat('F', event_id) as file_id, 'n.csv' as file_name, '  ' as sub_table,
         'Flat' as loader_type, '|' as delimiter, true as qualified, 'utf8' as encoding, cast(null as {text}) as url,
         event_type as comments, 'FOI' as collect_type, false as analyze_table, true as load from {events}"""
@@ -312,11 +282,13 @@ def _guarded(spark, sf):
     "guarded_changes",
     with_tables(
         "manifest",
-        f"""{_JUDGED} select m.st_oid, m.run_id, if(j.op is null, m.table_name, j.table_name) as table_name,
+        f"""{_JUDGED}, last as (select * from judged where may and op <> 'insert'
+                  qualify row_number() over (partition by st_oid order by op = 'delete' desc, change_id desc) = 1)
+           select m.st_oid, m.run_id, if(j.op is null, m.table_name, j.table_name) as table_name,
                   if(j.op is null, m.file_name, j.file_name) as file_name,
                   if(j.op is null, m.sub_table, null) as sub_table, if(j.op is null, m.delimiter, j.delimiter) as delimiter,
                   if(j.op is null, m.comments, j.comments) as comments, if(j.op is null, m.load, j.load) as load
-           from manifest m left join judged j on j.st_oid = m.st_oid and j.may and j.op <> 'insert'
+           from manifest m left join last j on j.st_oid = m.st_oid
            where coalesce(j.op, '') <> 'delete'
            union all select null, run_id, table_name, file_name, null, delimiter, comments, load from judged where may and op = 'insert'""",
     ),

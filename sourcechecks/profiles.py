@@ -130,14 +130,15 @@ def profile_drift(spark, sf):
     "profile_finish",
     with_tables(
         "manifest",
-        """counts as (select l_orderkey + 1 as st_oid, count(*) as n from lineitem group by all)
+        """counts as (select st_oid, max(n) as n from (
+                   select l_orderkey + 1 as st_oid, l_returnflag, count(*) as n from lineitem group by all) group by st_oid)
            select m.st_oid, if(c.n is null, m.analyze_table, false) as analyze_table,
                   cast(coalesce(c.n, m.record_count) as int) as record_count
            from manifest m left join counts c on m.st_oid = c.st_oid""",
     ),
 )
 def profile_finish(spark, sf):
-    counts = given(spark, sf, "lineitem").groupBy((F.col("l_orderkey") + 1).alias("st_oid")).agg(
+    counts = given(spark, sf, "lineitem").groupBy((F.col("l_orderkey") + 1).alias("st_oid"), "l_returnflag").agg(
         F.count(F.lit(1)).alias("record_count")
     )
     return P.finish_profile(derived(spark, sf, "manifest"), counts).select("st_oid", "analyze_table", "record_count")
@@ -147,15 +148,19 @@ def profile_finish(spark, sf):
     "profile_ids",
     with_tables(
         "manifest columns",
-        """select m.file_name, m.table_name, m.st_oid, c.name, c.max_length
-           from manifest m join columns c on m.st_oid = c.st_oid""",
+        """both_runs as (select run_id, st_oid, file_name, table_name from manifest
+                         union all select run_id + 1000000, st_oid + 1000000000, file_name, table_name from manifest)
+           select b.run_id, b.file_name, b.table_name, b.st_oid, c.name, c.max_length
+           from both_runs b join columns c on b.st_oid % 1000000000 = c.st_oid""",
     ),
 )
 def profile_ids(spark, sf):
-    columns = derived(spark, sf, "columns")
-    manifest = derived(spark, sf, "manifest")
-    found = columns.join(manifest.select("st_oid", "file_name", "table_name"), "st_oid").drop("st_oid")
-    return P.attach_table_ids(found, manifest).select("file_name", "table_name", "st_oid", "name", "max_length")
+    """Profiles of a manifest and of its copy in later runs, which has the same files and tables."""
+    first = derived(spark, sf, "manifest").select("run_id", "st_oid", "file_name", "table_name")
+    manifest = first.unionByName(first.withColumns({"run_id": F.col("run_id") + 1_000_000, "st_oid": F.col("st_oid") + 1_000_000_000}))
+    columns = derived(spark, sf, "columns").select(F.col("st_oid").alias("_id"), "name", "max_length")
+    found = manifest.join(columns, F.col("st_oid") % 1_000_000_000 == F.col("_id")).drop("st_oid", "_id")
+    return P.attach_table_ids(found, manifest).select("run_id", "file_name", "table_name", "st_oid", "name", "max_length")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sourceworks.operators import tree as T
 from sourceworks.operators.runs import user_has_run
 from sourceworks.schemas import TASK_DEFINITIONS, task_definitions
-from sourcechecks.inputs import derived, given, with_tables
+from sourcechecks.inputs import derived, given, sql, with_tables
 from sourcechecks.registry import query
 
 _DEFINITIONS = "defs as (select * from (values " + ", ".join(
@@ -187,3 +187,23 @@ def reset_rows(spark, sf):
     allowed = user_has_run(pairs, derived(spark, sf, "users"), derived(spark, sf, "task_runs")).where("has_run")
     reset = T.reset_tasks(tasks, asked, allowed)
     return reset.select("pr_task_id", "run_id", "task_status", "task_start", "task_message")
+
+
+
+# Chains of up to 1,500 tasks, each the only child of the one before.
+_CHAINS = """select cast(floor(o_orderkey / 1500) as bigint) as run_id, o_orderkey + 1 as pr_task_id,
+        if(o_orderkey % 1500 = 0, 0, o_orderkey) as parent_task_id, 1 as parent_task_order from {orders}"""
+
+
+@query(
+    "deep_tree_order",
+    f"""with chains as ({_CHAINS.format(orders="orders")}),
+            top as (select run_id, pr_task_id, parent_task_id,
+                    sum(if(parent_task_id = 0 or parent_task_id not in (select pr_task_id from chains), 1, 0))
+                    over (partition by run_id order by pr_task_id) as piece from chains),
+            rooted as (select run_id, piece from top group by all having bool_or(parent_task_id = 0))
+        select t.run_id, t.pr_task_id, row_number() over (partition by t.run_id order by t.pr_task_id) as task_order
+        from top t join rooted r on r.run_id = t.run_id and r.piece = t.piece""",
+)
+def deep_tree_order(spark, sf):
+    return T.tree_order(sql(spark, sf, _CHAINS))

@@ -100,7 +100,7 @@ def display_label(name: Column) -> Column:
     """snake_case to words that start with a capital, the rest unchanged."""
     words = F.transform(
         F.split(F.replace(name, F.lit("_"), F.lit(" ")), " "),
-        lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000)),
+        lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))),
     )
     return F.array_join(words, " ")
 

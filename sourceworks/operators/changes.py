@@ -38,9 +38,11 @@ def sparse_update(table: DataFrame, changes: DataFrame, key: str, updatable: Seq
     return joined.withColumns(changed).select(*table.columns)
 
 
-def set_status(table: DataFrame, statuses: DataFrame, key: str, column: str = "task_status") -> DataFrame:
-    """Set one column by key; ``statuses`` has (key, column), one row per key."""
-    new = statuses.select(key, F.col(column).alias("_new"))
+def set_status(
+    table: DataFrame, statuses: DataFrame, key: str, column: str = "task_status", sequence: str = "sequence"
+) -> DataFrame:
+    """Set one column by key; ``statuses`` has (key, column, sequence), of which the last of a key counts."""
+    new = statuses.groupBy(key).agg(F.max_by(column, sequence).alias("_new"))
     return (
         table.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).select(*table.columns)
     )

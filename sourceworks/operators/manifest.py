@@ -16,7 +16,7 @@ from sourceworks.functions.names import (
     url_file_name,
 )
 from sourceworks.functions.values import blank_to_null
-from sourceworks.operators.ordering import PART_SIZE, number_by_sort, number_in_groups, ordered_parts
+from sourceworks.operators.ordering import number_by_sort, number_in_groups
 
 MANIFEST_VIEW = [
     "st_oid", "table_name", "file_id", "file_name", "sub_table", "delimiter", "qualified", "encoding",
@@ -45,47 +45,38 @@ def manifest_counts(runs: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def files_with_tables(
-    manifest: DataFrame, flag: str | None = None, part_size: int = PART_SIZE
-) -> DataFrame:
-    """A4/A5 (P8): read options of every flagged sub table, in id order, per run and file."""
+def files_with_tables(manifest: DataFrame, flag: str | None = None) -> DataFrame:
+    """A4/A5 (P8): read options of every flagged sub table, with its position in id order in its run's file.
+
+    One row per sub table: a file may have any number of them.
+    """
     chosen = manifest.where(F.col(flag)) if flag else manifest
-    numbered = number_in_groups(chosen, ["run_id", "file_name"], "st_oid", "_position")
-    item = F.struct(
-        "st_oid",
-        "table_name",
-        "sub_table",
-        delimiter_char(F.col("delimiter")).alias("delimiter"),
-        "qualified",
+    numbered = number_in_groups(chosen, ["run_id", "file_name"], "st_oid", "position")
+    delimiter = delimiter_char(F.col("delimiter")).alias("delimiter")
+    return numbered.select(
+        "run_id", "file_name", "position", "st_oid", "table_name", "sub_table", delimiter, "qualified"
     )
-    return ordered_parts(numbered, ["run_id", "file_name"], "_position", item, "tables", part_size)
 
 
-def table_definitions(
-    manifest: DataFrame, columns: DataFrame, part_size: int = PART_SIZE
-) -> DataFrame:
+def table_definitions(manifest: DataFrame, columns: DataFrame) -> DataFrame:
     """The text-table definition of each manifest row that has a profile.
 
-    One row per table (part 0); a list over ``part_size`` columns goes on in
-    further parts, which concatenate to the definition.
+    A definition lists the columns of one table, so its length is bounded by the table's width.
     """
-    key = ["st_oid", "table_name"]
-    numbered = number_in_groups(
-        columns.select("st_oid", "name", "column_index"), ["st_oid"], "column_index", "_position", total="_columns"
-    ).join(manifest.select(*key), "st_oid")
-    item = F.struct("name", "_columns")
-    lists = ordered_parts(numbered, key, "_position", item, "_items", part_size)
-    last = (F.col("part") + 1) * part_size >= F.col("_items")[0]["_columns"]
-    head = F.when(F.col("part") == 0, F.concat(F.lit("CREATE table "), "table_name", F.lit(" ("))).otherwise("")
-    body = F.array_join(F.transform("_items", lambda i: F.concat(i["name"], F.lit(" text"))), ",")
-    tail = F.when(last, ")").otherwise(",")
-    return lists.select(*key, "part", F.concat(head, body, tail).alias("definition"))
-
-
-def files_to_load(manifest: DataFrame, columns: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("column_index", "name")))
+    lists = columns.groupBy("st_oid").agg(ordered.alias("_columns"))
+    body = F.array_join(F.transform("_columns", lambda c: F.concat(c["name"], F.lit(" text"))), ",")
+    # The words of the statement.
+    definition = F.concat(F.lit("CREATE table "), "table_name", F.lit(" ("), body, F.lit(")"))
+    return manifest.select("st_oid", "table_name").join(lists, "st_oid").select(
+        "st_oid", "table_name", definition.alias("definition")
+    )
+
+
+def files_to_load(manifest: DataFrame, columns: DataFrame) -> DataFrame:
     """J10 (P8): loadable tables per run and file; tables without a profile drop out."""
     profiled = manifest.join(columns.select("st_oid"), "st_oid", "left_semi")
-    return files_with_tables(profiled, "load", part_size)
+    return files_with_tables(profiled, "load")
 
 
 def compare_files(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -93,39 +84,19 @@ def compare_files(expected: DataFrame, found: DataFrame) -> DataFrame:
 
     Both sides collapse to one row per name in a single pre-combined aggregate,
     which does the work of a full outer join; repeated names are counted, and the
-    collect type comes from the expected row with the greatest id. Id and place of
-    the type travel as one number, so that the aggregate hashes instead of sorting.
+    collect type comes from the expected row with the greatest id.
     """
-    kinds = F.array(*[F.lit(kind) for kind in schemas.FILE_COLLECT_TYPES])
-    base = len(schemas.FILE_COLLECT_TYPES) + 1
-    place = F.coalesce(F.array_position(kinds, F.col("collect_type")), F.lit(0).cast("bigint"))
-    wanted = expected.select(
-        "run_id",
-        "file_name",
-        (F.col("st_oid") * base + place).alias("want"),
-        F.lit(1).alias("e"),
-        F.lit(0).alias("f"),
-    )
-    arrived = found.select(
-        "run_id", "file_name", F.lit(None).cast("bigint").alias("want"), F.lit(0).alias("e"), F.lit(1).alias("f")
-    )
-    merged = wanted.unionByName(arrived).groupBy("run_id", "file_name").agg(
-        F.max("want").alias("_want"),
+    wanted = expected.select("run_id", "file_name", "st_oid", "collect_type", F.lit(1).alias("e"), F.lit(0).alias("f"))
+    arrived = found.select("run_id", "file_name", F.lit(0).alias("e"), F.lit(1).alias("f"))
+    merged = wanted.unionByName(arrived, allowMissingColumns=True).groupBy("run_id", "file_name").agg(
+        F.max_by("collect_type", "st_oid").alias("collect_type"),
         F.sum("e").alias("expected_rows"),
         F.sum("f").alias("found_rows"),
     )
     status = (
         F.when(F.col("found_rows") == 0, "missing").when(F.col("expected_rows") == 0, "extra").otherwise("present")
     )
-    last_place = (F.col("_want") % base).cast("int")
-    return merged.select(
-        "run_id",
-        "file_name",
-        F.when(last_place > 0, F.get(kinds, last_place - 1)).alias("collect_type"),
-        "expected_rows",
-        "found_rows",
-        status.alias("status"),
-    )
+    return merged.select("run_id", "file_name", "collect_type", "expected_rows", "found_rows", status.alias("status"))
 
 
 def follow_up_tasks(compared: DataFrame, scanned_before: DataFrame) -> DataFrame:
@@ -171,18 +142,12 @@ def follow_up_tasks(compared: DataFrame, scanned_before: DataFrame) -> DataFrame
     )
 
 
-def extra_file_messages(compared: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """sorted names of extra files as message text per run; long lists go on in further parts."""
+def extra_file_messages(compared: DataFrame) -> DataFrame:
+    """a message for every extra file of a run, in order of names; one row per file."""
     extra = compared.where("status = 'extra'").select("run_id", "file_name")
-    numbered = number_by_sort(extra, ["run_id"], ["file_name"], "_position")
-    lists = ordered_parts(numbered, ["run_id"], "_position", F.col("file_name"), "_names", part_size)
-    return lists.select(
-        "run_id",
-        "part",
-        F.concat(
-            F.lit("Found extra files that could be added to source tables. "), F.array_join("_names", ", ")
-        ).alias("message"),
-    )
+    numbered = number_by_sort(extra, ["run_id"], ["file_name"], "position")
+    message = F.concat("file_name", F.lit(" arrived but no source table asks for it"))
+    return numbered.select("run_id", "position", "file_name", message.alias("message"))
 
 
 def repair_manifest(manifest: DataFrame, file_types: DataFrame) -> DataFrame:
@@ -268,8 +233,9 @@ def fetch_route(url: Column) -> Column:
 def apply_guarded(manifest: DataFrame, changes: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Apply insert, update and delete rows that their user may make.
 
-    ``changes`` has (change_id, op, user_oid, st_oid, run_id, new values), at most
-    one row per existing ``st_oid``; ``allowed`` is the subset of (user_oid,
+    ``changes`` has (change_id, op, user_oid, st_oid, run_id, new values). Of several
+    accepted changes to a row a delete wins, else the update with the greatest
+    change_id; ``allowed`` is the subset of (user_oid,
     run_id) that may be changed. Returns the new manifest and the rejected
     changes with a reason. Updates and deletes are judged by the run the row is
     in, not by the run the change names.
@@ -289,8 +255,9 @@ def apply_guarded(manifest: DataFrame, changes: DataFrame, allowed: DataFrame) -
         {c: blank_to_null(F.col(c)) for c in ("sub_table", "delimiter", "comments") if c in changes.columns}
     )
     edits = [c for c in EDITABLE if c in changes.columns]
-    touched = cleaned.where("op != 'insert'").select(
-        "st_oid", "op", *[F.col(c).alias(f"_new_{c}") for c in edits]
+    last = F.max_by(F.struct("op", *edits), F.struct((F.col("op") == "delete").alias("gone"), "change_id"))
+    touched = cleaned.where("op != 'insert'").groupBy("st_oid").agg(last.alias("_last")).select(
+        "st_oid", "_last.op", *[F.col(f"_last.{c}").alias(f"_new_{c}") for c in edits]
     )
     current = (
         manifest.join(touched, "st_oid", "left")

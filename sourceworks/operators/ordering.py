@@ -1,118 +1,72 @@
-"""Numbering and ordered lists that survive a group holding most of the rows.
+"""Numbering and previous rows that survive a group holding most of the rows.
 
 A plain ``row_number() over (partition by group ...)`` puts a whole group in one
-task. Here a group is first cut into slices of bounded size, rows are numbered
-inside a slice and the sizes of the earlier slices (a small table) are added.
+task. Here rows are range-partitioned on (group, order) and sorted; a row's number is its place in
+the sorted partition plus the group's rows in earlier partitions, which are a
+table of at most one row per group and partition, however the keys are spread.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceworks.session import cut_lineage
 
-SLICE_SPAN = 1_000_000
-PART_SIZE = 10_000
 
+def _ranged(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` with ``_seq``, its place in the order of (group, order), ``_slice``, its partition, and ``_group``.
 
-def _keyed(df: DataFrame, group: Sequence[str]) -> DataFrame:
-    """The group columns as one struct: it is never null itself, and null members are equal.
-
-    Window and join can thus use the same plain key, so the numbered rows are
-    shuffled once.
+    The sorted rows are written once, because range bounds come from a sample and
+    must not change between two uses. The group columns become one struct: it is
+    never null itself, and null members are equal.
     """
-    return df.withColumn("_group", F.struct(*group) if group else F.struct(F.lit(0).alias("all")))
-
-
-def _offsets(sizes: DataFrame, total: str | None) -> list[Column]:
-    """Rows before each slice of a group, and rows of the group, from slice sizes."""
-    earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    columns = [F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")]
-    if total:
-        columns.append(F.sum("_size").over(Window.partitionBy("_group")).alias(total))
-    return columns
+    placed = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    written = cut_lineage(placed.withColumn("_seq", F.monotonically_increasing_id()))
+    return written.withColumns(
+        {
+            "_slice": F.shiftright("_seq", 33),
+            "_group": F.struct(*group) if group else F.struct(F.lit(0).alias("all")),
+        }
+    )
 
 
-def number_in_groups(
-    df: DataFrame,
-    group: Sequence[str],
-    key: str,
-    out: str,
-    total: str | None = None,
-    span: int = SLICE_SPAN,
+def number_by_sort(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, total: str | None = None
 ) -> DataFrame:
-    """Row number per group in order of ``key``, an integer that is unique in its group.
+    """Row number (from 1) per group in order of any sortable columns.
 
-    A slice covers ``span`` key values, so it never has more than ``span`` rows.
-    ``total`` names an optional column with the size of the group. ``df`` is read
-    twice, the second time only its group and key columns.
+    The last order column should make rows unique: equal rows are numbered in no
+    set order. ``total`` names an optional column with the size of the group.
     """
-    sliced = _keyed(df, group).withColumn("_slice", F.expr(f"`{key}` div {span}"))
-    within = Window.partitionBy("_group", "_slice").orderBy(key)
-    numbered = sliced.withColumn("_n", F.row_number().over(within).cast("bigint"))
-    sizes = sliced.groupBy("_group", "_slice").agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.select("_group", "_slice", *_offsets(sizes, total))
-    joined = numbered.join(offsets, ["_group", "_slice"])
+    placed = _ranged(df, group, order)
+    sizes = placed.groupBy("_group", "_slice").agg(F.count(F.lit(1)).alias("_size"), F.min("_seq").alias("_first"))
+    inside = Window.partitionBy("_group")
+    earlier = inside.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    columns = [F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")]
+    if total:
+        columns.append(F.sum("_size").over(inside).alias(total))
+    offsets = sizes.select("_group", "_slice", "_first", *columns)
+    number = F.col("_seq") - F.col("_first") + F.col("_before") + 1
     extra = [total] if total else []
-    return joined.select(*df.columns, *extra, (F.col("_n") + F.col("_before")).alias(out))
-
+    return placed.join(offsets, ["_group", "_slice"]).select(*df.columns, *extra, number.alias(out))
 
-def number_by_sort(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
-    """Row number per group in order of any sortable columns.
 
-    The rows are range-partitioned on (group, order), so that a large group
-    spreads over many partitions; the sorted rows are written once because range
-    bounds come from a sample and must not change between the two uses.
-    """
-    ranged = (
-        df.repartitionByRange(*group, *order)
-        .sortWithinPartitions(*group, *order)
-        .withColumn("_seq", F.monotonically_increasing_id())
-    )
-    placed = _keyed(cut_lineage(ranged), group).withColumn("_slice", F.shiftright("_seq", 33))
-    sizes = placed.groupBy("_group", "_slice").agg(
-        F.count(F.lit(1)).alias("_size"), F.min("_seq").alias("_first")
-    )
-    offsets = sizes.select("_group", "_slice", "_first", *_offsets(sizes, None))
-    number = F.col("_seq") - F.col("_first") + F.col("_before") + 1
-    return placed.join(offsets, ["_group", "_slice"]).select(*df.columns, number.alias(out))
+def number_in_groups(
+    df: DataFrame, group: Sequence[str], key: str, out: str, total: str | None = None
+) -> DataFrame:
+    """Row number per group in order of ``key``, which is unique in its group."""
+    return number_by_sort(df, group, [key], out, total)
 
 
-def previous_in_groups(
-    df: DataFrame, group: Sequence[str], key: str, out: str, span: int = SLICE_SPAN
-) -> DataFrame:
-    """The preceding ``key`` (a unique integer) of the same group, null for the first."""
-    sliced = _keyed(df, group).withColumn("_slice", F.expr(f"`{key}` div {span}"))
-    within = Window.partitionBy("_group", "_slice").orderBy(key)
-    lagged = sliced.withColumn("_lag", F.lag(key).over(within))
-    ends = sliced.groupBy("_group", "_slice").agg(F.max(key).alias("_end"))
+def previous_in_groups(df: DataFrame, group: Sequence[str], key: str, out: str) -> DataFrame:
+    """The preceding ``key`` (unique in its group) of the same group, null for the first."""
+    placed = _ranged(df, group, [key])
+    lagged = placed.withColumn("_lag", F.lag(key).over(Window.partitionBy("_group", "_slice").orderBy("_seq")))
+    ends = placed.groupBy("_group", "_slice").agg(F.max(key).alias("_end"))
     across = Window.partitionBy("_group").orderBy("_slice")
     carried = ends.select("_group", "_slice", F.lag("_end").over(across).alias("_carried"))
     joined = lagged.join(carried, ["_group", "_slice"])
     return joined.select(*df.columns, F.coalesce("_lag", "_carried").alias(out))
-
-
-def ordered_parts(
-    numbered: DataFrame,
-    group: Sequence[str],
-    position: str,
-    item: Column,
-    out: str,
-    part_size: int = PART_SIZE,
-) -> DataFrame:
-    """Ordered lists per group, in parts of at most ``part_size`` items.
-
-    ``position`` counts from 1 (see ``number_in_groups``). Groups of ordinary size
-    have part 0 only; a huge group becomes several rows instead of one that no
-    task could hold.
-    """
-    placed = numbered.select(
-        *group,
-        F.expr(f"(`{position}` - 1) div {part_size}").alias("part"),
-        F.struct(F.col(position).alias("position"), item.alias("item")).alias("_entry"),
-    )
-    lists = placed.groupBy(*group, "part").agg(F.array_sort(F.collect_list("_entry")).alias("_entries"))
-    return lists.select(*group, "part", F.transform("_entries", lambda e: e["item"]).alias(out))

@@ -102,8 +102,8 @@ def upsert_profile(stored: DataFrame, fresh: DataFrame, key: Sequence[str] = ("s
 
 
 def finish_profile(manifest: DataFrame, counts: DataFrame) -> DataFrame:
-    """D3: clear the analyze flag and set the record count of profiled tables."""
-    done = counts.select("st_oid", F.col("record_count").cast("int").alias("_count"))
+    """D3: clear the analyze flag and set the record count of profiled tables (the greatest one given)."""
+    done = counts.groupBy("st_oid").agg(F.max("record_count").cast("int").alias("_count"))
     joined = manifest.join(done, "st_oid", "left")
     changed = {
         "analyze_table": F.when(F.col("_count").isNotNull(), F.lit(False)).otherwise(F.col("analyze_table")),
@@ -137,9 +137,9 @@ def profile_drift(before: DataFrame, after: DataFrame, key: Sequence[str] = ("ta
 
 
 def attach_table_ids(profiles: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Manifest id of each profiled table, by name within its file."""
-    ids = manifest.select("file_name", "table_name", "st_oid")
-    return profiles.join(ids, ["file_name", "table_name"])
+    """Manifest id of each profiled table, by name within its run's file."""
+    ids = manifest.select("run_id", "file_name", "table_name", "st_oid")
+    return profiles.join(ids, ["run_id", "file_name", "table_name"])
 
 
 def key_range(df: DataFrame, key: str) -> DataFrame:

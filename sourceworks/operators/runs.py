@@ -164,19 +164,21 @@ def natural_sort(df: DataFrame, id_column: str, ascending: bool = True) -> DataF
 def claim_runs(runs: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hand ready runs to users for the workflow the runs are in.
 
-    ``claims`` has (run_id, user_oid), one row per run. Returns the new runs and
-    the claims that found no ready run.
+    ``claims`` has (claim_id, run_id, user_oid). The first claim (least claim_id) of a
+    ready run gets it. Returns the new runs and the claims that got none.
     """
-    asked = claims.select("run_id", F.col("user_oid").alias("_user"))
-    taken = F.col("_user").isNotNull() & (F.col("operation_state") == "Ready")
+    first = claims.groupBy("run_id").agg(F.min(F.struct("claim_id", "user_oid")).alias("_first"))
+    asked = first.select("run_id", F.col("_first.claim_id").alias("_claim"), F.col("_first.user_oid").alias("_user"))
+    taken = F.col("_claim").isNotNull() & (F.col("operation_state") == "Ready")
     changed = {"operation_state": F.when(taken, "Active").otherwise(F.col("operation_state"))}
     for workflow in WORKFLOWS:
         owner = F.col(f"{workflow}_user_oid")
         mine = taken & (F.col("workflow_operation") == workflow)
         changed[f"{workflow}_user_oid"] = F.when(mine, F.col("_user")).otherwise(owner)
     updated = runs.join(asked, "run_id", "left").withColumns(changed).select(*runs.columns)
-    ready = runs.where("operation_state = 'Ready'")
-    return updated, claims.join(ready, "run_id", "left_anti")
+    ready = runs.where("operation_state = 'Ready'").select("run_id")
+    won = asked.join(ready, "run_id", "left_semi").select(F.col("_claim").alias("claim_id"))
+    return updated, claims.join(won, "claim_id", "left_anti")
 
 
 def template_of_run(runs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -238,12 +240,19 @@ def template_steps(templates: DataFrame, definitions: DataFrame, names: DataFram
 
 
 def label_counts(rows: DataFrame, run: str, label: str) -> DataFrame:
-    """Per run a map label -> number of rows, also as JSON text with sorted labels.
+    """Number of rows per run and label, one row for each pair."""
+    return rows.groupBy(run, label).agg(F.count(F.lit(1)).cast("int").alias("label_rows"))
 
-    Rows are counted per (run, label) first, so a run's map is built from one row
-    per distinct label.
+
+def label_maps(counts: DataFrame, run: str, label: str, labels: Sequence[str]) -> DataFrame:
+    """Per run a map label -> number of rows for a declared set of labels, also as JSON text.
+
+    Labels are in order; a label without rows has no entry, other labels are left to ``label_counts``.
     """
-    counted = rows.groupBy(run, label).agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    entries = F.array_sort(F.collect_list(F.struct(F.col(label).alias("key"), F.col("_n").alias("value"))))
-    stats = counted.groupBy(run).agg(F.map_from_entries(entries).alias("plotting_stats"))
+    sums = [F.sum(F.when(F.col(label) == name, F.col("label_rows"))).alias(f"_{k}") for k, name in enumerate(sorted(labels))]
+    entries = F.array(
+        *[F.struct(F.lit(name).alias("key"), F.col(f"_{k}").cast("int").alias("value")) for k, name in enumerate(sorted(labels))]
+    )
+    held = F.filter(entries, lambda e: e["value"].isNotNull())
+    stats = counts.groupBy(run).agg(*sums).select(run, F.map_from_entries(held).alias("plotting_stats"))
     return stats.withColumn("plotting_stats_json", F.to_json("plotting_stats"))

@@ -1,56 +1,46 @@
 """Task trees: pre-order listing, descendants, next runnable task, resets.
 
-Trees are adjacency lists; parent 0 marks a root. Levels are followed with one
-join per level over all trees at once, and each level is written to the
-checkpoint folder, so that neither the plan nor the loss of an executor makes an
-earlier level run again. The written levels have a known size: small ones are
-broadcast, so the task table is shuffled only for the few levels that hold most rows.
+Trees are adjacency lists; parent 0 marks a root. The task table is read once. Paths and
+memberships are found by jumps: every task knows an ancestor and what lies
+between, and takes over from that ancestor what it knows itself, so the length of
+the jumps doubles with every round and a tree of depth d takes log2 d rounds. What a
+round finds is written to the checkpoint folder, so that neither the plan nor
+the loss of an executor makes an earlier round run again; tasks that are done are
+left out of later rounds.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceworks.operators.ordering import number_by_sort, number_in_groups
-from sourceworks.session import cut_lineage
-
-MAX_LEVELS = 1_000
-
-
-def _levels(first: DataFrame, step) -> DataFrame:
-    """Union of a first level and all levels that ``step`` derives from it."""
-    levels = []
-    level = cut_lineage(first)
-    while not level.isEmpty():
-        levels.append(level)
-        if len(levels) > MAX_LEVELS:
-            raise ValueError(f"tree is deeper than {MAX_LEVELS} levels or has a cycle")
-        level = cut_lineage(step(level))
-    return reduce(DataFrame.unionByName, levels) if levels else level
+from sourceworks.operators.ordering import number_by_sort
+from sourceworks.session import cut_lineage, scratch_path
 
 
 def tree_paths(tasks: DataFrame) -> DataFrame:
     """Path of (order, id) pairs from the root to every reachable task.
 
     Paths compare like the tasks are listed: a parent before its children, the
-    children by order (then id).
+    children by order (then id). There is no limit to the depth. Tasks that no root
+    leads to are left out: those with a missing ancestor, and those on or below a cycle.
     """
-    place = F.struct(
-        F.col("parent_task_order").alias("at"), F.col("pr_task_id").alias("id")
-    )
-    edges = tasks.select("run_id", "pr_task_id", "parent_task_id", place.alias("_place"))
-    roots = edges.where("parent_task_id = 0").select("run_id", "pr_task_id", F.array("_place").alias("path"))
-
-    def children(level: DataFrame) -> DataFrame:
-        parents = level.select("run_id", F.col("pr_task_id").alias("parent_task_id"), "path")
-        return edges.join(parents, ["run_id", "parent_task_id"]).select(
-            "run_id", "pr_task_id", F.array_append("path", F.col("_place")).alias("path")
+    place = F.struct(F.col("parent_task_order").alias("at"), F.col("pr_task_id").alias("id"))
+    columns = ("run_id", "pr_task_id", "path")
+    waiting = cut_lineage(tasks.select(*columns[:2], F.col("parent_task_id").alias("above"), F.array(place).alias("path")))
+    done = waiting.where("above = 0")
+    while not (waiting := waiting.where("above <> 0")).isEmpty():
+        ancestor = done.unionByName(waiting).select(
+            "run_id", F.col("pr_task_id").alias("above"), F.col("above").alias("_above"), F.col("path").alias("_path")
         )
-
-    return _levels(roots, children)
+        cycle = F.exists("_path", lambda p: p["id"] == F.col("pr_task_id"))
+        longer = F.concat("_path", "path")
+        jumped = waiting.join(ancestor, ["run_id", "above"]).where(~cycle)
+        waiting = cut_lineage(jumped.select(*columns[:2], F.col("_above").alias("above"), longer.alias("path")))
+        done = done.unionByName(waiting.where("above = 0"))
+    return done.select(*columns)
 
 
 def tree_order(tasks: DataFrame) -> DataFrame:
@@ -87,35 +77,57 @@ def descendants(tasks: DataFrame, roots: DataFrame) -> DataFrame:
     """(root_id, pr_task_id) for all tasks below each of the given tasks.
 
     The result has one row per pair; use ``subtree_members`` where the root does
-    not matter.
+    not matter. Level by level from the given tasks, so that the rest of a large table is only
+    looked through; the levels lie in one folder and are read as one table. As
+    many levels as there are tasks mean a cycle, which is an error.
     """
-    edges = tasks.select("pr_task_id", "parent_task_id")
-    start = roots.select(F.col("pr_task_id").alias("root_id"), "pr_task_id")
-
-    def below(level: DataFrame) -> DataFrame:
+    edges = cut_lineage(tasks.select("pr_task_id", "parent_task_id"))
+    folder, most, at = scratch_path(tasks.sparkSession, "levels"), edges.count(), 0
+    level = roots.select(F.col("pr_task_id").alias("root_id"), "pr_task_id")
+    while True:
         parents = level.select("root_id", F.col("pr_task_id").alias("parent_task_id"))
-        return edges.join(parents, "parent_task_id").select("root_id", "pr_task_id")
-
-    return _levels(below(start), below)
+        path = f"{folder}/level={at}"
+        edges.join(parents, "parent_task_id").select("root_id", "pr_task_id").write.parquet(path)
+        level = tasks.sparkSession.read.schema("root_id bigint, pr_task_id bigint").parquet(path)
+        if level.isEmpty():
+            break
+        at += 1
+        if at > most:
+            raise ValueError("a given task is on a cycle or above one")
+    found = tasks.sparkSession.read.schema("root_id bigint, pr_task_id bigint").parquet(f"{folder}/level=*")
+    return found.select("root_id", "pr_task_id")
 
 
 def subtree_members(tasks: DataFrame, roots: DataFrame) -> DataFrame:
     """(pr_task_id) of all tasks below any of the given tasks, each once.
 
-    A given task that lies below another one is a member but is not followed a
-    second time, so the work does not grow with the nesting of the given tasks.
+    Jumps as for ``tree_paths``, with whether a given task was passed; a task is
+    done when that is so, or at a root. Rounds end when jumps are as long as the
+    table, so tasks on a cycle are judged by the tasks of their cycle.
     """
-    given = roots.select("pr_task_id").distinct()
-    edges = tasks.select("pr_task_id", "parent_task_id").join(
-        given.withColumn("_given", F.lit(True)), "pr_task_id", "left"
+    given = roots.select(F.col("pr_task_id").alias("above")).distinct().withColumn("_given", F.lit(True))
+    known = cut_lineage(
+        tasks.select("pr_task_id", F.col("parent_task_id").alias("above"))
+        .join(given, "above", "left")
+        .select("pr_task_id", "above", F.coalesce("_given", F.lit(False)).alias("below"))
     )
-
-    def below(level: DataFrame) -> DataFrame:
-        parents = level.where("_given is null").select(F.col("pr_task_id").alias("parent_task_id"))
-        return edges.join(parents, "parent_task_id").select("pr_task_id", "_given")
-
-    start = given.select("pr_task_id", F.lit(None).cast("boolean").alias("_given"))
-    return _levels(below(start), below).select("pr_task_id")
+    rounds = math.ceil(math.log2(max(known.count(), 2))) + 1
+    found = [known.where("below")]
+    for _ in range(rounds):
+        waiting = known.where("not below and above <> 0")
+        if waiting.isEmpty():
+            break
+        ancestor = known.select(F.col("pr_task_id").alias("above"), F.col("above").alias("_above"), F.col("below").alias("_below"))
+        settled = known.where("below or above = 0")
+        jumped = cut_lineage(
+            waiting.join(ancestor, "above").select("pr_task_id", F.col("_above").alias("above"), F.col("_below").alias("below"))
+        )
+        found.append(jumped.where("below"))
+        known = jumped.unionByName(settled)
+    members = found[0]
+    for more in found[1:]:
+        members = members.unionByName(more)
+    return members.select("pr_task_id").distinct()
 
 
 def delete_subtrees(tasks: DataFrame, roots: DataFrame) -> DataFrame:
@@ -132,9 +144,9 @@ def with_children_flag(tasks: DataFrame) -> DataFrame:
 
 def next_child_order(tasks: DataFrame, parents: DataFrame) -> DataFrame:
     """Order number of the next child for each given task; 1 for a leaf."""
-    last = tasks.groupBy(F.col("parent_task_id").alias("pr_task_id")).agg(
-        F.max("parent_task_order").alias("_last")
-    )
+    asked = parents.select("pr_task_id").distinct()
+    children = tasks.select(F.col("parent_task_id").alias("pr_task_id"), "parent_task_order")
+    last = children.join(asked, "pr_task_id", "left_semi").groupBy("pr_task_id").agg(F.max("parent_task_order").alias("_last"))
     return parents.select("pr_task_id").join(last, "pr_task_id", "left").select(
         "pr_task_id", F.coalesce(F.col("_last") + 1, F.lit(1)).alias("next_order")
     )
@@ -144,14 +156,14 @@ def add_child_tasks(tasks: DataFrame, requests: DataFrame) -> DataFrame:
     """Tasks plus one waiting child per request, placed after the existing children.
 
     ``requests`` has (request_id, pr_task_id, task_id); several requests for one
-    parent are placed in request order. New ids go on from the greatest one.
+    parent are placed in request order. New ids go on from the greatest one. Only
+    the requests are numbered, and only the children of their parents looked at.
     """
     parents = tasks.select("pr_task_id", "run_id", "workflow_operation")
-    asked = requests.join(parents, "pr_task_id").join(
-        next_child_order(tasks, requests.select("pr_task_id").distinct()), "pr_task_id"
-    )
-    placed = number_in_groups(asked, ["pr_task_id"], "request_id", "_nth")
-    numbered = number_in_groups(placed, [], "request_id", "_id")
+    asked = requests.join(parents, "pr_task_id")
+    by_id = number_by_sort(asked, [], ["request_id"], "_id")
+    placed = number_by_sort(by_id, ["pr_task_id"], ["request_id"], "_nth")
+    numbered = placed.join(next_child_order(tasks, requests.select("pr_task_id").distinct()), "pr_task_id")
     values = {
         "parent_task_id": F.col("pr_task_id"),
         "parent_task_order": (F.col("next_order") + F.col("_nth") - 1).cast("int"),
@@ -180,7 +192,7 @@ def next_tasks(tasks: DataFrame, definitions: DataFrame, workflows: DataFrame |
     least path per run is needed, so nothing is sorted globally.
     """
     busy = tasks.where(F.col("task_status").isin("Scheduled", "Running")).select("run_id")
-    idle = tasks.join(busy, "run_id", "left_anti")
+    idle = cut_lineage(tasks.join(busy, "run_id", "left_anti"))
     waiting = idle.where("task_status = 'Waiting'")
     if workflows is not None:
         waiting = waiting.join(workflows, ["run_id", "workflow_operation"], "left_semi")

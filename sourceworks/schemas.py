@@ -8,10 +8,6 @@ from pyspark.sql import types as T
 # Members of the enumerations.
 FILE_COLLECT_TYPES = ["Download", "FOI", "Email", "Scrape", "Collect", "REST"]
 LOADER_TYPES = ["Excel", "Flat", "DBF", "MDB"]
-MERGE_TYPES = ["None", "Exclusive", "Intersect"]
-OPERATION_STATES = ["Ready", "Active"]
-TASK_RUN_TYPES = ["User", "System"]
-TASK_STATUSES = ["Waiting", "Scheduled", "Running", "Complete", "Failed"]
 WORKFLOWS = ["collection", "load", "check", "qa"]
 
 # File extension -> loader.
@@ -33,21 +29,9 @@ FETCHABLE_COLLECT_TYPES = ["Download", "REST"]
 SUB_TABLE_LOADERS = ["Excel", "MDB"]
 
 # Ids of the task definitions that other tasks refer to.
-TASK_BUILD_RUN = 2
 TASK_SCAN_FOLDER = 3
 TASK_DOWNLOAD_MISSING = 4
 TASK_COLLECT_MISSING = 5
-TASK_VALIDATE_FIRST = 11
-
-# The ordered task names of the template "Default Collection".
-COLLECTION_TEMPLATE = [
-    "Build Pipeline Run",
-    "Confirm Run Instance",
-    "Scan Source Folder",
-    "Confirm Record Date",
-    "Backup Files to Zip Folder",
-    "Validate Source Tables",
-]
 
 # Task definitions (name, workflow, who runs it), in id order from 1.
 TASK_DEFINITIONS = [
@@ -66,16 +50,7 @@ TASK_DEFINITIONS = [
     ("Load Files", "load", "System"),
 ]
 
-# Workflow operations (code, href, role, name, order).
-WORKFLOW_OPERATIONS = [
-    ("collection", "/pipeline-status/collection", "collection", "Data Collection", 1),
-    ("load", "/pipeline-status/load", "load", "Data Loading", 2),
-    ("qa", "/pipeline-status?/qa", "qa", "Load QA", 4),
-    ("check", "/pipeline-status/check", "check", "Load Checking", 3),
-    ("done", "/pipeline-status/done", "admin", "Done", 5),
-]
-
-# Column lists of the catalog tables.
+# Columns of the catalog tables.
 CATALOG = {
     "source_tables": """
         st_oid bigint not null, run_id bigint not null, table_name string not null,
@@ -116,24 +91,13 @@ CATALOG = {
         reporting_type string not null, created timestamp_ntz not null,
         collection_pipeline bigint not null, load_pipeline bigint, check_pipeline bigint,
         qa_pipeline bigint""",
-    "data_source_contacts": """
-        contact_id bigint not null, ds_id bigint not null, name string, email string,
-        website string, type string, notes string""",
     "internal_users": """
         user_oid bigint not null, name string not null, username string not null,
         roles array<string> not null""",
-    "roles": "name string not null, description string not null",
     "actions": """
         action_id bigint not null, state string not null, role string not null,
         name string not null, description string not null, href string not null""",
-    "workflow_operations": """
-        code string not null, href string not null, role string not null,
-        name string not null, workflow_order int not null""",
     "file_types": "file_extension string not null, loader_type string not null",
-    "provs": """
-        country_code string not null, prov_code string not null, name string not null,
-        country_name string not null""",
-    "record_warehouse_types": "id int not null, name string not null, description string not null",
     "job_documents": """
         id string, status string, run_at timestamp, retries int, kjob_id string,
         created_at timestamp, updated_at timestamp,
@@ -157,8 +121,3 @@ def task_definitions(spark: SparkSession) -> DataFrame:
     """Task definitions with ids in list order."""
     rows = [(i, name, name, state, kind) for i, (name, state, kind) in enumerate(TASK_DEFINITIONS, 1)]
     return spark.createDataFrame(rows, catalog_schema("tasks"))
-
-
-def workflow_operations(spark: SparkSession) -> DataFrame:
-    """Workflow operations a role may open."""
-    return spark.createDataFrame(WORKFLOW_OPERATIONS, catalog_schema("workflow_operations"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sourceworks.session import ship_package
 from sourceworks.sources.files import open_file, write_file
@@ -36,8 +37,14 @@ def expand_archives(archives: DataFrame, target: str) -> DataFrame:
     Entries are spread over tasks one by one, so a big archive does not end up in
     one task, and are copied in chunks. The result (path, entry, file, length)
     describes the written files; it is lazy, and running it again rewrites the
-    same files. Entries that would leave ``target`` are refused.
+    same files. Entries go to a folder named like their archive, so equal names
+    in several archives stay apart; archives of one name in several folders are
+    refused, and so are entries that would leave ``target``.
     """
+    named = archives.select("path").distinct().groupBy(F.substring_index("path", "/", -1).alias("name"))
+    clash = named.agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if clash:
+        raise ValueError(f"several archives are named {clash.name}")
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -46,8 +53,9 @@ def expand_archives(archives: DataFrame, target: str) -> DataFrame:
                 if entry.startswith("/") or ".." in entry.split("/"):
                     raise ValueError(f"entry {entry!r} of {path} points outside the target folder")
                 with open_file(path) as stream, zipfile.ZipFile(stream) as archive, archive.open(entry) as source:
-                    length = write_file(f"{target}/{entry}", iter(lambda s=source: s.read(_CHUNK), b""))
-                rows.append((path, entry, f"{target}/{entry}", length))
+                    file = f"{target}/{path.rpartition('/')[2]}/{entry}"
+                    length = write_file(file, iter(lambda s=source: s.read(_CHUNK), b""))
+                rows.append((path, entry, file, length))
             if rows:
                 yield pd.DataFrame(rows, columns=["path", "entry", "file", "length"])
 

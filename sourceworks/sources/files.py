@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceworks.functions.names import loader_type
+from sourceworks.session import ship_package
+
+_CHUNK = 4 * 1024 * 1024
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
@@ -62,26 +67,49 @@ def _locate(path: str):
     return fs.LocalFileSystem(), path
 
 
-def backup_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Name, length and checksum of every file of a run."""
+def _digests(batches, target: str | None):
+    """Length and checksum of listed files, read in chunks; copies them below ``target`` if there is one."""
+    for batch in batches:
+        rows = []
+        for path, name in zip(batch["path"], batch["file_name"], strict=True):
+            digest, length = hashlib.sha256(), 0
+            with open_file(path) as source:
+
+                def chunks(source=source, digest=digest):
+                    while chunk := source.read(_CHUNK):
+                        digest.update(chunk)
+                        yield chunk
+
+                if target:
+                    length = write_file(f"{target}/{name}", chunks())
+                else:
+                    length = sum(map(len, chunks()))
+            rows.append((name, length, digest.hexdigest()))
+        if rows:
+            yield pd.DataFrame(rows, columns=["file_name", "length", "checksum"])
+
+
+def _per_file(spark: SparkSession, folder: str, target: str | None) -> DataFrame:
+    ship_package(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(
-        F.substring_index("path", "/", -1).alias("file_name"), "length", F.sha2("content", 256).alias("checksum")
-    )
+    # The name below the folder, so that equal names in several of its folders stay apart.
+    base = re.sub(r"^[a-z0-9]+:/*", "/", folder.rstrip("/"))
+    plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    listed = files.select("path", F.substring_index(plain, f"{base}/", -1).alias("file_name"))
+    schema = "file_name string, length long, checksum string"
+    return listed.repartition("path").mapInPandas(lambda batches: _digests(batches, target), schema)
+
+
+def backup_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Name below the folder, length and checksum of every file of a run; files of any size are read in chunks."""
+    return _per_file(spark, folder, None)
 
 
 def backup_files(spark: SparkSession, folder: str, target: str) -> DataFrame:
-    """Byte-exact copy of a run's files as a table; returns the stored manifest.
+    """Byte-exact copy of a run's files below ``target/files``; returns the manifest stored beside it.
 
-    Like every ``binaryFile`` read it takes files up to 2 GB each.
+    A file is copied in chunks by one task and appears whole or not at all; its
+    length and checksum are those of the bytes that were written.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    snapshot = files.select(
-        F.substring_index("path", "/", -1).alias("file_name"),
-        "length",
-        "modificationTime",
-        F.sha2("content", 256).alias("checksum"),
-        "content",
-    )
-    snapshot.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target).select("file_name", "length", "checksum")
+    _per_file(spark, folder, f"{target.rstrip('/')}/files").write.mode("overwrite").parquet(f"{target}/manifest")
+    return spark.read.parquet(f"{target}/manifest")

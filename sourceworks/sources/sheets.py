@@ -150,8 +150,8 @@ def cell_text(kind: Column, raw: Column) -> Column:
 def sheet_rows(sheets: DataFrame) -> DataFrame:
     """S3: rows of the listed sheets as (path, sheet, row_no, cells array<string>).
 
-    ``sheets`` has (path, sheet). Rows are as wide as the header row of their
-    sheet; missing cells are blank. The header is the row with the least number.
+    ``sheets`` has (path, sheet). Rows reach to the last cell of the header row of
+    their sheet; missing cells are blank, also in the header. The header is the row with the least number.
     """
     ship_package(sheets.sparkSession)
     texts = pa.list_(pa.string())
@@ -165,7 +165,7 @@ def sheet_rows(sheets: DataFrame) -> DataFrame:
                 with open_file(path) as stream:
                     numbers, kinds, raws, width = [], [], [], None
                     for number, cells in Workbook(stream).rows(sheet):
-                        width = len(cells) if width is None else width
+                        width = max(cells, default=-1) + 1 if width is None else width
                         row = [cells.get(i, ("blank", None)) for i in range(width)]
                         numbers.append(number)
                         kinds.append([kind for kind, _ in row])
@@ -191,7 +191,7 @@ def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     """S3: one sheet as text columns named by its first row."""
     with open_file(path) as stream:
         number, cells = next(Workbook(stream).rows(sheet), (0, {}))
-    names = table_header([cells.get(i, ("blank", None))[1] for i in range(len(cells))])
+    names = table_header([cells.get(i, ("blank", None))[1] for i in range(max(cells, default=-1) + 1)])
     rows = sheet_rows(spark.createDataFrame([(path, sheet)], "path string, sheet string"))
     return rows.where(F.col("row_no") > number).select(
         *[F.col("cells")[i].alias(name, metadata={SOURCE_TYPE: UNTYPED}) for i, name in enumerate(names)]

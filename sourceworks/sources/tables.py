@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,9 @@ def append_seed(
     target: DataFrame, seed: DataFrame, identity: str, order: Iterable[str]
 ) -> DataFrame:
     """Seed rows under the target's schema, with ids that go on from the greatest one."""
-    numbered = number_by_sort(seed, [], list(order), "_nth")
+    order = list(order)
+    # Rows that agree in the order columns are told apart by the others, so ids are the same in every run.
+    numbered = number_by_sort(seed, [], [*order, *[c for c in seed.columns if c not in order]], "_nth")
     top = target.agg(F.coalesce(F.max(identity), F.lit(0))).scalar()
     given = numbered.withColumn(identity, top + F.col("_nth"))
     columns = [
@@ -55,13 +58,20 @@ def read_seed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_query(spark: SparkSession, sql: str, parameters: Mapping[str, object]) -> DataFrame:
-    """A query with named parameters; a list parameter stands for an ``IN`` list.
+    """A query with named parameters; a list parameter stands for the members of ``IN (:names)``.
 
-    Lists are bound as arrays, so ``x IN (:names)`` is written
-    ``array_contains(:names, x)``; values never become part of the text.
+    Each member is a parameter of its own, so that the list reaches the scan as a
+    filter; values never become part of the text. An empty list is ``IN (NULL)``, which
+    no row meets.
     """
-    bound = {
-        name: F.array(*[F.lit(v) for v in value]) if isinstance(value, (list, tuple, set)) else value
-        for name, value in parameters.items()
-    }
+    bound: dict[str, object] = {}
+    for name, value in parameters.items():
+        if not isinstance(value, (list, tuple, set)):
+            bound[name] = value
+            continue
+        members = {f"{name}__{k}": member for k, member in enumerate(value)}
+        bound |= members
+        markers = ", ".join(f":{m}" for m in members) or "NULL"
+        # Quoted text is matched first and kept.
+        sql = re.sub(rf"('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|:{name}\b", lambda m, new=markers: m[1] or new, sql)
     return spark.sql(sql, args=bound)

@@ -11,7 +11,8 @@ from sourceworks.operators import ordering as O
 from sourceworks.operators import profile as P
 from sourceworks.operators import runs as R
 from sourceworks.operators import tree as T
-from sourceworks.schemas import catalog_schema, file_types, task_definitions
+from sourceworks.functions import names as N
+from sourceworks.schemas import WORKFLOWS, catalog_schema, file_types, task_definitions
 
 SMALL = settings(max_examples=12, deadline=None)
 
@@ -60,20 +61,20 @@ def test_suffix_repeats_spreads_a_hot_name(spark):
     assert named[0] == "B_334" and named[999] == "B_1" and named[1] == "A_666" and len(set(named.values())) == 1000
 
 
-@pytest.mark.parametrize("span", [1, 7, 1000])
-def test_numbering_does_not_depend_on_slices(spark, span):
-    df = spark.range(0, 300, 3).select(F.expr("if(id % 2 = 0, 1, null)").alias("g"), F.col("id").alias("k"))
-    got = O.number_in_groups(df, ["g"], "k", "n", total="all", span=span).collect()
+@pytest.mark.parametrize("step", [1, 4_194_304])
+def test_numbering_does_not_depend_on_the_spread_of_keys(spark, step):
+    df = spark.range(0, 300, 3).select(F.expr("if(id % 2 = 0, 1, null)").alias("g"), (F.col("id") * step).alias("k"))
+    got = O.number_in_groups(df, ["g"], "k", "n", total="all").collect()
     for group in (1, None):
         members = sorted((r.k, r.n, r.all) for r in got if r.g == group)
         assert [n for _, n, _ in members] == list(range(1, 51)) and {a for *_, a in members} == {50}
 
 
-@pytest.mark.parametrize("span", [1, 7, 1000])
-def test_previous_does_not_depend_on_slices(spark, span):
-    df = spark.range(0, 90).select(F.expr("id % 2").alias("g"), F.col("id").alias("k"))
-    got = {r.k: r.p for r in O.previous_in_groups(df, ["g"], "k", "p", span=span).collect()}
-    assert got == {k: (k - 2 if k >= 2 else None) for k in range(90)}
+@pytest.mark.parametrize("step", [1, 4_194_304])
+def test_previous_does_not_depend_on_the_spread_of_keys(spark, step):
+    df = spark.range(0, 90).select(F.expr("id % 2").alias("g"), (F.col("id") * step).alias("k"))
+    got = {r.k // step: r.p for r in O.previous_in_groups(df, ["g"], "k", "p").collect()}
+    assert got == {k: ((k - 2) * step if k >= 2 else None) for k in range(90)}
 
 
 def test_number_by_sort_over_many_partitions(spark):
@@ -83,12 +84,6 @@ def test_number_by_sort_over_many_partitions(spark):
     assert [n for _, n in hot] == list(range(1, 4001)) and len(got) == 5000
 
 
-def test_ordered_parts_keep_every_item(spark):
-    df = spark.range(1, 26).select(F.lit("g").alias("g"), F.col("id").alias("p"))
-    parts = {r.part: r.items for r in O.ordered_parts(df, ["g"], "p", F.col("p"), "items", 10).collect()}
-    assert parts == {0: list(range(1, 11)), 1: list(range(11, 21)), 2: list(range(21, 26))}
-
-
 def test_key_range(spark):
     keys = spark.range(5, 28).toDF("k")
     assert P.key_range(keys, "k").first().dense
@@ -146,10 +141,40 @@ def test_carry_forward(spark, rows):
 
 def test_lists_per_file_keep_nulls_and_order(spark):
     m = manifest(spark, [(2, 7, "a.mdb", {"sub_table": None, "delimiter": ";x"}), (1, 7, "a.mdb", {"table_name": "U"})])
-    tables = M.files_with_tables(m, "analyze_table").first().tables
+    tables = sorted(M.files_with_tables(m, "analyze_table").collect(), key=lambda t: t.position)
     assert [(t.st_oid, t.table_name, t.sub_table, t.delimiter) for t in tables] == [(1, "U", "S", ","), (2, "T", None, ";")]
 
 
+def test_compare_files_takes_any_id_and_type(spark, rows):
+    m = manifest(spark, [(2**61, 7, "a.csv", {"collect_type": "Courier"}), (1, 7, "a.csv", {})])
+    none = spark.createDataFrame([], "run_id bigint, file_name string")
+    assert rows(M.compare_files(m, none), "collect_type", "expected_rows") == [("Courier", 2)]
+
+
+def test_several_changes_to_one_row(spark, rows):
+    m = manifest(spark, [(1, 7, "a.csv", {}), (2, 7, "b.csv", {})])
+    changes = spark.createDataFrame(
+        [(1, "update", 5, 1, None, "OLD"), (3, "update", 5, 1, None, "NEW"), (2, "delete", 5, 2, None, None), (4, "update", 5, 2, None, "X")],
+        "change_id int, op string, user_oid bigint, st_oid bigint, run_id bigint, table_name string",
+    )
+    allowed = spark.createDataFrame([(5, 7)], "user_oid bigint, run_id bigint")
+    assert rows(M.apply_guarded(m, changes, allowed)[0], "st_oid", "table_name") == [(1, "NEW")]
+
+
+def test_the_first_claim_wins(spark, rows):
+    schema = "run_id bigint, workflow_operation string, operation_state string, " + ", ".join(f"{w}_user_oid bigint" for w in WORKFLOWS)
+    runs = spark.createDataFrame([(1, "load", "Ready", None, None, None, None), (2, "load", "Active", None, 9, None, None)], schema)
+    claims = spark.createDataFrame([(5, 1, 50), (4, 1, 40), (6, 2, 60)], "claim_id bigint, run_id bigint, user_oid bigint")
+    updated, rejected = R.claim_runs(runs, claims)
+    assert rows(updated, "run_id", "operation_state", "load_user_oid") == [(1, "Active", 40), (2, "Active", 9)]
+    assert rows(rejected, "claim_id") == [(5,), (6,)]
+
+
+def test_long_words_keep_their_letters(spark):
+    text = spark.range(1).select(N.display_label(F.concat(F.lit("a_"), F.repeat(F.lit("x"), 1_500_000))).alias("t"))
+    assert text.select(F.length("t")).first()[0] == 1_500_002
+
+
 def test_guarded_changes(spark, rows):
     m = manifest(spark, [(1, 7, "a.csv", {}), (2, 7, "b.csv", {}), (3, 8, "c.csv", {})])
     changes = spark.createDataFrame(
@@ -203,8 +228,13 @@ def test_deep_chain_and_unreachable_cycle(spark):
     assert listed(T.tree_order(tasks(spark, chain))) == list(range(1, 13))
 
 
-def test_cycle_below_a_root_is_reported(spark, monkeypatch):
-    monkeypatch.setattr(T, "MAX_LEVELS", 5)
+def test_chain_of_1500(spark, rows):
+    chain = tasks(spark, [(i, i - 1, 1) for i in range(1, 1501)])
+    assert listed(T.tree_order(chain)) == list(range(1, 1501))
+    assert rows(T.delete_subtrees(chain, chain.where("pr_task_id = 3").select("pr_task_id")), "pr_task_id") == [(1,), (2,), (3,)]
+
+
+def test_cycle_below_a_root_is_reported(spark):
     loop = tasks(spark, [(20, 21, 1), (21, 20, 1)])
     with pytest.raises(ValueError, match="cycle"):
         T.descendants(loop, loop.where("pr_task_id = 20").select("pr_task_id"))

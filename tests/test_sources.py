@@ -250,11 +250,22 @@ def test_archives_listing_and_backup(spark, tmp_path):
     target = tmp_path / "out"
     written = archives.expand_archives(files.list_files(spark, str(tmp_path), "*.zip"), str(target))
     assert sorted((r.entry, r.length) for r in written.collect()) == [("a.csv", 4), ("deep/b c.csv", 15)]
-    assert (target / "deep" / "b c.csv").read_bytes() == b"\xff\x00\x01" * 5
+    assert (target / "bundle.zip" / "deep" / "b c.csv").read_bytes() == b"\xff\x00\x01" * 5
     listing = files.list_files(spark, str(target))
     assert sorted((r.file_name, r.length, r.loader_type) for r in listing.collect()) == [("a.csv", 4, "Flat"), ("b c.csv", 15, "Flat")]
     kept = files.backup_files(spark, str(target), str(tmp_path / "backup"))
     assert sorted(values(kept)) == sorted(values(files.backup_manifest(spark, str(target))))
+    assert {r.file_name for r in kept.collect()} == {"bundle.zip/a.csv", "bundle.zip/deep/b c.csv"}
+    assert (tmp_path / "backup/files/bundle.zip/deep/b c.csv").read_bytes() == b"\xff\x00\x01" * 5
+
+
+def test_equal_entry_names_stay_apart(spark, tmp_path):
+    for name in ("a", "b"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as bundle:
+            bundle.writestr("data.csv", f"x\n{name}\n")
+    written = archives.expand_archives(files.list_files(spark, str(tmp_path), "*.zip"), str(tmp_path / "out"))
+    assert len({r.file for r in written.collect()}) == 2
+    assert sorted(r.X for r in flat.read_flat(spark, str(tmp_path / "out/*/data.csv")).collect()) == ["a", "b"]
 
 
 def test_archive_entry_outside_the_target_is_refused(spark, tmp_path):
@@ -282,8 +293,13 @@ def test_seed_ids_go_on(spark, tmp_path):
 
 def test_query_parameters_stay_values(spark):
     spark.range(5).createOrReplaceTempView("numbers")
-    got = tables.run_query(spark, "select id from numbers where array_contains(:ids, id) and :t <> ''", {"ids": [1, 3, 9], "t": "x' or 1=1"})
+    got = tables.run_query(spark, "select id from numbers where id in (:ids) and :t <> ''", {"ids": [1, 3, 9], "t": "x' or 1=1"})
     assert sorted(r.id for r in got.collect()) == [1, 3]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan
+    assert tables.run_query(spark, "select id from numbers where id in (:ids)", {"ids": []}).count() == 0
+    quoted = tables.run_query(spark, "select ':ids' as t, id from numbers where id in (:ids)", {"ids": [2]}).first()
+    assert (quoted.t, quoted.id) == (":ids", 2)
 
 
 @pytest.mark.parametrize("name, sub, why", [("a.pdf", None, "not supported"), ("a.xlsx", " ", "null sub table"), ("a.xls", "S", "legacy"), ("a.mdb", "S", "JDBC")])
