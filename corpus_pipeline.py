@@ -70,8 +70,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their texts; the text is the one decoded from them."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode_texts(docs.select(*COLUMNS), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode_ids(encoded, ranks, public_tokenizers.PATTERN)
+    decoded = bpe.round_trips(docs.select(*COLUMNS), ranks, public_tokenizers.PATTERN)
     return decoded.select(
         "doc_id",
         F.decode("bytes", "UTF-8").alias("text"),

@@ -7,6 +7,7 @@ import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -70,25 +71,29 @@ class Codec:
         self._spaced = regex.compile(r"\s ").search
         self._words = Memo(self._encode_chunk)
 
-    def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(i for word in self._matches(chunk) for i in fold_merges(word.encode("utf-8"), self.ranks))
+    def _encode_chunk(self, chunk: str) -> bytes:
+        ids = [i for word in self._matches(chunk) for i in fold_merges(word.encode("utf-8"), self.ranks)]
+        return np.array(ids, dtype="<i4").tobytes()
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if not text:
-            return []
+            return np.empty(0, dtype="<i4")
         if self._spaced(text):
             chunks = self._matches(text)
         else:
             first, *rest = text.split(" ")
             chunks = [first, *[" " + r for r in rest]] if first else [" " + r for r in rest]
-        ids: list[int] = []
-        for found in map(self._words.__getitem__, chunks):
-            ids += found
-        return ids
+        return np.frombuffer(b"".join(map(self._words.__getitem__, chunks)), dtype="<i4")
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the pieces, joined."""
-        return b"".join(map(self.pieces.__getitem__, ids))
+        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    values = np.concatenate(arrays) if arrays else np.empty(0, dtype="<i4")
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, pa.int32()))
 
 
 _codecs = Memo(lambda key: Codec(parse_ranks(key[0]), key[1]), 4)
@@ -102,7 +107,7 @@ def _digests(ranks, pattern: str):
             for text in batch.column("text").to_pylist():
                 ids = codec.encode(text)
                 counts.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                of_ids.append(hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
@@ -116,8 +121,8 @@ def _ids(ranks, pattern: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codecs[ranks.value, pattern]
         for batch in small_batches(batches):
-            found = [codec.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_given"), pa.array(found, pa.list_(pa.int32()))], names=["_given", "ids"])
+            found = _lists([codec.encode(t) for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("_given"), found], names=["_given", "ids"])
 
     return run
 
@@ -126,12 +131,23 @@ def _texts(ranks, pattern: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codecs[ranks.value, pattern]
         for batch in small_batches(batches, "ids"):
-            decoded = [codec.decode(i) for i in batch.column("ids").to_pylist()]
+            decoded = [codec.decode(np.array(i, dtype="<i4")) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_given"), pa.array(decoded, pa.binary())], names=["_given", "bytes"])
 
     return run
 
 
+def _round_trips(ranks, pattern: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codecs[ranks.value, pattern]
+        for batch in small_batches(batches):
+            found = [codec.encode(t) for t in batch.column("text").to_pylist()]
+            decoded = pa.array([codec.decode(ids) for ids in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("_given"), _lists(found), decoded], names=["_given", "ids", "bytes"])
+
+    return run
+
+
 def _schema(df: DataFrame, column: str) -> StructType:
     return StructType([df.schema["_given"], *StructType.fromDDL(column)])
 
@@ -161,6 +177,19 @@ def decode_ids(encoded: DataFrame, ranks: str, pattern: str, ids: str = "ids", o
     return packed.mapInArrow(run, _schema(packed, "bytes binary")).select("_given.*", F.col("bytes").alias(out))
 
 
+def round_trips(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """``docs`` without its text, with the ids of the text and the bytes decoded from them, in one pass.
+
+    As ``encode_texts`` and then ``decode_ids``; columns named ids or bytes give way.
+    """
+    ship_package(docs.sparkSession)
+    kept = [c for c in docs.columns if c not in ("text", "ids", "bytes")]
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *kept).alias("_given"), whole("text").alias("text"))
+    run = _round_trips(broadcast_bytes(docs.sparkSession, ranks), pattern)
+    out = packed.mapInArrow(run, _schema(packed, "ids array<int>, bytes binary"))
+    return out.select(*[F.col(f"_given.`{c}`").alias(c) for c in kept], "ids", "bytes")
+
+
 def token_digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the sha256 of the ids (decimal, joined by commas) and of the bytes decoded from them.
 
