@@ -75,10 +75,14 @@ def flat_documents(spark, sf):
     """select cast(doc_id as varchar) as DOC_ID, lang as LANG, length(text) as chars, md5(text) as digest from documents""",
 )
 def flat_documents_split(spark, sf):
-    """The same through the reader for large files, which splits them."""
+    """The same with blocks so small that documents go over many of them."""
     path = scratch_path(spark, "documents")
     write_flat(given(spark, sf, "documents").select("doc_id", "lang", "text"), path)
-    loaded = read_flat(spark, path, split_above=0)
+    spark.conf.set("spark.sourceworks.flatBlockBytes", 100_000)
+    try:
+        loaded = read_flat(spark, path)
+    finally:
+        spark.conf.unset("spark.sourceworks.flatBlockBytes")
     return loaded.select("DOC_ID", "LANG", F.length("TEXT").cast("bigint").alias("chars"), F.md5("TEXT").alias("digest"))
 
 

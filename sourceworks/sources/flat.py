@@ -8,16 +8,14 @@ from pyspark.sql import types as T
 
 from sourceworks.functions.names import table_header
 from sourceworks.functions.values import SOURCE_TYPE, UNTYPED
-from sourceworks.sources.spanning import opens_field, spanning_records
+from sourceworks.sources.spanning import file_records, first_record
 
 UNREADABLE = "_unreadable"
-# Up to this size one task reads a file with line ends inside fields faster than many tasks could.
-SPLIT_ABOVE = 512 * 1024 * 1024
 # With a marker that no file contains, "" stays the empty text and a bare empty field is null.
 _NO_NULL_MARKER = "\u0002"
 # Names of encodings that Spark knows under another name.
 ENCODINGS = {"utf8": "UTF-8", "latin1": "ISO-8859-1", "ascii": "US-ASCII", "utf16": "UTF-16"}
-_LINE_ENCODINGS = ("UTF-8", "US-ASCII")
+MAX_COLUMNS = 100_000
 
 
 def _options(delimiter: str, qualified: bool, encoding: str) -> dict:
@@ -30,23 +28,15 @@ def _options(delimiter: str, qualified: bool, encoding: str) -> dict:
         "nullValue": _NO_NULL_MARKER,
         "emptyValue": "",
         "mode": "PERMISSIVE",
-        "maxColumns": 100_000,
     }
 
 
-def has_line_breaks(spark: SparkSession, path: str, delimiter: str = ",") -> bool:
-    """Whether some quoted field goes on over a line end; stops at the first one.
-
-    If no line opens a field that it does not close, each line is a whole record.
-    """
-    line = F.regexp_replace("value", r"\r$", "")
-    return not spark.read.text(path).where(opens_field(line, delimiter)).isEmpty()
-
-
-def _largest_file(spark: SparkSession, path: str) -> int:
-    """Length of the largest file; only the listing is read."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
+def _first_file(spark: SparkSession, path: str) -> str:
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    found = files.agg(F.min("path")).first()[0]
+    if found is None:
+        raise ValueError(f"{path} has no header record")
+    return found
 
 
 def flat_header(
@@ -55,13 +45,17 @@ def flat_header(
     delimiter: str = ",",
     qualified: bool = True,
     encoding: str = "UTF-8",
+    max_columns: int = MAX_COLUMNS,
 ) -> list[str]:
-    """Normalized column names from the first record."""
-    reader = spark.read.options(**_options(delimiter, qualified, encoding)).option("multiLine", qualified)
-    first = reader.csv(path).head(1)
-    if not first:
+    """Normalized column names from the first record (of the first file); only its beginning is read."""
+    options = _options(delimiter, qualified, encoding) | {"maxColumns": max_columns + 1}
+    record = first_record(_first_file(spark, path), delimiter, qualified, options["encoding"])
+    if record is None:
         raise ValueError(f"{path} has no header record")
-    return table_header(list(first[0]))
+    if record.count(delimiter) >= max_columns:
+        raise ValueError(f"the header of {path} may have more than {max_columns} columns: raise max_columns")
+    lines = spark.sparkContext.parallelize([record], 1)
+    return table_header(list(spark.read.options(**options).option("multiLine", True).csv(lines).head(1)[0]))
 
 
 def read_flat(
@@ -70,53 +64,26 @@ def read_flat(
     delimiter: str = ",",
     qualified: bool = True,
     encoding: str = "UTF-8",
-    multi_line: bool | None = None,
     keep_unreadable: bool = False,
-    split_above: int = SPLIT_ABOVE,
+    max_columns: int = MAX_COLUMNS,
 ) -> DataFrame:
     """A flat file as text columns; the first record of each file is its header.
 
-    Files split into many tasks. With ``multi_line=None`` one scan of a qualified
-    file finds out whether quoted fields hold line ends. If so, Spark's multi-line
-    reader takes each file in one task as long as none is larger than
-    ``split_above`` bytes; beyond that ``spanning_records`` puts records together
-    over many tasks. ``True`` always takes the multi-line reader (also used for
-    encodings other than UTF-8), ``False`` promises that there are no such fields.
+    Records are found by one rule for files of any size (see ``spanning``), in
+    blocks that many tasks read; Spark's parser takes the fields of each record.
     ``keep_unreadable`` adds a column with the source text of records that are too
-    short or too long.
+    short or too long. A file wider than ``max_columns`` is refused.
     """
-    names = flat_header(spark, path, delimiter, qualified, encoding)
-    options = _options(delimiter, qualified, encoding)
-    spans = False
-    if multi_line is None:
-        multi_line = False
-        if qualified:
-            by_line = options["encoding"] in _LINE_ENCODINGS
-            multi_line = not by_line or has_line_breaks(spark, path, delimiter)
-            spans = by_line and multi_line and _largest_file(spark, path) > split_above
+    names = flat_header(spark, path, delimiter, qualified, encoding, max_columns)
+    options = _options(delimiter, qualified, encoding) | {"maxColumns": max_columns + 1, "multiLine": True}
     if keep_unreadable:
         options["columnNameOfCorruptRecord"] = UNREADABLE
     fields = [T.StructField(n, T.StringType(), True, {SOURCE_TYPE: UNTYPED}) for n in names]
     read = fields + ([T.StructField(UNREADABLE, T.StringType())] if keep_unreadable else [])
-    if spans:
-        columns = ", ".join(f"`{f.name}` string" for f in read)
-        body = spanning_records(spark, path, delimiter).where("not header")
-        parsed = body.select(F.from_csv("record", columns, options).alias("_r"))
-        return parsed.select(*[F.col(f"_r.`{f.name}`").alias(f.name, metadata=f.metadata) for f in read])
-    table = (
-        spark.read.options(**options)
-        .option("header", True)
-        .option("multiLine", multi_line)
-        .option("columnPruning", not keep_unreadable)
-        .schema(T.StructType(read))
-        .csv(path)
-    )
-    if not keep_unreadable:
-        return table
-    # Spark refuses to read the record text alone, so it is tied to a column of the file.
-    tied = F.when(F.col(f"`{names[0]}`") == _NO_NULL_MARKER, "")
-    text = F.when(F.col(UNREADABLE).isNotNull(), F.concat_ws("", UNREADABLE, tied))
-    return table.withColumn(UNREADABLE, text)
+    columns = ", ".join(f"`{f.name}` string" for f in read)
+    body = file_records(spark, path, delimiter, qualified, options["encoding"]).where("not header")
+    parsed = body.select(F.from_csv("record", columns, {k: str(v) for k, v in options.items()}).alias("_r"))
+    return parsed.select(*[F.col(f"_r.`{f.name}`").alias(f.name, metadata=f.metadata) for f in read])
 
 
 def split_unreadable(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,141 +1,238 @@
-"""Records of delimited files whose quoted fields hold line ends, without one task per file.
-
-Whether a line starts inside a quoted field depends on all lines before it. Each
-line is therefore seen as a function of that one bit; functions of a file split
-are combined by windows over the split, and those of the splits of a file by a
-window over one row per split. Then every line knows its record, and only the
-pieces of records that span lines are brought together.
+"""Records of delimited files, each file cut into blocks that many tasks read.
+
+One rule holds for every file, whatever its size and blocks. A record ends at a
+line end (LF, CR LF or CR) outside quotes. A quote opens a field where a field
+starts; the field goes on to the next quote that is not doubled, over line ends
+too, which are kept as they are. What follows a closing quote belongs to the
+field up to the delimiter or the line end. Lines of no characters are no
+records; a byte order mark is no text; a field that is never closed is an error.
+
+Whether a block starts inside a quoted field depends on all blocks before it. So
+a first pass sees each block as a function of that one bit, windows over the
+blocks of a file (one row each) combine them, and a second pass cuts each block
+from its known start and reads over its end to finish the last record. No text is shuffled.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_FIELD_REST = r'[^"]*+(?:""[^"]*+)*+"'
-
-
-def opens_field(line: Column, delimiter: str) -> Column:
-    """Whether a line that starts outside quotes ends inside a quoted field.
-
-    Complete quoted fields are taken out; a quote that still opens a field is one
-    that the line does not close.
-    """
-    sep = re.escape(delimiter)
-    rest = F.regexp_replace(line, rf'(^|{sep})"{_FIELD_REST}(?={sep}|$)', "$1")
-    return line.contains('"') & rest.rlike(rf'(^|{sep})"')
-
-
-def stays_inside(line: Column, delimiter: str) -> Column:
-    """Whether a line that starts inside a quoted field ends inside one."""
-    sep = re.escape(delimiter)
-    closing = rf"^{_FIELD_REST}(?={sep}|$)"
-    return ~line.rlike(closing) | opens_field(F.regexp_replace(line, closing, ""), delimiter)
-
+from sourceworks.session import cut_lineage, ship_package
+from sourceworks.sources.files import open_file
+
+BLOCK_BYTES = 64 * 1024 * 1024
+_READ = 1024 * 1024
+_BOM = b"\xef\xbb\xbf"
+_LINE_END = re.compile(rb"\r\n|\n|\r")
+
+
+def _line_start(stream, size: int, at: int) -> int:
+    """The first place from ``at`` on where a line starts: after LF, or after CR that no LF follows."""
+    if at == 0:
+        return 0
+    stream.seek(at - 1)
+    data, base = b"", at - 1
+    while base + len(data) < size:
+        data += stream.read(_READ)
+        found = _LINE_END.search(data)
+        if found and (found.end() < len(data) or base + len(data) >= size):
+            return base + found.end()
+        if found is None:
+            base, data = base + len(data), b""
+    return size
+
+
+def _read(stream, start: int, stop: int) -> bytes:
+    stream.seek(start)
+    return stream.read(stop - start)
+
+
+class RecordRule:
+    """The record rule for one delimiter, as searches over bytes that start where a line starts."""
+
+    def __init__(self, delimiter: str, qualified: bool):
+        sep = re.escape(delimiter.encode())
+        self.rest = re.compile(rb'(?:[^"]|"")*+"')
+        field = rb'(?:\A|(?<=[\r\n])|(?<=' + sep + rb'))"(?:[^"]|"")*+(?:"|(?P<open>\Z))|'
+        self.token = re.compile((field if qualified else b"(?P<open>(?!))|") + rb"(?P<end>\r\n|\n|\r)")
+
+    def records(self, data: bytes, inside: bool) -> tuple[list[tuple[int, int, int]], bool]:
+        """(start, end of text, start of the next) of the records that start here, and whether the data end inside quotes.
+
+        With ``inside`` the data start in a quoted field of an earlier record. The last
+        record may lack its line end.
+        """
+        at, found = 0, []
+        start = None if inside else 0
+        if inside:
+            closed = self.rest.match(data)
+            if closed is None:
+                return [], True
+            at = closed.end()
+        for token in self.token.finditer(data, at):
+            if token["end"] is not None:
+                if start is not None and token.start() > start:
+                    found.append((start, token.start(), token.end()))
+                start = token.end()
+            elif token["open"] is not None:
+                if start is not None:
+                    found.append((start, len(data), len(data)))
+                return found, True
+        if start is not None and start < len(data):
+            found.append((start, len(data), len(data)))
+        return found, False
+
+
+def file_blocks(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """(path, start, stop) of the blocks of the files, from the listing alone; empty files have none."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    if whole_files:
+        return files.select("path", F.lit(0).cast("bigint").alias("start"), F.col("length").alias("stop"))
+    size = spark.conf.get("spark.sourceworks.flatBlockBytes", str(BLOCK_BYTES))
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(int(size)).cast("bigint")))
+    return files.select("path", "length", starts.alias("start")).select(
+        "path", "start", F.least(F.col("start") + int(size), "length").alias("stop")
+    )
 
-def _before(rows: DataFrame, window, outside_end: str, inside_end: str, names: tuple[str, str]) -> DataFrame:
-    """Adds the state before each row for a sequence that starts outside, and for one that starts inside.
 
-    A row either sets the state, keeps it or turns it over. The state before a row
-    is the last set one, turned over as often as rows since then do so.
+def _ends(rule: RecordRule):
+    """First pass: for both starts of a block, its end and where its first record starts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, start, stop in zip(batch["path"], batch["start"], batch["stop"], strict=True):
+                with open_file(path) as stream:
+                    size = stream.size()
+                    base = _line_start(stream, size, start)
+                    data = _read(stream, base, _line_start(stream, size, stop))
+                skip = len(_BOM) if start == 0 and data.startswith(_BOM) else 0
+                out, out_end = rule.records(data[skip:], False)
+                within, in_end = rule.records(data, True)
+                first = [base + skip + out[0][0] if out else None, base + within[0][0] if within else None]
+                rows.append((path, start, stop, out_end, in_end, *first))
+            yield pd.DataFrame(rows, columns=["path", "start", "stop", "out_end", "in_end", "first_0", "first_1"]).astype(
+                {"first_0": "Int64", "first_1": "Int64"}
+            )
+
+    return run
+
+
+def _cut(rule: RecordRule, encoding: str):
+    """Second pass: the records that start in a block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, start, stop, inside, header in zip(*[batch[c] for c in ("path", "start", "stop", "inside", "header_at")], strict=True):
+                with open_file(path) as stream:
+                    size = stream.size()
+                    base, end = _line_start(stream, size, start), _line_start(stream, size, stop)
+                    data = _read(stream, base, end)
+                    skip = len(_BOM) if start == 0 and data.startswith(_BOM) else 0
+                    base, data = base + skip, data[skip:]
+                    found, open_end = rule.records(data, bool(inside))
+                    texts = [(base + a, data[a:b]) for a, b, _ in found]
+                    if open_end and found:  # the last one goes on behind the block
+                        texts[-1] = (texts[-1][0], _finished(stream, rule, texts[-1][0], end, size))
+                rows = [(t.decode(encoding, "replace"), at == header) for at, t in texts]
+                for k in range(0, len(rows), _ROWS):
+                    yield pd.DataFrame(rows[k : k + _ROWS], columns=["record", "header"])
+
+    return run
+
+
+_ROWS = 20_000
+
+
+def _finished(stream, rule: RecordRule, start: int, stop: int, size: int) -> bytes:
+    """The text of the record at ``start``, read on from ``stop`` by ever larger steps."""
+    step = _READ
+    while stop < size:
+        stop = _line_start(stream, size, min(stop + step, size))
+        data = _read(stream, start, stop)
+        found, open_end = rule.records(data, False)
+        if len(found) > 1 or not open_end:
+            return data[found[0][0] : found[0][1]]
+        step *= 2
+    raise ValueError(f"a quoted field is never closed, from byte {start}")
+
+
+def _started(blocks: DataFrame) -> DataFrame:
+    """Adds ``inside``: whether a block starts inside a quoted field, from the blocks before it.
+
+    A block either sets the state (both its ends agree), keeps it or turns it over. The state
+    before a block is the last set one, turned over as often as blocks since then do so.
     """
-    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
-    turns = (F.col(outside_end) & ~F.col(inside_end)).cast("int")
-    counted = rows.withColumn("_turns", F.sum(turns).over(upto))
-    setting = F.when(
-        F.col(outside_end) == F.col(inside_end), F.struct(F.col(outside_end).cast("int").alias("to"), F.col("_turns").alias("at"))
-    )
-    marked = counted.withColumn("_set", setting).withColumn("_set", F.last("_set", ignorenulls=True).over(earlier))
+    upto = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    turns = (F.col("out_end") & ~F.col("in_end")).cast("int")
+    setting = F.when(F.col("out_end") == F.col("in_end"), F.struct(F.col("out_end").cast("int").alias("to"), F.col("_turns").alias("at")))
+    counted = blocks.withColumn("_turns", F.sum(turns).over(upto))
+    known = counted.withColumn("_set", setting).withColumn("_set", F.last("_set", ignorenulls=True).over(earlier))
     since = F.col("_turns") - turns - F.coalesce("_set.at", F.lit(0))
-
-    def state(start: int) -> Column:
-        return (F.coalesce("_set.to", F.lit(start)) + since) % 2 == 1
-
-    return marked.withColumns({names[0]: state(0), names[1]: state(1)}).drop("_turns", "_set")
+    return known.withColumn("inside", (F.coalesce("_set.to", F.lit(0)) + since) % 2 == 1).drop("_turns", "_set")
 
 
-def spanning_records(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
-    """(record, header) for every record of a qualified UTF-8 file; ``header`` marks the first of each file.
+def file_records(spark: SparkSession, path: str, delimiter: str, qualified: bool = True, encoding: str = "UTF-8") -> DataFrame:
+    """(record, header) for every record of the files; ``header`` marks the first of each file.
 
-    Reading fails when a file ends inside a quoted field.
+    Encodings in which ASCII characters are single bytes are read in blocks, others
+    (such as UTF-16) decoded file by file.
     """
-    value = F.regexp_replace("value", r"\r$", "")
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
-        value.alias("line"),
-    )
-    # All that is asked of the text itself is worked out before the shuffle, so the pass over splits leaves it behind.
-    line = F.col("line")
-    judged = lines.withColumns(
-        {"out_end": opens_field(line, delimiter), "in_end": stays_inside(line, delimiter), "blank": F.trim(line) == ""}
-    )
-    in_block = Window.partitionBy("file", "block").orderBy("seq")
-    placed = _before(judged, in_block, "out_end", "in_end", ("before_0", "before_1"))
-    blank = F.col("blank")
-    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for start in ("0", "1"):
-        begins = (~F.col(f"before_{start}") & ~blank).cast("int")
-        placed = placed.withColumn(f"nth_{start}", F.sum(begins).over(upto))
-
-    def after(start: str) -> Column:
-        return F.when(F.col(f"before_{start}"), F.col("in_end")).otherwise(F.col("out_end"))
-
-    blocks = placed.groupBy("file", "block").agg(
-        *[F.max_by(after(s), "seq").alias(f"end_{s}") for s in ("0", "1")],
-        *[F.max(f"nth_{s}").alias(f"records_{s}") for s in ("0", "1")],
-    )
-    in_file = Window.partitionBy("file").orderBy("block")
-    whole_file = Window.partitionBy("file")
-    started = _before(blocks, in_file, "end_0", "end_1", ("inside", "_")).select(
-        "file",
-        "block",
-        "inside",
-        F.when(F.col("inside"), F.col("end_1")).otherwise(F.col("end_0")).alias("end"),
-        F.when(F.col("inside"), F.col("records_1")).otherwise(F.col("records_0")).alias("records"),
-    )
-    holder = F.when(F.col("records") > 0, F.struct("block", "records"))
-    earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    known = started.select(
-        "file",
-        "block",
-        "inside",
-        F.last(holder, ignorenulls=True).over(earlier).alias("carried"),
-        F.min(F.when(F.col("records") > 0, F.col("block"))).over(whole_file).alias("header_block"),
-        F.max_by("end", "block").over(whole_file).alias("unclosed"),
-    )
-    inside = F.when(F.col("inside"), F.col("before_1")).otherwise(F.col("before_0"))
-    nth = F.when(F.col("inside"), F.col("nth_1")).otherwise(F.col("nth_0"))
-    ends_inside = F.when(F.col("_inside"), F.col("in_end")).otherwise(F.col("out_end"))
-    owned = (
-        placed.join(known, ["file", "block"])
-        .withColumns({"_inside": inside, "_nth": nth})
-        .withColumn("_whole", ~F.col("_inside") & ~ends_inside)
-        .where(F.col("_inside") | ~blank)
-        .select(
-            "file",
-            F.when(F.col("_nth") > 0, F.col("block")).otherwise(F.col("carried.block")).alias("home"),
-            F.when(F.col("_nth") > 0, F.col("_nth")).otherwise(F.col("carried.records")).alias("nth"),
-            "header_block",
-            F.when(F.col("unclosed"), F.raise_error(F.concat(F.lit("quoted field is never closed in "), "file")))
-            .otherwise(F.col("line"))
-            .alias("line"),
-            "block",
-            "seq",
-            "_whole",
+    ship_package(spark)
+    rule = RecordRule(delimiter, qualified)
+    if codecs.lookup(encoding).name.startswith(("utf-16", "utf-32")):
+        return file_blocks(spark, path, whole_files=True).repartition("path").mapInPandas(
+            _decoded(rule, encoding), "record string, header boolean"
         )
+    blocks = file_blocks(spark, path).repartition("path", "start")
+    ends = blocks.mapInPandas(
+        _ends(rule), "path string, start long, stop long, out_end boolean, in_end boolean, first_0 long, first_1 long"
     )
-    header = (F.col("home") == F.col("header_block")) & (F.col("nth") == 1)
-    single = owned.where("_whole").select(F.col("line").alias("record"), header.alias("header"))
-    pieces = F.array_sort(F.collect_list(F.struct("block", "seq", "line")))
-    spanning = (
-        owned.where("not _whole")
-        .groupBy("file", "home", "nth", "header_block")
-        .agg(pieces.alias("pieces"))
-        .select(F.array_join(F.transform("pieces", lambda p: p["line"]), "\n").alias("record"), header.alias("header"))
-    )
-    return single.unionByName(spanning)
+    first = F.when(F.col("inside"), F.col("first_1")).otherwise(F.col("first_0"))
+    headed = _started(cut_lineage(ends)).withColumn("header_at", F.min(first).over(Window.partitionBy("path")))
+    asked = headed.select("path", "start", "stop", "inside", F.coalesce("header_at", F.lit(-1)).alias("header_at"))
+    return asked.repartition("path", "start").mapInPandas(_cut(rule, encoding), "record string, header boolean")
+
+
+def _decoded(rule: RecordRule, encoding: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                with open_file(path) as stream:
+                    data = stream.read().decode(encoding).removeprefix("\ufeff").encode()
+                found, open_end = rule.records(data, False)
+                if open_end:
+                    raise ValueError(f"a quoted field of {path} is never closed")
+                rows = [(data[a:b].decode(), k == 0) for k, (a, b, _) in enumerate(found)]
+                yield pd.DataFrame(rows, columns=["record", "header"])
+
+    return run
+
+
+def first_record(path: str, delimiter: str, qualified: bool, encoding: str) -> str | None:
+    """The first record of one file, reading no more of it than needed."""
+    wide = codecs.lookup(encoding).name.startswith(("utf-16", "utf-32"))
+    rule, step = RecordRule(delimiter, qualified), 64 * 1024
+    with open_file(path) as stream:
+        size = stream.size()
+        while True:
+            data = _read(stream, 0, size if wide else min(step, size))
+            whole = len(data) == size
+            if wide:
+                data = data.decode(encoding).removeprefix("\ufeff").encode()
+            data = data[len(_BOM) :] if data.startswith(_BOM) else data
+            found, open_end = rule.records(data, False)
+            if len(found) > 1 or (whole and found and not open_end):
+                return data[found[0][0] : found[0][1]].decode("utf-8" if wide else encoding, "replace")
+            if whole:
+                if open_end:
+                    raise ValueError(f"a quoted field of {path} is never closed")
+                return None
+            step *= 4

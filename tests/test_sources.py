@@ -32,23 +32,6 @@ def test_flat_header_quotes_nulls_and_line_ends(spark, tmp_path):
     assert sorted(values(df)) == [("1", 'say "hi"', None, "two\nlines"), ("2", "", "b", "c")]
 
 
-@pytest.mark.parametrize(
-    "line, spans",
-    [
-        ('a,"b', True),
-        ('a,"b""', True),
-        ('"a","b,""c"""', False),
-        ('5" pipe,"x"', False),
-        ('a,"b",""', False),
-        ('"', True),
-        ('a;"b', False),
-        ("plain", False),
-    ],
-)
-def test_line_break_detection(spark, tmp_path, line, spans):
-    assert flat.has_line_breaks(spark, write(tmp_path / "f.csv", f"h1,h2\n{line}\n")) is spans
-
-
 def test_flat_without_quoting(spark, tmp_path):
     path = write(tmp_path / "u.tsv", 'a\tb\n5" x\t"y\n')
     assert values(flat.read_flat(spark, path, delimiter="\t", qualified=False)) == [('5" x', '"y')]
@@ -84,41 +67,94 @@ def test_written_records_come_back(spark, tmp_path_factory, data):
     assert sorted(values(flat.read_flat(spark, path))) == sorted(data)
 
 
-@pytest.mark.parametrize("seed", range(6))
-@pytest.mark.parametrize("split", [7, 40, 1_000_000])
-def test_spanning_records_equal_the_multi_line_reader(spark, tmp_path, seed, split):
-    """Whatever the splits, records are those of Spark's reader, which takes a file as a whole."""
-    pick = random.Random(seed)
-    parts = ["a", 'b""c', "\n", ",", "\n\n", '""', "é", " ", "\n,"]
-
-    def field():
-        if pick.random() < 0.5:
-            return '"' + "".join(pick.choices(parts, k=pick.randint(0, 5))) + '"'
-        return pick.choice(["", "x", "5 y", 'in"ch', "zz"])
-
-    for name in ("one.csv", "two.csv"):
-        lines = ['"h\n1",h2,h3'] + [",".join(field() for _ in range(3)) for _ in range(pick.randint(5, 40))]
-        write(tmp_path / name, "\n\n" + "\n".join(lines) + "\n")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
-    try:
-        folder = str(tmp_path)
-        got = flat.read_flat(spark, folder, split_above=0)
-        assert got.columns == ["H_1", "H2", "H3"]
-        assert sorted(values(got), key=repr) == sorted(values(flat.read_flat(spark, folder, multi_line=True)), key=repr)
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-
-
-def test_field_that_never_closes_is_refused(spark, tmp_path):
+@pytest.fixture
+def blocks(spark):
+    def of(size):
+        spark.conf.set("spark.sourceworks.flatBlockBytes", size)
+
+    yield of
+    spark.conf.unset("spark.sourceworks.flatBlockBytes")
+
+
+@pytest.mark.parametrize("block", [1, 5, 16, 1_000_000])
+@pytest.mark.parametrize(
+    "body, records",
+    [
+        ('"x\ry",1\n', [("x\ry", "1")]),
+        ('"x\r\ny",1\r\n', [("x\r\ny", "1")]),
+        ("   \n1,2\n", [("   ", None), ("1", "2")]),
+        ('"x"y,1\n"p\nq",2\n', [('"x"y', "1"), ("p\nq", "2")]),
+        ("1,2\r3,4\r", [("1", "2"), ("3", "4")]),
+        ('1,2\n\n\r\n3,"4"', [("1", "2"), ("3", "4")]),
+        ('5" pipe,"say ""hi"""\n', [('5" pipe', 'say "hi"')]),
+        ('"","\n\n"\n,é\n', [("", "\n\n"), (None, "é")]),
+    ],
+)
+def test_one_record_rule_for_all_blocks(spark, tmp_path, blocks, block, body, records):
+    blocks(block)
+    for mark in ("", "\ufeff"):
+        path = write(tmp_path / f"f{len(mark)}.csv", f"{mark}a,b\n{body}")
+        df = flat.read_flat(spark, path)
+        assert df.columns == ["A", "B"] and sorted(values(df), key=repr) == sorted(records, key=repr)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text('ab",\n\r é', max_size=12), min_size=1, max_size=12), st.integers(1, 30))
+def test_records_do_not_depend_on_blocks(spark, tmp_path_factory, blocks, lines, block):
+    """Any text gives the same rows, or the same error, in one block and in many."""
+    path = write(tmp_path_factory.mktemp("any") / "f.csv", "h1,h2\n" + "\n".join(lines))
+
+    def read(size):
+        blocks(size)
+        try:
+            return sorted(values(flat.read_flat(spark, path)), key=repr)
+        except Exception as error:
+            assert "never closed" in str(error)
+            return "open"
+
+    assert read(block) == read(1_000_000)
+
+
+@pytest.mark.parametrize("block", [7, 40])
+def test_written_values_come_back_from_any_blocks(spark, tmp_path, blocks, block):
+    pick = random.Random(block)
+    parts = ["a", '"', "\n", "\r", ",", "\r\n", '""', "é", " "]
+    data = [("".join(pick.choices(parts, k=pick.randint(0, 6))), str(k)) for k in range(60)]
+    quote = lambda v: '"' + v.replace('"', '""') + '"'
+    for name, rows_ in (("one.csv", data[:25]), ("two.csv", data[25:])):
+        write(tmp_path / name, '\n\n"h\n1",h2\n' + "".join(f"{quote(a)},{b}\n" for a, b in rows_))
+    blocks(block)
+    got = flat.read_flat(spark, str(tmp_path))
+    assert got.columns == ["H_1", "H2"] and sorted(values(got)) == sorted(data)
+
+
+@pytest.mark.parametrize("block", [3, 1_000_000])
+def test_field_that_never_closes_is_refused(spark, tmp_path, blocks, block):
+    blocks(block)
     path = write(tmp_path / "open.csv", 'a,b\n1,"x\n2,y\n')
     with pytest.raises(Exception, match="never closed"):
-        flat.read_flat(spark, path, split_above=0).collect()
+        flat.read_flat(spark, path).collect()
+
+
+def test_wide_files_need_a_larger_limit(spark, tmp_path):
+    path = write(tmp_path / "wide.csv", ",".join(f"c{i}" for i in range(30)) + "\n")
+    with pytest.raises(ValueError, match="max_columns"):
+        flat.flat_header(spark, path, max_columns=20)
+    assert len(flat.flat_header(spark, path)) == 30
+
+
+@pytest.mark.parametrize("encoding", ["utf-16", "latin1"])
+def test_other_encodings(spark, tmp_path, encoding):
+    path = write(tmp_path / "e.csv", 'näme,b\n"x\ny",é\n', encoding)
+    df = flat.read_flat(spark, path, encoding=encoding)
+    assert df.columns == ["NME", "B"] and values(df) == [("x\ny", "é")]
 
 
-@pytest.mark.parametrize("split_above", [0, 1_000_000])
-def test_unreadable_records_among_spanning_ones(spark, tmp_path, split_above):
+@pytest.mark.parametrize("block", [4, 1_000_000])
+def test_unreadable_records_among_spanning_ones(spark, tmp_path, blocks, block):
+    blocks(block)
     path = write(tmp_path / "r.csv", 'a,b\n1,"x\ny"\n2\n3,"p\nq",more\n')
-    good, bad = flat.split_unreadable(flat.read_flat(spark, path, keep_unreadable=True, split_above=split_above))
+    good, bad = flat.split_unreadable(flat.read_flat(spark, path, keep_unreadable=True))
     assert values(good) == [("1", "x\ny")]
     assert sorted(values(bad)) == [("2",), ('3,"p\nq",more',)]
 
