@@ -15,7 +15,7 @@ from sourceworks.sources.dbf import read_dbf
 from sourceworks.sources.files import backup_files, backup_manifest, list_files
 from sourceworks.sources.flat import read_flat, split_unreadable, write_flat
 from sourceworks.sources.sheets import read_sheet, sheet_rows
-from sourceworks.sources.tables import write_text_table
+from sourceworks.sources.tables import column_list, table_exists, write_text_table
 from sourcechecks.files import write_archives, write_dbf_files, write_workbooks
 from sourcechecks.inputs import given
 from sourcechecks.registry import query
@@ -58,6 +58,18 @@ def flat_load(spark, sf):
     return spark.table("sourceworks_flat_load")
 
 
+@query(
+    "loaded_columns",
+    """select position, name from (values (1, 'o_orderkey'), (2, 'o_custkey'), (3, 'o_orderstatus'), (4, 'o_totalprice'),
+              (5, 'o_orderdate'), (6, 'o_orderpriority')) t(position, name) where exists (select 1 from orders)""",
+)
+def loaded_columns(spark, sf):
+    """The column list of a table that was loaded, if it exists."""
+    write_text_table(given(spark, sf, "orders"), "sourceworks_columns", scratch_path(spark, "table"))
+    names = column_list(spark, "sourceworks_columns") if table_exists(spark, "sourceworks_columns") else []
+    return spark.createDataFrame(list(enumerate(names, 1)), "position int, name string")
+
+
 @query(
     "flat_documents",
     """select cast(doc_id as varchar) as DOC_ID, lang as LANG, length(text) as chars, md5(text) as digest from documents""",
@@ -238,10 +250,18 @@ def archive_entries_query(spark, sf):
     return listed.select(F.substring_index("path", "/", -1).alias("archive"), "entry", "length")
 
 
-@query("archive_rows", "select cast(c_custkey as varchar) as C_CUSTKEY, c_name as C_NAME from customer")
+@query(
+    "archive_rows",
+    """select 'name' as kind, cast(c_custkey as varchar) as key, c_name as value from customer
+       union all select 'segment', cast(c_custkey as varchar), c_mktsegment from customer""",
+)
 def archive_rows(spark, sf):
-    """Entries expanded to files, then read as flat files."""
-    return read_flat(spark, f"{_expanded(spark, sf)}/*/names_*.csv")
+    """Entries of both kinds expanded to files, then read as flat files."""
+    folder = _expanded(spark, sf)
+    names, segments = (read_flat(spark, f"{folder}/*/{kind}_*.csv") for kind in ("names", "sub/segments"))
+    return names.select(F.lit("name").alias("kind"), F.col("C_CUSTKEY").alias("key"), F.col("C_NAME").alias("value")).unionByName(
+        segments.select(F.lit("segment").alias("kind"), F.col("C_CUSTKEY").alias("key"), F.col("C_MKTSEGMENT").alias("value"))
+    )
 
 
 @query("folder_listing", f"select string_split(entry, '/')[-1] as file_name, 'Flat' as loader_type, length(content) as length from ({_ENTRIES})")

@@ -144,6 +144,18 @@ def row_shape(spark, sf):
     return shaped.select("key", "owner", "state", R.has_null_item(F.col("items")).alias("null_item"))
 
 
+@query(
+    "exists_check",
+    """select o_orderstatus, bool_or(o_totalprice > 450000) as found from orders group by o_orderstatus""",
+)
+def exists_check(spark, sf):
+    """For every status, whether any order of it is above a price."""
+    orders = given(spark, sf, "orders")
+    states = [r[0] for r in orders.select("o_orderstatus").distinct().collect()]
+    found = [(s, R.has_rows(orders.where((F.col("o_orderstatus") == s) & (F.col("o_totalprice") > 450000)))) for s in states]
+    return spark.createDataFrame(found, "o_orderstatus string, found boolean")
+
+
 @query(
     "text_search",
     "select doc_id, lang, source from documents where contains(lower(text), 'ment') or contains(lower(source), 'ment')",

@@ -10,28 +10,45 @@ from sourceworks.sources.database import typed_as_source
 from sourcechecks.inputs import derived, given, with_tables
 from sourcechecks.registry import query
 
-_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
-
-
-def _profile_sql(table: str, columns: list[str], types: dict[str, str] | None = None) -> str:
+# Doubles are rendered with two decimals on both sides; date-times as the engine writes them (F2).
+_MONEY = "cast(cast({c} as decimal(18,2)) as varchar)"
+_STAMP = """strftime({c}, '%Y-%m-%dT%H:%M:%S') || if(epoch_us({c}) % 1000000 = 0, '',
+            '.' || rtrim(lpad(cast(epoch_us({c}) % 1000000 as varchar), 6, '0'), '0'))"""
+_ORDER_COLUMNS = {"o_orderkey": "{c}", "o_custkey": "{c}", "o_orderstatus": "{c}", "o_totalprice": _MONEY, "o_orderdate": _STAMP,
+                  "o_orderpriority": "{c}"}
+_EVENT_COLUMNS = {"event_id": "{c}", "ts": _STAMP, "user_id": "{c}", "event_type": "{c}", "value": _MONEY, "props": "{c}"}
+_LINE_COLUMNS = {"l_orderkey": "{c}", "l_partkey": "{c}", "l_suppkey": "{c}", "l_linenumber": "{c}", "l_quantity": _MONEY,
+                 "l_extendedprice": _MONEY, "l_discount": _MONEY, "l_tax": _MONEY, "l_returnflag": "{c}", "l_linestatus": "{c}",
+                 "l_shipdate": _STAMP}
+
+
+def _profile_sql(table: str, columns, types: dict[str, str] | None = None, where: str = "true", label: str | None = None) -> str:
+    rendered = columns if isinstance(columns, dict) else dict.fromkeys(columns, "{c}")
     parts = [
-        f"""select '{table}' as table_name, {i} as column_index, '{c}' as name, '{(types or {}).get(c, "VARCHAR")}' as type,
-            cast(min(length(coalesce(cast({c} as varchar), ''))) as int) as min_length,
-            cast(max(length(coalesce(cast({c} as varchar), ''))) as int) as max_length,
-            count(*) as record_count from {table}"""
-        for i, c in enumerate(columns)
+        f"""select '{label or table}' as table_name, {i} as column_index, '{c}' as name, '{(types or {}).get(c, "VARCHAR")}' as type,
+            cast(min(length(coalesce(cast({text.format(c=c)} as varchar), ''))) as int) as min_length,
+            cast(max(length(coalesce(cast({text.format(c=c)} as varchar), ''))) as int) as max_length,
+            count(*) as record_count from {table} where {where}"""
+        for i, (c, text) in enumerate(rendered.items())
     ]
     return " union all ".join(parts)
 
 
+def _whole(spark, sf, table):
+    """A given table with doubles as decimals, for one rendering on both sides."""
+    rows = given(spark, sf, table)
+    doubles = [f.name for f in rows.schema.fields if f.dataType.typeName() == "double"]
+    return rows.withColumns({c: F.col(c).cast("decimal(18,2)") for c in doubles})
+
+
 @query("profile_orders", _profile_sql("orders", _ORDER_COLUMNS))
 def profile_orders(spark, sf):
-    return P.profile(given(spark, sf, "orders").select(*_ORDER_COLUMNS), "orders")
+    return P.profile(_whole(spark, sf, "orders"), "orders")
 
 
-@query("profile_events", _profile_sql("events", ["event_id", "user_id", "event_type", "props"]))
+@query("profile_events", _profile_sql("events", _EVENT_COLUMNS))
 def profile_events(spark, sf):
-    return P.profile(given(spark, sf, "events").select("event_id", "user_id", "event_type", "props"), "events")
+    return P.profile(_whole(spark, sf, "events"), "events")
 
 
 @query("profile_documents", _profile_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"]))
@@ -43,86 +60,62 @@ def profile_documents(spark, sf):
     "profile_typed",
     _profile_sql(
         "customer",
-        ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
-        {"c_custkey": "BIGINT", "c_nationkey": "INTEGER"},
-    ).replace(" as name", " as lower_name").replace("select 'customer'", "select upper(lower_name) as name, * exclude (lower_name) from (select 'customer'").replace("from customer", "from customer)"),
+        {"c_custkey": "{c}", "c_name": "{c}", "c_nationkey": "{c}", "c_acctbal": _MONEY, "c_mktsegment": "{c}"},
+        {"c_custkey": "BIGINT", "c_nationkey": "INTEGER", "c_acctbal": "DECIMAL"},
+    ).replace(" as name", " as lower_name").replace("select 'customer'", "select upper(lower_name) as name, * exclude (lower_name) from (select 'customer'").replace("from customer where true", "from customer)"),
 )
 def profile_typed(spark, sf):
-    table = given(spark, sf, "customer").drop("c_acctbal")
-    return P.profile(typed_as_source(table), "customer", typed=True)
+    return P.profile(typed_as_source(_whole(spark, sf, "customer")), "customer", typed=True)
 
 
-@query("profile_merge", _profile_sql("orders", _ORDER_COLUMNS[:3]))
+@query("profile_merge", _profile_sql("orders", {c: t for c, t in _ORDER_COLUMNS.items() if c != "o_orderpriority"}))
 def profile_merge(spark, sf):
-    orders = given(spark, sf, "orders").select(*_ORDER_COLUMNS)
-    return P.merge_profiles(P.profile(orders, "orders", by=["o_orderpriority"]))
-
+    """The profile of orders from those of each priority."""
+    return P.merge_profiles(P.profile(_whole(spark, sf, "orders"), "orders", by=["o_orderpriority"]))
 
-def _flag_profile(flag: str) -> str:
-    return f"""select name, index, min(len) as min_length, max(len) as max_length from (
-        select 'l_orderkey' as name, 0 as index, length(cast(l_orderkey as varchar)) as len from lineitem where l_returnflag = '{flag}'
-        union all select 'l_partkey', 1, length(cast(l_partkey as varchar)) from lineitem where l_returnflag = '{flag}'
-        union all select 'l_linestatus', 2, length(l_linestatus) from lineitem where l_returnflag = '{flag}') group by name, index"""
 
-
-def _lineitem_profile(spark, sf, flag, columns):
-    rows = given(spark, sf, "lineitem").where(F.col("l_returnflag") == flag).select(*columns)
-    return P.profile(rows, "lineitem")
+_LINES_A = _profile_sql("lineitem", {c: t for c, t in _LINE_COLUMNS.items() if c != "l_partkey"}, where="l_returnflag = 'A'")
+_LINES_R = _profile_sql("lineitem", {c: t for c, t in _LINE_COLUMNS.items() if c != "l_linestatus"}, where="l_returnflag <> 'A'")
 
 
 @query(
     "profile_upsert",
-    f"""with old as ({_flag_profile("A")}), new as ({_flag_profile("R")})
-        select cast(7 as bigint) as st_oid, coalesce(n.name, o.name) as name,
-               'VARCHAR' as type,
-               cast(case when n.name is not null then n.max_length else o.max_length end as int) as max_length,
-               cast(case when n.name is not null then n.min_length else o.min_length end as int) as min_length,
+    f"""with old as ({_LINES_A}), new as ({_LINES_R})
+        select cast(7 as bigint) as st_oid, coalesce(n.name, o.name) as name, 'VARCHAR' as type,
+               if(n.name is not null, n.max_length, o.max_length) as max_length,
+               if(n.name is not null, n.min_length, o.min_length) as min_length,
                if(o.name is null, null, 'kept') as label,
-               cast(case when n.name is not null then n.index else o.index end as int) as column_index
-        from (select * from old where name <> 'l_partkey') o full join (select * from new where name <> 'l_linestatus') n
-        on o.name = n.name""",
+               cast(if(n.name is not null, n.column_index, o.column_index) as int) as column_index
+        from old o full join new n on o.name = n.name""",
 )
 def profile_upsert(spark, sf):
-    def stored(flag, columns, indexes):
-        index = F.create_map(*[F.lit(x) for pair in indexes.items() for x in pair])
-        return _lineitem_profile(spark, sf, flag, columns).select(
-            F.lit(7).cast("bigint").alias("st_oid"),
-            "name",
-            "type",
-            "max_length",
-            "min_length",
-            index[F.col("name")].alias("column_index"),
-        )
-
-    places = {"l_orderkey": 0, "l_partkey": 1, "l_linestatus": 2}
-    old = stored("A", ["l_orderkey", "l_linestatus"], places).select(
-        "st_oid", "name", "type", "max_length", "min_length", F.lit("kept").alias("label"), "column_index"
-    )
-    return P.upsert_profile(old, stored("R", ["l_orderkey", "l_partkey"], places))
+    """Stored: all columns but one, of returned lines; fresh: all columns but another, of the other lines."""
+    lines = _whole(spark, sf, "lineitem")
+    shape = ["st_oid", "name", "type", "max_length", "min_length", "column_index"]
+    old = P.profile(lines.where("l_returnflag = 'A'").drop("l_partkey"), "lineitem").withColumn("st_oid", F.lit(7).cast("bigint"))
+    new = P.profile(lines.where("l_returnflag <> 'A'").drop("l_linestatus"), "lineitem").withColumn("st_oid", F.lit(7).cast("bigint"))
+    stored = old.select(*shape[:5], F.lit("kept").alias("label"), "column_index")
+    return P.upsert_profile(stored, new.select(*shape))
+
+
+_DONE = _profile_sql("orders", {c: t for c, t in _ORDER_COLUMNS.items() if c != "o_custkey"}, where="o_orderstatus = 'F'")
+_OPEN = _profile_sql("orders", {c: t for c, t in _ORDER_COLUMNS.items() if c != "o_orderkey"}, where="o_orderstatus <> 'F' and length(o_orderpriority) < 8")
 
 
 @query(
     "profile_drift",
-    """with a as (select length(cast(o_orderkey as varchar)) as k, length(o_orderpriority) as p, length(cast(o_custkey as varchar)) as c,
-                         o_orderstatus as s from orders),
-       old as (select 'o_orderkey' as name, min(k) as lo, max(k) as hi from a where s = 'F'
-               union all select 'o_orderpriority', min(p), max(p) from a where s = 'F' and p < 8),
-       new as (select 'o_orderpriority' as name, min(p) as lo, max(p) as hi from a where s = 'O'
-               union all select 'o_custkey', min(c), max(c) from a where s = 'O')
+    f"""with old as ({_DONE}), new as ({_OPEN})
        select 'orders' as table_name, coalesce(old.name, new.name) as name,
               case when old.name is null then 'added' when new.name is null then 'removed' else 'length' end as drift,
-              cast(old.lo as int) as old_min_length, cast(old.hi as int) as old_max_length,
-              cast(new.lo as int) as new_min_length, cast(new.hi as int) as new_max_length
+              old.min_length as old_min_length, old.max_length as old_max_length,
+              new.min_length as new_min_length, new.max_length as new_max_length
        from old full join new on old.name = new.name
-       where old.name is null or new.name is null or old.lo <> new.lo or old.hi <> new.hi""",
+       where old.name is null or new.name is null or old.min_length <> new.min_length or old.max_length <> new.max_length""",
 )
 def profile_drift(spark, sf):
-    orders = given(spark, sf, "orders")
-    done = orders.where("o_orderstatus = 'F'")
-    before = P.profile(done.select("o_orderkey"), "orders").unionByName(
-        P.profile(done.where("length(o_orderpriority) < 8").select("o_orderpriority"), "orders")
-    )
-    after = P.profile(orders.where("o_orderstatus = 'O'").select("o_orderpriority", "o_custkey"), "orders")
+    orders = _whole(spark, sf, "orders")
+    before = P.profile(orders.where("o_orderstatus = 'F'").drop("o_custkey"), "orders")
+    after = P.profile(orders.where("o_orderstatus <> 'F' and length(o_orderpriority) < 8").drop("o_orderkey"), "orders")
     return P.profile_drift(before, after)
 
 

@@ -37,13 +37,13 @@ def latest_state(spark, sf):
             ranked as (select run_id, pr_task_id, row_number() over (partition by run_id order by path) as task_order from walk)
             select t.run_id, r.task_order, t.pr_task_id, t.task_id from ranked r join tasks t on t.pr_task_id = r.pr_task_id
             join task_runs u on u.run_id = t.run_id and u.workflow_operation = t.workflow_operation
-            where t.run_id in (select user_id from events where event_type = 'purchase')""",
+            where t.run_id in (select user_id from events)""",
         True,
     ),
 )
 def live_task_lists(spark, sf):
     """Task lists of the runs that changed, as a subscriber sees them."""
-    changes = _event_stream(spark, sf).where("event_type = 'purchase'").select(F.col("user_id").alias("run_id"))
+    changes = _event_stream(spark, sf).select(F.col("user_id").alias("run_id"))
     target, state = scratch_path(spark, "lists"), scratch_path(spark, "state")
 
     def tables():
@@ -55,12 +55,14 @@ def live_task_lists(spark, sf):
 
 @query(
     "subscriber_changes",
-    """select e.event_id, e.user_id as run_id, c_name as subscriber from events e join customer on c_nationkey = e.user_id where e.event_type = 'click'""",
+    """select e.event_id, e.user_id as run_id, c_name as subscriber from events e
+       join customer on c_custkey = e.user_id or c_custkey - 1 = e.user_id""",
 )
 def subscriber_changes(spark, sf):
-    """Every change once per subscriber of its run."""
-    changes = _event_stream(spark, sf).where("event_type = 'click'").select("event_id", F.col("user_id").alias("run_id"))
-    follows = given(spark, sf, "customer").select(F.col("c_nationkey").cast("bigint").alias("run_id"), F.col("c_name").alias("subscriber"))
+    """Every change once per subscriber of its run; each customer follows two runs."""
+    changes = _event_stream(spark, sf).select("event_id", F.col("user_id").alias("run_id"))
+    runs = F.explode(F.array(F.col("c_custkey"), F.col("c_custkey") - 1)).alias("run_id")
+    follows = given(spark, sf, "customer").select(runs, F.col("c_name").alias("subscriber"))
     target, state = scratch_path(spark, "sent"), scratch_path(spark, "state")
     sent = feed.for_subscribers(changes, follows).writeStream.format("parquet")
     sent.option("checkpointLocation", state).trigger(availableNow=True).start(target).awaitTermination()

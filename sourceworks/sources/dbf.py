@@ -18,7 +18,15 @@ from sourceworks.sources.files import open_file
 
 RANGE_BYTES = 8 * 1024 * 1024
 # Names of the field types.
-FIELD_TYPES = {"C": "CHARACTER", "N": "NUMERIC", "F": "FLOATING_POINT", "D": "DATE", "L": "LOGICAL"}
+FIELD_TYPES = {
+    "C": "CHARACTER", "N": "NUMERIC", "F": "FLOATING_POINT", "D": "DATE", "L": "LOGICAL", "I": "LONG", "+": "AUTOINCREMENT",
+    "O": "DOUBLE", "B": "DOUBLE", "Y": "CURRENCY", "T": "TIMESTAMP", "@": "TIMESTAMP", "M": "MEMO", "G": "GENERAL_OLE", "P": "PICTURE",
+}
+#: Fields whose bytes are numbers, not text.
+BINARY_FIELDS = "I+OBYT@"
+#: Fields that point into another file; their columns are blank.
+OUTSIDE_FIELDS = "MGP"
+_JULIAN_1970 = 2_440_588
 
 
 @dataclass(frozen=True)
@@ -51,10 +59,29 @@ def dbf_layout(path: str) -> DbfLayout:
     return DbfLayout(records, start, width, tuple(fields))
 
 
+def binary_text(letter: str, raw: np.ndarray) -> np.ndarray:
+    """The values of a binary field (rows of bytes) as text; zero bytes of a date-time are blank."""
+    if letter in "I+":
+        return raw[:, :4].copy().view("<i4").ravel().astype(str)
+    if letter in "OB":
+        return np.array([repr(v) for v in raw[:, :8].copy().view("<f8").ravel().tolist()])
+    if letter == "Y":
+        cents = raw[:, :8].copy().view("<i8").ravel().tolist()
+        return np.array([f"{'-' if c < 0 else ''}{abs(c) // 10_000}.{abs(c) % 10_000:04d}" for c in cents])
+    days, millis = raw[:, :8].copy().view("<i4").T
+    stamps = (days.astype("i8") - _JULIAN_1970).astype("M8[D]").astype("M8[ms]") + millis.astype("m8[ms]")
+    text = np.datetime_as_string(stamps, unit="s")
+    return np.where(days == 0, "", np.char.add(text, "Z"))
+
+
 def field_text(letter: str, raw: Column) -> Column:
     """Fixed-width field as text; a date is its midnight in UTC, like a typed value (F2)."""
     trimmed = F.trim(raw)
-    if letter == "C":
+    if letter in BINARY_FIELDS:
+        text = raw
+    elif letter in OUTSIDE_FIELDS:
+        text = F.lit("")
+    elif letter == "C":
         text = F.rtrim(raw)
     elif letter in "NF":
         plain = F.regexp_replace(trimmed, r"^\+", "")
@@ -79,7 +106,7 @@ def read_dbf(spark: SparkSession, path: str, encoding: str = "latin-1", range_by
     layout = dbf_layout(path)
     width, start, total = layout.record_bytes, layout.start, layout.records
     per_range = max(1, range_bytes // max(1, width))
-    slices = [(offset, size) for _, _, offset, size in layout.fields]
+    slices = [(letter, offset, size) for _, letter, offset, size in layout.fields]
     shape = pa.schema([(f"_f{i}", pa.string()) for i in range(len(slices))])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,8 +119,10 @@ def read_dbf(spark: SparkSession, path: str, encoding: str = "latin-1", range_by
                     records = np.frombuffer(block, np.uint8, whole * width).reshape(whole, width)
                     kept = records[records[:, 0] != ord("*")]
                     columns = [
-                        np.char.decode(np.ascontiguousarray(kept[:, o : o + n]).view(f"S{n}").ravel(), encoding)
-                        for o, n in slices
+                        binary_text(letter, kept[:, o : o + n])
+                        if letter in BINARY_FIELDS
+                        else np.char.decode(np.ascontiguousarray(kept[:, o : o + n]).view(f"S{n}").ravel(), encoding)
+                        for letter, o, n in slices
                     ]
                     yield pa.record_batch([pa.array(c, pa.string()) for c in columns], schema=shape)
 

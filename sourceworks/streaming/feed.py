@@ -67,6 +67,18 @@ def current_lists(spark: SparkSession, target: str) -> DataFrame:
     return snapshots.join(newest, ["run_id", "batch_id"], "left_semi").where(F.col("pr_task_id").isNotNull())
 
 
+def compact_lists(spark: SparkSession, target: str, compacted: str) -> None:
+    """V4: the newest listing of every run as batches of another folder, under their own numbers.
+
+    Runs without a task left keep their row, so that the listing stays empty. The
+    caller stops the stream, lets it go on with ``compacted`` as its target, and has readers follow.
+    """
+    snapshots = spark.read.parquet(target)
+    newest = snapshots.groupBy("run_id").agg(F.max("batch_id").alias("batch_id"))
+    kept = snapshots.join(newest, ["run_id", "batch_id"], "left_semi")
+    kept.write.mode("overwrite").partitionBy("batch_id").parquet(compacted)
+
+
 def for_subscribers(changes: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """V3: each change once per subscriber of its run; changes nobody follows drop out."""
     return changes.join(subscriptions.select("run_id", "subscriber"), "run_id")

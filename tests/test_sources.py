@@ -279,6 +279,19 @@ def test_fetch_query_text(spark):
     )
 
 
+def test_dbf_binary_and_memo_fields(spark, tmp_path):
+    fields = [("ID", "I", 4), ("AUTO", "+", 4), ("RATE", "B", 8), ("COST", "Y", 8), ("AT", "T", 8), ("NOTE", "M", 4)]
+    header = b"".join(n.encode().ljust(11, b"\0") + t.encode() + bytes(4) + bytes([w]) + bytes(15) for n, t, w in fields) + b"\r"
+    rows_ = [(7, 1, 2.5, -12_345, (2_440_588, 1_000), b"    "), (-7, 2, 0.1, 5, (0, 0), b"0001")]
+    body = b"".join(b" " + struct.pack("<iidq", a, b, c, d) + struct.pack("<ii", *e) + f for a, b, c, d, e, f in rows_)
+    width = 1 + sum(w for *_, w in fields)
+    lead = struct.pack("<4BIHH20x", 3, 121, 1, 1, len(rows_), 32 + len(header), width)
+    (tmp_path / "b.dbf").write_bytes(lead + header + body)
+    df = dbf.read_dbf(spark, str(tmp_path / "b.dbf"))
+    assert values(df) == [("7", "1", "2.5", "-1.2345", "1970-01-01T00:00:01Z", ""), ("-7", "2", "0.1", "0.0005", "", "")]
+    assert [f.metadata[SOURCE_TYPE] for f in df.schema.fields][-1] == "MEMO"
+
+
 def test_archives_listing_and_backup(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "bundle.zip", "w") as bundle:
         bundle.writestr("a.csv", "x\n1\n")
