@@ -40,7 +40,8 @@ def _strength(counts: DataFrame, default: float = 2.0) -> float:
 
     With correlation rho inside members, the expected n (k/n - m)^2 is
     m (1 - m) (1 + (n - 1) rho), and a beta prior of strength 1 / rho - 1 has
-    that correlation.
+    that correlation. A prior weighs two pages at least, so that no single page
+    condemns its host.
     """
     spread = F.col("parent") * (1 - F.col("parent"))
     moments = counts.where("n > 0").agg(
@@ -50,7 +51,7 @@ def _strength(counts: DataFrame, default: float = 2.0) -> float:
     ).first()
     if not moments["room"]:
         return default
-    rho = min(max((moments["seen"] - moments["binomial"]) / moments["room"], 1e-4), 0.99)
+    rho = min(max((moments["seen"] - moments["binomial"]) / moments["room"], 1e-4), 1 / 3)
     return 1 / rho - 1
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from sourceworks.llm import bpe, hosts, mixing, near, repeats, rules, shards, sketches, token_files, transducer
+from sourceworks.llm import bpe, hosts, mixing, near, oracles, repeats, rules, shards, sketches, token_files, transducer
 from sourceworks.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from sourceworks.session import scratch_path
 
@@ -38,7 +38,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return transducer.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
-@query("op5_host_reputation")
+@query("op5_host_reputation", oracles.OP5)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     judged = hosts.filter_urls(table(spark, folder, "pages"), table(spark, folder, "labels"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -57,7 +57,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.repeat_digests(table(spark, folder, "documents"))
 
 
-@query("op8_line_frequency")
+@query("op8_line_frequency", oracles.OP8)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     judged = rules.quality_rules(table(spark, folder, "documents"), carry=["doc_id"])
     return judged.select(
@@ -65,7 +65,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op9_systematic_mix")
+@query("op9_systematic_mix", oracles.OP9)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.systematic_mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ LENGTH = 50
 SEED = 16  # bytes of a landmark
 HALF = (LENGTH - SEED) // 2
 BLOCK = 1 << 20  # suffixes worked on at a time
-SLICE_BYTES, RANGE_BYTES = 8 << 20, 24 << 20
+SLICE_BYTES, RANGE_BYTES = 8 << 20, 12 << 20
 _POSITION = np.uint64((1 << 21) - 1)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 FILTER_BITS = 40
@@ -110,6 +111,7 @@ class Suffixes:
     def rank_at(self, places: np.ndarray) -> np.ndarray:
         return self.ranks[np.searchsorted(self.ends, places, side="right")]
 
+    @cached_property
     def stems(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct stems in order, whether two documents here have it, and each run's place among them."""
         keys, place = np.unique(self.stem, return_inverse=True)
@@ -122,7 +124,7 @@ class Suffixes:
 
     def candidates(self, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Suffixes whose stem another document has, their fingerprints, and whether a document elsewhere has the stem."""
-        _, here, place = self.stems()
+        _, here, place = self.stems
         chosen = np.flatnonzero((here | elsewhere)[place])
         first, count = self.first[chosen], self.count[chosen]
         ends = np.cumsum(count)
@@ -244,7 +246,7 @@ def _loaded(docs: pa.Table) -> tuple[pa.Table, Suffixes]:
 def _ask_stems(ranges: int):
     def run(key, docs):
         _, suffixes = _loaded(docs)
-        return _asked(key[0].as_py(), suffixes.stems()[0], FILTER_BITS, ranges)
+        return _asked(key[0].as_py(), suffixes.stems[0], FILTER_BITS, ranges)
 
     return run
 
@@ -254,7 +256,7 @@ def _ask_suffixes(ranges: int):
         if not docs.num_rows:
             return _asked(key[0].as_py(), np.empty(0, np.uint64), 64, ranges)
         _, suffixes = _loaded(docs)
-        _, prints, outside = suffixes.candidates(_flags(stems, len(suffixes.stems()[0])))
+        _, prints, outside = suffixes.candidates(_flags(stems, len(suffixes.stems[0])))
         return _asked(key[0].as_py(), np.unique(prints[outside]), 64, ranges)
 
     return run
@@ -263,7 +265,7 @@ def _ask_suffixes(ranges: int):
 def _cut(left, right):
     stems, earlier = (right.filter(pc.equal(right.column("question"), q)) for q in (0, 1))
     docs, suffixes = _loaded(left)
-    places, prints, outside = suffixes.candidates(_flags(stems, len(suffixes.stems()[0])))
+    places, prints, outside = suffixes.candidates(_flags(stems, len(suffixes.stems[0])))
     later = later_suffixes(suffixes, places, prints)
     keys, place = np.unique(prints[outside], return_inverse=True)
     later[outside] |= _flags(earlier, len(keys))[place]
