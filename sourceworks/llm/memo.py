@@ -34,12 +34,12 @@ def read_vocabulary(path: str) -> bytes:
     return content
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``BATCH_BYTES`` of text each (a longer text is a batch of its own)."""
+def small_batches(batches: Iterable[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes each (a longer text is a batch of its own)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        step = max(1, int(batch.num_rows * BATCH_BYTES / max(batch.nbytes, 1)))
+        step = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
 

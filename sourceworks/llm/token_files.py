@@ -49,7 +49,7 @@ class ChunkEncoder:
 
     SIGN, TOGETHER = "\x01", 100
 
-    def __init__(self, vocabulary: bytes, limit: int = 900_000):
+    def __init__(self, vocabulary: bytes, limit: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel units
         from tokenizers import Tokenizer
 
@@ -129,7 +129,7 @@ def _encoded(vocabulary, end_id: int):
         encoder = _encoders[vocabulary.value]
         part, before = TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 1_000_000):
             pieces = [ids + end for ids in encoder.encode(batch.column("text").to_pylist())]
             counts = np.array([len(p) // 4 for p in pieces], dtype=np.int64)
             ends = np.cumsum(counts)
