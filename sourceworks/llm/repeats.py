@@ -48,6 +48,19 @@ def _prints(words: np.ndarray, at: np.ndarray, length: int, salt: int) -> np.nda
     return found
 
 
+def _blocks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of keys, where its blocks of equal keys start, and the block of each place in the order."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = np.ones(len(keys), dtype=bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    return order, np.flatnonzero(first), np.cumsum(first) - 1
+
+
+def _least(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return np.minimum.reduceat(values, start) if len(start) else values
+
+
 class Suffixes:
     """The suffixes of the documents of one slice, cut at ``LENGTH`` bytes and within their document.
 
@@ -114,13 +127,11 @@ class Suffixes:
     @cached_property
     def stems(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct stems in order, whether two documents here have it, and each run's place among them."""
-        keys, place = np.unique(self.stem, return_inverse=True)
-        ranks = self.rank_at(self.first)
-        low = np.full(len(keys), np.iinfo(np.int64).max)
-        high = np.full(len(keys), -1)
-        np.minimum.at(low, place, ranks)
-        np.maximum.at(high, place, ranks)
-        return keys, low < high, place
+        order, start, block = _blocks(self.stem)
+        ranks = self.rank_at(self.first)[order]
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = block
+        return self.stem[order[start]], _least(ranks, start) < -_least(-ranks, start), place
 
     def candidates(self, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Suffixes whose stem another document has, their fingerprints, and whether a document elsewhere has the stem."""
@@ -139,18 +150,30 @@ class Suffixes:
         return places, prints, np.repeat(elsewhere[place[chosen]], count)
 
 
-def later_suffixes(suffixes: Suffixes, places: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    """Whether the longest previous factor of a suffix among the slice's documents has ``LENGTH`` bytes.
+class SuffixOrder:
+    """Candidates in an order of suffixes where equal ones stand together.
 
-    In an order of suffixes where equal ones stand together, documents ascending,
-    the nearest suffix before or after it that belongs to a smaller document is
-    in its block of equal ones, unless it belongs to the block's first document.
+    ``later`` says whether the longest previous factor of a suffix among the slice's
+    documents has ``LENGTH`` bytes. With the documents of a block of equal suffixes
+    ascending, the nearest suffix before or after it that belongs to a smaller document
+    is in its block, unless it belongs to the block's first document.
     """
-    keys, block = np.unique(prints, return_inverse=True)
-    ranks = suffixes.rank_at(places)
-    first = np.full(len(keys), np.iinfo(np.int64).max)
-    np.minimum.at(first, block, ranks)
-    return ranks > first[block]
+
+    def __init__(self, suffixes: Suffixes, elsewhere: np.ndarray):
+        places, prints, outside = suffixes.candidates(elsewhere)
+        order, start, self._block = _blocks(prints)
+        self.places = places[order]
+        ranks = suffixes.rank_at(self.places)
+        self.later = ranks > _least(ranks, start)[self._block]
+        # Equal suffixes have one stem, so a block as a whole may occur elsewhere or not.
+        self._outside = outside[order[start]]
+        self.asked = prints[order[start]][self._outside]
+
+    def removed(self, earlier: np.ndarray) -> np.ndarray:
+        """Places of suffixes that occur in a smaller document, here or (answers to ``asked``) in an earlier slice."""
+        known = np.zeros(len(self._outside), dtype=bool)
+        known[self._outside] = earlier
+        return self.places[self.later | known[self._block]]
 
 
 def removed_bytes(suffixes: Suffixes, places: np.ndarray) -> np.ndarray:
@@ -256,8 +279,8 @@ def _ask_suffixes(ranges: int):
         if not docs.num_rows:
             return _asked(key[0].as_py(), np.empty(0, np.uint64), 64, ranges)
         _, suffixes = _loaded(docs)
-        _, prints, outside = suffixes.candidates(_flags(stems, len(suffixes.stems[0])))
-        return _asked(key[0].as_py(), np.unique(prints[outside]), 64, ranges)
+        order = SuffixOrder(suffixes, _flags(stems, len(suffixes.stems[0])))
+        return _asked(key[0].as_py(), order.asked, 64, ranges)
 
     return run
 
@@ -265,11 +288,8 @@ def _ask_suffixes(ranges: int):
 def _cut(left, right):
     stems, earlier = (right.filter(pc.equal(right.column("question"), q)) for q in (0, 1))
     docs, suffixes = _loaded(left)
-    places, prints, outside = suffixes.candidates(_flags(stems, len(suffixes.stems[0])))
-    later = later_suffixes(suffixes, places, prints)
-    keys, place = np.unique(prints[outside], return_inverse=True)
-    later[outside] |= _flags(earlier, len(keys))[place]
-    gone = removed_bytes(suffixes, places[later])
+    order = SuffixOrder(suffixes, _flags(stems, len(suffixes.stems[0])))
+    gone = removed_bytes(suffixes, order.removed(_flags(earlier, len(order.asked))))
     sizes, spans, kept = [], [], []
     for start, end in zip(suffixes.starts.tolist(), suffixes.ends.tolist(), strict=True):
         here = gone[start:end]

@@ -198,8 +198,8 @@ def test_passages_over_block_ends(monkeypatch):
     passage = bytes(pick.randrange(97, 123) for _ in range(120))
     texts = [bytes(pick.randrange(97, 123) for _ in range(pick.randrange(0, 200))) + passage[pick.randrange(60) :] for _ in range(30)]
     suffixes = repeats.Suffixes(texts, np.arange(30))
-    places, prints, _ = suffixes.candidates(np.zeros(len(suffixes.stems[0]), dtype=bool))
-    gone = repeats.removed_bytes(suffixes, places[repeats.later_suffixes(suffixes, places, prints)])
+    order = repeats.SuffixOrder(suffixes, np.zeros(len(suffixes.stems[0]), dtype=bool))
+    gone = repeats.removed_bytes(suffixes, order.removed(np.zeros(len(order.asked), dtype=bool)))
     seen, want = set(), []
     for text in texts:
         covered = [False] * len(text)
