@@ -1,4 +1,4 @@
-"""Passages that occur in an earlier document, from longest-previous-factor flags of suffixes."""
+"""Passages that occur in an earlier document: suffixes whose longest previous factor reaches a length, told by equal fingerprints."""
 
 from __future__ import annotations
 
@@ -40,20 +40,36 @@ def _words(raw: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
-def _prints(words: np.ndarray, at: np.ndarray, length: int, salt: int) -> np.ndarray:
-    """64-bit fingerprints of the ``length`` bytes from each place in ``at`` on."""
-    found = np.full(len(at), salt, dtype=np.uint64)
+def _prints(words: np.ndarray, at: np.ndarray, length: int, *salts: int) -> list[np.ndarray]:
+    """64-bit fingerprints of the ``length`` bytes from each place in ``at`` on, for each salt (at most two)."""
+    found = [np.full(len(at), salt, dtype=np.uint64) for salt in salts]
     for step in [*range(0, length - 8, 8), length - 8]:
-        found = _mixed(found * _B + words[at + step])
+        here = words[at + step]
+        found = [_mixed(f * factor + here) for f, factor in zip(found, (_B, _A), strict=False)]
     return found
 
 
-def _blocks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _ordered(keys: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of keys, and which places of it hold the same key as the place before.
+
+    ``more`` are the lower 64 bits of keys of 128. They are sorted by only where the upper ones
+    are not enough, which is hardly ever.
+    """
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    if more is not None:
+        if (same & (more[order[1:]] != more[order[:-1]])).any():
+            order = np.lexsort((more, keys))
+            same = keys[order[1:]] == keys[order[:-1]]
+        same &= more[order[1:]] == more[order[:-1]]
+    return order, same
+
+
+def _blocks(keys: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order of keys, where its blocks of equal keys start, and the block of each place in the order."""
-    order = np.argsort(keys)
-    ordered = keys[order]
+    order, same = _ordered(keys, more)
     first = np.ones(len(keys), dtype=bool)
-    first[1:] = ordered[1:] != ordered[:-1]
+    first[1:] = ~same
     return order, np.flatnonzero(first), np.cumsum(first) - 1
 
 
@@ -116,8 +132,8 @@ class Suffixes:
         where, before = landmark[at], ahead[at]
         stem = np.where(
             before,
-            _prints(words, np.where(before, where - HALF, 0), SEED + HALF, 1),
-            _prints(words, where, SEED + HALF, 2),
+            _prints(words, np.where(before, where - HALF, 0), SEED + HALF, 1)[0],
+            _prints(words, where, SEED + HALF, 2)[0],
         )
         return own[at] + start, np.diff(np.append(at, len(own))), stem >> np.uint64(64 - FILTER_BITS)
 
@@ -133,21 +149,21 @@ class Suffixes:
         place[order] = block
         return self.stem[order[start]], _least(ranks, start) < -_least(-ranks, start), place
 
-    def candidates(self, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffixes whose stem another document has, their fingerprints, and whether a document elsewhere has the stem."""
+    def candidates(self, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes whose stem another document has, both halves of their fingerprints, and whether a document elsewhere has the stem."""
         _, here, place = self.stems
         chosen = np.flatnonzero((here | elsewhere)[place])
         first, count = self.first[chosen], self.count[chosen]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
         places = np.repeat(first - (ends - count), count) + np.arange(total)
-        prints = np.empty(total, dtype=np.uint64)
+        prints, more = np.empty(total, dtype=np.uint64), np.empty(total, dtype=np.uint64)
         for start in range(0, self.size, BLOCK):
             a, b = np.searchsorted(places, [start, start + BLOCK])
             if a < b:
                 words = self._block(start, min(start + BLOCK, self.size))
-                prints[a:b] = _prints(words, places[a:b] - start, LENGTH, 3)
-        return places, prints, np.repeat(elsewhere[place[chosen]], count)
+                prints[a:b], more[a:b] = _prints(words, places[a:b] - start, LENGTH, 3, 4)
+        return places, prints, more, np.repeat(elsewhere[place[chosen]], count)
 
 
 class SuffixOrder:
@@ -160,14 +176,15 @@ class SuffixOrder:
     """
 
     def __init__(self, suffixes: Suffixes, elsewhere: np.ndarray):
-        places, prints, outside = suffixes.candidates(elsewhere)
-        order, start, self._block = _blocks(prints)
+        places, prints, more, outside = suffixes.candidates(elsewhere)
+        order, start, self._block = _blocks(prints, more)
         self.places = places[order]
         ranks = suffixes.rank_at(self.places)
         self.later = ranks > _least(ranks, start)[self._block]
         # Equal suffixes have one stem, so a block as a whole may occur elsewhere or not.
         self._outside = outside[order[start]]
-        self.asked = prints[order[start]][self._outside]
+        asked = order[start][self._outside]
+        self.asked, self.asked_more = prints[asked], more[asked]
 
     def removed(self, earlier: np.ndarray) -> np.ndarray:
         """Places of suffixes that occur in a smaller document, here or (answers to ``asked``) in an earlier slice."""
@@ -198,13 +215,13 @@ def _unpacked(blob: bytes, count: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-QUESTION = "range int, slice int, n bigint, keys binary"
+QUESTION = "range int, slice int, n bigint, keys binary, more binary"
 ANSWER = "slice int, range int, n bigint, flags binary"
 RESULT = "n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary"
 
 
-def _asked(slice_: int, keys: np.ndarray, bits: int, ranges: int) -> pa.Table:
-    """Ascending distinct keys of a slice, a row for each range of keys."""
+def _asked(slice_: int, keys: np.ndarray, bits: int, ranges: int, more: np.ndarray | None = None) -> pa.Table:
+    """Ascending distinct keys of a slice, a row for each range of keys; ``more`` are the lower halves of long keys."""
     top = (keys >> np.uint64(max(0, bits - 32))).astype(np.uint64)
     cuts = np.searchsorted((top * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
     rows = [(r, a, b) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
@@ -214,6 +231,7 @@ def _asked(slice_: int, keys: np.ndarray, bits: int, ranges: int) -> pa.Table:
             "slice": pa.array([slice_] * len(rows), pa.int32()),
             "n": pa.array([b - a for _, a, b in rows], pa.int64()),
             "keys": pa.array([_packed(keys[a:b]) for _, a, b in rows], pa.binary()),
+            "more": pa.array([None if more is None else more[a:b].tobytes() for _, a, b in rows], pa.binary()),
         }
     )
 
@@ -225,9 +243,9 @@ def _answered(earlier: bool) -> Callable[[pa.Table], pa.Table]:
         asked = asked.sort_by("slice")
         counts = asked.column("n").to_pylist()
         keys = np.concatenate([_unpacked(k, n) for k, n in zip(asked.column("keys").to_pylist(), counts, strict=True)])
-        order = np.argsort(keys, kind="stable")  # runs are sorted already: this merges them, earlier slices first
-        ordered = keys[order]
-        same = ordered[1:] == ordered[:-1]
+        more = asked.column("more").to_pylist()
+        halves = None if None in more else np.frombuffer(b"".join(more), dtype=np.uint64)
+        order, same = _ordered(keys, halves)  # runs are sorted already: this merges them, earlier slices first
         flags = np.zeros(len(keys), dtype=bool)
         flags[order[1:]] = same
         if not earlier:
@@ -277,10 +295,10 @@ def _ask_stems(ranges: int):
 def _ask_suffixes(ranges: int):
     def run(key, docs, stems):
         if not docs.num_rows:
-            return _asked(key[0].as_py(), np.empty(0, np.uint64), 64, ranges)
+            return _asked(key[0].as_py(), np.empty(0, np.uint64), 64, ranges, np.empty(0, np.uint64))
         _, suffixes = _loaded(docs)
         order = SuffixOrder(suffixes, _flags(stems, len(suffixes.stems[0])))
-        return _asked(key[0].as_py(), order.asked, 64, ranges)
+        return _asked(key[0].as_py(), order.asked, 64, ranges, order.asked_more)
 
     return run
 
@@ -325,7 +343,7 @@ def remove_repeats(docs: DataFrame, slice_bytes: int = SLICE_BYTES, range_bytes:
     are shuffled once, to their slices, which are quantiles of the documents of
     about ``slice_bytes``; keys are compared in ranges of what ``range_bytes`` of text hold, so
     the size of a task doesn't depend on that of the table. Suffixes are told
-    apart by 64-bit fingerprints.
+    apart by 128-bit fingerprints.
 
     Columns: the columns of ``docs`` in the struct ``_given``, n_bytes, n_removed,
     spans (removed [start, end) byte ranges) and kept (remaining bytes). Null texts

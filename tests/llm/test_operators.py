@@ -211,6 +211,23 @@ def test_passages_over_block_ends(monkeypatch):
     assert gone.tolist() == want and any(want)
 
 
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 50])
+def test_different_passages_of_one_64_bit_print_stay(spark, slice_bytes):
+    tail = b"xlwznpldpfpcnpclvvpexoxporqvinapvd"
+    pair = [b"yuyncopuejszncrr" + tail, b"dpyavmpfowY<:-v|" + tail]
+    prints = [repeats._prints(repeats._words(np.frombuffer(p + bytes(8), dtype=np.uint8), 50), np.array([0]), 50, 3, 4) for p in pair]
+    assert prints[0][0] == prints[1][0] and prints[0][1] != prints[1][1]
+    texts = [p.decode() for p in [*pair, pair[0], pair[1]]]
+    found = repeats.repeat_digests(docs(spark, texts), slice_bytes=slice_bytes, range_bytes=50).collect()
+    assert {r.doc_id: r.n_removed for r in found} == {0: 0, 1: 0, 2: 50, 3: 50}
+
+
+def test_long_keys_are_ordered_by_both_halves():
+    keys, more = np.array([[5, 9], [5, 2], [1, 7], [5, 9], [5, 2]], dtype=np.uint64).T
+    order, same = repeats._ordered(keys, more)
+    assert order.tolist() == [2, 1, 4, 0, 3] and same.tolist() == [False, True, False, True]
+
+
 def test_sql_is_there_where_it_can_be():
     assert set(registry.ORACLES) == {"op5_host_reputation", "op8_line_frequency", "op9_systematic_mix"}
     assert oracles.OP9
