@@ -45,11 +45,9 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A cut may fall inside a character; what is left of such a character goes too.
     """
-    found = repeats.remove_repeats(docs.select(*COLUMNS))
+    found = repeats.remove_repeats(docs.select(*COLUMNS), characters=True)
     left = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(
-        F.replace(F.expr("make_valid_utf8(cast(kept as string))"), F.lit("�"), F.lit(""))
-    )
+    text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(F.expr("make_valid_utf8(cast(kept as string))"))
     return _documents(left.select("_given.*", text.alias("text")))
 
 

@@ -303,31 +303,46 @@ def _ask_suffixes(ranges: int):
     return run
 
 
-def _cut(left, right):
-    stems, earlier = (right.filter(pc.equal(right.column("question"), q)) for q in (0, 1))
-    docs, suffixes = _loaded(left)
-    order = SuffixOrder(suffixes, _flags(stems, len(suffixes.stems[0])))
-    gone = removed_bytes(suffixes, order.removed(_flags(earlier, len(order.asked))))
-    sizes, spans, kept = [], [], []
-    for start, end in zip(suffixes.starts.tolist(), suffixes.ends.tolist(), strict=True):
-        here = gone[start:end]
-        sizes.append(int(here.sum()))
-        edges = np.flatnonzero(np.diff(here, prepend=False, append=False)).reshape(-1, 2)
-        spans.append(edges.tolist())
-        raw = suffixes.raw[start:end]
-        kept.append((raw[~here] if sizes[-1] else raw).tobytes())
-    return pa.table(
-        {
-            "_given": docs.column("_given"),
-            "n_bytes": pa.array(suffixes.ends - suffixes.starts, pa.int64()),
-            "n_removed": pa.array(sizes, pa.int64()),
-            "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-            "kept": pa.array(kept, pa.binary()),
-        }
-    )
+def _whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone``, with every byte of a character of which a byte is gone."""
+    first = (raw & 0xC0) != 0x80
+    first[0] = True
+    start = np.flatnonzero(first)
+    return np.repeat(np.logical_or.reduceat(gone, start), np.diff(start, append=len(raw)))
+
+
+def _cut(characters: bool):
+    def run(left, right):
+        stems, earlier = (right.filter(pc.equal(right.column("question"), q)) for q in (0, 1))
+        docs, suffixes = _loaded(left)
+        order = SuffixOrder(suffixes, _flags(stems, len(suffixes.stems[0])))
+        gone = removed_bytes(suffixes, order.removed(_flags(earlier, len(order.asked))))
+        sizes, spans, kept = [], [], []
+        for start, end in zip(suffixes.starts.tolist(), suffixes.ends.tolist(), strict=True):
+            here = gone[start:end]
+            sizes.append(int(here.sum()))
+            edges = np.flatnonzero(np.diff(here, prepend=False, append=False)).reshape(-1, 2)
+            spans.append(edges.tolist())
+            raw = suffixes.raw[start:end]
+            if sizes[-1] and characters:
+                here = _whole_characters(raw, here)
+            kept.append((raw[~here] if sizes[-1] else raw).tobytes())
+        return pa.table(
+            {
+                "_given": docs.column("_given"),
+                "n_bytes": pa.array(suffixes.ends - suffixes.starts, pa.int64()),
+                "n_removed": pa.array(sizes, pa.int64()),
+                "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
+                "kept": pa.array(kept, pa.binary()),
+            }
+        )
+
+    return run
 
 
-def remove_repeats(docs: DataFrame, slice_bytes: int = SLICE_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, slice_bytes: int = SLICE_BYTES, range_bytes: int = RANGE_BYTES, characters: bool = False
+) -> DataFrame:
     """Remove every byte of a string of ``LENGTH`` bytes that also starts in a document with a smaller id.
 
     Texts are taken as UTF-8 bytes; strings are judged on the input. Documents
@@ -346,7 +361,8 @@ def remove_repeats(docs: DataFrame, slice_bytes: int = SLICE_BYTES, range_bytes:
     apart by 128-bit fingerprints.
 
     Columns: the columns of ``docs`` in the struct ``_given``, n_bytes, n_removed,
-    spans (removed [start, end) byte ranges) and kept (remaining bytes). Null texts
+    spans (removed [start, end) byte ranges) and kept (remaining bytes; with ``characters``
+    without those of characters that a span cuts). Null texts
     count as empty; documents with equal ids don't remove from each other; null ids come
     after all others. Texts shorter than ``LENGTH`` bytes stay whole. An empty table gives no
     rows.
@@ -368,7 +384,7 @@ def remove_repeats(docs: DataFrame, slice_bytes: int = SLICE_BYTES, range_bytes:
     earlier = again.groupBy("range").applyInArrow(_answered(True), ANSWER)
     answers = stems.withColumn("question", F.lit(0)).unionByName(earlier.withColumn("question", F.lit(1)))
     out = StructType([placed.schema["_given"], *StructType.fromDDL(RESULT)])
-    return by_slice.cogroup(answers.groupBy("slice")).applyInArrow(_cut, out)
+    return by_slice.cogroup(answers.groupBy("slice")).applyInArrow(_cut(characters), out)
 
 
 def repeat_digests(docs: DataFrame, **sizes: int) -> DataFrame:

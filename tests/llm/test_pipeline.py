@@ -68,6 +68,16 @@ def test_repeats_stage_removes_later_passages(steps):
     assert rows(steps[3]) == sorted(want, key=repr)
 
 
+def test_repeats_stage_drops_cut_characters_only(spark):
+    passage = "\x82" + "".join(chr(97 + i % 26) for i in range(52))  # c2 82
+    first = "\u0102" + passage[1:]  # c4 82: the second byte of both is the same
+    texts = [passage, "own \ufffd before, " + first + " after \ufffd \u00e9", "\ufffd"]
+    made = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    given = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeats_stage(spark, given, "").collect()}
+    assert left == {0: (passage, 53), 1: ("own \ufffd before,  after \ufffd \u00e9", 24), 2: ("\ufffd", 1)}
+
+
 def test_mixing_stage_takes_copies(steps):
     copies = {r["doc_id"]: r["copies"] for r in mixing.systematic_mix(steps[3]).collect()}
     want = [r for r in rows(steps[3]) for _ in range(copies[r[0]])]
