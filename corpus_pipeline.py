@@ -18,6 +18,7 @@ from sourceworks.llm import bpe, mixing, near, repeats, rules
 from sourceworks.session import cut_lineage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MANY = 100  # texts of one source
 #: The stages look at full shingle sets, suffixes and ranks, for which there is no usable SQL; tests compare with brute force.
 ORACLE_SQL = None
 
@@ -29,8 +30,11 @@ def _documents(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the lines that too many documents of their source share."""
-    return _documents(rules.quality_rules(docs.select(*COLUMNS)).where("kept"))
+    """Documents that pass the quality rules, without the lines that too many documents of their source share.
+
+    Those are the common lines of the rules and, in a source of any size, lines of more than ``MANY`` texts.
+    """
+    return _documents(rules.quality_rules(docs.select(*COLUMNS), many_documents=MANY).where("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,16 @@ def test_quality_stage_keeps_clean_documents(steps):
     assert rows(steps[1]) == sorted(want, key=repr)
 
 
+def test_quality_stage_removes_boilerplate_of_a_hot_source(spark):
+    own = lambda k: " ".join(f"d{k}w{i}" for i in range(60))
+    notice, few = "all rights reserved by the source", "a line of a hundred texts"
+    texts = [own(k) + f"\n{notice}" * (k < 110) + f"\n{few}" * (k >= 1100) for k in range(1200)]
+    made = [(k, t, "en", "hot", len(t)) for k, t in enumerate(texts)]
+    given = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = {r.doc_id: r.text for r in corpus_pipeline.quality_stage(spark, given, "").collect()}
+    assert left == {k: own(k) + f"\n{few}" * (k >= 1100) for k in range(1200)}
+
+
 def test_near_stage_keeps_one_of_each_group(steps):
     given = rows(steps[1])
     component, _ = classes(sorted((r[0], r[1]) for r in given), 5)
