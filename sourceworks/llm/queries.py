@@ -8,7 +8,22 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from sourceworks.llm import bpe, hosts, mixing, near, oracles, repeats, rules, shards, sketches, token_files, transducer
+from sourceworks.llm import (
+    bpe,
+    collocations,
+    hosts,
+    line_dedup,
+    mixing,
+    near,
+    oracles,
+    periodic_runs,
+    repeats,
+    rules,
+    shards,
+    sketches,
+    token_files,
+    transducer,
+)
 from sourceworks.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from sourceworks.session import scratch_path
 
@@ -77,6 +92,22 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+@query("op11_collocations")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"), longest=4, least=30, covered_percent=80, top=2000)
+
+
+@query("op12_line_dedup")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, folder, "documents"), least_documents=3, least_chars=20)
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    planted = table(spark, folder, "documents").select("doc_id", periodic_runs.planted_text().alias("text"))
+    return periodic_runs.run_digests(planted, least=12)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
