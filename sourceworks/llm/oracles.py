@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sourceworks.llm.hosts import SUFFIXES
+
 WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 _FRACTION = "cast('0x' || substr(md5({text}), 1, 8) as bigint) / 4294967296.0"
 
@@ -9,27 +11,31 @@ OP5 = r"""
 with urls as (
     select page_id,
            coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
-           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
-    from pages),
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path,
+           regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.$', '') as site
+    from (select page_id, url from pages)),
 judged as (select doc_id, max(coalesce(cast(quality = 0 or toxic = 1 as int), 0)) as bad from labels where doc_id is not null group by doc_id),
-hosts as (
-    select host, count(bad) as n, coalesce(sum(bad), 0) as k,
-           array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as domain, string_split(host, '.')[-1] as suffix
-    from urls left join judged on doc_id = page_id group by host),
+counted as (select site, count(bad) as n, coalesce(sum(bad), 0) as k, regexp_matches(site, '^([0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}|\[.*\])$') as address,
+                   regexp_extract(site, '(?:^|\.)({suffixes})$', 1) as listed
+            from urls left join judged on doc_id = page_id group by site),
+tops as (select *, case when address then '' when listed <> '' then listed else string_split(site, '.')[-1] end as suffix from counted),
+hosts as (select site, n, k, suffix,
+                 if(address or site = suffix, site, string_split(site[1:length(site) - length(suffix) - 1], '.')[-1] || '.' || suffix) as domain
+          from tops),
 domains as (select domain, suffix, sum(n) as n, sum(k) as k from hosts group by all),
 suffixes as (select suffix, sum(n) as n, sum(k) as k from domains group by all),
 s1 as (select *, (select (sum(k) + 0.5) / (sum(n) + 1.0) from suffixes) as parent from suffixes),
 s2 as (select suffix, (k + parent * s) / (n + s) as rate from s1, ({strength_s1}) t(s)),
 d1 as (select d.*, s2.rate as parent from domains d join s2 on s2.suffix = d.suffix),
-d2 as (select domain, (k + parent * s) / (n + s) as rate from d1, ({strength_d1}) t(s)),
-h1 as (select h.*, d2.rate as parent from hosts h join d2 on d2.domain = h.domain),
-h2 as (select host, (k + parent * s) / (n + s) as rate, n + s as weight from h1, ({strength_h1}) t(s)),
-known as (select host, rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) as low from h2)
+d2 as (select domain, suffix, (k + parent * s) / (n + s) as rate from d1, ({strength_d1}) t(s)),
+h1 as (select h.*, d2.rate as parent from hosts h join d2 on d2.domain = h.domain and d2.suffix = h.suffix),
+h2 as (select site, (k + parent * s) / (n + s) as rate, n + s as weight from h1, ({strength_h1}) t(s)),
+known as (select site, rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) as low from h2)
 select page_id, u.host, path,
        case when {fr} then 'org/fr/' when {en} then 'example.net/en/' when {de} then 'example.com/de/' when {net} then 'net/' end as rule,
        case when {en} then 'allow' when {de} then 'block' when {fr} then 'allow' when {net} then 'block'
             when low > 0.5 then 'block' else 'allow' end as verdict
-from urls u left join known on known.host = u.host
+from urls u left join known on known.site = u.site
 """
 
 
@@ -46,6 +52,7 @@ def _fits(host: str, path: str) -> str:
 
 OP5 = OP5.format(
     **{f"strength_{t}": _strength(t) for t in ("s1", "d1", "h1")},
+    suffixes="|".join(s.replace(".", r"\.") for s in SUFFIXES),
     fr=_fits("org", "/fr/"),
     en=_fits("example.net", "/en/"),
     de=_fits("example.com", "/de/"),
@@ -63,9 +70,7 @@ lines as (select r, host, none, text, line, trim(lower(regexp_replace(line, '[\x
                  len({WORDS.format(text="line")}) as w
           from (select r, host, none, text, unnest(string_split(text, chr(10))) as line from d)),
 held as (select host, none, normal, count(distinct text) as n from lines where w > 0 group by all),
-sizes as (select host, none, count(distinct text) as n from d group by all),
-common as (select h.host, h.none, h.normal from held h join sizes s on s.host = h.host and s.none = h.none
-           where h.n > 20 and h.n > s.n * 0.1),
+common as (select host, none, normal from held where n > 100),
 removed as (select r, sum(w) as n from lines l join common c on c.host = l.host and c.none = l.none and c.normal = l.normal
             where w > 0 group by r),
 dups as (select r, count(*) - count(distinct line) as n from lines where w > 0 group by r),

@@ -80,35 +80,26 @@ def text_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def _common_lines(facts: DataFrame, most_documents: int, most_share: float, many_documents: int | None) -> DataFrame:
-    """Lines (host, hash) above both limits of distinct documents, or above ``many_documents``."""
+def _common_lines(facts: DataFrame, most_documents: int) -> DataFrame:
+    """Lines (host, hash) of more than ``most_documents`` distinct documents."""
     held = facts.select("_host", "_text", F.explode(F.array_distinct(F.transform("_lines", lambda s: s["h"]))).alias("_line"))
-    least = most_documents if many_documents is None else min(most_documents, many_documents)
-    lines = held.groupBy("_host", "_line").agg(F.count_distinct("_text").alias("_held")).where(F.col("_held") > least)
-    sizes = facts.groupBy("_host").agg(F.count_distinct("_text").alias("_documents"))
-    common = (F.col("_held") > most_documents) & (F.col("_held") > F.col("_documents") * most_share)
-    if many_documents is not None:
-        common |= F.col("_held") > many_documents
-    return lines.join(sizes, "_host").where(common).select("_host", "_line")
+    lines = held.groupBy("_host", "_line").agg(F.count_distinct("_text").alias("_held"))
+    return lines.where(F.col("_held") > most_documents).select("_host", "_line")
 
 
 def quality_rules(
     docs: DataFrame,
     host: str = "source",
     carry: Sequence[str] | None = None,
-    most_documents: int = 20,
-    most_share: float = 0.1,
+    most_documents: int = 100,
     least_left: float = 0.5,
-    many_documents: int | None = None,
 ) -> DataFrame:
     """Counts and a verdict for every document.
 
     ``base_failed``: fewer than 50 words, or more than half of them in repeated
     3-word windows. Otherwise the lines decide: a normalised line is common when
-    more than ``most_documents`` distinct documents of its host hold it and these
-    are more than ``most_share`` of the host's distinct documents, or, if ``many_documents``
-    is given, more than that many in a host of any size. Common lines are
-    removed, and a document is kept if at least ``least_left`` of its words are
+    more than ``most_documents`` distinct documents of its host hold it, whatever the
+    host's size. Common lines are removed, and a document is kept if at least ``least_left`` of its words are
     left. Distinct documents are different texts: copies of a text vouch for its
     lines once.
 
@@ -141,7 +132,7 @@ def quality_rules(
             line_rows.alias("_lines"),
         )
     )
-    common = _common_lines(facts, most_documents, most_share, many_documents)
+    common = _common_lines(facts, most_documents)
     removed = (
         facts.select("_host", "_row", F.explode("_lines").alias("_s"))
         .select("_host", "_row", F.col("_s.h").alias("_line"), F.col("_s.w").alias("_w"))
