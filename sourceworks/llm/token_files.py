@@ -7,6 +7,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,90 +36,178 @@ LAYOUT = {
 FILE_SCHEMA = "doc_id bigint, part int, before bigint, n_tokens bigint, ids array<int>"
 
 
+#: The steps before the merges of the one kind of tokenizer for which texts are cut into chunks.
+CUT_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+CUT_SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+
+
 class ChunkEncoder:
     """Ids of texts, put together from the ids of their chunks.
 
-    Chunks are what stands between spaces, tabs and line ends, without a comma or
-    full stop at their end. The tokenizer's splitting never crosses white space,
-    and parts a mark from the letter or digit before it, so the library gives a
-    chunk the same ids alone as inside its text. (In a text where a mark follows another one, chunks
-    keep their marks.) Chunks not seen before go to the library together, with a
-    sign between them that has one id of its own; words of small ASCII letters
-    skip its normalization and splitting, which leave them as they are.
+    Chunks are what stands between ASCII white space, and a mark of ``.,;:!?`` with an ASCII letter
+    or digit before it and white space behind it is a chunk of its own. That holds for
+    tokenizers that compose and lower-case a text and then split it as ``CUT_NORMALIZER`` and ``CUT_SPLIT`` say, since
+    nothing composes across white space or such a mark, no part has white space, and no part
+    has a letter or digit together with a mark. A-Z are lower-cased beforehand where an ASCII character follows, with which
+    they can't compose. Texts with ``<|`` may hold special tokens and keep their case and marks;
+    any other tokenizer gets whole texts.
+
+    A chunk has a number; ids of a batch are taken from one array by the numbers of its
+    chunks. Chunks not seen before go to the library together, with a sign between them that has one id of its own;
+    words of small ASCII letters skip its normalization and splitting, which leave them as
+    they are. When ``limit`` chunks are known, those met once only are forgotten.
     """
 
     SIGN, TOGETHER = "\x01", 100
+    BETWEEN = b" \xff "  # no byte of a text
 
-    def __init__(self, vocabulary: bytes, limit: int = 350_000):
+    def __init__(self, vocabulary: bytes, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel units
         from tokenizers import Tokenizer
 
         text = vocabulary.decode("utf-8")
+        plan = json.loads(text)
         self._tokenizer = Tokenizer.from_str(text)
         self._limit = limit
-        self._known: dict[str, bytes] = {"": b""}
-        self._marked = re.compile(r"(?:[^\w\s]|_)[.,] ").search
+        self._mark = re.compile(rb"([a-z0-9])([.,;:!?])(?=[ \n\t\r\x0b\x0c])").sub
+        steps = (plan.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         sign = self._ids(self._tokenizer, f" {self.SIGN} ")
         self._sign = sign[0] if len(sign) == 1 else None
-        big, small, parts, joint = (self._ids(self._tokenizer, t).tolist() for t in ("Abc 1", "abc 1", "abc , 1 .", "abc, 1."))
-        self._lower, self._part = big == small, parts == joint
-        self._words = None
-        if self._sign is not None:
-            plain = json.loads(text) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        tokens = [t["content"] for t in plan.get("added_tokens", ())]
+        special = all(t.startswith("<|") and not re.search(r"\s", t) for t in tokens)
+        self.cuts = bool(plan.get("normalizer") == CUT_NORMALIZER and steps[0] == CUT_SPLIT and special and self._sign is not None)
+        self._forget([])
+        if self.cuts:
+            plain = plan | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
             self._words = Tokenizer.from_str(json.dumps(plain))
             suffix = plain["model"].get("end_of_word_suffix") or ""
             self._word_sign = self._tokenizer.id_to_token(int(self._sign)).removesuffix(suffix)
 
     @staticmethod
     def _ids(tokenizer, text: str) -> np.ndarray:
-        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<i4")
 
-    def _learn_together(self, tokenizer, sign: str, chunks: list[str]) -> None:
+    def _forget(self, kept: list[bytes]) -> None:
+        """Known from here on: the sign between texts, without ids, and the chunks of ``kept``."""
+        if kept:
+            numbers = np.array([self._number[c] for c in kept])
+            ids, lengths = self._taken(numbers)
+        else:
+            ids, lengths = np.empty(0, dtype="<i4"), np.empty(0, dtype=np.int64)
+        self._number = _Numbers()
+        self._number[self.BETWEEN.strip()] = 0
+        self._number.update(zip(kept, range(1, len(kept) + 1), strict=True))
+        self._pool = ids
+        self._length = np.concatenate([[0], lengths])
+        self._start = np.concatenate([[0], np.cumsum(self._length)[:-1]])
+        self._met = np.zeros(len(self._length), dtype=np.int64)
+
+    def _taken(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks with these numbers one after another, and how many each has."""
+        lengths = self._length[numbers]
+        ends = np.cumsum(lengths)
+        places = np.repeat(self._start[numbers] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self._pool[places], lengths
+
+    def _together(self, tokenizer, sign: str, chunks: list[str]) -> list[np.ndarray]:
+        found = []
         for start in range(0, len(chunks), self.TOGETHER):
             some = chunks[start : start + self.TOGETHER]
             between = f" {sign} "
             ids = self._ids(tokenizer, between.join(some) + between)
-            raw, at = ids.tobytes(), 0
-            for chunk, end in zip(some, np.flatnonzero(ids == self._sign).tolist(), strict=True):
-                self._known[chunk] = raw[at : 4 * end]
-                at = 4 * end + 4
-
-    def _learn(self, chunks: set[str]) -> None:
-        words, others = [], []
-        for chunk in chunks:
-            (words if chunk.isascii() and chunk.isalpha() and chunk.islower() else others).append(chunk)
-        if self._words is None:
-            words, others = [], words + others
-        alone = [c for c in others if self._sign is None or self.SIGN in c or "<|" in c]
-        self._learn_together(self._words, self._word_sign, words) if words else None
-        self._learn_together(self._tokenizer, self.SIGN, list(set(others).difference(alone)))
-        for chunk in alone:
-            self._known[chunk] = self._ids(self._tokenizer, chunk).tobytes()
-
-    def _chunks(self, text: str) -> list[str]:
-        if "<|" not in text:
-            if self._lower and text.isascii():
-                text = text.lower()
-            text = text.replace("\n", " ").replace("\t", " ")
-            if self._part and not self._marked(text):
-                text = text.replace(", ", " , ").replace(". ", " . ")
-        else:
-            text = text.replace("\n", " ").replace("\t", " ")
-        return text.split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text, four little-endian bytes each."""
-        if len(self._known) > self._limit:
-            self._known = {"": b""}
-        of = self._known.get
-        split = [self._chunks(t) for t in texts]
-        found = [list(map(of, chunks)) for chunks in split]
-        gaps = [[i for i, ids in enumerate(row) if ids is None] if None in row else () for row in found]
-        self._learn({chunks[i] for chunks, places in zip(split, gaps, strict=True) for i in places})
-        for chunks, row, places in zip(split, found, gaps, strict=True):
-            for i in places:
-                row[i] = of(chunks[i])
-        return [b"".join(row) for row in found]
+            ends = np.flatnonzero(ids == self._sign)
+            if len(ends) != len(some):
+                raise ValueError("the sign between chunks is among their ids")
+            found += [part[k:] for k, part in zip([0] + [1] * (len(some) - 1), np.split(ids, ends)[:-1], strict=True)]
+        return found
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Ids of chunks that have the next numbers in turn."""
+        texts = [c.decode("utf-8") for c in chunks]
+        kinds = [0 if c.isalpha() and c.islower() else 2 if self.SIGN in t or "<|" in t else 1 for c, t in zip(chunks, texts, strict=True)]
+        by_kind = [[t for t, k in zip(texts, kinds, strict=True) if k == kind] for kind in range(3)]
+        ids = [
+            iter(self._together(self._words, self._word_sign, by_kind[0])),
+            iter(self._together(self._tokenizer, self.SIGN, by_kind[1])),
+            iter([self._ids(self._tokenizer, t) for t in by_kind[2]]),
+        ]
+        parts = [next(ids[k]) for k in kinds]
+        lengths = np.array([len(p) for p in parts], dtype=np.int64)
+        start = len(self._pool) + np.cumsum(lengths) - lengths
+        self._pool = np.concatenate([self._pool, *parts])
+        self._length = np.concatenate([self._length, lengths])
+        self._start = np.concatenate([self._start, start])
+        self._met = np.concatenate([self._met, np.zeros(len(parts), dtype=np.int64)])
+
+    def _lower(self, data: bytes) -> bytes:
+        """A-Z lower-cased where the next byte is an ASCII character."""
+        low = data.lower()
+        if data.isascii():
+            return low
+        raw = np.frombuffer(data, dtype=np.uint8)
+        before = np.flatnonzero(raw[1:] >= 0x80)
+        before = before[(raw[before] >= 65) & (raw[before] <= 90)]
+        if not len(before):
+            return low
+        changed = np.frombuffer(low, dtype=np.uint8).copy()
+        changed[before] = raw[before]
+        return changed.tobytes()
+
+    def _encode_cut(self, texts: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        data = self.BETWEEN.join(texts)
+        chunks = (self._mark(rb"\1 \2", self._lower(data) + b" ") if plain else data).split()
+        if len(self._number) > self._limit:
+            often = self._met > 1
+            self._forget([c for c, n in self._number.items() if n and often[n]])
+        known = len(self._number)
+        numbers = np.fromiter(map(self._number.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        if len(self._number) > known:
+            self._learn(list(islice(reversed(self._number), len(self._number) - known))[::-1])
+        self._met += np.bincount(numbers, minlength=len(self._met))
+        ids, lengths = self._taken(numbers)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        edges = ends[np.concatenate([[0], np.flatnonzero(numbers == 0) + 1, [len(numbers)]])]
+        return ids, np.diff(edges)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has."""
+        if not self.cuts:
+            encoded = self._tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
+            parts = [np.array(e.ids, dtype="<i4") for e in encoded]
+            return np.concatenate([np.empty(0, "<i4"), *parts]), np.array([len(p) for p in parts], dtype=np.int64)
+        odd = np.array([b"<|" in t for t in texts], dtype=bool)
+        if not odd.any():
+            return self._encode_cut(texts, True)
+        kinds = [self._encode_cut([t for t, o in zip(texts, odd, strict=True) if o == kind], not kind) for kind in (False, True) if (odd == kind).any()]
+        counts = np.empty(len(texts), dtype=np.int64)
+        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        lengths = np.concatenate([n for _, n in kinds])
+        counts[order] = lengths
+        starts = np.empty(len(texts), dtype=np.int64)
+        starts[order] = np.cumsum(lengths) - lengths
+        ends = np.cumsum(counts)
+        places = np.repeat(starts - ends + counts, counts) + np.arange(int(ends[-1]))
+        return np.concatenate([ids for ids, _ in kinds])[places], counts
+
+
+class _Numbers(dict):
+    """Numbers of chunks in order of first sight."""
+
+    def __missing__(self, chunk):
+        self[chunk] = number = len(self)
+        return number
 
 
 _encoders = Memo(lambda content: ChunkEncoder(content), 4)
@@ -128,12 +217,11 @@ def _encoded(vocabulary, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders[vocabulary.value]
         part, before = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in small_batches(batches, 1_000_000):
-            pieces = [ids + end for ids in encoder.encode(batch.column("text").to_pylist())]
-            counts = np.array([len(p) // 4 for p in pieces], dtype=np.int64)
+            ids, counts = encoder.encode(batch.column("text").cast(pa.binary()).to_pylist())
+            ids = np.insert(ids, np.cumsum(counts), end_id)
+            counts = counts + 1
             ends = np.cumsum(counts)
-            values = pa.array(np.frombuffer(b"".join(pieces), dtype="<i4"))
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -141,7 +229,7 @@ def _encoded(vocabulary, end_id: int):
                     pa.array(np.full(len(counts), part, dtype=np.int32)),
                     pa.array(before + ends - counts),
                     pa.array(counts),
-                    pa.ListArray.from_arrays(offsets, values),
+                    pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())),
                 ],
                 names=["doc_id", "part", "before", "n_tokens", "ids"],
             )
