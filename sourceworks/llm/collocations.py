@@ -14,11 +14,12 @@ from sourceworks.llm.ranking import ranked
 from sourceworks.llm.text import whole
 from sourceworks.session import cut_lineage, ship_package
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, RANGE_BYTES = 16 << 20, 32 << 20
 MARKS = b".,;:!?\n\x0b\x0c\r"
 _APART = bytes.maketrans(MARKS + b"\t", b"\n" * len(MARKS) + b" ")
 BLOCK = "block bigint, occurrences binary"
-PAIR = "left bigint, right bigint, block bigint, n bigint"
+QUESTION = "range int, block bigint, left binary, right binary, n binary"
+ANSWER = "range int, block bigint, ids binary, left array<bigint>, right array<bigint>, f array<bigint>"
 
 
 class _Codes(dict):
@@ -40,22 +41,30 @@ def word_codes(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     return codes[codes != -2], list(of)[2:]
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers in as many bytes each as the greatest needs, byte plane by byte plane."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(len(numbers), 8)[:, :width].T)
+    return bytes([width]) + len(numbers).to_bytes(8, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(numbers) else b"")
+
+
+def _numbers(blob: bytes) -> np.ndarray:
+    width, count = blob[0], int.from_bytes(blob[1:9], "little")
+    out = np.zeros((count, 8), dtype=np.uint8)
+    if count:
+        planes = np.frombuffer(pa.decompress(blob[9:], count * width, codec="zstd", asbytes=True), dtype=np.uint8)
+        out[:, :width] = planes.reshape(width, count).T
+    return out.view("<i8").ravel()
+
+
 def _packed(numbers: np.ndarray) -> bytes:
     """Occurrences in order; what stands between frequent ones is one -1."""
     gap = numbers < 0
-    kept = numbers[~(gap & np.append(gap[1:], True))]
-    wide = "<i8" if kept.max(initial=-1) >= 1 << 31 else "<i4"
-    planes = np.ascontiguousarray(kept.astype(wide).view(np.uint8).reshape(len(kept), int(wide[2])).T).tobytes()
-    return wide.encode() + len(kept).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+    return _squeezed(numbers[~(gap & np.append(gap[1:], True))] + 1)
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    wide, count = blob[:3].decode(), int.from_bytes(blob[3:11], "little")
-    if not count:
-        return np.empty(0, dtype=np.int64)
-    size = int(wide[2])
-    planes = np.frombuffer(pa.decompress(blob[11:], count * size, codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, count).T).view(wide).ravel().astype(np.int64)
+    return _numbers(blob) - 1
 
 
 def _word_blocks(block_bytes: int):
@@ -106,7 +115,7 @@ def _block(key: int, numbers: np.ndarray) -> pa.Table:
     return pa.table({"block": pa.array([k for k, _ in rows], pa.int64()), "occurrences": pa.array([b for _, b in rows], pa.binary())})
 
 
-def _keep_words(key, blocks: pa.Table, frequent: pa.Table) -> pa.Table:
+def _keep_words(key, blocks, frequent):
     """Semi-join of a block's occurrences with frequent words: their ids, -1 for all others."""
     if not blocks.num_rows or not frequent.num_rows:
         return _block(0, np.empty(0, np.int64))
@@ -129,42 +138,92 @@ def _neighbours(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return names[keys // max(len(names), 1)], names[keys % max(len(names), 1)], which, at
 
 
-def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block, blob in zip(batch.column("block").to_pylist(), batch.column("occurrences").to_pylist(), strict=True):
-            left, right, which, _ = _neighbours(_unpacked(blob))
-            counts = np.bincount(which, minlength=len(left))
-            columns = [left, right, np.full(len(left), block), counts]
-            whole_ = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["left", "right", "block", "n"])
-            for start in range(0, whole_.num_rows, 100_000):
-                yield whole_.slice(start, 100_000)
+def _by_range(left: np.ndarray, right: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of ascending pairs by range of their hash, and where in it the ranges start and end."""
+    mixed = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    range_ = ((mixed >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    order = np.argsort(range_, kind="stable")
+    return order, np.searchsorted(range_[order], np.arange(ranges + 1, dtype=np.uint64))
+
+
+def _ask_pairs(ranges: int):
+    """The distinct pairs of each block with their counts, a row for each range that has any."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("occurrences").to_pylist(), strict=True):
+                left, right, which, _ = _neighbours(_unpacked(blob))
+                counts = np.bincount(which, minlength=len(left))
+                order, cuts = _by_range(left, right, ranges)
+                rows = [(r, order[a:b]) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r for r, _ in rows], pa.int32()),
+                        pa.array([block] * len(rows), pa.int64()),
+                        pa.array([_squeezed(np.diff(left[at], prepend=0)) for _, at in rows], pa.binary()),
+                        pa.array([_squeezed(right[at]) for _, at in rows], pa.binary()),
+                        pa.array([_squeezed(counts[at]) for _, at in rows], pa.binary()),
+                    ],
+                    names=["range", "block", "left", "right", "n"],
+                )
+
+    return run
 
-def _keep_phrases(key, blocks: pa.Table, frequent: pa.Table) -> pa.Table:
+
+def _count_pairs(least: int, last: bool):
+    """Group-count of a range: its frequent pairs, and for each block (unless this is the ``last`` length) their ids.
+
+    An id has the range in its upper half and the place among the frequent pairs of the range in its lower.
+    """
+
+    def run(key, asked):
+        unpacked = {c: [_numbers(x) for x in asked.column(c).to_pylist()] for c in ("left", "right", "n")}
+        left = np.concatenate([np.cumsum(x) for x in unpacked["left"]])
+        right, n = np.concatenate(unpacked["right"]), np.concatenate(unpacked["n"])
+        order = np.lexsort((right, left))
+        changed = (left[order[1:]] != left[order[:-1]]) | (right[order[1:]] != right[order[:-1]])
+        first = np.concatenate([[0], np.flatnonzero(changed) + 1])
+        total = np.add.reduceat(n[order], first)
+        frequent = total >= least
+        numbers = np.where(frequent, np.cumsum(frequent) - 1 + (key[0].as_py() << 32), -1)
+        ids = np.empty(len(left), dtype=np.int64)
+        ids[order] = np.repeat(numbers, np.diff(np.append(first, len(order))))
+        parts = np.split(ids, np.cumsum([len(x) for x in unpacked["n"]])[:-1])
+        answers = [] if last else [(b, _squeezed(p + 1)) for b, p in zip(asked.column("block").to_pylist(), parts, strict=True) if (p >= 0).any()]
+        chosen = order[first[frequent]]
+        none = [None] * len(answers)
+        lists = [pa.array([*none, x], pa.list_(pa.int64())) for x in (left[chosen], right[chosen], total[frequent])]
+        return pa.table(
+            [
+                pa.array([key[0].as_py()] * (len(answers) + 1), pa.int32()),
+                pa.array([*[b for b, _ in answers], None], pa.int64()),
+                pa.array([*[i for _, i in answers], None], pa.binary()),
+                *lists,
+            ],
+            names=["range", "block", "ids", "left", "right", "f"],
+        )
+
+    return run
+
+
+def _keep_phrases(ranges: int):
     """Occurrences of the frequent phrases one word longer, at the place of their first word."""
-    if not blocks.num_rows or not frequent.num_rows:
-        return _block(0, np.empty(0, np.int64))
-    numbers = _occurrences(blocks)
-    left, right, which, at = _neighbours(numbers)
-    frequent = frequent.sort_by([("left", "ascending"), ("right", "ascending")])
-    wanted = [frequent.column(c).to_numpy() for c in ("left", "right", "id")]
-    low = np.searchsorted(left, wanted[0], side="left")
-    high = np.searchsorted(left, wanted[0], side="right")
-    ids = np.full(len(left), -1, dtype=np.int64)
-    ids[_find(right, low, high, wanted[1])] = wanted[2]
-    out = np.full(len(numbers), -1, dtype=np.int64)
-    out[at] = ids[which]
-    return _block(key[0].as_py(), out)
-
-
-def _find(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted value within its own ascending stretch [low, high), which has it."""
-    low, high = low.copy(), high.copy()
-    while (open_ := low < high).any():
-        middle = (low + high) // 2
-        less = open_ & (values[np.minimum(middle, len(values) - 1)] < wanted)
-        low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
-    return low
+
+    def run(key, blocks, answers):
+        if not blocks.num_rows or not answers.num_rows:
+            return _block(0, np.empty(0, np.int64))
+        numbers = _occurrences(blocks)
+        left, right, which, at = _neighbours(numbers)
+        order, cuts = _by_range(left, right, ranges)
+        ids = np.full(len(left), -1, dtype=np.int64)
+        for r, found in zip(answers.column("range").to_pylist(), answers.column("ids").to_pylist(), strict=True):
+            ids[order[cuts[r] : cuts[r + 1]]] = _numbers(found) - 1
+        out = np.full(len(numbers), -1, dtype=np.int64)
+        out[at] = ids[which]
+        return _block(key[0].as_py(), out)
+
+    return run
 
 
 def _numbered(frequent: DataFrame, order: list[str]) -> DataFrame:
@@ -180,13 +239,17 @@ def _semi_join(blocks: DataFrame, frequent: DataFrame, keep) -> DataFrame:
     return cut_lineage(joined.applyInArrow(keep, BLOCK))
 
 
-def frequent_phrases(docs: DataFrame, longest: int, least: int, block_bytes: int = BLOCK_BYTES) -> tuple[list[DataFrame], DataFrame]:
+def frequent_phrases(
+    docs: DataFrame, longest: int, least: int, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES
+) -> tuple[list[DataFrame], DataFrame]:
     """Phrases of 1 to ``longest`` words found at least ``least`` times in their language, by length, and all words by language.
 
     Columns of the k-th table: id, lang, words (array of binary), f, left and right (ids of the first and last k - 1
     words; not for k = 1), heads and tails (how often its first and its last 1, 2, ... k words occur).
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole("text").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = size // range_bytes + 1
     made = rows.mapInArrow(_word_blocks(block_bytes), "lang string, words array<binary>, counts array<bigint>, occurrences binary")
     blocks = cut_lineage(made.withColumn("block", F.monotonically_increasing_id()))
     each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts"))).select(
@@ -203,14 +266,16 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, block_bytes: int
     found = each.join(single.select("lang", "word", "id"), ["lang", "word"]).select("block", "local", "id")
     relation = _semi_join(blocks, found, _keep_words)
     levels = [level]
-    for _ in range(1, longest):
-        pairs = relation.mapInArrow(_pairs, PAIR)
-        counted = pairs.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        numbered = _numbered(counted, ["left", "right"])
+    for length in range(2, longest + 1):
+        asked = relation.mapInArrow(_ask_pairs(ranges), QUESTION)
+        answers = cut_lineage(asked.groupBy("range").applyInArrow(_count_pairs(least, length == longest), ANSWER))
+        pairs = answers.where("block is null").select("range", F.posexplode(F.arrays_zip("left", "right", "f")))
+        number = F.shiftleft(F.col("range").cast("bigint"), 32) + F.col("pos")
+        pairs = pairs.select(number.alias("id"), "col.left", "col.right", "col.f")
         first = level.select(F.col("id").alias("left"), "lang", F.col("words").alias("_words"), F.col("heads").alias("_heads"))
         last = level.select(F.col("id").alias("right"), F.element_at("words", -1).alias("_word"), F.col("tails").alias("_tails"))
         level = cut_lineage(
-            numbered.join(first, "left")
+            pairs.join(first, "left")
             .join(last, "right")
             .select(
                 "id", "lang", F.concat("_words", F.array("_word")).alias("words"), "f", "left", "right",
@@ -218,9 +283,8 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, block_bytes: int
             )
         )
         levels.append(level)
-        if len(levels) < longest:
-            kept = pairs.join(numbered.select("left", "right", "id"), ["left", "right"]).select("block", "left", "right", "id")
-            relation = _semi_join(relation, kept, _keep_phrases)
+        if length < longest:
+            relation = _semi_join(relation, answers.where("block is not null").select("block", "range", "ids"), _keep_phrases(ranges))
     return levels, total
 
 
@@ -246,7 +310,13 @@ def _uncovered(level: DataFrame, longer: DataFrame | None, percent: int) -> Data
 
 
 def collocations(
-    docs: DataFrame, longest: int = 4, least: int = 30, covered_percent: int = 80, top: int = 2000, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame,
+    longest: int = 4,
+    least: int = 30,
+    covered_percent: int = 80,
+    top: int = 2000,
+    block_bytes: int = BLOCK_BYTES,
+    range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """The best phrases of 2 to ``longest`` words in each language: lang, rank, phrase, a, l, r, n, score.
 
@@ -260,17 +330,17 @@ def collocations(
 
     Relations of occurrences are written sorted, in blocks of documents, by piece and place. For each
     length a block joins its relation with itself at the next place (a phrase and the one that starts a word
-    later give a phrase one word longer), counts go to the phrases in one
-    shuffle, and what is frequent comes back to the blocks that have it, so the
-    next length extends frequent phrases only. A block sends each of its phrases once, so a phrase of
-    any frequency is no hot spot; languages are spread over blocks. A document
+    later give a phrase one word longer), sends each phrase once with its count to one of
+    the ranges of phrases (as many as ``range_bytes`` of text need), packed, and hears from the range which are
+    frequent, so the next length extends frequent phrases only. A phrase of
+    any frequency is one entry of each block, so it is no hot spot; languages are spread over blocks. A document
     is in one block, and held whole by its task.
 
     Null texts count as empty; ids, repeated rows and other columns play no part; ties
     in score and a go by the bytes of the phrase. An empty table gives no rows.
     """
     ship_package(docs.sparkSession)
-    levels, total = frequent_phrases(docs, longest, least, block_bytes)
+    levels, total = frequent_phrases(docs, longest, least, block_bytes, range_bytes)
     chosen = None
     for level, longer in zip(levels[1:], [*levels[2:], None], strict=True):
         some = _uncovered(level, longer, covered_percent).select("lang", "words", "f", "heads", "tails")

@@ -89,7 +89,7 @@ def test_collocations(spark, phrase_folder, phrase_rows):
 
 def test_collocations_over_many_blocks(spark, phrase_folder, phrase_rows):
     docs = spark.read.parquet(f"{phrase_folder}/documents.parquet")
-    found = collocations.collocations(docs, least=8, top=50, block_bytes=3000)
+    found = collocations.collocations(docs, least=8, top=50, block_bytes=3000, range_bytes=20_000)
     assert sorted(map(tuple, found.collect())) == brute_phrases(phrase_rows, 8, 50)
 
 
