@@ -1,8 +1,9 @@
-"""Passages that occur in an earlier document: suffixes whose longest previous factor reaches a length, told by equal fingerprints."""
+"""Passages that occur in an earlier document: suffixes whose longest previous factor reaches a length."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -20,6 +21,8 @@ LENGTH = 50
 SEED = 16  # bytes of a landmark
 HALF = (LENGTH - SEED) // 2
 BLOCK = 1 << 20  # suffixes worked on at a time
+SORTED = 1 << 19  # suffixes sorted at a time
+MANY = 10_000  # contexts of a stem that are asked for together
 SLICE_BYTES, RANGE_BYTES = 8 << 20, 12 << 20
 _POSITION = np.uint64((1 << 21) - 1)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -49,27 +52,11 @@ def _prints(words: np.ndarray, at: np.ndarray, length: int, *salts: int) -> list
     return found
 
 
-def _ordered(keys: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order of keys, and which places of it hold the same key as the place before.
-
-    ``more`` are the lower 64 bits of keys of 128. They are sorted by only where the upper ones
-    are not enough, which is hardly ever.
-    """
+def _blocks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order of keys, where its blocks of equal keys start, and the block of each place in the order."""
     order = np.argsort(keys, kind="stable")
-    same = keys[order[1:]] == keys[order[:-1]]
-    if more is not None:
-        if (same & (more[order[1:]] != more[order[:-1]])).any():
-            order = np.lexsort((more, keys))
-            same = keys[order[1:]] == keys[order[:-1]]
-        same &= more[order[1:]] == more[order[:-1]]
-    return order, same
-
-
-def _blocks(keys: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order of keys, where its blocks of equal keys start, and the block of each place in the order."""
-    order, same = _ordered(keys, more)
     first = np.ones(len(keys), dtype=bool)
-    first[1:] = ~same
+    first[1:] = keys[order[1:]] != keys[order[:-1]]
     return order, np.flatnonzero(first), np.cumsum(first) - 1
 
 
@@ -77,6 +64,79 @@ def _least(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(values, start) if len(start) else values
 
 
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (count of them) for each pair, one after another."""
+    ends = np.cumsum(count)
+    return np.repeat(first - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _parts(raw: np.ndarray, at: np.ndarray, depth: int = 0) -> Iterator[np.ndarray]:
+    """Suffixes in parts of at most ``SORTED`` that follow each other in suffix order, equal ones always in one part.
+
+    Equal suffixes keep their order. Only if all ``LENGTH`` bytes are equal a part may be larger.
+    """
+    if len(at) <= SORTED or depth >= LENGTH:
+        yield at
+        return
+    width = min(8, LENGTH - depth)
+    keys = np.zeros((len(at), 8), dtype=np.uint8)
+    for k in range(width):
+        keys[:, k] = raw[at + depth + k]
+    keys = keys.view(">u8").ravel().astype(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    at, keys = at[order], keys[order]
+    bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(at)]])
+    start = 0
+    while start < len(at):
+        stop = int(bounds[np.searchsorted(bounds, start + SORTED, side="right") - 1])
+        if stop > start:
+            yield at[start:stop]
+        else:
+            stop = int(bounds[np.searchsorted(bounds, start, side="right")])
+            yield from _parts(raw, at[start:stop], depth + width)
+        start = stop
+
+
+def suffix_order(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The suffixes at ``at`` in order of their first ``LENGTH`` bytes, part by part, and how many of these each shares with the one before."""
+    windows = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
+    for part in _parts(raw, at):
+        if len(part) <= SORTED:
+            chosen = np.ascontiguousarray(windows[part])
+            order = np.argsort(chosen.view(f"S{LENGTH}").ravel(), kind="stable")
+            chosen = chosen[order]
+            same = chosen[1:] == chosen[:-1]
+            common = np.where(same.all(axis=1), LENGTH, same.argmin(axis=1))
+            yield part[order], np.concatenate([[0], common])
+        else:
+            yield part, np.concatenate([[0], np.full(len(part) - 1, LENGTH)])
+
+
+def previous_factors(ranks: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Longest previous factor of suffixes in suffix order: what a suffix shares with one of a smaller rank.
+
+    That is the more of what it shares with the nearest such suffix before it and the nearest one
+    after it. Both are found by jumps: while the candidate is not smaller, its own
+    candidate takes its place, and the shared length is the least on the way. Where less than ``LENGTH`` is shared on the way
+    the search ends, so values below it are upper bounds.
+    """
+
+    def nearest(ranks: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        to = np.arange(-1, len(ranks) - 1)
+        shared = shared.copy()
+        waiting = np.arange(len(ranks))
+        while len(waiting):
+            ahead = to[waiting]
+            waiting = waiting[(shared[waiting] >= LENGTH) & (ahead >= 0) & (ranks[ahead] >= ranks[waiting])]
+            ahead = to[waiting]
+            shared[waiting], to[waiting] = np.minimum(shared[waiting], shared[ahead]), to[ahead]
+        return np.where(to >= 0, shared, 0)
+
+    before = nearest(ranks, common)
+    after = nearest(ranks[::-1], np.concatenate([common[1:], [0]])[::-1])[::-1]
+    return np.maximum(before, after)
+
+
 class Suffixes:
     """The suffixes of the documents of one slice, cut at ``LENGTH`` bytes and within their document.
 
@@ -149,59 +209,88 @@ class Suffixes:
         place[order] = block
         return self.stem[order[start]], _least(ranks, start) < -_least(-ranks, start), place
 
-    def candidates(self, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Suffixes whose stem another document has, both halves of their fingerprints, and whether a document elsewhere has the stem."""
-        _, here, place = self.stems
-        chosen = np.flatnonzero((here | elsewhere)[place])
-        first, count = self.first[chosen], self.count[chosen]
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        places = np.repeat(first - (ends - count), count) + np.arange(total)
-        prints, more = np.empty(total, dtype=np.uint64), np.empty(total, dtype=np.uint64)
+    def _prints_at(self, places: np.ndarray, salt: int) -> np.ndarray:
+        """Fingerprints of the suffixes at ascending places."""
+        out = np.empty(len(places), dtype=np.uint64)
         for start in range(0, self.size, BLOCK):
             a, b = np.searchsorted(places, [start, start + BLOCK])
             if a < b:
-                words = self._block(start, min(start + BLOCK, self.size))
-                prints[a:b], more[a:b] = _prints(words, places[a:b] - start, LENGTH, 3, 4)
-        return places, prints, more, np.repeat(elsewhere[place[chosen]], count)
+                out[a:b] = _prints(self._block(start, min(start + BLOCK, self.size)), places[a:b] - start, LENGTH, salt)[0]
+        return out
+
+    def context_counts(self) -> np.ndarray:
+        """About how many different contexts each distinct stem has here: a run's context is all its suffixes cover."""
+        keys, _, place = self.stems
+        counts = np.bincount(place, minlength=len(keys))
+        several = np.flatnonzero(counts[place] > 1)
+        first, last = self.first[several], self.first[several] + self.count[several] - 1
+        prints = _mixed(self._prints_at(first, 3) * _A + self._prints_at(last, 4))
+        _, one = np.unique(_mixed(prints + place[several].astype(np.uint64) * _B), return_index=True)
+        return np.where(counts > 1, np.bincount(place[several[one]], minlength=len(keys)), counts)
+
+    def later_here(self) -> np.ndarray:
+        """Places of suffixes whose longest previous factor among the documents of the slice reaches ``LENGTH``."""
+        _, here, place = self.stems
+        chosen = np.flatnonzero(here[place])
+        at = _spread(self.first[chosen], self.count[chosen])
+        found = [np.empty(0, dtype=np.int64)]
+        for part, common in suffix_order(self.raw, at):
+            found.append(part[previous_factors(self.rank_at(part), common) >= LENGTH])
+        return np.concatenate(found)
 
 
-class SuffixOrder:
-    """Candidates in an order of suffixes where equal ones stand together.
+class Contexts:
+    """What a slice asks the others: the contexts of its runs whose stem another slice has, each text of a context once.
 
-    ``later`` says whether the longest previous factor of a suffix among the slice's
-    documents has ``LENGTH`` bytes. With the documents of a block of equal suffixes
-    ascending, the nearest suffix before or after it that belongs to a smaller document
-    is in its block, unless it belongs to the block's first document.
+    The context of a run is all bytes of its suffixes, at most ``2 * LENGTH``. Of stems with very many contexts
+    each suffix is asked for by itself, under its own fingerprint, so that these spread over ranges too. Texts are in order of
+    their keys (a stem or a fingerprint), which only lead them to a range: what is equal is judged by the bytes.
     """
 
-    def __init__(self, suffixes: Suffixes, elsewhere: np.ndarray):
-        places, prints, more, outside = suffixes.candidates(elsewhere)
-        order, start, self._block = _blocks(prints, more)
-        self.places = places[order]
-        ranks = suffixes.rank_at(self.places)
-        self.later = ranks > _least(ranks, start)[self._block]
-        # Equal suffixes have one stem, so a block as a whole may occur elsewhere or not.
-        self._outside = outside[order[start]]
-        asked = order[start][self._outside]
-        self.asked, self.asked_more = prints[asked], more[asked]
-
-    def removed(self, earlier: np.ndarray) -> np.ndarray:
-        """Places of suffixes that occur in a smaller document, here or (answers to ``asked``) in an earlier slice."""
-        known = np.zeros(len(self._outside), dtype=bool)
-        known[self._outside] = earlier
-        return self.places[self.later | known[self._block]]
-
-
-def removed_bytes(suffixes: Suffixes, places: np.ndarray) -> np.ndarray:
-    """Which bytes are covered by the suffixes at ``places``."""
-    steps = np.zeros(suffixes.size + LENGTH + 1, dtype=np.int32)
-    steps[places] += 1
-    steps[places + LENGTH] -= 1  # places are distinct, so plain indexing counts each once
-    return np.cumsum(steps[: suffixes.size]) > 0
-
-
-# Questions between slices: which of my keys has another slice, or an earlier one?
+    def __init__(self, suffixes: Suffixes, elsewhere: np.ndarray, many: np.ndarray):
+        _, _, place = suffixes.stems
+        together = np.flatnonzero((elsewhere & ~many)[place])
+        alone = np.flatnonzero((elsewhere & many)[place])
+        singles = _spread(suffixes.first[alone], suffixes.count[alone])
+        self.first = np.concatenate([suffixes.first[together], singles])
+        self.count = np.concatenate([suffixes.count[together], np.ones(len(singles), dtype=np.int64)])
+        keys = np.concatenate([suffixes.stem[together], suffixes._prints_at(singles, 5) >> np.uint64(64 - FILTER_BITS)])
+        data = suffixes.raw.tobytes()
+        known: dict[bytes, int] = {}
+        stops = self.first + self.count + LENGTH - 1
+        which = [known.setdefault(data[a:b], len(known)) for a, b in zip(self.first.tolist(), stops.tolist(), strict=True)]
+        self._which = np.array(which, dtype=np.int64)
+        own = np.empty(len(known), dtype=np.uint64)
+        own[self._which] = keys
+        order = np.argsort(own, kind="stable")
+        self.keys = own[order]
+        texts = list(known)
+        self.texts = [texts[k] for k in order.tolist()]
+        at = np.empty(len(order), dtype=np.int64)
+        at[order] = np.arange(len(order))
+        self._which = at[self._which]
+
+    @property
+    def suffixes(self) -> np.ndarray:
+        """Suffixes in each text."""
+        return np.array([len(t) for t in self.texts], dtype=np.int64) - LENGTH + 1
+
+    def places(self, flags: np.ndarray) -> np.ndarray:
+        """Places of the suffixes that are flagged, of flags for all suffixes of all texts in order."""
+        ends = np.cumsum(self.suffixes)
+        start = (ends - self.suffixes)[self._which]
+        return _spread(self.first, self.count)[flags[_spread(start, self.count)]]
+
+
+def removed_bytes(size: int, places: np.ndarray) -> np.ndarray:
+    """Which of ``size`` bytes are covered by the suffixes at ``places``."""
+    starts = np.zeros(size + LENGTH, dtype=bool)
+    starts[places + LENGTH - 1] = True
+    seen = np.cumsum(starts)
+    return seen[LENGTH - 1 : LENGTH - 1 + size] > np.concatenate([[0], seen])[:size]
+
+
+# Questions between slices: which of my stems has another slice, which of my suffixes one with smaller ids?
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -215,64 +304,134 @@ def _unpacked(blob: bytes, count: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-QUESTION = "range int, slice int, n bigint, keys binary, more binary"
-ANSWER = "slice int, range int, n bigint, flags binary"
+PART = "slice int, salt int"
+QUESTION = f"range int, {PART}, n bigint, keys binary, more binary"
+ANSWER = f"{PART}, range int, n bigint, flags binary, many binary"
 RESULT = "n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary"
 
 
-def _asked(slice_: int, keys: np.ndarray, bits: int, ranges: int, more: np.ndarray | None = None) -> pa.Table:
-    """Ascending distinct keys of a slice, a row for each range of keys; ``more`` are the lower halves of long keys."""
-    top = (keys >> np.uint64(max(0, bits - 32))).astype(np.uint64)
+def _ranges(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, start, stop) of ascending keys of ``FILTER_BITS`` bits, of ranges that have any."""
+    top = keys >> np.uint64(FILTER_BITS - 32)
     cuts = np.searchsorted((top * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
-    rows = [(r, a, b) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+    return [(r, a, b) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+
+
+def _question(part: tuple[int, int], rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[], [], [], []]
     return pa.table(
         {
-            "range": pa.array([r for r, _, _ in rows], pa.int32()),
-            "slice": pa.array([slice_] * len(rows), pa.int32()),
-            "n": pa.array([b - a for _, a, b in rows], pa.int64()),
-            "keys": pa.array([_packed(keys[a:b]) for _, a, b in rows], pa.binary()),
-            "more": pa.array([None if more is None else more[a:b].tobytes() for _, a, b in rows], pa.binary()),
+            "range": pa.array(columns[0], pa.int32()),
+            "slice": pa.array([part[0]] * len(rows), pa.int32()),
+            "salt": pa.array([part[1]] * len(rows), pa.int32()),
+            "n": pa.array(columns[1], pa.int64()),
+            "keys": pa.array(columns[2], pa.binary()),
+            "more": pa.array(columns[3], pa.binary()),
         }
     )
 
 
-def _answered(earlier: bool) -> Callable[[pa.Table], pa.Table]:
-    """For each key of a range: has an earlier slice (or else: any other slice) the key?"""
+def _answer(asked: pa.Table, flags: list[np.ndarray], many: list[np.ndarray] | None = None) -> pa.Table:
+    bits = lambda parts: pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())
+    return pa.table(
+        {
+            **{c: asked.column(c) for c in ("slice", "salt", "range")},
+            "n": pa.array([len(f) for f in flags], pa.int64()),
+            "flags": bits(flags),
+            "many": bits(many) if many is not None else pa.nulls(len(flags), pa.binary()),
+        }
+    )
+
+
+def _ask_stems(ranges: int):
+    """Distinct stems of a slice, with the number of their contexts."""
+
+    def run(key, docs):
+        _, suffixes = _loaded(docs)
+        stems, counts = suffixes.stems[0], np.minimum(suffixes.context_counts(), 65_535).astype("<u2")
+        squeezed = lambda x: pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+        rows = [(r, b - a, _packed(stems[a:b]), squeezed(counts[a:b])) for r, a, b in _ranges(stems, ranges)]
+        return _question(tuple(k.as_py() for k in key), rows)
+
+    return run
+
+
+def _answer_stems(limit: int):
+    """For each stem of a range: whether another slice has it, and whether it has more than ``limit`` contexts."""
 
     def run(asked):
-        asked = asked.sort_by("slice")
         counts = asked.column("n").to_pylist()
         keys = np.concatenate([_unpacked(k, n) for k, n in zip(asked.column("keys").to_pylist(), counts, strict=True)])
-        more = asked.column("more").to_pylist()
-        halves = None if None in more else np.frombuffer(b"".join(more), dtype=np.uint64)
-        order, same = _ordered(keys, halves)  # runs are sorted already: this merges them, earlier slices first
-        flags = np.zeros(len(keys), dtype=bool)
-        flags[order[1:]] = same
-        if not earlier:
-            flags[order[:-1]] |= same
-        parts = np.split(flags, np.cumsum(counts)[:-1])
-        return pa.table(
-            {
-                "slice": asked.column("slice"),
-                "range": asked.column("range"),
-                "n": asked.column("n"),
-                "flags": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary()),
-            }
+        contexts = np.concatenate(
+            [np.frombuffer(pa.decompress(m, 2 * n, codec="zstd", asbytes=True), dtype="<u2") for m, n in zip(asked.column("more").to_pylist(), counts, strict=True)]
         )
+        order, start, block = _blocks(keys)
+        several = np.diff(np.append(start, len(keys))) > 1
+        total = np.add.reduceat(contexts[order].astype(np.int64), start)
+        flags, many = np.empty(len(keys), dtype=bool), np.empty(len(keys), dtype=bool)
+        flags[order], many[order] = several[block], (total > limit)[block]
+        cuts = np.cumsum(counts)[:-1]
+        return _answer(asked, np.split(flags, cuts), np.split(many, cuts))
+
+    return run
+
+
+def _ask_contexts(ranges: int):
+    """The texts of a slice's contexts, with their lengths."""
+
+    def run(key, docs, stems):
+        part = tuple(k.as_py() for k in key)
+        if not docs.num_rows:
+            return _question(part, [])
+        _, suffixes = _loaded(docs)
+        contexts = Contexts(suffixes, *_flags(stems, len(suffixes.stems[0])))
+        rows = []
+        for r, a, b in _ranges(contexts.keys, ranges):
+            texts = contexts.texts[a:b]
+            lengths = np.array([len(t) for t in texts], dtype=np.uint8).tobytes()
+            rows.append((r, b - a, lengths, pa.compress(b"".join(texts), codec="zstd", asbytes=True)))
+        return _question(part, rows)
 
     return run
 
 
-def _flags(answers: pa.Table, count: int) -> np.ndarray:
+def _answer_contexts(asked: pa.Table) -> pa.Table:
+    """For each suffix in the texts of a range: has a slice with smaller ids the same ``LENGTH`` bytes?"""
+    asked = asked.sort_by("slice")
+    lengths = [np.frombuffer(k, dtype=np.uint8).astype(np.int64) for k in asked.column("keys").to_pylist()]
+    texts = [pa.decompress(m, int(n.sum()), codec="zstd", asbytes=True) for m, n in zip(asked.column("more").to_pylist(), lengths, strict=True)]
+    raw = np.frombuffer(b"".join(texts) + bytes(LENGTH), dtype=np.uint8)
+    every = np.concatenate(lengths)
+    starts = np.cumsum(every) - every
+    at = _spread(starts, every - LENGTH + 1)
+    ends = np.cumsum([int((n - LENGTH + 1).sum()) for n in lengths])
+    slices = np.repeat(asked.column("slice").to_numpy(), np.diff(ends, prepend=0))
+    number = np.empty(len(raw), dtype=np.int64)
+    number[at] = np.arange(len(at))
+    flags = np.zeros(len(at), dtype=bool)
+    for part, common in suffix_order(raw, at):
+        mine = number[part]
+        ranks = slices[mine]
+        first = np.flatnonzero(common < LENGTH)
+        flags[mine] = ranks > np.repeat(_least(ranks, first), np.diff(np.append(first, len(part))))
+    return _answer(asked, np.split(flags, ends[:-1]))
+
+
+def _flags(answers: pa.Table, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both answers to the questions of a slice, which were in order of ranges."""
     rows = answers.sort_by("range")
-    parts = [
-        np.unpackbits(np.frombuffer(f, dtype=np.uint8), count=n).astype(bool)
-        for f, n in zip(rows.column("flags").to_pylist(), rows.column("n").to_pylist(), strict=True)
-    ]
-    found = np.concatenate(parts) if parts else np.empty(0, dtype=bool)
-    if len(found) != count:
+
+    def joined(column: str) -> np.ndarray:
+        parts = [
+            np.unpackbits(np.frombuffer(f, dtype=np.uint8), count=n).astype(bool)
+            for f, n in zip(rows.column(column).to_pylist(), rows.column("n").to_pylist(), strict=True)
+            if f is not None
+        ]
+        return np.concatenate(parts) if parts else np.empty(0, dtype=bool)
+
+    if len(found := joined("flags")) != count:
         raise ValueError(f"{len(found)} answers to {count} questions")
-    return found
+    return found, joined("many")
 
 
 def _loaded(docs: pa.Table) -> tuple[pa.Table, Suffixes]:
@@ -284,25 +443,6 @@ def _loaded(docs: pa.Table) -> tuple[pa.Table, Suffixes]:
     return docs, Suffixes(texts, ranks.astype(np.int64))
 
 
-def _ask_stems(ranges: int):
-    def run(key, docs):
-        _, suffixes = _loaded(docs)
-        return _asked(key[0].as_py(), suffixes.stems[0], FILTER_BITS, ranges)
-
-    return run
-
-
-def _ask_suffixes(ranges: int):
-    def run(key, docs, stems):
-        if not docs.num_rows:
-            return _asked(key[0].as_py(), np.empty(0, np.uint64), 64, ranges, np.empty(0, np.uint64))
-        _, suffixes = _loaded(docs)
-        order = SuffixOrder(suffixes, _flags(stems, len(suffixes.stems[0])))
-        return _asked(key[0].as_py(), order.asked, 64, ranges, order.asked_more)
-
-    return run
-
-
 def _whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
     """``gone``, with every byte of a character of which a byte is gone."""
     first = (raw & 0xC0) != 0x80
@@ -315,8 +455,9 @@ def _cut(characters: bool):
     def run(left, right):
         stems, earlier = (right.filter(pc.equal(right.column("question"), q)) for q in (0, 1))
         docs, suffixes = _loaded(left)
-        order = SuffixOrder(suffixes, _flags(stems, len(suffixes.stems[0])))
-        gone = removed_bytes(suffixes, order.removed(_flags(earlier, len(order.asked))))
+        contexts = Contexts(suffixes, *_flags(stems, len(suffixes.stems[0])))
+        earlier, _ = _flags(earlier, int(contexts.suffixes.sum()))
+        gone = removed_bytes(suffixes.size, np.concatenate([suffixes.later_here(), contexts.places(earlier)]))
         sizes, spans, kept = [], [], []
         for start, end in zip(suffixes.starts.tolist(), suffixes.ends.tolist(), strict=True):
             here = gone[start:end]
@@ -340,25 +481,49 @@ def _cut(characters: bool):
     return run
 
 
+def _placed(docs: DataFrame, size: int, slice_bytes: int) -> DataFrame:
+    """Documents with their slice, a run of ids, and salt, which splits an id (or no id) that fills more than a slice.
+
+    Rows of one id don't remove from each other, so they may lie apart.
+    """
+    slices = size // slice_bytes + 1
+    cuts = id_marks(docs, "doc_id", slices)
+    full = sorted(m for m, n in Counter(cuts).items() if n > 1)
+    marks = sorted({*cuts, *(m + 1 for m in full)})
+    nameless = docs.where("doc_id is null").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    row = F.monotonically_increasing_id()
+    salt = F.when(F.col("doc_id").isNull(), F.pmod(row, F.lit(nameless // slice_bytes + 1)))
+    if full:
+        salt = salt.when(F.col("doc_id").isin(full), F.pmod(row, F.lit(max(Counter(cuts).values()) + 1)))
+    return docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        whole("text").alias("text"),
+        F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c != "text"]).alias("_given"),
+        salt.otherwise(0).cast("int").alias("salt"),
+    ).withColumn("slice", slice_of("doc_id", marks, len(marks) + 1))
+
+
 def remove_repeats(
-    docs: DataFrame, slice_bytes: int = SLICE_BYTES, range_bytes: int = RANGE_BYTES, characters: bool = False
+    docs: DataFrame, slice_bytes: int = SLICE_BYTES, range_bytes: int = RANGE_BYTES, characters: bool = False, many: int = MANY
 ) -> DataFrame:
     """Remove every byte of a string of ``LENGTH`` bytes that also starts in a document with a smaller id.
 
     Texts are taken as UTF-8 bytes; strings are judged on the input. Documents
     are cut into slices of ascending ids. A suffix goes if its longest previous
-    factor reaches ``LENGTH``: if the nearest suffix with a smaller document in
-    the order of suffixes agrees with it that far. Within a slice the order of suffixes shows that;
-    between slices, each asks which of its distinct suffixes an earlier slice has.
+    factor reaches ``LENGTH``: if the nearest suffix of a smaller document, before or after it in
+    suffix order, agrees with it that far. Within a slice the suffixes are ordered and previous and next smaller
+    positions taken; between slices, a suffix has an earlier match if a slice of smaller ids has its bytes.
     Only suffixes that can occur elsewhere are ordered and asked for: first
-    the slices ask which stems (see ``Suffixes``) any other slice has.
+    the slices ask which stems (see ``Suffixes``) any other slice has, then they send the bytes around these
+    (see ``Contexts``), which are compared as they are.
 
-    Keys go out packed, once per slice however often they occur in it, so a
-    passage that a third of all documents share is one key of each slice. Texts
+    A context goes out once per slice however often it occurs in it, so a
+    passage that a third of all documents share is one text of each slice; stems with more than ``many`` contexts, and eight
+    for each slice, are split. Texts
     are shuffled once, to their slices, which are quantiles of the documents of
-    about ``slice_bytes``; keys are compared in ranges of what ``range_bytes`` of text hold, so
-    the size of a task doesn't depend on that of the table. Suffixes are told
-    apart by 128-bit fingerprints.
+    about ``slice_bytes``; contexts are compared in ranges of what ``range_bytes`` of text hold, so
+    the size of a task doesn't depend on that of the table. A slice sends a row to each range, and no more rows
+    than it has contexts.
 
     Columns: the columns of ``docs`` in the struct ``_given``, n_bytes, n_removed,
     spans (removed [start, end) byte ranges) and kept (remaining bytes; with ``characters``
@@ -371,20 +536,16 @@ def remove_repeats(
     ship_package(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = size // range_bytes + 1
-    marks = id_marks(docs, "doc_id", size // slice_bytes + 1)
-    placed = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        whole("text").alias("text"),
-        F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c != "text"]).alias("_given"),
-    ).withColumn("slice", slice_of("doc_id", marks, len(marks)))
-    by_slice = placed.groupBy("slice")
+    placed = _placed(docs, size, slice_bytes)
+    by_slice = placed.groupBy("slice", "salt")
     asked = by_slice.applyInArrow(_ask_stems(ranges), QUESTION)
-    stems = asked.groupBy("range").applyInArrow(_answered(False), ANSWER)
-    again = by_slice.cogroup(stems.groupBy("slice")).applyInArrow(_ask_suffixes(ranges), QUESTION)
-    earlier = again.groupBy("range").applyInArrow(_answered(True), ANSWER)
+    limit = many + 8 * (size // slice_bytes + 1)
+    stems = asked.groupBy("range").applyInArrow(_answer_stems(limit), ANSWER)
+    again = by_slice.cogroup(stems.groupBy("slice", "salt")).applyInArrow(_ask_contexts(ranges), QUESTION)
+    earlier = again.groupBy("range").applyInArrow(_answer_contexts, ANSWER)
     answers = stems.withColumn("question", F.lit(0)).unionByName(earlier.withColumn("question", F.lit(1)))
     out = StructType([placed.schema["_given"], *StructType.fromDDL(RESULT)])
-    return by_slice.cogroup(answers.groupBy("slice")).applyInArrow(_cut(characters), out)
+    return by_slice.cogroup(answers.groupBy("slice", "salt")).applyInArrow(_cut(characters), out)
 
 
 def repeat_digests(docs: DataFrame, **sizes: int) -> DataFrame:

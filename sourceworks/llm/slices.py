@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 
 def id_marks(df: DataFrame, column: str, slices: int) -> list[int]:
-    """Ids in the table that cut it into about ``slices`` even runs; at most ``slices`` - 1 numbers."""
+    """Ids in the table that cut it into about ``slices`` even runs; at most ``slices`` - 1 numbers, ascending.
+
+    An id that fills several runs is there as often.
+    """
     steps = [k / slices for k in range(1, slices)]
     if not steps:
         return []
-    low, marks = df.agg(F.min(column), F.percentile_approx(column, steps, 10 * slices)).first()
-    return sorted({m for m in marks or [] if m != low})
+    return sorted(df.agg(F.percentile_approx(column, steps, 10 * slices)).first()[0] or [])
 
 
 def slice_of(column: str, marks: list[int], null_slice: int) -> Column:

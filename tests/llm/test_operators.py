@@ -1,8 +1,12 @@
 """Operators on inputs made for one purpose."""
 
 import random
+from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import public_tokenizers
 from hypothesis import given, settings
@@ -10,16 +14,18 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from sourceworks.llm import bpe, hosts, near, oracles, registry, repeats, rules, shards, sketches, token_files, transducer
+from sourceworks.llm import bpe, hosts, near, oracles, queries, registry, repeats, rules, shards, sketches, token_files, transducer
 from sourceworks.llm.components import components
 from sourceworks.llm.ranking import ranked
 from sourceworks.llm.slices import id_marks, slice_of
 from sourcechecks.compare import connect, differences
 
+from .conftest import write_documents
+
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", list(registry.ORACLES))
+@pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_query_matches_sql(spark, name):
     assert differences(registry.QUERIES[name](spark, FOLDER), connect(FOLDER), registry.ORACLES[name]) == []
 
@@ -117,6 +123,94 @@ def test_bad_hosts_are_blocked_and_unknown_ones_are_not(spark):
     assert verdicts == {"bad.example.com": "block", "good.example.com": "allow", "few.example.com": "allow", "other.org": "allow", "new.example.com": "allow"}
 
 
+def sql_rows(folder, name, *tables):
+    """Rows of a query's SQL over the tables of a folder."""
+    with duckdb.connect() as db:
+        for table in tables:
+            db.execute(f"create view {table} as from '{folder}/{table}.parquet'")
+        return db.execute(registry.ORACLES[name]).fetchall(), [d[0] for d in db.description]
+
+
+def same_as_sql(spark, folder, name, *tables):
+    expected, columns = sql_rows(folder, name, *tables)
+    found = registry.QUERIES[name](spark, folder).select(*columns).collect()
+    assert Counter(map(tuple, found)) == Counter(expected)
+    return [dict(zip(columns, r, strict=True)) for r in expected]
+
+
+def test_reputation_decides_as_in_sql(spark, tmp_path):
+    """Sites of many levels, addresses, users and ports; repeated and null ids; columns that clash."""
+    made, labels = [], []
+
+    def pages(host, count, bad, known=True):
+        for k in range(count):
+            made.append((len(made), f"http://{host}/p{k}"))
+            if known:
+                labels.append((len(made) - 1, 0 if k < bad else 1, 0))
+
+    for k in range(25):
+        pages(f"good{k}.example.org", 20, 1)
+        pages(f"site{k}.co.uk", 20, k % 3)
+    pages("spam.example.org", 30, 28)
+    pages("user:pw@SPAM.example.org:8080", 5, 0, known=False)
+    pages("spam.example.org.", 2, 0, known=False)
+    pages("bad.co.uk", 30, 30)
+    pages("www.bad.co.uk", 4, 0, known=False)
+    pages("co.uk", 2, 0, known=False)
+    pages("10.0.0.1", 30, 29)
+    pages("10.0.0.2:81", 30, 0)
+    pages("[::1]:80", 3, 0, known=False)
+    pages("new.example.org", 2, 0, known=False)
+    made += [made[0], made[0], (None, "http://spam.example.org/x"), (None, None)]
+    names = {"host": "clash", "rule": "clash", "verdict": "clash", "site": "clash", "domain": "clash"}
+    table = pa.table({"page_id": pa.array([i for i, _ in made], pa.int64()), "url": [u for _, u in made], "html": [""] * len(made)})
+    for name, value in names.items():
+        table = table.append_column(name, pa.array([value] * len(made)))
+    pq.write_table(table, f"{tmp_path}/pages.parquet")
+    ids, quality, toxic = zip(*[*labels, labels[3], (None, 0, 1), (5, None, None)], strict=True)
+    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "quality": quality, "toxic": toxic}), f"{tmp_path}/labels.parquet")
+    verdicts = {}
+    for row in same_as_sql(spark, str(tmp_path), "op5_host_reputation", "pages", "labels"):
+        verdicts.setdefault(row["host"], set()).add(row["verdict"])
+    assert all(len(v) == 1 for v in verdicts.values())
+    blocked = {h for h, v in verdicts.items() if v == {"block"}}
+    assert blocked == {"spam.example.org", "user:pw@spam.example.org:8080", "spam.example.org.", "bad.co.uk", "www.bad.co.uk", "10.0.0.1"}
+
+
+def test_levels_of_sites(spark):
+    names = ["a.b.example.org", "example.org", "org", "x.y.co.uk", "co.uk", "10.0.0.1", "[::1]", "", "notco.uk", "1.2.3.4.5"]
+    domain, suffix = hosts.site_levels("s")
+    found = spark.createDataFrame([(n,) for n in names], "s string").select("s", domain.alias("d"), suffix.alias("x")).collect()
+    assert [tuple(r)[1:] for r in found] == [
+        ("example.org", "org"), ("example.org", "org"), ("org", "org"), ("y.co.uk", "co.uk"), ("co.uk", "co.uk"),
+        ("10.0.0.1", ""), ("[::1]", ""), ("", ""), ("notco.uk", "uk"), ("4.5", "5"),
+    ]
+
+
+def test_common_lines_decide_as_in_sql(spark, tmp_path):
+    """Lines of 100 and of 101 texts; copies of a text vouch once; sources of any size, none among them."""
+    own = lambda k, n: " ".join(f"d{k}w{i}" for i in range(n))
+    rows = []
+    for source, holders, others in (("a", 101, 0), ("b", 100, 0), ("c", 130, 900), (None, 101, 5), ("", 100, 5)):
+        notice = " ".join(f"notice{i}" for i in range(60))
+        made = [f"{own(f'{source}{k}', 40)}\n {notice.upper()}  end" for k in range(holders)]
+        made += [f"{own(f'{source}{k}', 55)}\n{own(f'x{source}{k}', 9)}" for k in range(holders, holders + others)]
+        rows += [(len(rows) + i, t, "en", source, 0) for i, t in enumerate([*made, made[0], made[0]])]
+    write_documents(f"{tmp_path}/documents.parquet", rows, kept="clash", host="clash")
+    found = same_as_sql(spark, str(tmp_path), "op8_line_frequency", "documents")
+    kept = Counter((rows[r["doc_id"]][3], r["kept"]) for r in found)
+    assert kept == {("a", False): 103, ("b", True): 102, ("c", False): 132, ("c", True): 900, (None, False): 103, (None, True): 5, ("", True): 107}
+    assert not any(r["base_failed"] for r in found)
+
+
+def test_a_line_of_many_texts_is_common_in_a_large_source(spark):
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), F.col("id").cast("string"), F.lit("x"), i.cast("string"))), " ")
+    text = F.when(F.col("id") % 20 == 0, F.concat(words, F.lit("\nShared by five thousand texts"))).otherwise(words)
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("src0").alias("source"))
+    left = rules.quality_rules(df).groupBy("kept", (F.col("n_words") - F.col("n_left")).alias("gone")).count().collect()
+    assert {(r.kept, r.gone): r["count"] for r in left} == {(True, 0): 95_000, (True, 5): 5_000}
+
+
 def test_sketches_merge(spark):
     text = " ".join(f"w{i}" for i in range(1000))
     half = " ".join(f"w{i}" for i in range(500)), " ".join(f"w{i}" for i in range(496, 1000))
@@ -136,7 +230,7 @@ def test_common_lines_go_and_depleted_documents_are_rejected(spark):
     notice = " ".join(f"notice{i}" for i in range(60))
     made = [f"{own(k, 100)}\n  {notice.upper()}\t" for k in range(30)] + [f"{own(99, 20)}\n{notice}", own(100, 80)]
     df = docs(spark, made + made[:5]).withColumn("n_left", F.lit("clash"))
-    got = sorted(rules.quality_rules(df).collect(), key=lambda r: r.doc_id)
+    got = sorted(rules.quality_rules(df, most_documents=20).collect(), key=lambda r: r.doc_id)
     assert [r.kept for r in got] == [True] * 30 + [False, True] + [True] * 5
     assert got[0].text == own(0, 100) and got[31].text == own(100, 80)
     assert got[30].n_left == 20 and not got[30].base_failed
@@ -197,9 +291,9 @@ def test_passages_over_block_ends(monkeypatch):
     pick = random.Random(1)
     passage = bytes(pick.randrange(97, 123) for _ in range(120))
     texts = [bytes(pick.randrange(97, 123) for _ in range(pick.randrange(0, 200))) + passage[pick.randrange(60) :] for _ in range(30)]
+    monkeypatch.setattr(repeats, "SORTED", 100)
     suffixes = repeats.Suffixes(texts, np.arange(30))
-    order = repeats.SuffixOrder(suffixes, np.zeros(len(suffixes.stems[0]), dtype=bool))
-    gone = repeats.removed_bytes(suffixes, order.removed(np.zeros(len(order.asked), dtype=bool)))
+    gone = repeats.removed_bytes(suffixes.size, suffixes.later_here())
     seen, want = set(), []
     for text in texts:
         covered = [False] * len(text)
@@ -222,10 +316,50 @@ def test_different_passages_of_one_64_bit_print_stay(spark, slice_bytes):
     assert {r.doc_id: r.n_removed for r in found} == {0: 0, 1: 0, 2: 50, 3: 50}
 
 
-def test_long_keys_are_ordered_by_both_halves():
-    keys, more = np.array([[5, 9], [5, 2], [1, 7], [5, 9], [5, 2]], dtype=np.uint64).T
-    order, same = repeats._ordered(keys, more)
-    assert order.tolist() == [2, 1, 4, 0, 3] and same.tolist() == [False, True, False, True]
+@pytest.mark.parametrize("part", [7, 1000])
+def test_previous_factors_by_smaller_positions(monkeypatch, part):
+    """Suffix order, shared lengths and longest previous factors against comparing all pairs."""
+    monkeypatch.setattr(repeats, "SORTED", part)
+    pick = random.Random(part)
+    raw = np.frombuffer(bytes(pick.choice(b"ab\0") for _ in range(60)) * 5 + bytes(120), dtype=np.uint8)
+    at = np.array(sorted(pick.sample(range(320), 250)))
+    ranks = at // 40
+    windows = {int(i): raw[i : i + 50].tobytes() for i in at}
+    order = []
+    for places, common in repeats.suffix_order(raw, at):
+        factors = repeats.previous_factors(places // 40, common)
+        for k, i in enumerate(places.tolist()):
+            earlier = any(windows[j] == windows[i] and j // 40 < i // 40 for j in windows)
+            assert (factors[k] >= 50) == earlier
+        order += places.tolist()
+    assert sorted(order) == at.tolist() and len(ranks) == len(order)
+    assert [windows[i] for i in order] == sorted(windows.values())
+
+
+def test_repeats_of_an_id_that_fills_slices(spark):
+    """Many rows of one id, and of none: they are dealt over slices, and don't remove from each other."""
+    passage = "passage of the corpus that is longer than fifty bytes in all, "
+    made = [(5, f"{passage}{i} {i * 7919} own words") for i in range(60)] + [(None, f"{i}{passage}") for i in range(60)]
+    made += [(1, "no such thing"), (9, f"x {passage}"), (3, f"{passage} first"), (4, None)]
+    df = spark.createDataFrame(made, "doc_id bigint, text string").repartition(3)
+    found = repeats.repeat_digests(df, slice_bytes=700, range_bytes=300)
+    removed = sorted(((r.doc_id, r.n_removed) for r in found.collect()), key=str)
+    size = len(passage)
+    assert removed == sorted([(5, size)] * 60 + [(None, size)] * 60 + [(1, 0), (9, size), (3, 0), (4, 0)], key=str)
+
+
+def test_stems_with_many_contexts_are_split(spark):
+    pick = random.Random(8)
+    word = lambda n: "".join(pick.choice("abcdef") for _ in range(n))
+    common, tails = word(40), [word(30) for _ in range(20)]
+    texts = [f"{word(12)}{common}{pick.choice(tails)}{word(5)}" for _ in range(80)]
+    whole = {r.doc_id: r for r in repeats.repeat_digests(docs(spark, texts), slice_bytes=300, range_bytes=200).collect()}
+    split = {r.doc_id: r for r in repeats.repeat_digests(docs(spark, texts), slice_bytes=300, range_bytes=200, many=-1000).collect()}
+    seen = set()
+    for i, text in enumerate(texts):
+        covered = {k for j in range(len(text) - 49) if text[j : j + 50] in seen for k in range(j, j + 50)}
+        seen.update(text[j : j + 50] for j in range(len(text) - 49))
+        assert whole[i] == split[i] and whole[i].n_removed == len(covered)
 
 
 def test_sql_is_there_where_it_can_be():
