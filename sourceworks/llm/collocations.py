@@ -14,7 +14,7 @@ from sourceworks.llm.ranking import ranked
 from sourceworks.llm.text import whole
 from sourceworks.session import cut_lineage, ship_package
 
-BLOCK_BYTES, RANGE_BYTES = 16 << 20, 32 << 20
+BLOCK_BYTES, RANGE_BYTES = 6 << 20, 16 << 20
 MARKS = b".,;:!?\n\x0b\x0c\r"
 _APART = bytes.maketrans(MARKS + b"\t", b"\n" * len(MARKS) + b" ")
 BLOCK = "block bigint, occurrences binary"
