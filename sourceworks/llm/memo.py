@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -46,3 +47,15 @@ def small_batches(batches: Iterable[pa.RecordBatch], size: int = BATCH_BYTES) ->
 
 def broadcast_bytes(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(read_vocabulary(path))
+
+
+@contextmanager
+def small_exchanges(spark: SparkSession, rows: int = 500):
+    """Spark hands at most ``rows`` rows at a time to Python in what is run inside; the session's setting comes back after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -11,6 +11,7 @@ from sourceworks.llm.text import whole, window_hashes, words
 
 SHINGLE = 5
 SIZE = 128
+SLICE_BYTES, MOST_SLICES = 32 << 20, 20_000
 
 
 def with_sketch(df: DataFrame, text: Column, out: str, size: int = SIZE, shingle: int = SHINGLE) -> DataFrame:
@@ -65,19 +66,18 @@ def as_string(sketch: Column) -> Column:
 def with_next_text(docs: DataFrame) -> DataFrame:
     """Columns of ``docs`` (doc_id, text) and ``_slice``, ``_guest``, ``_turn``, for windows in order of id.
 
-    Documents are cut into slices at quantiles of their ids. The document at the
+    Documents are cut into slices of about ``SLICE_BYTES`` at quantiles of their ids (above ``MOST_SLICES`` slices
+    these grow, and windows over them spill; the bounds are a constant of the plan). The document at the
     start of a slice is also a guest at the end of the slice before it (the first
     document of all: of the last slice), so ``lead`` over ``order_in_slice()``
     sees the next document of every row that is no guest, and no slice holds more
     than its share. Texts are shuffled once.
     """
-    slices = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first, nulls, size = docs.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull()), F.sum(F.octet_length("text"))).first()
+    least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = min(max(least, (size or 0) // SLICE_BYTES + 1), MOST_SLICES)
     steps = [k / slices for k in range(1, slices)]
-    first, nulls, marks = docs.agg(
-        F.min("doc_id"),
-        F.count_if(F.col("doc_id").isNull()),
-        F.percentile_approx("doc_id", steps, 10 * slices),
-    ).first()
+    marks = docs.agg(F.percentile_approx("doc_id", steps, 10 * slices)).first()[0]
     marks = sorted({m for m in marks or [] if m != first})
     starts = F.array(*[F.lit(m).cast("bigint") for m in marks]) if marks else F.array().cast("array<bigint>")
     # The slice of an id, first by every width-th mark, then by the marks between.

@@ -7,7 +7,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sourceworks.llm.memo import Memo, broadcast_bytes, small_batches
+from sourceworks.llm.memo import Memo, broadcast_bytes, small_batches, small_exchanges
 from sourceworks.llm.text import whole
 from sourceworks.session import ship_package
 
@@ -53,6 +52,69 @@ CUT_SPLIT = {
 }
 
 
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_KINDS = np.zeros(256, dtype=np.uint8)
+_KINDS[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = 1
+_KINDS[list(b".,;:!?")] = 2
+_KINDS[list(b" \t\n\x0b\x0c\r")] = 4
+#: Small letters that composing and lower-casing leave alone and that never part: a to z, and those of the Latin-1 alphabet.
+_SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: The character by which byte-level tokenizers write a byte: itself where it is printable, else the next one from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTED)))}
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+
+
+class ChunkNumbers:
+    """Numbers of chunks of at most 16 bytes, looked up for many at a time; a chunk is its bytes as two numbers of 64 bits.
+
+    An open table of at least twice as many places as chunks; a chunk lies at the place of its hash or the next free one.
+    """
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, numbers: np.ndarray, limit: int):
+        self._size(max(limit, len(first)))
+        self.add(first, second, numbers)
+
+    def _size(self, chunks: int) -> None:
+        self._bits, self._held = (2 * chunks).bit_length(), 0
+        self._first, self._second = (np.zeros(1 << self._bits, dtype=np.uint64) for _ in range(2))
+        self._number = np.full(1 << self._bits, -1, dtype=np.int32)
+
+    def _place(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        mixed = (first ^ (first >> np.uint64(31))) * _A + (second ^ (second >> np.uint64(29))) * _B
+        return ((mixed ^ (mixed >> np.uint64(32))) * _A >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def add(self, first: np.ndarray, second: np.ndarray, numbers: np.ndarray) -> None:
+        """Add chunks that are not in the table and differ from each other."""
+        if 2 * (self._held + len(first)) > len(self._number):
+            held = self._number >= 0
+            old = self._first[held], self._second[held], self._number[held]
+            self._size(2 * (self._held + len(first)))
+            self.add(*old)
+        self._held += len(first)
+        place, left = self._place(first, second), np.arange(len(first))
+        while len(left):
+            at, one = np.unique(place[left], return_index=True)
+            free = self._number[at] < 0
+            at, one = at[free], left[one[free]]
+            self._first[at], self._second[at], self._number[at] = first[one], second[one], numbers[one]
+            placed = np.zeros(len(first), dtype=bool)
+            placed[one] = True
+            left = left[~placed[left]]
+            place[left] = (place[left] + 1) & ((1 << self._bits) - 1)
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The numbers of chunks, -1 for those that are not known."""
+        place = self._place(first, second)
+        found = self._number[place].astype(np.int64)
+        left = np.flatnonzero((found >= 0) & ((self._first[place] != first) | (self._second[place] != second)))
+        while len(left):
+            place[left] = at = (place[left] + 1) & ((1 << self._bits) - 1)
+            found[left] = self._number[at]
+            left = left[(found[left] >= 0) & ((self._first[at] != first[left]) | (self._second[at] != second[left]))]
+        return found
+
+
 class ChunkEncoder:
     """Ids of texts, put together from the ids of their chunks.
 
@@ -65,15 +127,15 @@ class ChunkEncoder:
     any other tokenizer gets whole texts.
 
     A chunk has a number; ids of a batch are taken from one array by the numbers of its
-    chunks. Chunks not seen before go to the library together, with a sign between them that has one id of its own;
-    words of small ASCII letters skip its normalization and splitting, which leave them as
-    they are. When ``limit`` chunks are known, those met once only are forgotten.
+    chunks. Chunks not seen before go to the library: words of small Latin letters, which normalization and splitting leave as
+    they are, to its merges, others together with a sign between them that has one id of its own.
+    When ``limit`` chunks are known, those met once only are forgotten.
     """
 
     SIGN, TOGETHER = "\x01", 100
     BETWEEN = b" \xff "  # no byte of a text
 
-    def __init__(self, vocabulary: bytes, limit: int = 400_000):
+    def __init__(self, vocabulary: bytes, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel units
         from tokenizers import Tokenizer
 
@@ -81,38 +143,46 @@ class ChunkEncoder:
         plan = json.loads(text)
         self._tokenizer = Tokenizer.from_str(text)
         self._limit = limit
-        self._mark = re.compile(rb"([a-z0-9])([.,;:!?])(?=[ \n\t\r\x0b\x0c])").sub
         steps = (plan.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        sign = self._ids(self._tokenizer, f" {self.SIGN} ")
-        self._sign = sign[0] if len(sign) == 1 else None
         tokens = [t["content"] for t in plan.get("added_tokens", ())]
         special = all(t.startswith("<|") and not re.search(r"\s", t) for t in tokens)
-        self.cuts = bool(plan.get("normalizer") == CUT_NORMALIZER and steps[0] == CUT_SPLIT and special and self._sign is not None)
-        self._forget([])
-        if self.cuts:
-            plain = plan | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
-            self._words = Tokenizer.from_str(json.dumps(plain))
-            suffix = plain["model"].get("end_of_word_suffix") or ""
-            self._word_sign = self._tokenizer.id_to_token(int(self._sign)).removesuffix(suffix)
-
-    @staticmethod
-    def _ids(tokenizer, text: str) -> np.ndarray:
-        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<i4")
-
-    def _forget(self, kept: list[bytes]) -> None:
-        """Known from here on: the sign between texts, without ids, and the chunks of ``kept``."""
-        if kept:
-            numbers = np.array([self._number[c] for c in kept])
-            ids, lengths = self._taken(numbers)
-        else:
-            ids, lengths = np.empty(0, dtype="<i4"), np.empty(0, dtype=np.int64)
-        self._number = _Numbers()
-        self._number[self.BETWEEN.strip()] = 0
-        self._number.update(zip(kept, range(1, len(kept) + 1), strict=True))
-        self._pool = ids
-        self._length = np.concatenate([[0], lengths])
-        self._start = np.concatenate([[0], np.cumsum(self._length)[:-1]])
-        self._met = np.zeros(len(self._length), dtype=np.int64)
+        sign = self._ids(f" {self.SIGN} ")
+        self._sign = sign[0] if len(sign) == 1 else None
+        known = plan.get("normalizer") == CUT_NORMALIZER and [steps[0], *[t.get("type") for t in steps[1:]]] == [CUT_SPLIT, "ByteLevel"]
+        self.cuts = bool(known and special and self._sign is not None)
+        self._merged = self._tokenizer.model.tokenize
+        self._clear()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<i4")
+
+    def _clear(self) -> None:
+        """Nothing is known but the sign between texts, number 0, which has no ids."""
+        none = np.zeros(1, dtype=np.uint64)
+        self._keys = [np.full(1, self.BETWEEN.strip()[0], dtype=np.uint64), none]
+        self._table = ChunkNumbers(*self._keys, np.zeros(1, dtype=np.int64), self._limit)
+        self._odd: dict[bytes, int] = {}
+        self._pool = np.empty(0, dtype="<i4")
+        self._length = np.zeros(1, dtype=np.int64)
+        self._start, self._met = self._length.copy(), self._length.copy()
+
+    def _forget(self) -> None:
+        """Keep the chunks met more than once."""
+        kept = self._met > 1
+        kept[0] = True
+        if 2 * int(kept.sum()) > self._limit:
+            return self._clear()
+        numbers = np.flatnonzero(kept)
+        new = np.cumsum(kept) - 1
+        self._pool, self._length = self._taken(numbers)
+        self._start = np.cumsum(self._length) - self._length
+        self._met = np.zeros(len(numbers), dtype=np.int64)
+        odd = np.zeros(len(kept), dtype=bool)
+        odd[list(self._odd.values())] = True
+        self._keys = [k[numbers] for k in self._keys]
+        short = ~odd[numbers]
+        self._table = ChunkNumbers(*[k[short] for k in self._keys], np.flatnonzero(short), self._limit)
+        self._odd = {c: int(new[n]) for c, n in self._odd.items() if kept[n]}
 
     def _taken(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks with these numbers one after another, and how many each has."""
@@ -121,60 +191,104 @@ class ChunkEncoder:
         places = np.repeat(self._start[numbers] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
         return self._pool[places], lengths
 
-    def _together(self, tokenizer, sign: str, chunks: list[str]) -> list[np.ndarray]:
-        found = []
+    def _together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found, lengths = [np.empty(0, dtype="<i4")], [np.empty(0, dtype=np.int64)]
+        between = f" {self.SIGN} "
         for start in range(0, len(chunks), self.TOGETHER):
             some = chunks[start : start + self.TOGETHER]
-            between = f" {sign} "
-            ids = self._ids(tokenizer, between.join(some) + between)
+            ids = self._ids(between.join(some) + between)
             ends = np.flatnonzero(ids == self._sign)
             if len(ends) != len(some):
                 raise ValueError("the sign between chunks is among their ids")
-            found += [part[k:] for k, part in zip([0] + [1] * (len(some) - 1), np.split(ids, ends)[:-1], strict=True)]
-        return found
+            found.append(ids[ids != self._sign])
+            lengths.append(np.diff(ends, prepend=-1) - 1)
+        return np.concatenate(found), np.concatenate(lengths)
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Ids of chunks that have the next numbers in turn."""
-        texts = [c.decode("utf-8") for c in chunks]
-        kinds = [0 if c.isalpha() and c.islower() else 2 if self.SIGN in t or "<|" in t else 1 for c, t in zip(chunks, texts, strict=True)]
-        by_kind = [[t for t, k in zip(texts, kinds, strict=True) if k == kind] for kind in range(3)]
+        kinds = np.array([0 if _SMALL(c) else 2 if b"\x01" in c or b"<|" in c else 1 for c in chunks], dtype=np.int64)
+        by_kind = [[chunks[i].decode("utf-8") for i in np.flatnonzero(kinds == kind).tolist()] for kind in range(3)]
+        words = [self._merged(t if t.isascii() else t.encode("utf-8").decode("latin-1").translate(_BYTE_LEVEL)) for t in by_kind[0]]
+        alone = [self._ids(t) for t in by_kind[2]]
         ids = [
-            iter(self._together(self._words, self._word_sign, by_kind[0])),
-            iter(self._together(self._tokenizer, self.SIGN, by_kind[1])),
-            iter([self._ids(self._tokenizer, t) for t in by_kind[2]]),
+            np.array([token.id for word in words for token in word], dtype="<i4"),
+            (joint := self._together(by_kind[1]))[0],
+            np.concatenate([np.empty(0, dtype="<i4"), *alone]),
         ]
-        parts = [next(ids[k]) for k in kinds]
-        lengths = np.array([len(p) for p in parts], dtype=np.int64)
-        start = len(self._pool) + np.cumsum(lengths) - lengths
-        self._pool = np.concatenate([self._pool, *parts])
-        self._length = np.concatenate([self._length, lengths])
-        self._start = np.concatenate([self._start, start])
-        self._met = np.concatenate([self._met, np.zeros(len(parts), dtype=np.int64)])
-
-    def _lower(self, data: bytes) -> bytes:
-        """A-Z lower-cased where the next byte is an ASCII character."""
-        low = data.lower()
-        if data.isascii():
-            return low
-        raw = np.frombuffer(data, dtype=np.uint8)
-        before = np.flatnonzero(raw[1:] >= 0x80)
-        before = before[(raw[before] >= 65) & (raw[before] <= 90)]
-        if not len(before):
-            return low
-        changed = np.frombuffer(low, dtype=np.uint8).copy()
-        changed[before] = raw[before]
-        return changed.tobytes()
+        counts = [np.array(list(map(len, words)), dtype=np.int64), joint[1], np.array(list(map(len, alone)), dtype=np.int64)]
+        lengths, starts = np.empty(len(chunks), dtype=np.int64), np.empty(len(chunks), dtype=np.int64)
+        base = len(self._pool)
+        for kind in range(3):
+            lengths[kinds == kind] = counts[kind]
+            starts[kinds == kind] = base + np.cumsum(counts[kind]) - counts[kind]
+            base += len(ids[kind])
+        self._pool = np.concatenate([self._pool, *ids])
+        self._length, self._start = np.concatenate([self._length, lengths]), np.concatenate([self._start, starts])
+        self._met = np.concatenate([self._met, np.zeros(len(chunks), dtype=np.int64)])
+
+    @staticmethod
+    def _prepared(data: bytes) -> np.ndarray:
+        """Bytes in small letters, where the next byte is an ASCII character, with a space before each mark that is a chunk."""
+        raw, low = np.frombuffer(data, dtype=np.uint8), np.frombuffer(data.lower(), dtype=np.uint8)
+        if not data.isascii():
+            before = np.flatnonzero(raw[1:] >= 0x80)
+            before = before[(raw[before] >= 65) & (raw[before] <= 90)]
+            low = low.copy()
+            low[before] = raw[before]
+        kinds = _KINDS[low]
+        marks = np.flatnonzero((kinds[1:-1] == 2) & (kinds[:-2] == 1) & (kinds[2:] == 4)) + 1
+        return np.insert(low, marks, 32)
+
+    def _numbered(self, raw: np.ndarray) -> np.ndarray:
+        """The number of every chunk in order; chunks not known become so."""
+        data = raw.tobytes()
+        space = np.concatenate([[True], _KINDS[raw] == 4, [True]])
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        starts, stops = edges[::2], edges[1::2]
+        size = stops - starts
+        padded = np.concatenate([raw, np.zeros(24, dtype=np.uint8)])
+        words = np.empty(len(raw) + 9, dtype=np.uint64)
+        for shift in range(8):
+            part = words[shift::8]
+            part[:] = np.frombuffer(padded, dtype="<u8", offset=shift, count=len(part))
+        first = words[starts] & _MASKS[np.minimum(size, 8)]
+        second = words[np.minimum(starts + 8, len(words) - 1)] & _MASKS[np.clip(size - 8, 0, 8)]
+        odd = size > 16
+        zero = np.flatnonzero(raw == 0)
+        if len(zero):
+            odd[np.searchsorted(starts, zero, side="right") - 1] = True
+        numbers = self._table.find(first, second)
+        new: list[bytes] = []
+        known = len(self._length)
+        for i in np.flatnonzero(odd).tolist():
+            chunk = data[starts[i] : stops[i]]
+            number = self._odd.get(chunk)
+            if number is None:
+                number = self._odd[chunk] = known + len(new)
+                new.append(chunk)
+            numbers[i] = number
+        odd_new = len(new)
+        fresh = np.flatnonzero((numbers < 0) & ~odd)
+        if len(fresh):
+            order = fresh[np.lexsort((second[fresh], first[fresh]))]
+            differs = np.concatenate([[True], (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])])
+            numbers[order] = known + odd_new + np.cumsum(differs) - 1
+            one = order[differs]
+            new += [data[a:b] for a, b in zip(starts[one].tolist(), stops[one].tolist(), strict=True)]
+            self._table.add(first[one], second[one], numbers[one])
+            own = [first[one], second[one]]
+        else:
+            own = [np.empty(0, dtype=np.uint64)] * 2
+        if new:
+            self._keys = [np.concatenate([k, np.zeros(odd_new, dtype=np.uint64), o]) for k, o in zip(self._keys, own, strict=True)]
+            self._learn(new)
+        return numbers
 
     def _encode_cut(self, texts: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
-        data = self.BETWEEN.join(texts)
-        chunks = (self._mark(rb"\1 \2", self._lower(data) + b" ") if plain else data).split()
-        if len(self._number) > self._limit:
-            often = self._met > 1
-            self._forget([c for c, n in self._number.items() if n and often[n]])
-        known = len(self._number)
-        numbers = np.fromiter(map(self._number.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        if len(self._number) > known:
-            self._learn(list(islice(reversed(self._number), len(self._number) - known))[::-1])
+        if len(self._length) > self._limit:
+            self._forget()
+        data = self.BETWEEN.join(texts) + b" "
+        numbers = self._numbered(self._prepared(data) if plain else np.frombuffer(data, dtype=np.uint8))
         self._met += np.bincount(numbers, minlength=len(self._met))
         ids, lengths = self._taken(numbers)
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -202,14 +316,6 @@ class ChunkEncoder:
         return np.concatenate([ids for ids, _ in kinds])[places], counts
 
 
-class _Numbers(dict):
-    """Numbers of chunks in order of first sight."""
-
-    def __missing__(self, chunk):
-        self[chunk] = number = len(self)
-        return number
-
-
 _encoders = Memo(lambda content: ChunkEncoder(content), 4)
 
 
@@ -254,7 +360,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     encoded = ordered.mapInArrow(_encoded(broadcast_bytes(spark, vocabulary), end_id), FILE_SCHEMA)
-    encoded.write.options(**LAYOUT).parquet(path)
+    with small_exchanges(spark):
+        encoded.write.options(**LAYOUT).parquet(path)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
+from tokenizers import Tokenizer
 
 from sourceworks.llm import bpe, hosts, near, oracles, queries, registry, repeats, rules, shards, sketches, token_files, transducer
 from sourceworks.llm.components import components
@@ -365,3 +366,37 @@ def test_stems_with_many_contexts_are_split(spark):
 def test_sql_is_there_where_it_can_be():
     assert set(registry.ORACLES) == {"op5_host_reputation", "op8_line_frequency", "op9_systematic_mix"}
     assert oracles.OP9
+
+
+def same_ids(encoder, library, texts):
+    ids, counts = encoder.encode([t.encode() for t in texts])
+    expected = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, expected))
+    assert ids.tolist() == [i for some in expected for i in some]
+
+
+@pytest.mark.parametrize("limit", [300, 800_000])
+def test_token_ids_of_any_text(limit):
+    """Every code point around the marks at which texts are cut, letters that compose, special tokens; also with a short memory."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as file:
+        encoder = token_files.ChunkEncoder(file.read(), limit)
+    assert encoder.cuts
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000][:: 1 if limit == 300 else 7]
+    for shape in ("{0}. x", "a{0}, x", "x.{0} x", "A{0}H{0} a,{0}"):
+        for start in range(0, len(points), 5000):
+            same_ids(encoder, library, [shape.format(c) for c in points[start : start + 5000]])
+    pick = random.Random(limit)
+    odd = ["İ", "̱", "́", "̇", "क़", "ড়", "é", "É", "ẖ", "日", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "\x01", "\x00", "²", "'s", "'LL", "Σ", "ß", "ÿ", "\x1c", "\x85"]
+    alphabet = [*"abAHhKI.,;:!?'st1  \n\t\r\x0b\x0c", *odd]
+    for _ in range(10):
+        same_ids(encoder, library, ["".join(pick.choice(alphabet) for _ in range(pick.randrange(60))) for _ in range(1500)])
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, "rb") as file:
+        encoder = token_files.ChunkEncoder(file.read())
+    assert not encoder.cuts
+    same_ids(encoder, Tokenizer.from_file(path), ["A text, with. marks", "", " two  spaces\n<|endoftext|>"])
