@@ -53,10 +53,12 @@ CUT_SPLIT = {
 
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_ALNUM, _SIGNS, _APOSTROPHE, _SPACE = 1, 2, 3, 4
 _KINDS = np.zeros(256, dtype=np.uint8)
-_KINDS[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = 1
-_KINDS[list(b".,;:!?")] = 2
-_KINDS[list(b" \t\n\x0b\x0c\r")] = 4
+_KINDS[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = _ALNUM
+_KINDS[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = _SIGNS
+_KINDS[ord("'")] = _APOSTROPHE
+_KINDS[list(b" \t\n\x0b\x0c\r")] = _SPACE
 #: Small letters that composing and lower-casing leave alone and that never part: a to z, and those of the Latin-1 alphabet.
 _SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 #: The character by which byte-level tokenizers write a byte: itself where it is printable, else the next one from 256 on.
@@ -118,12 +120,13 @@ class ChunkNumbers:
 class ChunkEncoder:
     """Ids of texts, put together from the ids of their chunks.
 
-    Chunks are what stands between ASCII white space, and a mark of ``.,;:!?`` with an ASCII letter
-    or digit before it and white space behind it is a chunk of its own. That holds for
+    Chunks end at ASCII white space, and between a letter or digit and a sign, both ASCII (before the sign also after a small
+    Latin-1 letter; not between an apostrophe and a letter). That holds for
     tokenizers that compose and lower-case a text and then split it as ``CUT_NORMALIZER`` and ``CUT_SPLIT`` say, since
-    nothing composes across white space or such a mark, no part has white space, and no part
-    has a letter or digit together with a mark. A-Z are lower-cased beforehand where an ASCII character follows, with which
-    they can't compose. Texts with ``<|`` may hold special tokens and keep their case and marks;
+    nothing composes with an ASCII character behind it, no part has white space, and none
+    has a letter or digit together with a sign but the contractions, which start with an apostrophe. Letters of ASCII and
+    Latin-1 are lower-cased beforehand where an ASCII character follows, with which
+    they can't compose. Texts with ``<|`` may hold special tokens, and are cut at white space only;
     any other tokenizer gets whole texts.
 
     A chunk has a number; ids of a batch are taken from one array by the numbers of its
@@ -228,21 +231,28 @@ class ChunkEncoder:
 
     @staticmethod
     def _prepared(data: bytes) -> np.ndarray:
-        """Bytes in small letters, where the next byte is an ASCII character, with a space before each mark that is a chunk."""
+        """Bytes in small letters, where the next byte is an ASCII character, with a space where a chunk ends without one."""
         raw, low = np.frombuffer(data, dtype=np.uint8), np.frombuffer(data.lower(), dtype=np.uint8)
+        kinds = _KINDS[low]
+        before, after = kinds[:-1], kinds[1:]
+        ends = (before == _ALNUM) & ((after == _SIGNS) | (after == _APOSTROPHE)) | (before == _SIGNS) & (after == _ALNUM)
         if not data.isascii():
-            before = np.flatnonzero(raw[1:] >= 0x80)
-            before = before[(raw[before] >= 65) & (raw[before] <= 90)]
             low = low.copy()
-            low[before] = raw[before]
-        kinds = _KINDS[low]
-        marks = np.flatnonzero((kinds[1:-1] == 2) & (kinds[:-2] == 1) & (kinds[2:] == 4)) + 1
-        return np.insert(low, marks, 32)
+            upper = np.flatnonzero(raw[1:] >= 0x80)
+            upper = upper[(raw[upper] >= 65) & (raw[upper] <= 90)]
+            low[upper] = raw[upper]
+            second = np.flatnonzero(raw[:-2] == 0xC3) + 1  # of a Latin-1 letter; a space ends the data
+            second = second[raw[second + 1] < 0x80]
+            upper = second[(raw[second] <= 0x9E) & (raw[second] != 0x97)]
+            low[upper] += 0x20
+            second = second[(low[second] >= 0x9F) & (low[second] != 0xB7)]
+            ends[second[(kinds[second + 1] == _SIGNS) | (kinds[second + 1] == _APOSTROPHE)]] = True
+        return np.insert(low, np.flatnonzero(ends) + 1, 32)
 
     def _numbered(self, raw: np.ndarray) -> np.ndarray:
         """The number of every chunk in order; chunks not known become so."""
         data = raw.tobytes()
-        space = np.concatenate([[True], _KINDS[raw] == 4, [True]])
+        space = np.concatenate([[True], _KINDS[raw] == _SPACE, [True]])
         edges = np.flatnonzero(space[1:] != space[:-1])
         starts, stops = edges[::2], edges[1::2]
         size = stops - starts

@@ -384,12 +384,12 @@ def test_token_ids_of_any_text(limit):
         encoder = token_files.ChunkEncoder(file.read(), limit)
     assert encoder.cuts
     points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000][:: 1 if limit == 300 else 7]
-    for shape in ("{0}. x", "a{0}, x", "x.{0} x", "A{0}H{0} a,{0}"):
+    for shape in ("{0}. x", "a{0}, x", "x.{0} x", "A{0}H{0} a,{0}", "a={0}'s{0}t É{0}", "ö{0}-é${0}"):
         for start in range(0, len(points), 5000):
             same_ids(encoder, library, [shape.format(c) for c in points[start : start + 5000]])
     pick = random.Random(limit)
     odd = ["İ", "̱", "́", "̇", "क़", "ড়", "é", "É", "ẖ", "日", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "\x01", "\x00", "²", "'s", "'LL", "Σ", "ß", "ÿ", "\x1c", "\x85"]
-    alphabet = [*"abAHhKI.,;:!?'st1  \n\t\r\x0b\x0c", *odd]
+    alphabet = [*"abAHhKI.,;:!?'st1=_-$<|>  \n\t\r\x0b\x0c", *odd, "\u0338", "À", "Þ", "×", "÷", "ö"]
     for _ in range(10):
         same_ids(encoder, library, ["".join(pick.choice(alphabet) for _ in range(pick.randrange(60))) for _ in range(1500)])
 
