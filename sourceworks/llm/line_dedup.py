@@ -213,7 +213,8 @@ def shared_lines(docs: DataFrame, least_documents: int = 3, least_chars: int = 2
     schema = "doc_id bigint, _print bigint, key binary, lines array<int>"
     lines = cut_lineage(texts.mapInArrow(_suspected_lines(filter_, least_chars), schema))
     held = lines.groupBy("key").agg(F.count(F.lit(1)).alias("_held"), F.max("doc_id").alias("last"))
-    return lines, held.where(F.col("_held") >= least_documents).select("key", "last")
+    # Written, so that the join with it is either a broadcast of a known size or one whose hot keys are split.
+    return lines, cut_lineage(held.where(F.col("_held") >= least_documents).select("key", "last"))
 
 
 def drop_shared_lines(docs: DataFrame, least_documents: int = 3, least_chars: int = 20) -> DataFrame:
