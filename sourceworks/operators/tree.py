@@ -1,7 +1,7 @@
 """Task trees: pre-order listing, descendants, next runnable task, resets.
 
-Trees are adjacency lists; parent 0 marks a root. The task table is read once. Paths and
-memberships are found by jumps: every task knows an ancestor and what lies
+Trees are adjacency lists; parent 0 marks a root. Order numbers and subtrees come from
+ranked Euler tours (see ``tours``). Memberships are found by jumps: every task knows an ancestor and what lies
 between, and takes over from that ancestor what it knows itself, so the length of
 the jumps doubles with every round and a tree of depth d takes log2 d rounds. What a
 round finds is written to the checkpoint folder, so that neither the plan nor
@@ -17,36 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceworks.operators.ordering import number_by_sort
-from sourceworks.session import cut_lineage, scratch_path
+from sourceworks.operators.tours import ON_CYCLE, pre_order, subtree_intervals
+from sourceworks.session import cut_lineage
 
-
-def tree_paths(tasks: DataFrame) -> DataFrame:
-    """Path of (order, id) pairs from the root to every reachable task.
-
-    Paths compare like the tasks are listed: a parent before its children, the
-    children by order (then id). There is no limit to the depth. Tasks that no root
-    leads to are left out: those with a missing ancestor, and those on or below a cycle.
-    """
-    place = F.struct(F.col("parent_task_order").alias("at"), F.col("pr_task_id").alias("id"))
-    columns = ("run_id", "pr_task_id", "path")
-    waiting = cut_lineage(tasks.select(*columns[:2], F.col("parent_task_id").alias("above"), F.array(place).alias("path")))
-    done = waiting.where("above = 0")
-    while not (waiting := waiting.where("above <> 0")).isEmpty():
-        ancestor = done.unionByName(waiting).select(
-            "run_id", F.col("pr_task_id").alias("above"), F.col("above").alias("_above"), F.col("path").alias("_path")
-        )
-        cycle = F.exists("_path", lambda p: p["id"] == F.col("pr_task_id"))
-        longer = F.concat("_path", "path")
-        jumped = waiting.join(ancestor, ["run_id", "above"]).where(~cycle)
-        waiting = cut_lineage(jumped.select(*columns[:2], F.col("_above").alias("above"), longer.alias("path")))
-        done = done.unionByName(waiting.where("above = 0"))
-    return done.select(*columns)
+_RANGE = 64  # places of a list
 
 
 def tree_order(tasks: DataFrame) -> DataFrame:
-    """(run_id, pr_task_id, task_order), the pre-order number per run from 1."""
-    numbered = number_by_sort(tree_paths(tasks), ["run_id"], ["path"], "task_order")
-    return numbered.select("run_id", "pr_task_id", "task_order")
+    """(run_id, pr_task_id, task_order), the pre-order number per run from 1.
+
+    A parent comes before its children, the children by order (then id). There is no limit to the depth,
+    and no task carries a path (see ``tours``). Tasks that no root leads to are left
+    out: those with a missing ancestor, and those on or below a cycle.
+    """
+    return pre_order(tasks)
 
 
 def tasks_ordered(
@@ -77,25 +61,47 @@ def descendants(tasks: DataFrame, roots: DataFrame) -> DataFrame:
     """(root_id, pr_task_id) for all tasks below each of the given tasks.
 
     The result has one row per pair; use ``subtree_members`` where the root does
-    not matter. Level by level from the given tasks, so that the rest of a large table is only
-    looked through; the levels lie in one folder and are read as one table. As
-    many levels as there are tasks mean a cycle, which is an error.
+    not matter. A subtree is an interval of its list (see ``tours``), cut into ranges of places; a task meets
+    the intervals that reach into its range. So the rows compared exceed the pairs found by at most
+    two ranges per given task, whatever the depth. A given task on a cycle is an error, found in as many
+    rounds as the logarithm of the table's size; tasks below a cycle have their subtrees like others.
     """
-    edges = cut_lineage(tasks.select("pr_task_id", "parent_task_id"))
-    folder, most, at = scratch_path(tasks.sparkSession, "levels"), edges.count(), 0
-    level = roots.select(F.col("pr_task_id").alias("root_id"), "pr_task_id")
-    while True:
-        parents = level.select("root_id", F.col("pr_task_id").alias("parent_task_id"))
-        path = f"{folder}/level={at}"
-        edges.join(parents, "parent_task_id").select("root_id", "pr_task_id").write.parquet(path)
-        level = tasks.sparkSession.read.schema("root_id bigint, pr_task_id bigint").parquet(path)
-        if level.isEmpty():
-            break
-        at += 1
-        if at > most:
+    edges = cut_lineage(
+        tasks.select(F.lit(0).cast("bigint").alias("run_id"), "pr_task_id", "parent_task_id", "parent_task_order")
+    )
+    placed = cut_lineage(subtree_intervals(edges))
+    if not placed.where(F.col("state") == ON_CYCLE).isEmpty():
+        lost = edges.join(placed.where(F.col("state") == ON_CYCLE).select("pr_task_id"), "pr_task_id", "left_semi")
+        cycle = on_cycle(lost)
+        if not roots.join(cycle, "pr_task_id", "left_semi").isEmpty():
             raise ValueError("a given task is on a cycle or above one")
-    found = tasks.sparkSession.read.schema("root_id bigint, pr_task_id bigint").parquet(f"{folder}/level=*")
-    return found.select("root_id", "pr_task_id")
+        below = lost.join(cycle, "pr_task_id", "left_anti")  # tops now lack their parent, as orphans do
+        again = subtree_intervals(below).withColumn("list", F.struct(F.lit(True).alias("below"), F.col("list").alias("tail")))
+        placed = placed.where(F.col("state") != ON_CYCLE).withColumn(
+            "list", F.struct(F.lit(False).alias("below"), F.col("list").alias("tail"))
+        )
+        placed = cut_lineage(placed.unionByName(again))
+    spans = placed.join(roots.select("pr_task_id"), "pr_task_id").where("upto > at")
+    ranges = F.sequence(F.expr(f"floor(at / {_RANGE})"), F.expr(f"floor(upto / {_RANGE})"))
+    wanted = spans.select(
+        F.col("pr_task_id").alias("root_id"), "list", F.col("at").alias("_at"), F.col("upto").alias("_upto"), F.explode(ranges).alias("_range")
+    )
+    ranged = placed.select("pr_task_id", "list", "at", F.expr(f"floor(at / {_RANGE})").alias("_range"))
+    met = ranged.join(wanted, ["list", "_range"]).where("at > _at and at <= _upto")
+    return met.select("root_id", "pr_task_id")
+
+
+def on_cycle(tasks: DataFrame) -> DataFrame:
+    """(pr_task_id) of the tasks on a cycle, of a table in which every task is on one or below one.
+
+    After as many steps up as there are tasks everyone has arrived at a cycle, and every
+    task of one is arrived at; steps double each round.
+    """
+    up = cut_lineage(tasks.select("pr_task_id", F.col("parent_task_id").alias("above")))
+    for _ in range(up.count().bit_length()):
+        higher = up.select(F.col("pr_task_id").alias("above"), F.col("above").alias("_above"))
+        up = cut_lineage(up.join(higher, "above").select("pr_task_id", F.col("_above").alias("above")))
+    return up.select(F.col("above").alias("pr_task_id")).distinct()
 
 
 def subtree_members(tasks: DataFrame, roots: DataFrame) -> DataFrame:
@@ -188,8 +194,8 @@ def next_tasks(tasks: DataFrame, definitions: DataFrame, workflows: DataFrame |
 
     Runs with a scheduled or running task give none. ``goes_on`` tells whether a
     program may start it by itself (a ``System`` task). ``workflows`` (run_id,
-    workflow_operation) limits the choice to a run's current workflow. Only the
-    least path per run is needed, so nothing is sorted globally.
+    workflow_operation) limits the choice to a run's current workflow. Only idle runs are numbered,
+    and of the numbers only the least waiting one per run is kept.
     """
     busy = tasks.where(F.col("task_status").isin("Scheduled", "Running")).select("run_id")
     idle = cut_lineage(tasks.join(busy, "run_id", "left_anti"))
@@ -197,10 +203,10 @@ def next_tasks(tasks: DataFrame, definitions: DataFrame, workflows: DataFrame |
     if workflows is not None:
         waiting = waiting.join(workflows, ["run_id", "workflow_operation"], "left_semi")
     first = (
-        tree_paths(idle)
+        pre_order(idle.join(waiting.select("run_id").distinct(), "run_id", "left_semi"))
         .join(waiting.select("run_id", "pr_task_id", "task_id"), ["run_id", "pr_task_id"])
         .groupBy("run_id")
-        .agg(F.min(F.struct("path", "pr_task_id", "task_id")).alias("_next"))
+        .agg(F.min_by(F.struct("pr_task_id", "task_id"), "task_order").alias("_next"))
     )
     return (
         first.select("run_id", "_next.pr_task_id", "_next.task_id")

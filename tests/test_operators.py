@@ -1,3 +1,4 @@
+import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,6 +11,7 @@ from sourceworks.operators import merge as G
 from sourceworks.operators import ordering as O
 from sourceworks.operators import profile as P
 from sourceworks.operators import runs as R
+from sourceworks.operators import tours
 from sourceworks.operators import tree as T
 from sourceworks.functions import names as N
 from sourceworks.schemas import WORKFLOWS, catalog_schema, file_types, task_definitions
@@ -247,6 +249,43 @@ def test_order_is_a_permutation(spark, parents):
     assert sorted(listed(T.tree_order(tasks(spark, made)))) == [i for i, *_ in made]
 
 
+def test_tours_over_many_partitions(spark):
+    """Ranks do not depend on which steps lie in one partition; orphans and cycles are left out of the order."""
+    pick = random.Random(4)
+    made = [(i, pick.randrange(i) if i % 50 else 0, pick.randrange(3)) for i in range(1, 400)]
+    ids = pick.sample(range(1, 10_000), 399)
+    name = {0: 0, **{i: ids[i - 1] for i, *_ in made}}
+    rows_ = [(name[i], name[p], o) for i, p, o in made]
+    lost = [(20_001, 20_000, 1), (20_002, 20_001, 1), (20_011, 20_012, 1), (20_012, 20_011, 1), (20_013, 20_011, 2)]
+    children = {}
+    for i, p, o in rows_:
+        children.setdefault(p, []).append((o, i))
+    order, stack = [], [i for _, i in sorted(children[0], reverse=True)]
+    while stack:
+        order.append(stack.pop())
+        stack += [i for _, i in sorted(children.get(order[-1], []), reverse=True)]
+    table = tasks(spark, rows_ + lost)
+    for size in (7, 100, 1_000_000):
+        ranked = tours.ranked_steps(tours.tour_steps(table), size)
+        found = ranked.where("step % 2 = 0").collect()
+        placed = sorted((-r.entered, r.step // 2) for r in found if r.state == tours.AT_ROOT)
+        assert [i for _, i in placed] == order
+        state = {r.step // 2: r.state for r in found if r.step >= 40_000}
+        assert state == {20_001: 2, 20_002: 2, 20_011: 3, 20_012: 3, 20_013: 3}
+    assert listed(T.tree_order(table)) == order
+    pairs = T.descendants(table, spark.createDataFrame([(i,) for i in (*ids[:40], 20_001, 20_013)], "pr_task_id bigint")).collect()
+    below = {}
+    for i in reversed(order):
+        below[i] = {c for _, c in children.get(i, [])}.union(*(below[c] for _, c in children.get(i, [])))
+    assert sorted(map(tuple, pairs)) == sorted([(i, c) for i in ids[:40] for c in below[i]] + [(20_001, 20_002)])
+
+
+def test_a_long_cycle_is_found_in_few_rounds(spark):
+    loop = spark.range(1, 100_001).selectExpr("1L as run_id", "id as pr_task_id", "id % 100000 + 1 as parent_task_id", "1 as parent_task_order")
+    with pytest.raises(ValueError, match="cycle"):
+        T.descendants(loop, loop.where("pr_task_id = 20").select("pr_task_id"))
+
+
 def test_next_task_waits_for_a_busy_run(spark, rows):
     k = tasks(spark, GOLDEN)
     status = F.when(F.col("pr_task_id").isin(FF, C_), "Waiting").otherwise("Complete")
