@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sourceworks.functions import sqlfuncs
 from sourceworks.operators import changes as C
 from sourceworks.operators import merge as G
 from sourceworks.operators import runs as R
@@ -78,21 +79,29 @@ def user_operations(spark, sf):
     return R.user_operations(sql(spark, sf, _OPERATIONS), ["building", "household"])
 
 
-@query(
-    "owner_filter",
-    with_tables(
+_HAS_RUN = with_tables(
         "users runs",
         """asked as (select distinct user_id as user_oid, event_id as run_id from events)
            select a.user_oid, a.run_id, coalesce(list_contains(u.roles, 'admin'), false)
                   or coalesce(a.user_oid in (r.collection_user_oid, r.load_user_oid, r.check_user_oid, r.qa_user_oid), false) as has_run
            from asked a left join users u on u.user_oid = a.user_oid left join runs r on r.run_id = a.run_id""",
-    ),
-)
+    )
+
+
+@query("owner_filter", _HAS_RUN)
 def owner_filter(spark, sf):
     asked = given(spark, sf, "events").select(F.col("user_id").alias("user_oid"), F.col("event_id").alias("run_id")).distinct()
     return R.user_has_run(asked, derived(spark, sf, "users"), derived(spark, sf, "runs"))
 
 
+@query("sql_user_has_run", _HAS_RUN)
+def sql_user_has_run(spark, sf):
+    """The same by the SQL function."""
+    sqlfuncs.register_ownership(derived(spark, sf, "users"), derived(spark, sf, "runs"))
+    given(spark, sf, "events").selectExpr("user_id as user_oid", "event_id as run_id").createOrReplaceTempView("asked_runs")
+    return spark.sql("select user_oid, run_id, user_has_run(user_oid, run_id) as has_run from (select distinct * from asked_runs)")
+
+
 @query(
     "user_list",
     with_tables(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sourceworks.functions import sqlfuncs
 from sourceworks.functions.names import url_file_name
 from sourceworks.operators import manifest as M
 from sourceworks.operators.profile import repeated_names
@@ -186,21 +187,33 @@ _REPAIRED = f"""typed as (
         from manifest)"""
 
 
-@query(
-    "manifest_repair",
-    with_tables(
+_REPAIR = with_tables(
         "manifest",
         f"""{_REPAIRED} select st_oid, run_id, lt as loader_type,
                    if(file_id is null, 'F' || (used + nth), file_id) as file_id,
                    qualified and lt = 'Flat' as qualified, if(lt in ('Excel', 'MDB'), sub_table, null) as sub_table
             from typed""",
-    ),
-)
+    )
+
+
+@query("manifest_repair", _REPAIR)
 def manifest_repair(spark, sf):
     repaired = M.repair_manifest(derived(spark, sf, "manifest"), file_types(spark))
     return repaired.select("st_oid", "run_id", "loader_type", "file_id", "qualified", "sub_table")
 
 
+@query("sql_update_files", _REPAIR)
+def sql_update_files(spark, sf):
+    """The repair of every run by the SQL table function."""
+    manifest = derived(spark, sf, "manifest")
+    sqlfuncs.register_repair(manifest, file_types(spark))
+    manifest.select("run_id").distinct().createOrReplaceTempView("manifest_runs")
+    return spark.sql(
+        """select m.st_oid, m.run_id, m.loader_type, m.file_id, m.qualified, m.sub_table
+           from manifest_runs r, lateral update_files(r.run_id) m"""
+    )
+
+
 @query(
     "hot_run_file_ids",
     """with m as (select o_orderkey as st_oid, if(o_orderkey % 10 < 4, 1, o_custkey + 2) as run_id,

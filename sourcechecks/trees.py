@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sourceworks.functions import sqlfuncs
 from sourceworks.operators import tree as T
 from sourceworks.operators.runs import user_has_run
 from sourceworks.schemas import TASK_DEFINITIONS, task_definitions
@@ -33,15 +34,19 @@ def tree_order(spark, sf):
     return T.tree_order(derived(spark, sf, "big_tree"))
 
 
-@query(
-    "tasks_ordered",
-    with_tables("tasks task_runs", f"""{_walk("tasks")}, {_DEFINITIONS},
+_ORDERED = with_tables("tasks task_runs", f"""{_walk("tasks")}, {_DEFINITIONS},
         ranked as (select run_id, pr_task_id, row_number() over (partition by run_id order by path) as task_order from walk)
         select r.task_order, t.pr_task_id, t.run_id, t.task_id, t.task_status, t.workflow_operation,
                d.name as task_name, d.task_run_type
         from ranked r join tasks t on t.pr_task_id = r.pr_task_id join task_runs u
-        on u.run_id = t.run_id and u.workflow_operation = t.workflow_operation join defs d on d.task_id = t.task_id""", True),
-)
+        on u.run_id = t.run_id and u.workflow_operation = t.workflow_operation join defs d on d.task_id = t.task_id""", True)
+_ORDERED_LOAD = with_tables("tasks", f"""{_walk("tasks")},
+        ranked as (select run_id, pr_task_id, row_number() over (partition by run_id order by path) as task_order from walk)
+        select r.task_order, t.pr_task_id, t.run_id from ranked r join tasks t on t.pr_task_id = r.pr_task_id
+        where t.workflow_operation = 'load'""", True)
+
+
+@query("tasks_ordered", _ORDERED)
 def tasks_ordered(spark, sf):
     listed = T.tasks_ordered(derived(spark, sf, "tasks"), task_definitions(spark), derived(spark, sf, "task_runs"))
     return listed.select(
@@ -49,13 +54,7 @@ def tasks_ordered(spark, sf):
     )
 
 
-@query(
-    "tasks_ordered_load",
-    with_tables("tasks", f"""{_walk("tasks")},
-        ranked as (select run_id, pr_task_id, row_number() over (partition by run_id order by path) as task_order from walk)
-        select r.task_order, t.pr_task_id, t.run_id from ranked r join tasks t on t.pr_task_id = r.pr_task_id
-        where t.workflow_operation = 'load'""", True),
-)
+@query("tasks_ordered_load", _ORDERED_LOAD)
 def tasks_ordered_load(spark, sf):
     listed = T.tasks_ordered(
         derived(spark, sf, "tasks"), task_definitions(spark), derived(spark, sf, "task_runs"), "load"
@@ -63,6 +62,30 @@ def tasks_ordered_load(spark, sf):
     return listed.select("task_order", "pr_task_id", "run_id")
 
 
+def _sql_tasks(spark, sf):
+    sqlfuncs.register_tasks(derived(spark, sf, "tasks"), task_definitions(spark), derived(spark, sf, "task_runs"))
+
+
+@query("sql_tasks_ordered", _ORDERED)
+def sql_tasks_ordered(spark, sf):
+    """The listing of every run by the SQL table function, with its default workflow."""
+    _sql_tasks(spark, sf)
+    return spark.sql(
+        """select o.task_order, o.pr_task_id, o.run_id, o.task_id, o.task_status, o.workflow_operation, o.task_name, o.task_run_type
+           from catalog_workflows r, lateral get_tasks_ordered(r.run_id) o"""
+    )
+
+
+@query("sql_tasks_ordered_load", _ORDERED_LOAD)
+def sql_tasks_ordered_load(spark, sf):
+    """The same for a named workflow."""
+    _sql_tasks(spark, sf)
+    return spark.sql(
+        """select o.task_order, o.pr_task_id, o.run_id
+           from catalog_workflows r, lateral get_tasks_ordered(r.run_id, workflow => 'load') o"""
+    )
+
+
 @query(
     "tree_descendants",
     with_tables("big_tree", """down as (
@@ -79,13 +102,22 @@ def tree_descendants(spark, sf):
 _NAMED = "select distinct event_id + 1 as pr_task_id from events where event_type = 'error'"
 
 
-@query(
-    "delete_subtrees",
-    with_tables("tasks", f"""named as ({_NAMED}), doomed as (
+_WITHOUT = with_tables("tasks", f"""named as ({_NAMED}), doomed as (
         select t.pr_task_id from tasks t join named n on t.parent_task_id = n.pr_task_id
         union select t.pr_task_id from tasks t join doomed d on t.parent_task_id = d.pr_task_id)
-        select pr_task_id, parent_task_id, run_id from tasks where pr_task_id not in (select pr_task_id from doomed)""", True),
-)
+        select pr_task_id, parent_task_id, run_id from tasks where pr_task_id not in (select pr_task_id from doomed)""", True)
+
+
+@query("sql_delete_children", _WITHOUT)
+def sql_delete_children(spark, sf):
+    """The procedure as an SQL script over the tasks that error events name."""
+    _sql_tasks(spark, sf)
+    named = given(spark, sf, "events").where("event_type = 'error'").selectExpr("event_id + 1 as pr_task_id")
+    named.createOrReplaceTempView("named_tasks")
+    return spark.sql(sqlfuncs.DELETE_RUN_TASK_CHILDREN).select("pr_task_id", "parent_task_id", "run_id")
+
+
+@query("delete_subtrees", _WITHOUT)
 def delete_subtrees(spark, sf):
     named = given(spark, sf, "events").where("event_type = 'error'").selectExpr("event_id + 1 as pr_task_id")
     return T.delete_subtrees(derived(spark, sf, "tasks"), named).select("pr_task_id", "parent_task_id", "run_id")
@@ -207,3 +239,31 @@ _CHAINS = """select cast(floor(o_orderkey / 1500) as bigint) as run_id, o_orderk
 )
 def deep_tree_order(spark, sf):
     return T.tree_order(sql(spark, sf, _CHAINS))
+
+
+@query(
+    "one_chain_order",
+    "select cast(0 as bigint) as run_id, o_orderkey + 1 as pr_task_id, row_number() over (order by o_orderkey) as task_order from orders",
+)
+def one_chain_order(spark, sf):
+    """All orders as one chain, each task the only child of the one before."""
+    return T.tree_order(
+        sql(spark, sf, "select 0L as run_id, o_orderkey + 1 as pr_task_id, o_orderkey as parent_task_id, 1 as parent_task_order from {orders}")
+    )
+
+
+@query(
+    "shuffled_chain_order",
+    """select cast(0 as bigint) as run_id, (o_orderkey * 7919) % 1000003 + 1 as pr_task_id, row_number() over (order by o_orderkey) as task_order
+       from orders where o_orderkey < 1000003""",
+)
+def shuffled_chain_order(spark, sf):
+    """The same chain under ids without any order, so that neighbours lie in different partitions."""
+    return T.tree_order(
+        sql(
+            spark, sf,
+            """select 0L as run_id, (o_orderkey * 7919) % 1000003 + 1 as pr_task_id,
+                      if(o_orderkey = 0, 0, ((o_orderkey - 1) * 7919) % 1000003 + 1) as parent_task_id, 1 as parent_task_order
+               from {orders} where o_orderkey < 1000003""",
+        )
+    )
