@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from sourceworks.functions.names import table_header
 from sourceworks.functions.values import SOURCE_TYPE, UNTYPED
-from sourceworks.sources.spanning import file_records, first_record
+from sourceworks.sources.spanning import file_cells, file_shapes, files_at, first_record, rule_of, wide_characters
 
 UNREADABLE = "_unreadable"
 # With a marker that no file contains, "" stays the empty text and a bare empty field is null.
@@ -48,14 +48,12 @@ def flat_header(
     max_columns: int = MAX_COLUMNS,
 ) -> list[str]:
     """Normalized column names from the first record (of the first file); only its beginning is read."""
-    options = _options(delimiter, qualified, encoding) | {"maxColumns": max_columns + 1}
-    record = first_record(_first_file(spark, path), delimiter, qualified, options["encoding"])
+    record = first_record(_first_file(spark, path), delimiter, qualified, _options(delimiter, qualified, encoding)["encoding"])
     if record is None:
         raise ValueError(f"{path} has no header record")
     if record.count(delimiter) >= max_columns:
         raise ValueError(f"the header of {path} may have more than {max_columns} columns: raise max_columns")
-    lines = spark.sparkContext.parallelize([record], 1)
-    return table_header(list(spark.read.options(**options).option("multiLine", True).csv(lines).head(1)[0]))
+    return table_header(rule_of(delimiter, qualified).cells(record))
 
 
 def read_flat(
@@ -69,21 +67,33 @@ def read_flat(
 ) -> DataFrame:
     """A flat file as text columns; the first record of each file is its header.
 
-    Records are found by one rule for files of any size (see ``spanning``), in
-    blocks that many tasks read; Spark's parser takes the fields of each record.
+    Records are found by one rule for files of any size (see ``spanning``). A first pass over their bytes
+    tells whether Spark's CSV reader follows that rule for these files: line by line where no record goes
+    over lines, so that files are split and only wanted columns parsed; or file by file, where each
+    is no larger than a block. Else tasks cut the records and fields of a block by the rule.
     ``keep_unreadable`` adds a column with the source text of records that are too
     short or too long. A file wider than ``max_columns`` is refused.
     """
     names = flat_header(spark, path, delimiter, qualified, encoding, max_columns)
-    options = _options(delimiter, qualified, encoding) | {"maxColumns": max_columns + 1, "multiLine": True}
+    options = _options(delimiter, qualified, encoding) | {"maxColumns": max_columns + 1}
     if keep_unreadable:
         options["columnNameOfCorruptRecord"] = UNREADABLE
     fields = [T.StructField(n, T.StringType(), True, {SOURCE_TYPE: UNTYPED}) for n in names]
     read = fields + ([T.StructField(UNREADABLE, T.StringType())] if keep_unreadable else [])
-    columns = ", ".join(f"`{f.name}` string" for f in read)
-    body = file_records(spark, path, delimiter, qualified, options["encoding"]).where("not header")
-    parsed = body.select(F.from_csv("record", columns, {k: str(v) for k, v in options.items()}).alias("_r"))
-    return parsed.select(*[F.col(f"_r.`{f.name}`").alias(f.name, metadata=f.metadata) for f in read])
+    shapes = file_shapes(files_at(spark, path, delimiter, qualified, options["encoding"]))
+    native = not wide_characters(options["encoding"])
+    if native and (shapes.by_line or (shapes.whole and not keep_unreadable)):
+        reader = spark.read.schema(T.StructType(read)).options(**options, header=True, enforceSchema=True)
+        reader = reader.option("columnPruning", not keep_unreadable)  # a record's width shows in all its columns
+        rows = reader.option("multiLine", not shapes.by_line).csv(path)
+        if not keep_unreadable:
+            return rows
+        # Spark reads the text of bad records only together with another column
+        beside = F.substring(F.coalesce(F.col(f"`{names[0]}`"), F.lit("")), 1, 0)
+        return rows.withColumn(UNREADABLE, F.concat(UNREADABLE, beside))
+    records = file_cells(shapes, len(names))
+    columns = [F.get("cells", F.lit(i)).alias(f.name, metadata=f.metadata) for i, f in enumerate(fields)]
+    return records.select(*columns, *([F.col("ragged").alias(UNREADABLE)] if keep_unreadable else []))
 
 
 def split_unreadable(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,9 @@ Whether a block starts inside a quoted field depends on all blocks before it. So
 a first pass sees each block as a function of that one bit, windows over the
 blocks of a file (one row each) combine them, and a second pass cuts each block
 from its known start and reads over its end to finish the last record. No text is shuffled.
+
+The first pass also says of each block whether Spark's own CSV reader finds the same records in it, so that
+the second one is needed only for files in which it does not (see ``FileShapes``).
 """
 
 from __future__ import annotations
@@ -18,8 +21,13 @@ from __future__ import annotations
 import codecs
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,10 +65,27 @@ class RecordRule:
     """The record rule for one delimiter, as searches over bytes that start where a line starts."""
 
     def __init__(self, delimiter: str, qualified: bool):
-        sep = re.escape(delimiter.encode())
+        self.delimiter, self.qualified = delimiter.encode(), qualified
+        sep = re.escape(self.delimiter)
         self.rest = re.compile(rb'(?:[^"]|"")*+"')
         field = rb'(?:\A|(?<=[\r\n])|(?<=' + sep + rb'))"(?:[^"]|"")*+(?:"|(?P<open>\Z))|'
         self.token = re.compile((field if qualified else b"(?P<open>(?!))|") + rb"(?P<end>\r\n|\n|\r)")
+        mark = re.escape(delimiter)
+        tail = rf"(?:(?!{mark}).)*"
+        quoted = rf'"((?:[^"]|"")*)"(?={mark}|\Z)|"(?:[^"]|"")*"{tail}|' if qualified else "((?!))|"
+        self.field, self.text = re.compile(quoted + tail, re.DOTALL), delimiter
+
+    def cells(self, record: str) -> list[str | None]:
+        """The fields of a record: a bare empty one is null, ``""`` the empty text; what follows a closing quote makes a field bare."""
+        if not self.qualified or '"' not in record:
+            return [c or None for c in record.split(self.text)]
+        found, at = [], 0
+        while True:
+            field = self.field.match(record, at)
+            found.append(field[1].replace('""', '"') if field[1] is not None else field[0] or None)
+            if field.end() >= len(record):
+                return found
+            at = field.end() + len(self.text)
 
     def records(self, data: bytes, inside: bool) -> tuple[list[tuple[int, int, int]], bool]:
         """(start, end of text, start of the next) of the records that start here, and whether the data end inside quotes.
@@ -89,65 +114,159 @@ class RecordRule:
         return found, False
 
 
-def file_blocks(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
-    """(path, start, stop) of the blocks of the files, from the listing alone; empty files have none."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
-    if whole_files:
-        return files.select("path", F.lit(0).cast("bigint").alias("start"), F.col("length").alias("stop"))
-    size = spark.conf.get("spark.sourceworks.flatBlockBytes", str(BLOCK_BYTES))
-    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(int(size)).cast("bigint")))
-    return files.select("path", "length", starts.alias("start")).select(
-        "path", "start", F.least(F.col("start") + int(size), "length").alias("stop")
-    )
+@lru_cache(maxsize=256)
+def rule_of(delimiter: str, qualified: bool) -> RecordRule:
+    return RecordRule(delimiter, qualified)
 
 
-def _ends(rule: RecordRule):
-    """First pass: for both starts of a block, its end and where its first record starts."""
+def blocks_of(files: DataFrame) -> DataFrame:
+    """Files (path, length, encoding, ...) with ``start`` and ``stop`` of each of their blocks; empty files have none.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, start, stop in zip(batch["path"], batch["start"], batch["stop"], strict=True):
-                with open_file(path) as stream:
-                    size = stream.size()
-                    base = _line_start(stream, size, start)
-                    data = _read(stream, base, _line_start(stream, size, stop))
-                skip = len(_BOM) if start == 0 and data.startswith(_BOM) else 0
-                out, out_end = rule.records(data[skip:], False)
-                within, in_end = rule.records(data, True)
-                first = [base + skip + out[0][0] if out else None, base + within[0][0] if within else None]
-                rows.append((path, start, stop, out_end, in_end, *first))
-            yield pd.DataFrame(rows, columns=["path", "start", "stop", "out_end", "in_end", "first_0", "first_1"]).astype(
-                {"first_0": "Int64", "first_1": "Int64"}
-            )
+    Files in encodings whose ASCII characters take several bytes are one block.
+    """
+    size = int(files.sparkSession.conf.get("spark.sourceworks.flatBlockBytes", str(BLOCK_BYTES)))
+    step = F.when(F.lower("encoding").rlike("^utf[-_]?(16|32)"), F.col("length")).otherwise(F.lit(size).cast("bigint"))
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, step))
+    listed = files.where("length > 0").select("*", starts.alias("start"))
+    return listed.withColumn("stop", F.least(F.col("start") + step, "length"))
+
+
+def files_at(spark: SparkSession, path: str, delimiter: str, qualified: bool, encoding: str) -> DataFrame:
+    """The files of a path, as those of one table."""
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    return listed.select(
+        F.lit(0).cast("bigint").alias("st_oid"),
+        "path",
+        "length",
+        F.lit(delimiter).alias("delimiter"),
+        F.lit(qualified).alias("qualified"),
+        F.lit(encoding).alias("encoding"),
+    )
 
-    return run
 
+def _block_data(stream, start: int, stop: int, encoding: str) -> tuple[int, bytes]:
+    """Where the lines that start in a block begin, and their bytes (in UTF-8 where ASCII characters take several)."""
+    if wide_characters(encoding):
+        return 0, stream.read().decode(encoding).removeprefix("\ufeff").encode()
+    size = stream.size()
+    base = _line_start(stream, size, start)
+    data = _read(stream, base, _line_start(stream, size, stop))
+    skip = len(_BOM) if start == 0 and data.startswith(_BOM) else 0
+    return base + skip, data[skip:]
 
-def _cut(rule: RecordRule, encoding: str):
-    """Second pass: the records that start in a block."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, start, stop, inside, header in zip(*[batch[c] for c in ("path", "start", "stop", "inside", "header_at")], strict=True):
-                with open_file(path) as stream:
-                    size = stream.size()
-                    base, end = _line_start(stream, size, start), _line_start(stream, size, stop)
-                    data = _read(stream, base, end)
-                    skip = len(_BOM) if start == 0 and data.startswith(_BOM) else 0
-                    base, data = base + skip, data[skip:]
-                    found, open_end = rule.records(data, bool(inside))
-                    texts = [(base + a, data[a:b]) for a, b, _ in found]
-                    if open_end and found:  # the last one goes on behind the block
-                        texts[-1] = (texts[-1][0], _finished(stream, rule, texts[-1][0], end, size))
-                rows = [(t.decode(encoding, "replace"), at == header) for at, t in texts]
-                for k in range(0, len(rows), _ROWS):
-                    yield pd.DataFrame(rows[k : k + _ROWS], columns=["record", "header"])
-
-    return run
+@dataclass(frozen=True)
+class BlockShape:
+    """What one start of a block (outside or inside quotes) leads to.
 
+    ``odd``: there are quotes that neither enclose a field nor are doubled in one. ``spans``: a
+    line end stands inside quotes. ``first``: where the first record starts that does so in the block.
+    """
 
-_ROWS = 20_000
+    end: bool
+    first: int | None
+    odd: bool
+    spans: bool
+
+
+def _line_kinds(data: np.ndarray) -> tuple[np.ndarray, int, bool]:
+    """Places of line ends (of CR LF the second character), their kinds as bits (LF, CR LF, CR), and whether a line has nothing but blanks."""
+    line_feed, returns = np.flatnonzero(data == 10), np.flatnonzero(data == 13)
+    paired = np.zeros(len(returns), dtype=bool)
+    inside = returns + 1 < len(data)
+    paired[inside] = data[returns[inside] + 1] == 10
+    alone, pairs = returns[~paired], int(paired.sum())
+    ends = np.sort(np.concatenate([line_feed, alone])) if len(alone) else line_feed
+    kinds = (len(line_feed) > pairs) | (pairs > 0) << 1 | (len(alone) > 0) << 2
+    starts = np.concatenate([[0], ends + 1])
+    starts = starts[starts < len(data)]
+    if not len(starts):
+        return ends, kinds, False
+    # a line's bytes and those among them that are no blanks: a line of line ends alone is no record
+    some = np.add.reduceat((data > 32).astype(np.int64), starts) == 0
+    bare = np.add.reduceat(((data != 10) & (data != 13)).astype(np.int64), starts) == 0
+    return ends, kinds, bool((some & ~bare).any())
+
+
+def block_shapes(rule: RecordRule, data: bytes) -> tuple[tuple[BlockShape, BlockShape], int, bool]:
+    """The shape of a block for both its starts, the kinds of its line ends, and whether it has a line of blanks.
+
+    Where all quotes are as they should be, their number tells inside from outside; else the rule
+    is followed token by token.
+    """
+    raw = np.frombuffer(data, dtype=np.uint8)
+    ends, kinds, blanks = _line_kinds(raw)
+    quotes = np.flatnonzero(raw == 34) if rule.qualified else np.empty(0, dtype=np.int64)
+    edge = np.zeros(256, dtype=bool)
+    edge[[10, 13, *rule.delimiter[:1]]] = True
+    before, after = np.ones(len(quotes), dtype=bool), np.ones(len(quotes), dtype=bool)
+    beside, beyond = quotes > 0, quotes + 1 < len(raw)
+    before[beside] = edge[raw[quotes[beside] - 1]] | (raw[quotes[beside] - 1] == 34)
+    after[beyond] = edge[raw[quotes[beyond] + 1]] | (raw[quotes[beyond] + 1] == 34)
+    turns = np.searchsorted(quotes, ends) % 2 == 1
+    nothing = (raw != 10) & (raw != 13) if len(raw) else np.empty(0, dtype=bool)
+
+    def shape(inside: bool) -> BlockShape:
+        opens = (np.arange(len(quotes)) % 2 == 0) ^ inside
+        odd = len(rule.delimiter) != 1 or not np.where(opens, before, after).all()
+        if odd and rule.qualified:
+            found, end = rule.records(data, inside)
+            return BlockShape(end, found[0][0] if found else None, True, True)
+        within = turns ^ inside
+        starts = np.concatenate([[] if inside else [0], ends[~within] + 1]).astype(np.int64)
+        starts = starts[starts < len(raw)]
+        starts = starts[nothing[starts]]
+        end = bool((len(quotes) % 2 == 1) ^ inside)
+        return BlockShape(end, int(starts[0]) if len(starts) else None, False, bool(within.any()))
+
+    return (shape(False), shape(True)), int(kinds), blanks
+
+
+FILE_KEYS = "st_oid long, delimiter string, qualified boolean, encoding string"
+ENDS = (
+    "path string, start long, stop long, length long, out_end boolean, in_end boolean, first_0 long, first_1 long, "
+    "odd_0 boolean, odd_1 boolean, spans_0 boolean, spans_1 boolean, kinds int, blanks boolean"
+)
+
+
+def block_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """First pass: the shape of every block for both its starts."""
+    names = [part.split()[0] for part in f"{FILE_KEYS}, {ENDS}".split(", ")]
+    for batch in batches:
+        rows = []
+        for block in batch.itertuples(index=False):
+            with open_file(block.path) as stream:
+                base, data = _block_data(stream, block.start, block.stop, block.encoding)
+            (out, within), kinds, blanks = block_shapes(rule_of(block.delimiter, bool(block.qualified)), data)
+            first = [None if s.first is None else base + s.first for s in (out, within)]
+            keys = (block.st_oid, block.delimiter, block.qualified, block.encoding, block.path, block.start, block.stop, block.length)
+            rows.append((*keys, out.end, within.end, *first, out.odd, within.odd, out.spans, within.spans, kinds, blanks))
+        yield pd.DataFrame(rows, columns=names).astype({"first_0": "Int64", "first_1": "Int64"})
+
+
+def record_texts(block: dict) -> Iterator[tuple[int, str]]:
+    """Second pass: place and text of the records that start in a block (st_oid, path, start, stop, rule, encoding, inside)."""
+    rule, encoding = rule_of(block["delimiter"], bool(block["qualified"])), block["encoding"]
+    with open_file(block["path"]) as stream:
+        base, data = _block_data(stream, block["start"], block["stop"], encoding)
+        found, open_end = rule.records(data, bool(block["inside"]))
+        texts = [(base + a, data[a:b]) for a, b, _ in found]
+        if wide_characters(encoding):
+            encoding = "utf-8"
+            if open_end:
+                raise ValueError(f"a quoted field of {block['path']} is never closed")
+        elif open_end and found:  # the last one goes on behind the block
+            size = stream.size()
+            texts[-1] = (texts[-1][0], _finished(stream, rule, texts[-1][0], _line_start(stream, size, block["stop"]), size))
+    for at, text in texts:
+        yield at, text.decode(encoding, "replace")
+
+
+def record_cells(block: dict) -> Iterator[tuple[int, list[str | None]]]:
+    """Place and fields of the records that start in a block."""
+    rule = rule_of(block["delimiter"], bool(block["qualified"]))
+    for at, text in record_texts(block):
+        yield at, rule.cells(text)
 
 
 def _finished(stream, rule: RecordRule, start: int, stop: int, size: int) -> bytes:
@@ -163,14 +282,14 @@ def _finished(stream, rule: RecordRule, start: int, stop: int, size: int) -> byt
     raise ValueError(f"a quoted field is never closed, from byte {start}")
 
 
-def _started(blocks: DataFrame) -> DataFrame:
+def _started(blocks: DataFrame, file: list[str]) -> DataFrame:
     """Adds ``inside``: whether a block starts inside a quoted field, from the blocks before it.
 
     A block either sets the state (both its ends agree), keeps it or turns it over. The state
     before a block is the last set one, turned over as often as blocks since then do so.
     """
-    upto = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*file).orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*file).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     turns = (F.col("out_end") & ~F.col("in_end")).cast("int")
     setting = F.when(F.col("out_end") == F.col("in_end"), F.struct(F.col("out_end").cast("int").alias("to"), F.col("_turns").alias("at")))
     counted = blocks.withColumn("_turns", F.sum(turns).over(upto))
@@ -179,46 +298,72 @@ def _started(blocks: DataFrame) -> DataFrame:
     return known.withColumn("inside", (F.coalesce("_set.to", F.lit(0)) + since) % 2 == 1).drop("_turns", "_set")
 
 
-def file_records(spark: SparkSession, path: str, delimiter: str, qualified: bool = True, encoding: str = "UTF-8") -> DataFrame:
-    """(record, header) for every record of the files; ``header`` marks the first of each file.
+def started_blocks(ends: DataFrame, file: list[str]) -> DataFrame:
+    """Blocks with ``inside``, ``header_at`` (where the file's first record starts, else -1) and ``heads``: whether its file is the table's first."""
+    first = F.when(F.col("inside"), F.col("first_1")).otherwise(F.col("first_0"))
+    headed = _started(cut_lineage(ends), file).withColumn("header_at", F.min(first).over(Window.partitionBy(*file)))
+    least = F.min(F.when(F.col("header_at").isNotNull(), F.col("path"))).over(Window.partitionBy("st_oid"))
+    return headed.withColumn("heads", F.col("path") == least).fillna(-1, ["header_at"])
+
+
+@dataclass(frozen=True)
+class FileShapes:
+    """The blocks of some files, and by which of Spark's readers they can be read under the record rule.
 
-    Encodings in which ASCII characters are single bytes are read in blocks, others
-    (such as UTF-16) decoded file by file.
+    ``by_line``: every line is a record. ``whole``: records go over lines, but each
+    file is one block and has one kind of line end. Neither holds where a quote is out of place, a
+    quoted field is not closed, or a line has nothing but blanks.
     """
-    ship_package(spark)
-    rule = RecordRule(delimiter, qualified)
-    if codecs.lookup(encoding).name.startswith(("utf-16", "utf-32")):
-        return file_blocks(spark, path, whole_files=True).repartition("path").mapInPandas(
-            _decoded(rule, encoding), "record string, header boolean"
-        )
-    blocks = file_blocks(spark, path).repartition("path", "start")
-    ends = blocks.mapInPandas(
-        _ends(rule), "path string, start long, stop long, out_end boolean, in_end boolean, first_0 long, first_1 long"
-    )
-    first = F.when(F.col("inside"), F.col("first_1")).otherwise(F.col("first_0"))
-    headed = _started(cut_lineage(ends)).withColumn("header_at", F.min(first).over(Window.partitionBy("path")))
-    asked = headed.select("path", "start", "stop", "inside", F.coalesce("header_at", F.lit(-1)).alias("header_at"))
-    return asked.repartition("path", "start").mapInPandas(_cut(rule, encoding), "record string, header boolean")
+
+    blocks: DataFrame
+    by_line: bool
+    whole: bool
 
 
-def _decoded(rule: RecordRule, encoding: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def file_shapes(files: DataFrame) -> FileShapes:
+    """First pass over the files of a table (see ``files_at``)."""
+    ship_package(files.sparkSession)
+    ends = blocks_of(files).repartition("path", "start").mapInPandas(block_ends, f"{FILE_KEYS}, {ENDS}")
+    started = started_blocks(ends, ["path"])
+    mine = lambda name: F.when(F.col("inside"), F.col(f"{name}_1")).otherwise(F.col(f"{name}_0"))
+    closed = (F.col("stop") < F.col("length")) | ~F.when(F.col("inside"), F.col("in_end")).otherwise(F.col("out_end"))
+    good = ~mine("odd") & ~F.col("blanks") & closed
+    single = (F.col("start") == 0) & (F.col("stop") == F.col("length")) & F.col("kinds").isin(0, 1, 2, 4)
+    by_line, whole = started.agg(F.every(good & ~mine("spans") & ~F.col("inside")), F.every(good & single)).first()
+    return FileShapes(started, by_line is not False, whole is not False)
+
+
+def _cut(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch["path"]:
-                with open_file(path) as stream:
-                    data = stream.read().decode(encoding).removeprefix("\ufeff").encode()
-                found, open_end = rule.records(data, False)
-                if open_end:
-                    raise ValueError(f"a quoted field of {path} is never closed")
-                rows = [(data[a:b].decode(), k == 0) for k, (a, b, _) in enumerate(found)]
-                yield pd.DataFrame(rows, columns=["record", "header"])
+            for block in batch.to_pylist():
+                rule = rule_of(block["delimiter"], bool(block["qualified"]))
+                rows = ((text, rule.cells(text)) for at, text in record_texts(block) if at != block["header_at"])
+                while some := list(islice(rows, _ROWS)):
+                    cells = pa.array([c for _, c in some], pa.list_(pa.string()))
+                    ragged = pa.array([t if len(c) != width else None for t, c in some], pa.string())
+                    yield pa.RecordBatch.from_arrays([cells, ragged], names=["cells", "ragged"])
 
     return run
 
 
+_ROWS = 20_000
+
+
+def file_cells(shapes: FileShapes, width: int) -> DataFrame:
+    """Second pass: cells (array) of every record but the headers, and its text (``ragged``) if they are not ``width``."""
+    asked = shapes.blocks.select("path", "start", "stop", "delimiter", "qualified", "encoding", "inside", "header_at")
+    return asked.repartition("path", "start").mapInArrow(_cut(width), "cells array<string>, ragged string")
+
+
+def wide_characters(encoding: str) -> bool:
+    """Whether ASCII characters take several bytes."""
+    return codecs.lookup(encoding).name.startswith(("utf-16", "utf-32"))
+
+
 def first_record(path: str, delimiter: str, qualified: bool, encoding: str) -> str | None:
     """The first record of one file, reading no more of it than needed."""
-    wide = codecs.lookup(encoding).name.startswith(("utf-16", "utf-32"))
+    wide = wide_characters(encoding)
     rule, step = RecordRule(delimiter, qualified), 64 * 1024
     with open_file(path) as stream:
         size = stream.size()
