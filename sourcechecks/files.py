@@ -136,3 +136,94 @@ def write_archives(customers: DataFrame, folder: str) -> str:
     return _per_range(
         customers.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", 200, build, "bundle{}.zip", folder
     )
+
+
+def write_small_files(orders: DataFrame, folder: str, count: int) -> str:
+    """Flat files by the remainder of the order number, with line ends in quoted fields."""
+    ship_package(orders.sparkSession)
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        number = int(rows["_file"].iloc[0])
+        lines = ["order key;status;note\r\n"]
+        for r in rows.sort_values("o_orderkey").itertuples(index=False):
+            note = "" if r.o_orderkey % 3 == 0 else f'"{r.o_orderpriority};\n"'
+            lines.append(f"{r.o_orderkey};{r.o_orderstatus};{note}\r\n")
+        path = f"{folder}/part{number}.txt"
+        write_file(path, ["".join(lines).encode()])
+        return pd.DataFrame({"path": [path], "rows": [len(rows)]})
+
+    dealt = orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", (F.col("o_orderkey") % count).alias("_file"))
+    dealt.groupBy("_file").applyInPandas(write, _RESULT).write.mode("overwrite").parquet(f"{folder}_written")
+    return folder
+
+
+def write_dbf_memos(documents: DataFrame, folder: str, span: int = 500) -> str:
+    """Tables of documents whose texts lie in a memo file beside them, of each kind in turn."""
+    ship_package(documents.sparkSession)
+
+    def memo_file(texts: list[bytes], kind: int) -> tuple[bytes, list[int]]:
+        import struct
+
+        block = 64 if kind == 2 else 512
+        parts, at, numbers = [], 1 if kind < 2 else 8, []
+        for text in texts:
+            if not text:
+                numbers.append(0)
+                continue
+            numbers.append(at)
+            if kind == 0:
+                entry = text + b"\x1a\x1a"
+            elif kind == 1:
+                entry = struct.pack("<4sI", b"\xff\xff\x08\x00", len(text) + 8) + text
+            else:
+                entry = struct.pack(">II", 1, len(text)) + text
+            padded = entry + bytes(-len(entry) % block)
+            parts.append(padded)
+            at += len(padded) // block
+        if kind == 2:
+            head = struct.pack(">IHH", at, 0, block) + bytes(504)
+        else:
+            head = struct.pack("<I16xH", at, block if kind else 0) + bytes(490)
+        return head + b"".join(parts), numbers
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        import struct
+
+        number = int(rows["_file"].iloc[0])
+        ordered = rows.sort_values("doc_id")
+        texts = [(t or "").encode() for t in ordered["text"]]
+        kind = number % 3
+        if kind == 0 and any(b"\x1a" in t for t in texts):
+            kind = 1  # the first kind ends a text there
+        memo, blocks = memo_file(texts, kind)
+        fields = [("DOC ID", "N", 12), ("LANG", "C", 4), ("TEXT", "M", 4 if kind == 2 else 10)]
+        width = 1 + sum(size for *_, size in fields)
+        version = (0x83, 0x8B, 0x30)[kind]
+        head = struct.pack("<B3BIHH20x", version, 24, 1, 1, len(ordered), 33 + 32 * len(fields), width)
+        for name, letter, size in fields:
+            head += struct.pack("<11sc4xBB14x", name.encode(), letter.encode(), size, 0)
+        body = []
+        for doc_id, lang, at in zip(ordered["doc_id"], ordered["lang"], blocks, strict=True):
+            place = struct.pack("<i", at) if kind == 2 else f"{at or '':>10}".encode()
+            body.append(f" {doc_id:>12}{lang or '':<4}".encode() + place)
+        path = f"{folder}/documents{number}.dbf"
+        write_file(path.replace(".dbf", ".fpt" if kind == 2 else ".dbt"), [memo])
+        write_file(path, [head + b"\r" + b"".join(body) + b"\x1a"])
+        return pd.DataFrame({"path": [path], "rows": [len(ordered)]})
+
+    ranged = documents.select("doc_id", "lang", "text", F.expr(f"doc_id div {span}").alias("_file"))
+    ranged.groupBy("_file").applyInPandas(write, _RESULT).write.mode("overwrite").parquet(f"{folder}_written")
+    return folder
+
+
+def write_texts(texts: DataFrame) -> None:
+    """Write every row (path, body) to a file of its own."""
+    ship_package(texts.sparkSession)
+
+    def write(batches):
+        for batch in batches:
+            for path, body in zip(batch["path"], batch["body"], strict=True):
+                write_file(path, [body.encode()])
+            yield pd.DataFrame({"path": batch["path"], "rows": 1})
+
+    texts.select("path", "body").mapInPandas(write, _RESULT).write.format("noop").mode("overwrite").save()

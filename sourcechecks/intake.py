@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceworks.operators.ordering import number_by_sort
-from sourceworks.plans.intake import profile_run
-from sourceworks.session import scratch_path
+from sourceworks.plans.intake import load_run, profile_run
+from sourceworks.session import cut_lineage, scratch_path
 from sourceworks.sources.archives import archive_entries, expand_archives
-from sourceworks.sources.dbf import read_dbf
+from sourceworks.sources.decoders import register as register_decoders
 from sourceworks.sources.files import backup_files, backup_manifest, list_files
 from sourceworks.sources.flat import read_flat, split_unreadable, write_flat
-from sourceworks.sources.sheets import read_sheet, sheet_rows
+from sourceworks.sources.records import dbf_source_records, table_of_records
+from sourceworks.sources.sheets import read_sheets, sheet_rows
 from sourceworks.sources.tables import column_list, table_exists, write_text_table
-from sourcechecks.files import write_archives, write_dbf_files, write_workbooks
+from sourcechecks.files import write_archives, write_dbf_files, write_dbf_memos, write_small_files, write_workbooks
 from sourcechecks.inputs import given
 from sourcechecks.registry import query
 
@@ -141,7 +142,10 @@ _SHEET = """select cast(o_orderkey as varchar) as ORDER_NUM, o_orderstatus as ST
     if(o_orderkey % 3 > 0, o_orderpriority || ' & more', '') as NOTE from orders"""
 
 
-@query("sheet_rows", f"select cells from (select [ORDER_NUM, STATUS, PRICE, ORDER_DATE, URGENT, NOTE] as c, array_to_string(c, '|') as cells from ({_SHEET}))")
+_SHEET_CELLS = f"select cells from (select [ORDER_NUM, STATUS, PRICE, ORDER_DATE, URGENT, NOTE] as c, array_to_string(c, '|') as cells from ({_SHEET}))"
+
+
+@query("sheet_rows", _SHEET_CELLS)
 def sheet_rows_query(spark, sf):
     """All workbooks at once: one task per sheet."""
     folder = write_workbooks(given(spark, sf, "orders"), scratch_path(spark, "books"))
@@ -154,26 +158,58 @@ def sheet_rows_query(spark, sf):
 def sheet_tables(spark, sf):
     """Each workbook read as a table of its own; the table has one entry per file."""
     folder = write_workbooks(given(spark, sf, "orders"), scratch_path(spark, "books"))
-    paths = list_files(spark, folder, "*.xlsx").select("path").toLocalIterator()
-    tables = [
-        read_sheet(spark, row.path, "Keys").withColumn("book", F.regexp_extract(F.lit(row.path), r"book(\d+)\.", 1).cast("bigint"))
-        for row in paths
-    ]
-    return reduce(DataFrame.unionByName, tables)
+    books = list_files(spark, folder, "*.xlsx").select("path", F.lit("Keys").alias("sheet"))
+    table = read_sheets(books, with_path=True)
+    return table.select("KEY", F.regexp_extract("path", r"book(\d+)\.", 1).cast("bigint").alias("book"))
 
 
-@query(
-    "dbf_rows",
-    """select cast(o_orderkey as varchar) as ORDER_KEY, o_orderstatus as STATUS, cast(cast(o_totalprice as decimal(18,2)) as varchar) as PRICE,
+@query("sql_sheet_rows", _SHEET_CELLS)
+def sql_sheet_rows(spark, sf):
+    """The same by the SQL table function over a table of files."""
+    folder = write_workbooks(given(spark, sf, "orders"), scratch_path(spark, "books"))
+    list_files(spark, folder, "*.xlsx").select("path", F.lit("Orders").alias("sheet")).createOrReplaceTempView("workbooks")
+    register_decoders(spark)
+    return spark.sql(
+        """select array_join(transform(array_sort(collect_list(struct(at, sheet_text(cell.kinds, cell.raws) as text))), c -> c.text), '|') as cells
+           from sheet_records(table(select path, sheet from workbooks)) lateral view posexplode(arrays_zip(kinds, raws)) c as at, cell
+           where not header group by path, row_no"""
+    )
+
+
+_DBF_ROWS = """select cast(o_orderkey as varchar) as ORDER_KEY, o_orderstatus as STATUS, cast(cast(o_totalprice as decimal(18,2)) as varchar) as PRICE,
               if(o_orderstatus = 'P', '', strftime(o_orderdate, '%Y-%m-%dT00:00:00Z')) as PLACED,
               if(o_orderpriority = '1-URGENT', 'TRUE', '') as URGENT
-       from orders where o_orderkey % 10 <> 3""",
-)
+       from orders where o_orderkey % 10 <> 3"""
+_DBF_KEYS = 20_000
+
+
+@query("dbf_rows", _DBF_ROWS)
 def dbf_rows(spark, sf):
-    """DBF files read in byte ranges; deleted records are left out."""
-    folder = write_dbf_files(given(spark, sf, "orders"), scratch_path(spark, "dbf"))
-    paths = list_files(spark, folder, "*.dbf").select("path").toLocalIterator()
-    return reduce(DataFrame.unionByName, [read_dbf(spark, row.path, range_bytes=64 * 1024) for row in paths])
+    """DBF files, all by one plan; deleted records are left out."""
+    folder = write_dbf_files(given(spark, sf, "orders"), scratch_path(spark, "dbf"), _DBF_KEYS)
+    files = list_files(spark, folder, "*.dbf").select(F.lit(0).cast("bigint").alias("st_oid"), "path")
+    return table_of_records(dbf_source_records(files))
+
+
+@query("sql_dbf_rows", _DBF_ROWS)
+def sql_dbf_rows(spark, sf):
+    """The same by the SQL table function over a table of files."""
+    folder = write_dbf_files(given(spark, sf, "orders"), scratch_path(spark, "dbf"), _DBF_KEYS)
+    list_files(spark, folder, "*.dbf").select("path").createOrReplaceTempView("dbf_files")
+    register_decoders(spark)
+    return spark.sql(
+        """select cells[0] as ORDER_KEY, cells[1] as STATUS, cells[2] as PRICE, cells[3] as PLACED, cells[4] as URGENT
+           from dbf_records(table(dbf_files)) where not header"""
+    )
+
+
+@query("dbf_memos", "select cast(doc_id as varchar) as DOC_ID, lang as LANG, length(text) as chars, md5(text) as digest from documents")
+def dbf_memos(spark, sf):
+    """Whole documents as memo texts, in files of all three kinds."""
+    folder = write_dbf_memos(given(spark, sf, "documents"), scratch_path(spark, "memos"))
+    files = list_files(spark, folder, "*.dbf").select(F.lit(0).cast("bigint").alias("st_oid"), "path")
+    loaded = table_of_records(dbf_source_records(files, "utf-8"))
+    return loaded.select("DOC_ID", "LANG", F.length("TEXT").cast("bigint").alias("chars"), F.md5("TEXT").alias("digest"))
 
 
 def _lengths(table: str, name: str, kind: str, index: int, expression: str, source: str) -> str:
@@ -223,6 +259,61 @@ def run_profile(spark, sf):
     return profiles.select("table_name", "column_index", "name", "type", "min_length", "max_length", "record_count")
 
 
+# A thousand tables, however many orders there are.
+_TABLES = 1000
+
+
+def _table_files(spark, sf):
+    """A flat file for every remainder of the order number, and the manifest of a run that wants them all."""
+    folder = scratch_path(spark, "tables")
+    write_small_files(given(spark, sf, "orders"), folder, _TABLES)
+    manifest = spark.range(_TABLES).select(
+        F.col("id").alias("st_oid"),
+        F.lit(1).cast("bigint").alias("run_id"),
+        F.concat(F.lit("PART_"), "id").alias("table_name"),
+        F.concat(F.lit("part"), "id", F.lit(".txt")).alias("file_name"),
+        F.lit(True).alias("analyze_table"),
+        F.lit(True).alias("load"),
+        F.lit(True).alias("qualified"),
+        F.lit("utf8").alias("encoding"),
+        F.lit(None).cast("string").alias("sub_table"),
+        F.lit(";").alias("delimiter"),
+    )
+    kept = given(spark, sf, "orders").select((F.col("o_orderkey") % _TABLES).alias("st_oid")).distinct()
+    return folder, cut_lineage(manifest.join(kept, "st_oid", "left_semi"))
+
+
+@query(
+    "run_tables",
+    " union all ".join(
+        _lengths(f"'PART_' || (o_orderkey % {_TABLES})", name, "VARCHAR", index, text, "orders")
+        for index, (name, text) in enumerate(
+            [("ORDER_KEY", "cast(o_orderkey as varchar)"), ("STATUS", "o_orderstatus"), ("NOTE", "if(o_orderkey % 3 = 0, '', o_orderpriority || ';' || chr(10))")]
+        )
+    ),
+)
+def run_tables(spark, sf):
+    """The profile of a run of a thousand tables, by as many jobs as that of one."""
+    folder, manifest = _table_files(spark, sf)
+    (profiles,) = profile_run(spark, manifest, 1, folder)
+    return profiles.select("table_name", "column_index", "name", "type", "min_length", "max_length", "record_count")
+
+
+@query(
+    "run_load",
+    f"""select o_orderkey % {_TABLES} as st_oid, cast(o_orderkey as varchar) as ORDER_KEY, o_orderstatus as STATUS,
+               if(o_orderkey % 3 = 0, '', o_orderpriority || ';' || chr(10)) as NOTE from orders""",
+)
+def run_load(spark, sf):
+    """The same run loaded into a thousand tables, which are read back by their files."""
+    folder, manifest = _table_files(spark, sf)
+    target = scratch_path(spark, "loaded")
+    left = load_run(spark, manifest, 1, folder, target).where("load")
+    loaded = spark.read.schema("ORDER_KEY string, STATUS string, NOTE string").parquet(f"{target}/*/*")
+    table = F.regexp_extract(F.col("_metadata.file_path"), r"part_(\d+)/", 1).cast("bigint")
+    return loaded.select(table.alias("st_oid"), "ORDER_KEY", "STATUS", "NOTE").join(left.select("st_oid"), "st_oid", "left_anti")
+
+
 _ENTRIES = """select * from (
     select c_custkey // 200 as n, 'names_' || n || '.csv' as entry,
            'c_custkey,c_name' || chr(10) || string_agg(c_custkey || ',' || c_name || chr(10), '' order by c_custkey) as content
@@ -244,6 +335,17 @@ def _expanded(spark, sf):
     return target
 
 
+_LISTED = f"select 'bundle' || n || '.zip' as archive, entry, length(content) as length from ({_ENTRIES})"
+
+
+@query("sql_archive_entries", _LISTED)
+def sql_archive_entries(spark, sf):
+    """Entries of archives by the SQL table function over a table of files."""
+    _archives(spark, sf).select("path").createOrReplaceTempView("archives")
+    register_decoders(spark)
+    return spark.sql("select substring_index(path, '/', -1) as archive, entry, length from archive_entries(table(archives))")
+
+
 @query("archive_entries", f"select 'bundle' || n || '.zip' as archive, entry, length(content) as length from ({_ENTRIES})")
 def archive_entries_query(spark, sf):
     listed = archive_entries(_archives(spark, sf))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sourceworks.plans import fetch
+from sourceworks.session import scratch_path
 from sourceworks.sources import features as S
+from sourceworks.streaming import pages as P
+from sourcechecks.files import write_texts
 from sourcechecks.inputs import given, sql
 from sourcechecks.registry import query
 
@@ -49,6 +52,60 @@ def feature_polygons(spark, sf):
     return S.feature_rows(pages, ["OID", "KIND", "RINGS"], S.POLYGON)
 
 
+# Page files: every third page fails first, every fifth arrives twice, every seventh never.
+_TRIES = """select concat(folder, '/page', n, '.json') as path, body from pages_to_write where n % 7 <> 6
+    union all select concat(folder, '/page', n, '_try1.json'), '{"error":{"code":500}}' from pages_to_write where n % 3 = 0
+    union all select concat(folder, '/page', n, '_try2.json'), body from pages_to_write where n % 5 = 0 and n % 7 <> 6"""
+
+
+def _ingested(spark, sf):
+    """Page files written from events and ingested by several batches."""
+    folder, target = scratch_path(spark, "pages"), scratch_path(spark, "ingested")
+    pages = _pages(spark, sf, "named_struct('x', user_id, 'y', user_id * 2)")
+    pages = pages.selectExpr(f"'{folder}' as folder", "cast(substring(path, 5) as bigint) as n", "body")
+    pages.createOrReplaceTempView("pages_to_write")
+    write_texts(spark.sql(_TRIES))
+    stream = P.ingest_pages(
+        spark, folder, target, f"{target}_state", ["OID", "KIND", "X", "Y"], S.POINT, files_per_batch=100
+    )
+    stream.awaitTermination()
+    return target
+
+
+@query(
+    "ingested_features",
+    """select cast(event_id as varchar) as OID, event_type as KIND, cast(user_id as varchar) as X, cast(user_id * 2 as varchar) as Y
+       from events where (event_id // 500) % 7 <> 6""",
+)
+def ingested_features(spark, sf):
+    """Features of page files as one table, each page once."""
+    return P.ingested(spark, _ingested(spark, sf))
+
+
+@query(
+    "missing_pages",
+    """select distinct 'page' || (event_id // 500) as page, cast((event_id // 500) % 3 = 0 as bigint) as tries
+       from events where (event_id // 500) % 7 = 6""",
+)
+def missing_pages(spark, sf):
+    """Pages that never came, with their failed tries."""
+    planned = given(spark, sf, "events").selectExpr("concat('page', event_id div 500) as page").distinct()
+    return P.missing_pages(planned, P.page_ledger(spark, _ingested(spark, sf)))
+
+
+@query(
+    "page_files",
+    "select 'page' || (event_id // 500) as page, count(*) as features from events group by 1",
+)
+def page_files(spark, sf):
+    """Page files read at once."""
+    folder = scratch_path(spark, "pages")
+    pages = _pages(spark, sf, "named_struct('x', user_id, 'y', user_id * 2)")
+    write_texts(pages.selectExpr(f"concat('{folder}/', path, '.json') as path", "body"))
+    found = S.checked_pages(S.read_pages(spark, folder)).where("outcome = 'ok'")
+    return found.select(P.page_of(F.col("path")).alias("page"), F.size("_page.features").cast("bigint").alias("features"))
+
+
 @query(
     "page_outcomes",
     """select event_id, case event_type when 'error' then 'retry' when 'view' then 'fatal' else 'ok' end as outcome from events""",

@@ -32,6 +32,14 @@ def range_predicates(key: str, least: int, greatest: int, page: int) -> list[str
     ]
 
 
+def covering_predicates(key: str, least: int, greatest: int, page: int) -> list[str]:
+    """Conditions of which every row meets exactly one, also rows without a key, and those outside a range that has grown since."""
+    inner = range_predicates(key, least, greatest, page)
+    if not inner:
+        return []
+    return [*inner, f"{key} < {least} OR {key} > {least + len(inner) * page - 1} OR {key} IS NULL"]
+
+
 def read_sub_table(
     spark: SparkSession, url: str, sub_table: str, predicates: Sequence[str] | None = None, **properties: str
 ) -> DataFrame:

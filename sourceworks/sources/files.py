@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,24 +36,29 @@ def open_file(path: str):
     return filesystem.open_input_file(inner)
 
 
-def write_file(path: str, chunks) -> int:
-    """Write byte chunks to a path; the file appears whole or not at all.
+@contextmanager
+def written_whole(path: str):
+    """An output stream to a path; the file appears whole when the block ends without an error, or not at all.
 
     Attempts of the same task write to different names, so a retried or
-    speculative task cannot leave a mixed file behind. Returns the length.
+    speculative task cannot leave a mixed file behind.
     """
-    import uuid
-
     filesystem, inner = _locate(path)
     folder, _, base = inner.rpartition("/")
     filesystem.create_dir(folder, recursive=True)
     part = f"{folder}/_{base}.{uuid.uuid4().hex}"
-    length = 0
     with filesystem.open_output_stream(part) as out:
+        yield out
+    filesystem.move(part, inner)
+
+
+def write_file(path: str, chunks) -> int:
+    """Write byte chunks to a path; the file appears whole or not at all. Returns the length."""
+    length = 0
+    with written_whole(path) as out:
         for chunk in chunks:
             out.write(chunk)
             length += len(chunk)
-    filesystem.move(part, inner)
     return length
 
 

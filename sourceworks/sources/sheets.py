@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sourceworks.functions.names import table_header
 from sourceworks.functions.values import SOURCE_TYPE, UNTYPED
-from sourceworks.session import ship_package
+from sourceworks.session import cut_lineage, ship_package
 from sourceworks.sources.files import open_file
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -147,52 +147,89 @@ def cell_text(kind: Column, raw: Column) -> Column:
     return F.coalesce(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(""))
 
 
+_TEXTS = pa.list_(pa.string())
+_SHAPE = pa.schema(
+    [
+        ("st_oid", pa.int64()), ("path", pa.string()), ("sheet", pa.string()), ("row_no", pa.int32()), ("header", pa.bool_()),
+        ("kinds", _TEXTS), ("raws", _TEXTS), ("names", _TEXTS),
+    ]
+)
+
+
+def cells_of_sheet(stream, sheet: str) -> Iterator[tuple[int, bool, list[str], list[str | None]]]:
+    """(row number, whether it is the header, kinds, raw texts) of the rows of a sheet.
+
+    The first row is the header; all rows reach to its last cell.
+    """
+    width = None
+    for number, cells in Workbook(stream).rows(sheet):
+        header = width is None
+        width = max(cells, default=-1) + 1 if header else width
+        row = [cells.get(i, ("blank", None)) for i in range(width)]
+        yield number, header, [kind for kind, _ in row], [raw for _, raw in row]
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for st_oid, path, sheet in zip(*[batch[c].to_pylist() for c in ("st_oid", "path", "sheet")], strict=True):
+            if not (sheet or "").strip():
+                raise ValueError(f"Excel file {path} cannot have a null sub table")
+            if path.lower().endswith(".xls"):
+                raise ValueError(f"{path}: legacy binary workbooks must be saved as .xlsx first")
+            with open_file(path) as stream:
+                rows = []
+                for number, header, kinds, raws in cells_of_sheet(stream, sheet):
+                    rows.append((st_oid, path, sheet, number, header, kinds, raws, table_header(raws) if header else None))
+                    if len(rows) == _BATCH:
+                        yield _block(rows)
+                        rows = []
+                yield _block(rows)
+
+
+def _block(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in _SHAPE]
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _SHAPE, strict=True)], schema=_SHAPE)
+
+
+def sheet_cells(sheets: DataFrame) -> DataFrame:
+    """Raw cells of the listed sheets (st_oid, path, sheet): adds row_no, header, kinds, raws, and in header rows the column names."""
+    ship_package(sheets.sparkSession)
+    spread = sheets.select("st_oid", "path", "sheet").repartition("path", "sheet")
+    return spread.mapInArrow(
+        _decode,
+        "st_oid bigint, path string, sheet string, row_no int, header boolean, kinds array<string>, raws array<string>, names array<string>",
+    )
+
+
 def sheet_rows(sheets: DataFrame) -> DataFrame:
     """S3: rows of the listed sheets as (path, sheet, row_no, cells array<string>).
 
     ``sheets`` has (path, sheet). Rows reach to the last cell of the header row of
     their sheet; missing cells are blank, also in the header. The header is the row with the least number.
     """
-    ship_package(sheets.sparkSession)
-    texts = pa.list_(pa.string())
-    shape = pa.schema(
-        [("path", pa.string()), ("sheet", pa.string()), ("row_no", pa.int32()), ("kinds", texts), ("raws", texts)]
-    )
+    decoded = sheet_cells(sheets.select(F.lit(None).cast("bigint").alias("st_oid"), "path", "sheet"))
+    return decoded.select("path", "sheet", "row_no", F.zip_with("kinds", "raws", cell_text).alias("cells"))
+
+
+def read_sheets(sheets: DataFrame, with_path: bool = False) -> DataFrame:
+    """S3: the rows of sheets (path, sheet) with one and the same header, as text columns named by it.
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, sheet in zip(batch["path"].to_pylist(), batch["sheet"].to_pylist(), strict=True):
-                with open_file(path) as stream:
-                    numbers, kinds, raws, width = [], [], [], None
-                    for number, cells in Workbook(stream).rows(sheet):
-                        width = max(cells, default=-1) + 1 if width is None else width
-                        row = [cells.get(i, ("blank", None)) for i in range(width)]
-                        numbers.append(number)
-                        kinds.append([kind for kind, _ in row])
-                        raws.append([raw for _, raw in row])
-                        if len(numbers) == _BATCH:
-                            yield block(path, sheet, numbers, kinds, raws)
-                            numbers, kinds, raws = [], [], []
-                    yield block(path, sheet, numbers, kinds, raws)
-
-    def block(path, sheet, numbers, kinds, raws) -> pa.RecordBatch:
-        columns = [[path] * len(numbers), [sheet] * len(numbers), numbers, kinds, raws]
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
-
-    spread = sheets.select("path", "sheet").repartition("path", "sheet")
-    decoded = spread.mapInArrow(
-        decode, "path string, sheet string, row_no int, kinds array<string>, raws array<string>"
+    ``with_path`` adds the path of a row's workbook.
+
+    Every sheet is decoded once, by one task, which also makes out its header; what was decoded is written, so that
+    names and rows come from one reading. Sheets with different headers are refused.
+    """
+    decoded = cut_lineage(sheet_cells(sheets.select(F.lit(None).cast("bigint").alias("st_oid"), "path", "sheet")))
+    headers = [r.names for r in decoded.where("header").select("names").distinct().limit(2).collect()]
+    if len(headers) > 1:
+        raise ValueError(f"sheets have different headers, among them {headers[0]} and {headers[1]}")
+    texts = decoded.where("not header").select("path", F.zip_with("kinds", "raws", cell_text).alias("cells"))
+    return texts.select(
+        *(["path"] if with_path else []),
+        *[F.get("cells", F.lit(i)).alias(name, metadata={SOURCE_TYPE: UNTYPED}) for i, name in enumerate(headers[0] if headers else [])],
     )
-    texts = F.zip_with("kinds", "raws", cell_text)
-    return decoded.select("path", "sheet", "row_no", texts.alias("cells"))
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     """S3: one sheet as text columns named by its first row."""
-    with open_file(path) as stream:
-        number, cells = next(Workbook(stream).rows(sheet), (0, {}))
-    names = table_header([cells.get(i, ("blank", None))[1] for i in range(max(cells, default=-1) + 1)])
-    rows = sheet_rows(spark.createDataFrame([(path, sheet)], "path string, sheet string"))
-    return rows.where(F.col("row_no") > number).select(
-        *[F.col("cells")[i].alias(name, metadata={SOURCE_TYPE: UNTYPED}) for i, name in enumerate(names)]
-    )
+    return read_sheets(spark.createDataFrame([(path, sheet)], "path string, sheet string"))

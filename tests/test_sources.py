@@ -1,5 +1,6 @@
 import io
 import random
+import re
 import struct
 import zipfile
 from types import SimpleNamespace
@@ -13,7 +14,7 @@ from sourceworks.functions.values import SOURCE_TYPE
 from sourceworks.operators.profile import profile
 from sourceworks.plans import fetch, intake
 from sourceworks.schemas import catalog_schema
-from sourceworks.sources import archives, database, dbf, dispatch, features, files, flat, sheets, tables
+from sourceworks.sources import archives, database, dbf, dispatch, features, files, flat, records, sheets, spanning, tables
 
 
 def write(path, text, encoding="utf-8"):
@@ -402,3 +403,79 @@ def test_in_memory_zip_reader_is_streamed():
 def test_metadata_survives_text_rendering(spark):
     df = database.typed_as_source(spark.range(1))
     assert df.select(F.col("ID")).schema[0].metadata == {SOURCE_TYPE: "BIGINT"}
+
+
+def test_predicates_cover_every_row_once(spark):
+    conditions = database.covering_predicates("id", 3, 17, 5)
+    assert len(conditions) == 4 and database.covering_predicates("id", 5, 4, 5) == []
+    df = spark.createDataFrame([(i,) for i in [*range(-2, 25), None]], "id int")
+    met = [sorted(str(r.id) for r in df.where(c).collect()) for c in conditions]
+    assert sorted(i for some in met for i in some) == sorted(str(r.id) for r in df.collect())
+
+
+def test_database_tables_are_read_by_ranges_of_their_key(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(dispatch, "read_sub_table", lambda *given: asked.append(given))
+    entry = SimpleNamespace(file_name="a.mdb", sub_table="Wells", delimiter=None, qualified=True, encoding="utf8")
+    dispatch.read_source(spark, "/in", entry, "jdbc:{}".format, lambda url, table: ("ID", 1, 10, 5))
+    dispatch.read_source(spark, "/in", entry, "jdbc:{}".format, lambda url, table: None)
+    assert asked[0][1:3] == ("jdbc:/in/a.mdb", "Wells") and len(asked[0][3]) == 3 and asked[1][3] is None
+
+
+def test_dbf_objects_are_marked(spark, tmp_path):
+    fields = b"".join(n.ljust(11, b"\0") + t + bytes(4) + bytes([10]) + bytes(15) for n, t in ((b"NOTE", b"M"), (b"PHOTO", b"P"))) + b"\r"
+    head = struct.pack("<4BIHH20x", 0x83, 121, 1, 1, 2, 32 + len(fields), 21)
+    (tmp_path / "m.dbf").write_bytes(head + fields + b" " + b"         1" + b" " * 10 + b" " + b" " * 20)
+    with pytest.raises(Exception, match="no memo file"):
+        dbf.read_dbf(spark, str(tmp_path / "m.dbf")).collect()
+    (tmp_path / "m.dbt").write_bytes(bytes(512) + b"a text" + b"x" * 600 + b"\x1a\x1a")
+    df = dbf.read_dbf(spark, str(tmp_path / "m.dbf"))
+    assert values(df) == [("a text" + "x" * 600, ""), ("", "")]
+    assert df.schema["PHOTO"].metadata == {SOURCE_TYPE: "PICTURE", dbf.UNSUPPORTED: True}
+    assert dbf.UNSUPPORTED not in df.schema["NOTE"].metadata
+
+
+@pytest.mark.parametrize("block", [9, 1_000_000])
+def test_files_of_many_tables_in_one_plan(spark, tmp_path, blocks, block):
+    """Own delimiters, quoting and encodings; a folder of parts; short and long records; a table without records."""
+    blocks(block)
+    write(tmp_path / "a.csv", 'x;y\n1;"a;\nb"\n2\n3;4;5\n')
+    write(tmp_path / "b.txt", 'p|q\n"1|é\n', "latin-1")
+    write(tmp_path / "c.csv", "only\n")
+    write(tmp_path / "u.csv", 'h,i\n"1\n2",é\n', "utf-16")
+    (tmp_path / "d.csv").mkdir()
+    write(tmp_path / "d.csv" / "part-0.csv", "k,l\n1,2\n")
+    write(tmp_path / "d.csv" / "part-1.csv", "k,l\n3,\n")
+    (tmp_path / "e.dbf").write_bytes(dbf_bytes([("CODE", "C", 4), ("N", "N", 3)], ["*gone  1", " abcd -2"]))
+    rows_ = [(1, "a.csv", ";", True, None), (2, "b.txt", "|", False, "latin1"), (3, "c.csv", None, True, None),
+             (4, "d.csv", ",", True, None), (5, "e.dbf", None, False, None), (6, "u.csv", ",", True, "utf-16"), (7, "none.csv", None, True, None)]
+    manifest = spark.createDataFrame(
+        [(i, f"T{i}", n, None, d, q, e) for i, n, d, q, e in rows_],
+        "st_oid bigint, table_name string, file_name string, sub_table string, delimiter string, qualified boolean, encoding string",
+    )
+    found = records.files_of_tables(spark, manifest, str(tmp_path))
+    assert sorted((r.st_oid, r.loader) for r in found.collect()) == [(1, "Flat"), (2, "Flat"), (3, "Flat"), (4, "Flat"), (4, "Flat"), (5, "DBF"), (6, "Flat")]
+    read = records.source_records(found, ["Flat", "DBF"])
+    cells = sorted((r.st_oid, not r.header, r.cells) for r in read.collect())
+    assert [(i, c) for i, data, c in cells if not data] == [(1, ["X", "Y"]), (2, ["P", "Q"]), (3, ["ONLY"]), (4, ["K", "L"]), (5, ["CODE", "N"]), (6, ["H", "I"])]
+    assert sorted(((i, c) for i, data, c in cells if data), key=str) == sorted(
+        [(1, ["1", "a;\nb"]), (1, ["2"]), (1, ["3", "4", "5"]), (2, ['"1', "é"]), (4, ["1", "2"]), (4, ["3", None]), (5, ["abcd", "-2"]), (6, ["1\n2", "é"])], key=str
+    )
+    measured = records.profile_records(read, manifest).collect()
+    assert sorted((r.st_oid, r.name, r.type, r.min_length, r.max_length, r.record_count) for r in measured if r.st_oid in (1, 3, 5)) == [
+        (1, "X", "VARCHAR", 1, 1, 3), (1, "Y", "VARCHAR", 0, 4, 3), (3, "ONLY", "VARCHAR", None, None, 0), (5, "CODE", "CHARACTER", 4, 4, 1), (5, "N", "NUMERIC", 2, 2, 1),
+    ]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text('ab",\n\r ;', max_size=40))
+def test_blocks_are_shaped_as_the_rule_says(text):
+    """Counting quotes gives what following the rule gives, wherever no quote is out of place."""
+    rule, data = spanning.RecordRule(",", True), text.encode()
+    for inside, shape in zip((False, True), spanning.block_shapes(rule, data)[0], strict=True):
+        found, end = rule.records(data, inside)
+        if not shape.odd:
+            assert (shape.end, shape.first) == (end, found[0][0] if found else None)
+            if not (shape.spans or inside or end):
+                lines = [line for line in re.split(rb"\r\n|\n|\r", data) if line]
+                assert [data[a:b] for a, b, _ in found] == lines
