@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sourceworks.operators.tree import tasks_ordered
+from sourceworks.session import cut_lineage
 
 CHANGE_SCHEMA = "event_id bigint, run_id bigint, op string, ts timestamp_ntz"
 
@@ -34,49 +35,75 @@ def _run(stream: DataFrame, write: Callable, state: str, mode: str, trigger: dic
     )
 
 
+LIST_BUCKETS = 64
+INDEX = "bucket int, version bigint, batch_id bigint"
+
+
+def _index(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """(bucket, version) of the newest batch (before a given one): the version in which each bucket's lists are."""
+    index = spark.read.schema(INDEX).parquet(f"{target.rstrip('/')}/index")
+    earlier = index if before is None else index.where(F.col("batch_id") < before)
+    newest = earlier.agg(F.max("batch_id")).first()[0]
+    return earlier.where(F.col("batch_id") == newest).select("bucket", "version")
+
+
+def _versions(spark: SparkSession, target: str, index: DataFrame) -> DataFrame:
+    """The lists of the indexed buckets; folders of other versions are not read."""
+    lists = spark.read.parquet(f"{target.rstrip('/')}/lists")
+    return lists.join(index.select("bucket", "version"), ["bucket", "version"], "left_semi").drop("version")
+
+
 def relist_changed_runs(
     changes: DataFrame,
     tables: Callable[[], tuple[DataFrame, DataFrame, DataFrame]],
     target: str,
     state: str,
     trigger: dict | None = None,
+    buckets: int = LIST_BUCKETS,
 ) -> StreamingQuery:
-    """V2: on changes, list the tasks of the changed runs anew and write them as a snapshot.
+    """V2: on changes, list the tasks of the changed runs anew and put them in place of their old lists.
 
     ``tables`` returns current (tasks, definitions, runs). Only changed runs are
-    read. A batch replaces its own folder, so a repeated batch leaves the same
-    files. A run that has no task left is kept as a row without a task.
+    read. Runs are dealt over ``buckets``; a batch writes the buckets of its runs anew, with the unchanged
+    lists in them, as a version of their own, and then an index that says in which version each bucket is. So there is one list per
+    run at any time, without a compaction. A batch reads the index of the batch before it and
+    replaces its own folders, so a repeated batch leaves the same files; a reader sees a batch as a whole or not at all.
     """
+    base = target.rstrip("/")
+    spark = changes.sparkSession
+    spark.createDataFrame([], "bucket int, version bigint").write.mode("overwrite").parquet(f"{base}/index/batch_id=-1")
 
     def relist(batch: DataFrame, batch_id: int) -> None:
-        changed = batch.select("run_id").distinct()
+        session = batch.sparkSession
+        changed = cut_lineage(batch.select("run_id").distinct())
         tasks, definitions, runs = tables()
         listed = tasks_ordered(
             tasks.join(changed, "run_id", "left_semi"), definitions, runs.join(changed, "run_id", "left_semi")
         )
-        snapshot = changed.join(listed, "run_id", "left")
-        snapshot.write.mode("overwrite").parquet(_batch_folder(target, batch_id))
+        bucket = F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int")
+        touched = [(r.bucket, batch_id) for r in changed.select(bucket.alias("bucket")).distinct().collect()]
+        known = {r.bucket: r.version for r in _index(session, base, batch_id).collect()}
+        lists = listed.withColumn("bucket", bucket)
+        old = [(b, known[b]) for b, _ in touched if b in known]
+        if old:
+            kept = _versions(session, base, session.createDataFrame(old, "bucket int, version bigint"))
+            lists = lists.unionByName(kept.join(changed, "run_id", "left_anti"))
+        lists.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/lists/version={batch_id}")
+        index = session.createDataFrame(list((known | dict(touched)).items()), "bucket int, version bigint")
+        index.coalesce(1).write.mode("overwrite").parquet(f"{base}/index/batch_id={batch_id}")
 
     return _run(changes, relist, state, "append", trigger)
 
 
 def current_lists(spark: SparkSession, target: str) -> DataFrame:
-    """V4: the newest listing of every run; what a subscriber sees first."""
-    snapshots = spark.read.parquet(target)
-    newest = snapshots.groupBy("run_id").agg(F.max("batch_id").alias("batch_id"))
-    return snapshots.join(newest, ["run_id", "batch_id"], "left_semi").where(F.col("pr_task_id").isNotNull())
+    """V4: the listing of every run; what a subscriber sees first. Reads one version of each bucket."""
+    return _versions(spark, target, _index(spark, target)).drop("bucket")
 
 
-def compact_lists(spark: SparkSession, target: str, compacted: str) -> None:
-    """V4: the newest listing of every run as batches of another folder, under their own numbers.
-
-    Runs without a task left keep their row, so that the listing stays empty. The
-    caller stops the stream, lets it go on with ``compacted`` as its target, and has readers follow.
-    """
-    snapshots = spark.read.parquet(target)
-    newest = snapshots.groupBy("run_id").agg(F.max("batch_id").alias("batch_id"))
-    kept = snapshots.join(newest, ["run_id", "batch_id"], "left_semi")
-    kept.write.mode("overwrite").partitionBy("batch_id").parquet(compacted)
+def stale_versions(spark: SparkSession, target: str) -> DataFrame:
+    """V4: versions (version) that the newest index does not use; their folders may be deleted while the stream goes on."""
+    index = spark.read.schema(INDEX).parquet(f"{target.rstrip('/')}/index")
+    return index.select("version").distinct().join(_index(spark, target).select("version"), "version", "left_anti")
 
 
 def for_subscribers(changes: DataFrame, subscriptions: DataFrame) -> DataFrame:

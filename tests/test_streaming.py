@@ -32,6 +32,25 @@ def test_lists_follow_the_changes(spark, tmp_path):
     current[1] = []
     put(folder, "c.json", [{"event_id": 4, "run_id": 1, "op": "delete"}])
     assert relist() == [(2, 1, 20)]
+    lists = spark.read.parquet(f"{target}/index")
+    assert lists.where("batch_id = 2").count() <= 2 and sorted(r.version for r in feed.stale_versions(spark, target).collect()) in ([0, 1], [1])
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    """The same changes once more, as after a failure: one list per run, before and after."""
+    folder, target = tmp_path / "changes", str(tmp_path / "lists")
+    made = [(10 * r + i, r, None, None, 1, None, "Waiting", 0, i, "load", None) for r in range(1, 40) for i in range(3)]
+
+    def tables():
+        tasks = spark.createDataFrame(made, catalog_schema("pipeline_run_tasks"))
+        return tasks, task_definitions(spark), spark.createDataFrame([(r, "load") for r in range(1, 40)], "run_id bigint, workflow_operation string")
+
+    put(folder, "a.json", [{"event_id": r, "run_id": r, "op": "insert"} for r in range(1, 40)])
+    seen = []
+    for state in ("first", "second"):  # the second one starts without a state, so batch 0 comes again
+        feed.relist_changed_runs(feed.change_stream(spark, str(folder)), tables, target, str(tmp_path / state), buckets=4).awaitTermination()
+        seen.append(sorted((r.run_id, r.task_order, r.pr_task_id) for r in feed.current_lists(spark, target).collect()))
+    assert seen[0] == seen[1] == [(r, i + 1, 10 * r + i) for r in range(1, 40) for i in range(3)]
 
 
 def test_latest_state_over_batches(spark, tmp_path):
