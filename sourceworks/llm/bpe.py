@@ -5,16 +5,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sourceworks.llm.memo import Memo, broadcast_bytes, small_batches
+from sourceworks.llm.memo import Memo, broadcast_bytes, read_vocabulary, small_batches
 from sourceworks.llm.text import whole
 from sourceworks.session import ship_package
 
@@ -168,7 +170,7 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, out: str = "ids") ->
 
 
 def decode_ids(encoded: DataFrame, ranks: str, pattern: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
-    """``encoded`` with the bytes of an id column: the pieces of its ids, joined; null ids give no bytes."""
+    """``encoded`` with the bytes of an id column: the pieces of its ids, joined; null lists give no bytes, an id that no piece has is an error."""
     ship_package(encoded.sparkSession)
     kept = [c for c in encoded.columns if c != out]
     none = F.array().cast("array<int>")
@@ -200,3 +202,61 @@ def token_digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole("text").alias("text"))
     run = _digests(broadcast_bytes(docs.sparkSession, ranks), pattern)
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+# The fold in Spark itself: no Python code, but slow (see README).
+
+BUCKETS = 1 << 16
+
+
+def rank_table(ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
+    """The ranks as one literal: an array of buckets of (piece in hex, rank), by the crc32 of the hex digits."""
+    table: list[list[dict]] = [[] for _ in range(buckets)]
+    for piece, rank in ranks.items():
+        digits = piece.hex().upper()
+        table[zlib.crc32(digits.encode()) % buckets].append({"p": digits, "r": rank})
+    return F.from_json(F.lit(json.dumps(table)), "array<array<struct<p: string, r: int>>>")
+
+
+def folded_ids(word: Column, table: Column, buckets: int = BUCKETS) -> Column:
+    """Ids of a word: a fold over its bytes that joins the neighbours of least rank, the leftmost of equals, while any make a piece."""
+
+    def rank(piece: Column) -> Column:
+        bucket = F.get(table, (F.crc32(piece.cast("binary")) % buckets).cast("int"))
+        return F.get(F.filter(bucket, lambda x: x["p"] == piece), 0)["r"]
+
+    def join_best(parts: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(parts) - 2)
+        found = F.transform(places, lambda i: F.struct(rank(F.concat(F.get(parts, i), F.get(parts, i + 1))).alias("r"), i.alias("i")))
+        best = F.array_min(F.filter(found, lambda x: x["r"].isNotNull()))
+
+        def joined(at: Column) -> Column:
+            middle = F.array(F.concat(F.get(parts, at), F.get(parts, at + 1)))
+            return F.concat(F.slice(parts, F.lit(1), at), middle, F.slice(parts, at + 3, F.size(parts)))
+
+        # let best = ... in
+        return F.get(F.transform(F.array(best), lambda b: F.when(b.isNull(), parts).otherwise(joined(b["i"]))), 0)
+
+    digits = F.hex(word.cast("binary"))
+    count = (F.length(digits) / 2).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(digits, 2 * i + 1, F.lit(2)))
+    parts = F.aggregate(
+        F.when(count > 1, F.sequence(F.lit(1), count - 1)).otherwise(F.array().cast("array<int>")),
+        pairs,
+        lambda held, _: F.when(F.size(held) > 1, join_best(held)).otherwise(held),
+    )
+    return F.transform(parts, rank)
+
+
+def fold_texts(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """doc_id and ids of every document by Spark's higher-order functions alone.
+
+    The distinct words of a document are folded, and its words take their ids from a map of these. ``pattern`` is matched
+    by Java with Unicode classes. Same ids as ``encode_texts`` where both regex engines know the same characters.
+    """
+    table = rank_table(parse_ranks(read_vocabulary(ranks)))
+    words = docs.select("doc_id", F.regexp_extract_all(whole("text"), F.lit("(?U)" + pattern), F.lit(0)).alias("_words"))
+    known = words.withColumn("_distinct", F.array_distinct("_words")).withColumn(
+        "_known", F.map_from_arrays("_distinct", F.transform("_distinct", lambda w: folded_ids(w, table)))
+    )
+    return known.select("doc_id", F.flatten(F.transform("_words", lambda w: F.element_at("_known", w))).alias("ids"))

@@ -400,3 +400,10 @@ def test_other_tokenizers_get_whole_texts():
         encoder = token_files.ChunkEncoder(file.read())
     assert not encoder.cuts
     same_ids(encoder, Tokenizer.from_file(path), ["A text, with. marks", "", " two  spaces\n<|endoftext|>"])
+
+
+def test_folding_in_spark_gives_the_same_ids(spark):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    df = docs(spark, ["the cat's hat", "", "  été 12", "é"]).withColumn("text", F.expr("if(doc_id = 1, null, text)"))
+    found = {r.doc_id: r.ids for r in bpe.fold_texts(df, ranks, public_tokenizers.PATTERN).collect()}
+    assert found == {r.doc_id: r.ids for r in bpe.encode_texts(df, ranks, public_tokenizers.PATTERN).collect()}
