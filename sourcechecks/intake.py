@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceworks.operators.ordering import number_by_sort
+from sourceworks.plans.increment import PARTIAL, profile_versions
 from sourceworks.plans.intake import load_run, profile_run
 from sourceworks.session import cut_lineage, scratch_path
 from sourceworks.sources.archives import archive_entries, expand_archives
@@ -314,6 +315,35 @@ def run_load(spark, sf):
     return loaded.select(table.alias("st_oid"), "ORDER_KEY", "STATUS", "NOTE").join(left.select("st_oid"), "st_oid", "left_anti")
 
 
+_PARTS = 8
+
+
+@query(
+    "incremental_profile",
+    f"""with changed as (select o_orderkey, if(o_orderkey % {_PARTS} = 3, 'Z' || o_orderstatus, o_orderstatus) as status,
+                                if(o_orderkey % 3 = 0, '', o_orderpriority || ';' || chr(10)) as note from orders)
+        select *, cast(least({_PARTS}, (select count(*) from orders)) as int) as read_first, cast(1 as int) as read_again from ("""
+    + " union all ".join(
+        _lengths("'PART'", name, "VARCHAR", index, text, "changed")
+        for index, (name, text) in enumerate([("ORDER_KEY", "cast(o_orderkey as varchar)"), ("STATUS", "status"), ("NOTE", "note")])
+    )
+    + ")",
+)
+def incremental_profile(spark, sf):
+    """A folder is profiled, one of its files changes, and it is profiled again: only that file is read."""
+    folder = scratch_path(spark, "grown")
+    orders = given(spark, sf, "orders")
+    write_small_files(orders, folder, _PARTS)
+    nothing = spark.createDataFrame([], PARTIAL)
+    options = {"table_name": "PART", "delimiter": ";"}
+    _, stored, first = profile_versions(spark, folder, backup_manifest(spark, folder), nothing, **options)
+    third = orders.where(f"o_orderkey % {_PARTS} = 3").withColumn("o_orderstatus", F.concat(F.lit("Z"), "o_orderstatus"))
+    write_small_files(third, folder, _PARTS)
+    profile, _, again = profile_versions(spark, folder, backup_manifest(spark, folder), stored, **options)
+    read = {"read_first": F.lit(first.count()), "read_again": F.lit(again.count())}
+    return profile.withColumns({k: v.cast("int") for k, v in read.items()})
+
+
 _ENTRIES = """select * from (
     select c_custkey // 200 as n, 'names_' || n || '.csv' as entry,
            'c_custkey,c_name' || chr(10) || string_agg(c_custkey || ',' || c_name || chr(10), '' order by c_custkey) as content
