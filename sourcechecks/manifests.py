@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from sourceworks.functions import sqlfuncs
 from sourceworks.functions.names import url_file_name
+from sourceworks.operators import changes as C
 from sourceworks.operators import manifest as M
 from sourceworks.operators.profile import repeated_names
 from sourceworks.operators.runs import previous_runs, user_has_run
 from sourceworks.schemas import file_types
+from sourceworks.session import scratch_path
 from sourcechecks.inputs import derived, given, sql, with_tables
 from sourcechecks.registry import query
 
@@ -347,3 +349,16 @@ def owned_manifest_rows(spark, sf):
 )
 def repeated_tables(spark, sf):
     return repeated_names(derived(spark, sf, "manifest"), ["run_id"], "file_name")
+
+
+@query(
+    "targeted_update",
+    with_tables("manifest", """select st_oid, if(st_oid <= 10, false, load) as load, table_name from manifest"""),
+)
+def targeted_update(spark, sf):
+    """Ten keys of a stored manifest changed by rewriting the parts that hold them."""
+    path = scratch_path(spark, "manifest")
+    C.write_parted(derived(spark, sf, "manifest").select("st_oid", "load", "table_name"), path, "st_oid")
+    keys = spark.range(1, 11).withColumnRenamed("id", "st_oid")
+    C.rewrite_keys(spark, path, keys, "st_oid", lambda rows: M.set_flags(rows, keys, "st_oid", {"load": False}))
+    return spark.read.parquet(path).select("st_oid", "load", "table_name")

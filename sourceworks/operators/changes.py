@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sourceworks.session import cut_lineage
+
 
 def fold_changes(changes: DataFrame, key: str, sequence: str) -> DataFrame:
     """One change map per key, each field with its newest value; null is a value.
@@ -62,3 +64,37 @@ def merged_map(left: Column, right: Column) -> Column:
     """U4: union of two maps, the right side wins on equal keys."""
     kept = F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k))
     return F.when(right.isNull(), left).when(left.isNull(), right).otherwise(F.map_concat(kept, right))
+
+
+def write_parted(table: DataFrame, path: str, key: str, parts: int = 64) -> None:
+    """Write a table as ``parts`` folders by the hash of its key, so that a change of few keys rewrites few of them."""
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    table.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def files_with_keys(spark: SparkSession, path: str, keys: DataFrame, key: str) -> DataFrame:
+    """(part, file) of the files of a parted table that hold any of the keys; only the key column is read."""
+    table = spark.read.parquet(path).select(key, "part", F.col("_metadata.file_path").alias("file"))
+    return table.join(keys.select(key).distinct(), key, "left_semi").select("part", "file").distinct()
+
+
+def rewrite_keys(
+    spark: SparkSession, path: str, keys: DataFrame, key: str, change: Callable[[DataFrame], DataFrame], parts: int = 64
+) -> DataFrame:
+    """Apply a change (D1 to D6, D10 to D12) to the rows of a parted table that share a part with any of the keys.
+
+    ``keys`` are all keys that the change touches, new ones too; ``change`` takes rows and returns them changed, with no
+    other effect than on these keys. Other parts are neither read nor written: theirs are overwritten dynamically, when all
+    new rows lie ready. A part that loses its last row goes. Returns (part) of the parts rewritten.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    touched = cut_lineage(keys.select(part.alias("part")).distinct())
+    table = spark.read.parquet(path)
+    old = table.join(touched, "part", "left_semi").drop("part")
+    new = cut_lineage(change(old).withColumn("part", part))
+    new.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in touched.join(new.select("part"), "part", "left_anti").collect():  # at most as many as there are parts
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"part={row.part}"), True)
+    return touched

@@ -376,3 +376,33 @@ def test_profile_drift(spark, rows):
 
     before, after = stored([("t", "A", 1, 2), ("t", "B", 1, 2), ("t", "C", 0, 0)]), stored([("t", "A", 1, 3), ("t", "C", 0, 0), ("t", "D", 1, 1)])
     assert rows(P.profile_drift(before, after), "name", "drift") == [("A", "length"), ("B", "removed"), ("D", "added")]
+
+
+def test_a_change_rewrites_only_files_with_its_keys(spark, tmp_path):
+    path = str(tmp_path / "table")
+    table = spark.range(1000).selectExpr("id as st_oid", "true as load", "concat('n', id) as name")
+    C.write_parted(table, path, "st_oid", 32)
+    files = lambda: {(r.part, r.file) for r in C.files_with_keys(spark, path, spark.read.parquet(path), "st_oid").collect()}
+    before = files()
+    keys = spark.createDataFrame([(3,), (500,), (2000,)], "st_oid bigint")
+    held = {r.part for r in C.files_with_keys(spark, path, keys, "st_oid").collect()}
+    assert len(before) == 32 and len(held) <= 2
+
+    def change(rows):
+        flagged = M.set_flags(rows, keys, "st_oid", {"load": False}).where("st_oid <> 500")
+        return flagged.unionByName(keys.where("st_oid = 2000").selectExpr("st_oid", "false as load", "'new' as name"))
+
+    touched = {r.part for r in C.rewrite_keys(spark, path, keys, "st_oid", change, 32).collect()}
+    after = files()
+    assert held <= touched and len(touched) <= 3
+    assert {f for f in before if f[0] not in touched} == {f for f in after if f[0] not in touched}
+    assert not {f for f in before if f[0] in touched} & after
+    found = {r.st_oid: (r.load, r.name) for r in spark.read.parquet(path).collect()}
+    assert found == {i: (i != 3, f"n{i}") for i in range(1000) if i != 500} | {2000: (False, "new")}
+
+
+def test_a_part_without_rows_goes(spark, tmp_path):
+    path = str(tmp_path / "table")
+    C.write_parted(spark.range(2).selectExpr("id as k"), path, "k", 64)
+    C.rewrite_keys(spark, path, spark.range(1).selectExpr("id as k"), "k", lambda rows: rows.where("k <> 0"), 64)
+    assert [r.k for r in spark.read.parquet(path).collect()] == [1]
