@@ -101,3 +101,41 @@ select doc_id, size, c as source_size, target,
        size * cast(least(floor(rank * e + s) - floor((rank - 1) * e + s), 2) as bigint) as taken
 from line
 """
+
+_LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+with pieces as (
+    select lang, list_filter(string_split(translate(piece, chr(9), ' '), ' '), lambda x: x <> '') as w
+    from (select coalesce(lang, 'und') as lang,
+                 unnest(regexp_split_to_array({_LOWER.format(text="coalesce(text, '')")}, '[.,;:!?\n\x0B\x0C\r]')) as piece from documents)),
+numbered as (select row_number() over () as p, lang, w from pieces where len(w) > 0),
+total as (select lang, cast(sum(len(w)) as bigint) as n from numbered group by lang),
+places as (select p, lang, w, unnest(range(1, len(w) + 1)) as i from numbered),
+grams as (select lang, k, w[i:i + k - 1] as ws from places, (select unnest(range(1, 5)) as k) where i + k - 1 <= len(w)),
+f as (select lang, k, ws, cast(count(*) as bigint) as a from grams group by all having count(*) >= 30),
+longest as (
+    select lang, ws, max(a) as longer from (
+        select lang, ws[1:k - 1] as ws, a from f where k > 2 union all select lang, ws[2:k] as ws, a from f where k > 2) group by all),
+candidates as (select f.* from f left join longest x on x.lang = f.lang and x.ws = f.ws where f.k > 1 and (x.longer is null or 100 * x.longer < 80 * f.a)),
+cuts as (
+    select c.lang, c.ws, c.k, c.a, cut, l.a as l, r.a as r, cast((2000000::hugeint * c.a) // (l.a + r.a) as bigint) as score
+    from (select *, unnest(range(1, k)) as cut from candidates) c
+    join f l on l.lang = c.lang and l.ws = c.ws[1:c.cut] join f r on r.lang = c.lang and r.ws = c.ws[c.cut + 1:c.k]),
+best as (select * from cuts qualify row_number() over (partition by lang, ws order by score, cut) = 1),
+ranked as (select *, array_to_string(ws, ' ') as phrase from best),
+placed as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from ranked)
+select p.lang, rank, phrase, a, l, r, n, score from placed p join total t on t.lang = p.lang where rank <= 2000
+"""
+
+OP12 = rf"""
+with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+split as (select r, doc_id, unnest(range(1, len(parts) + 1)) as i, parts from d),
+lines as (select r, doc_id, i, parts[i] as line,
+                 {_LOWER.format(text="trim(parts[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} as key from split),
+held as (select key, max(doc_id) as last from lines where length(key) >= 20 group by key having count(distinct r) >= 3),
+judged as (select l.r, l.doc_id, i, line, h.key is not null and l.doc_id is distinct from h.last as gone from lines l left join held h on h.key = l.key)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from judged group by r, doc_id
+"""

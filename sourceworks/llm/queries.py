@@ -92,12 +92,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-@query("op11_collocations")
+@query("op11_collocations", oracles.OP11)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"), longest=4, least=30, covered_percent=80, top=2000)
 
 
-@query("op12_line_dedup")
+@query("op12_line_dedup", oracles.OP12)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, folder, "documents"), least_documents=3, least_chars=20)
 

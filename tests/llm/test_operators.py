@@ -364,7 +364,8 @@ def test_stems_with_many_contexts_are_split(spark):
 
 
 def test_sql_is_there_where_it_can_be():
-    assert set(registry.ORACLES) == {"op5_host_reputation", "op8_line_frequency", "op9_systematic_mix"}
+    expressed = {"op5_host_reputation", "op8_line_frequency", "op9_systematic_mix", "op11_collocations", "op12_line_dedup"}
+    assert set(registry.ORACLES) == expressed
     assert oracles.OP9
 
 
