@@ -250,11 +250,12 @@ def drop_shared_lines(docs: DataFrame, least_documents: int = 3, least_chars: in
         F.xxhash64(whole("text")).alias("_print"),
     )
     lines, keys = shared_lines(rows, least_documents, least_chars)
+    # Rows that repeat have the same lines. Dealt anew after the join, so that its hot keys can be split.
+    once = lines.groupBy("doc_id", "_print", "key").agg(F.first("lines").alias("lines"))
     gone = (
-        lines.join(keys, "key")
+        once.join(keys, "key")
         .where(~F.col("doc_id").eqNullSafe(F.col("last")))
-        .groupBy("doc_id", "_print", "key")  # rows that repeat have the same lines
-        .agg(F.first("lines").alias("lines"))
+        .repartition("doc_id", "_print")
         .groupBy("doc_id", "_print")
         .agg(F.flatten(F.collect_list("lines")).alias("_gone"))
         .select(F.col("doc_id").alias("_id"), F.col("_print").alias("_same"), "_gone")
