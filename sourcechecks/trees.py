@@ -114,7 +114,8 @@ def sql_delete_children(spark, sf):
     _sql_tasks(spark, sf)
     named = given(spark, sf, "events").where("event_type = 'error'").selectExpr("event_id + 1 as pr_task_id")
     named.createOrReplaceTempView("named_tasks")
-    return spark.sql(sqlfuncs.DELETE_RUN_TASK_CHILDREN).select("pr_task_id", "parent_task_id", "run_id")
+    spark.sql(sqlfuncs.DELETE_RUN_TASK_CHILDREN)
+    return spark.table("remaining_tasks").select("pr_task_id", "parent_task_id", "run_id")
 
 
 @query("delete_subtrees", _WITHOUT)

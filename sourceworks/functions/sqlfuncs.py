@@ -80,15 +80,16 @@ def register_tasks(tasks: DataFrame, definitions: DataFrame, runs: DataFrame) ->
     )
 
 
-#: The task table without anything below the tasks that the view ``named_tasks`` (pr_task_id) names, as a script.
+#: The task table without anything below the tasks that the view ``named_tasks`` (pr_task_id) names, as a script. It leaves
+#: them as the view ``remaining_tasks``: the rows that a script returns are collected by the driver.
 DELETE_RUN_TASK_CHILDREN = """
 BEGIN
     DECLARE named BIGINT DEFAULT 0;
     SET named = (SELECT count(*) FROM named_tasks);
     IF named = 0 THEN
-        SELECT * FROM catalog_tasks;
+        CREATE OR REPLACE TEMPORARY VIEW remaining_tasks AS SELECT * FROM catalog_tasks;
     ELSE
-        SELECT t.* FROM catalog_tasks t LEFT ANTI JOIN (
+        CREATE OR REPLACE TEMPORARY VIEW remaining_tasks AS SELECT t.* FROM catalog_tasks t LEFT ANTI JOIN (
             SELECT c.pr_task_id FROM (SELECT DISTINCT pr_task_id FROM named_tasks) n, LATERAL get_task_children(n.pr_task_id) c
         ) gone ON gone.pr_task_id = t.pr_task_id;
     END IF;
