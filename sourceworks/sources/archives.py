@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceworks.session import ship_package
+from sourceworks.session import dealt, ship_package
 from sourceworks.sources.files import open_file, write_file
 
 _CHUNK = 4 * 1024 * 1024
@@ -27,7 +27,7 @@ def archive_entries(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=["path", "entry", "length"])
 
-    spread = archives.select("path").repartition("path")
+    spread = dealt(archives.select("path"), "path", size="0")
     return spread.mapInPandas(listing, "path string, entry string, length long")
 
 
@@ -59,5 +59,5 @@ def expand_archives(archives: DataFrame, target: str) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["path", "entry", "file", "length"])
 
-    entries = archive_entries(archives).select("path", "entry").repartition("path", "entry")
+    entries = dealt(archive_entries(archives), "path", "entry", size="length").select("path", "entry")
     return entries.mapInPandas(expand, "path string, entry string, file string, length long")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceworks.functions.names import loader_type
-from sourceworks.session import ship_package
+from sourceworks.session import dealt, ship_package
 
 _CHUNK = 4 * 1024 * 1024
 
@@ -102,9 +102,9 @@ def _per_file(spark: SparkSession, folder: str, target: str | None) -> DataFrame
     # The name below the folder, so that equal names in several of its folders stay apart.
     base = re.sub(r"^[a-z0-9]+:/*", "/", folder.rstrip("/"))
     plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
-    listed = files.select("path", F.substring_index(plain, f"{base}/", -1).alias("file_name"))
+    listed = files.select("path", "length", F.substring_index(plain, f"{base}/", -1).alias("file_name"))
     schema = "file_name string, length long, checksum string"
-    return listed.repartition("path").mapInPandas(lambda batches: _digests(batches, target), schema)
+    return dealt(listed, "path", size="length").select("path", "file_name").mapInPandas(lambda batches: _digests(batches, target), schema)
 
 
 def backup_manifest(spark: SparkSession, folder: str) -> DataFrame:

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sourceworks.session import cut_lineage, ship_package
+from sourceworks.session import cut_lineage, dealt, ship_package
 from sourceworks.sources.files import open_file
 
 BLOCK_BYTES = 64 * 1024 * 1024
-_READ = 1024 * 1024
+_FIRST, _READ = 8 * 1024, 1024 * 1024  # lines and records mostly end soon: steps start small and double
 _BOM = b"\xef\xbb\xbf"
 _LINE_END = re.compile(rb"\r\n|\n|\r")
 
@@ -45,9 +45,10 @@ def _line_start(stream, size: int, at: int) -> int:
     if at == 0:
         return 0
     stream.seek(at - 1)
-    data, base = b"", at - 1
+    data, base, step = b"", at - 1, _FIRST
     while base + len(data) < size:
-        data += stream.read(_READ)
+        data += stream.read(step)
+        step = min(2 * step, _READ)
         found = _LINE_END.search(data)
         if found and (found.end() < len(data) or base + len(data) >= size):
             return base + found.end()
@@ -183,9 +184,9 @@ def _line_kinds(data: np.ndarray) -> tuple[np.ndarray, int, bool]:
     if not len(starts):
         return ends, kinds, False
     # a line's bytes and those among them that are no blanks: a line of line ends alone is no record
-    some = np.add.reduceat((data > 32).astype(np.int64), starts) == 0
-    bare = np.add.reduceat(((data != 10) & (data != 13)).astype(np.int64), starts) == 0
-    return ends, kinds, bool((some & ~bare).any())
+    some = np.logical_or.reduceat(data > 32, starts)
+    bare = ~np.logical_or.reduceat((data != 10) & (data != 13), starts)
+    return ends, kinds, bool((~some & ~bare).any())
 
 
 def block_shapes(rule: RecordRule, data: bytes) -> tuple[tuple[BlockShape, BlockShape], int, bool]:
@@ -222,6 +223,7 @@ def block_shapes(rule: RecordRule, data: bytes) -> tuple[tuple[BlockShape, Block
     return (shape(False), shape(True)), int(kinds), blanks
 
 
+BLOCK_SIZE = "stop - start"
 FILE_KEYS = "st_oid long, delimiter string, qualified boolean, encoding string"
 ENDS = (
     "path string, start long, stop long, length long, out_end boolean, in_end boolean, first_0 long, first_1 long, "
@@ -250,16 +252,18 @@ def record_texts(block: dict) -> Iterator[tuple[int, str]]:
     with open_file(block["path"]) as stream:
         base, data = _block_data(stream, block["start"], block["stop"], encoding)
         found, open_end = rule.records(data, bool(block["inside"]))
-        texts = [(base + a, data[a:b]) for a, b, _ in found]
+        last = None
         if wide_characters(encoding):
             encoding = "utf-8"
             if open_end:
                 raise ValueError(f"a quoted field of {block['path']} is never closed")
         elif open_end and found:  # the last one goes on behind the block
-            size = stream.size()
-            texts[-1] = (texts[-1][0], _finished(stream, rule, texts[-1][0], _line_start(stream, size, block["stop"]), size))
-    for at, text in texts:
-        yield at, text.decode(encoding, "replace")
+            size, at = stream.size(), base + found.pop()[0]
+            last = at, _finished(stream, rule, at, _line_start(stream, size, block["stop"]), size)
+    for start, end, _ in found:
+        yield base + start, data[start:end].decode(encoding, "replace")
+    if last:
+        yield last[0], last[1].decode(encoding, "replace")
 
 
 def record_cells(block: dict) -> Iterator[tuple[int, list[str | None]]]:
@@ -271,7 +275,7 @@ def record_cells(block: dict) -> Iterator[tuple[int, list[str | None]]]:
 
 def _finished(stream, rule: RecordRule, start: int, stop: int, size: int) -> bytes:
     """The text of the record at ``start``, read on from ``stop`` by ever larger steps."""
-    step = _READ
+    step = _FIRST
     while stop < size:
         stop = _line_start(stream, size, min(stop + step, size))
         data = _read(stream, start, stop)
@@ -323,7 +327,7 @@ class FileShapes:
 def file_shapes(files: DataFrame) -> FileShapes:
     """First pass over the files of a table (see ``files_at``)."""
     ship_package(files.sparkSession)
-    ends = blocks_of(files).repartition("path", "start").mapInPandas(block_ends, f"{FILE_KEYS}, {ENDS}")
+    ends = dealt(blocks_of(files), "path", "start", size=BLOCK_SIZE).mapInPandas(block_ends, f"{FILE_KEYS}, {ENDS}")
     started = started_blocks(ends, ["path"])
     mine = lambda name: F.when(F.col("inside"), F.col(f"{name}_1")).otherwise(F.col(f"{name}_0"))
     closed = (F.col("stop") < F.col("length")) | ~F.when(F.col("inside"), F.col("in_end")).otherwise(F.col("out_end"))
@@ -353,7 +357,7 @@ _ROWS = 20_000
 def file_cells(shapes: FileShapes, width: int) -> DataFrame:
     """Second pass: cells (array) of every record but the headers, and its text (``ragged``) if they are not ``width``."""
     asked = shapes.blocks.select("path", "start", "stop", "delimiter", "qualified", "encoding", "inside", "header_at")
-    return asked.repartition("path", "start").mapInArrow(_cut(width), "cells array<string>, ragged string")
+    return dealt(asked, "path", "start", size=BLOCK_SIZE).mapInArrow(_cut(width), "cells array<string>, ragged string")
 
 
 def wide_characters(encoding: str) -> bool:
