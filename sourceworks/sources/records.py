@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from sourceworks.functions.names import loader_type, table_header
 from sourceworks.functions.values import SOURCE_TYPE, UNTYPED
-from sourceworks.session import cut_lineage, ship_package
+from sourceworks.session import cut_lineage, dealt, ship_package
 from sourceworks.sources.dbf import BINARY_FIELDS, FIELD_TYPES, MEMO_FIELDS, RANGE_BYTES, binary_text, dbf_layout, field_text, memo_texts
 from sourceworks.sources.files import open_file, written_whole
 from sourceworks.sources.sheets import cell_text, sheet_cells
-from sourceworks.sources.spanning import ENDS, FILE_KEYS, block_ends, blocks_of, record_cells, started_blocks
+from sourceworks.sources.spanning import BLOCK_SIZE, ENDS, FILE_KEYS, block_ends, blocks_of, record_cells, started_blocks
 
 RECORD = "st_oid bigint, header boolean, cells array<string>, types array<string>"
 _ROWS = 20_000
@@ -95,10 +95,10 @@ def flat_source_records(files: DataFrame) -> DataFrame:
     ship_package(files.sparkSession)
     keyed = files.select("st_oid", "path", "length", "delimiter", "qualified", "encoding")
     blocks = blocks_of(keyed)
-    ends = blocks.repartition("path", "start").mapInPandas(block_ends, f"{FILE_KEYS}, {ENDS}")
+    ends = dealt(blocks, "path", "start", size=BLOCK_SIZE).mapInPandas(block_ends, f"{FILE_KEYS}, {ENDS}")
     started = started_blocks(ends, ["st_oid", "path"])
     asked = started.select("st_oid", "path", "start", "stop", "delimiter", "qualified", "encoding", "inside", "header_at", "heads")
-    return asked.repartition("path", "start").mapInArrow(_flat_rows, RECORD)
+    return dealt(asked, "path", "start", size=BLOCK_SIZE).mapInArrow(_flat_rows, RECORD)
 
 
 def _dbf_ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,10 +171,10 @@ def _by_letter(raw: Column, letter: Column) -> Column:
 def dbf_source_records(files: DataFrame, encoding: str = "latin-1") -> DataFrame:
     """S5 for many files (st_oid, path); deleted records are left out."""
     ship_package(files.sparkSession)
-    ranges = files.select("st_oid", "path").repartition("path").mapInArrow(
+    ranges = dealt(files.select("st_oid", "path"), "path", size="0").mapInArrow(
         _dbf_ranges, "st_oid bigint, path string, first bigint, count bigint"
     )
-    raw = ranges.repartition("path", "first", "count").mapInArrow(
+    raw = dealt(ranges, "path", "first", "count", size=f"{RANGE_BYTES}").mapInArrow(
         _dbf_cells(encoding), "st_oid bigint, header boolean, cells array<string>, letters array<string>"
     )
     names = F.create_map(*[F.lit(x) for pair in FIELD_TYPES.items() for x in pair])
@@ -208,17 +208,23 @@ def source_records(files: DataFrame, loaders: Iterable[str]) -> DataFrame:
 def profile_records(records: DataFrame, tables: DataFrame) -> DataFrame:
     """A1, A2 in long form: st_oid, table_name, column_index, name, type, min_length, max_length, record_count.
 
-    One aggregate over all tables, by table and position. A missing value counts as the
-    empty text. ``tables`` has (st_oid, table_name). What is left after the aggregate has a row per column.
+    One aggregate over all tables, by table, position and, for header rows, name and type. Its measures are numbers: a
+    greatest text could not be hashed, so that all cells would be sorted for it. A missing value counts as the
+    empty text. ``tables`` has (st_oid, table_name). What is left after the aggregate has two rows per column.
     """
     cells = records.select("st_oid", "header", "types", F.posexplode("cells").alias("column_index", "_text"))
     length = F.when(~F.col("header"), F.coalesce(F.char_length("_text"), F.lit(0)))
-    measured = cells.groupBy("st_oid", "column_index").agg(
-        F.max(F.when(F.col("header"), F.col("_text"))).alias("name"),
-        F.max(F.when(F.col("header"), F.get("types", F.col("column_index")))).alias("type"),
-        F.min(length).alias("_min"),
-        F.max(length).alias("_max"),
-        F.count_if(~F.col("header")).alias("_seen"),
+    name = F.when(F.col("header"), F.col("_text")).alias("name")
+    kind = F.when(F.col("header"), F.get("types", F.col("column_index"))).alias("type")
+    parts = cells.groupBy("st_oid", "column_index", name, kind).agg(
+        F.min(length).alias("_min"), F.max(length).alias("_max"), F.count_if(~F.col("header")).alias("_seen")
+    )
+    measured = parts.groupBy("st_oid", "column_index").agg(
+        F.max("name").alias("name"),
+        F.max("type").alias("type"),
+        F.min("_min").alias("_min"),
+        F.max("_max").alias("_max"),
+        F.sum("_seen").alias("_seen"),
     )
     first = F.when(F.col("column_index") == 0, F.col("_seen"))  # every record has a first cell
     counted = measured.withColumn("record_count", F.max(first).over(Window.partitionBy("st_oid"))).where("name is not null")
@@ -284,5 +290,5 @@ def write_records(records: DataFrame, headers: dict[int, list[str]], folders: di
     """
     ship_package(records.sparkSession)
     placed = records.select("st_oid", "header", "cells", F.spark_partition_id().alias("_from"))
-    dealt = placed.repartition("st_oid", "_from").sortWithinPartitions("st_oid").select("st_oid", "header", "cells")
-    return cut_lineage(dealt.mapInArrow(_table_writer(headers, folders), "st_oid bigint, file string, rows bigint"))
+    sorted_ = placed.repartition("st_oid", "_from").sortWithinPartitions("st_oid").select("st_oid", "header", "cells")
+    return cut_lineage(sorted_.mapInArrow(_table_writer(headers, folders), "st_oid bigint, file string, rows bigint"))
