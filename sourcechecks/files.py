@@ -5,6 +5,8 @@ A file holds a range of key values, so its size has a bound whatever the data.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,21 +141,37 @@ def write_archives(customers: DataFrame, folder: str) -> str:
 
 
 def write_small_files(orders: DataFrame, folder: str, count: int) -> str:
-    """Flat files by the remainder of the order number, with line ends in quoted fields."""
+    """Flat files by the remainder of the order number, with line ends in quoted fields.
+
+    A file may be of any size: its lines come to the task that writes it in batches, in order.
+    """
     ship_package(orders.sparkSession)
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        number = int(rows["_file"].iloc[0])
-        lines = ["order key;status;note\r\n"]
-        for r in rows.sort_values("o_orderkey").itertuples(index=False):
-            note = "" if r.o_orderkey % 3 == 0 else f'"{r.o_orderpriority};\n"'
-            lines.append(f"{r.o_orderkey};{r.o_orderstatus};{note}\r\n")
-        path = f"{folder}/part{number}.txt"
-        write_file(path, ["".join(lines).encode()])
-        return pd.DataFrame({"path": [path], "rows": [len(rows)]})
-
-    dealt = orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", (F.col("o_orderkey") % count).alias("_file"))
-    dealt.groupBy("_file").applyInPandas(write, _RESULT).write.mode("overwrite").parquet(f"{folder}_written")
+    def write(batches):
+        pieces = (
+            (number, part["_line"])
+            for batch in batches
+            for number, part in batch.groupby("_file", sort=True)
+        )
+        for number, own in groupby(pieces, key=lambda piece: int(piece[0])):
+            path, rows = f"{folder}/part{number}.txt", 0
+
+            def chunks(own=own):
+                nonlocal rows
+                yield b"order key;status;note\r\n"
+                for _, lines in own:
+                    rows += len(lines)
+                    yield "".join(lines).encode()
+
+            write_file(path, chunks())
+            yield pd.DataFrame({"path": [path], "rows": [rows]})
+
+    missing = F.lit("None")
+    note = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit('"'), F.coalesce("o_orderpriority", missing), F.lit(';\n"')))
+    line = F.concat("o_orderkey", F.lit(";"), F.coalesce("o_orderstatus", missing), F.lit(";"), note, F.lit("\r\n"))
+    lines = orders.select((F.col("o_orderkey") % count).alias("_file"), "o_orderkey", line.alias("_line"))
+    placed = lines.repartition("_file").sortWithinPartitions("_file", "o_orderkey").select("_file", "_line")
+    placed.mapInPandas(write, _RESULT).write.mode("overwrite").parquet(f"{folder}_written")
     return folder
 
 
