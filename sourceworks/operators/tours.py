@@ -148,9 +148,11 @@ def ranked_steps(steps: DataFrame, steps_per_task: int = STEPS_PER_TASK) -> Data
     wanted = links.where(F.col("state") == OPEN).select("run_id", F.col("ahead").alias("step")).distinct()
     core = cut_lineage(links.join(wanted, ["run_id", "step"], "left_semi"))
     for _ in range(core.count().bit_length() + 1):
-        if core.where(F.col("state") == OPEN).isEmpty():
+        waiting = core.where(F.col("state") == OPEN)
+        if waiting.isEmpty():
             break
-        core = cut_lineage(_jumped(core, core))
+        settled = core.where(F.col("state") != OPEN)  # stays as it is, and is not dealt again
+        core = cut_lineage(_jumped(waiting, core).unionByName(settled))
     core = core.withColumn("state", F.when(F.col("state") == OPEN, ON_CYCLE).otherwise(F.col("state")))
     return _jumped(links, core).select("run_id", "step", "entered", "tail", "state")
 

@@ -66,9 +66,7 @@ def descendants(tasks: DataFrame, roots: DataFrame) -> DataFrame:
     two ranges per given task, whatever the depth. A given task on a cycle is an error, found in as many
     rounds as the logarithm of the table's size; tasks below a cycle have their subtrees like others.
     """
-    edges = cut_lineage(
-        tasks.select(F.lit(0).cast("bigint").alias("run_id"), "pr_task_id", "parent_task_id", "parent_task_order")
-    )
+    edges = tasks.select(F.lit(0).cast("bigint").alias("run_id"), "pr_task_id", "parent_task_id", "parent_task_order")
     placed = cut_lineage(subtree_intervals(edges))
     if not placed.where(F.col("state") == ON_CYCLE).isEmpty():
         lost = edges.join(placed.where(F.col("state") == ON_CYCLE).select("pr_task_id"), "pr_task_id", "left_semi")
