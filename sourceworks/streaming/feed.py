@@ -77,8 +77,9 @@ def relist_changed_runs(
         session = batch.sparkSession
         changed = cut_lineage(batch.select("run_id").distinct())
         tasks, definitions, runs = tables()
+        own = cut_lineage(tasks.join(changed, "run_id", "left_semi"))  # read once, for the order and for the listing
         listed = tasks_ordered(
-            tasks.join(changed, "run_id", "left_semi"), definitions, runs.join(changed, "run_id", "left_semi")
+            own, definitions, runs.join(changed, "run_id", "left_semi")
         )
         bucket = F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int")
         touched = [(r.bucket, batch_id) for r in changed.select(bucket.alias("bucket")).distinct().collect()]
